@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, secrets, warc
+from . import line_dedup, mixing, secrets, simhash, warc
 
-_MODULES = (mixing, line_dedup, warc, secrets)
+_MODULES = (mixing, line_dedup, warc, simhash, secrets)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
