@@ -108,11 +108,11 @@ def _rule_table(n: int, start: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII that is neither a letter nor a digit separates plain words.
+_NOT_PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE = _rule_table(256, 1000)
-_BYTE[_SPACE] = 0
-_BYTE_LOWER = _BYTE[LOWER]
+_BYTE = _rule_table(256, 1000)[LOWER]
 _STEP = _rule_table(64, 5000) | np.uint64(1)
 
 
@@ -127,13 +127,15 @@ class Words:
 
     ``data`` bytes of all texts; ``offsets`` of each text in them; ``start``/``end`` byte positions of each
     word; ``row`` the text of each word; ``first`` the first word of each text (one entry more than texts);
-    ``code`` a 64-bit hash of each word, with ASCII letters lower-cased.
+    ``code`` a 64-bit hash of each word, with ASCII letters lower-cased. Words are parted by ASCII white space,
+    or, if ``plain``, by anything in ASCII but letters and digits.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> None:
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
         size = len(data)
-        inside = ~_SPACE[data]
+        apart = _NOT_PLAIN if plain else _SPACE
+        inside = ~apart[data]
         full = offsets[1:] > offsets[:-1]
         before = np.zeros(size, bool)
         before[1:] = inside[:-1]
@@ -149,7 +151,7 @@ class Words:
             where = np.arange(self.start[0], size) - np.repeat(self.start, np.diff(np.append(self.start, size)))
             longest = int((self.end - self.start).max())
             power = _powers(longest + 1)
-            values = (_BYTE_LOWER if lower else _BYTE)[data[self.start[0] :]] * power[np.minimum(where, longest)]
+            values = np.where(apart, np.uint64(0), _BYTE)[data[self.start[0] :]] * power[np.minimum(where, longest)]
             self.code = mix(np.add.reduceat(values, self.start - self.start[0]))
         else:
             self.code = np.zeros(0, np.uint64)
