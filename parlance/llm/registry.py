@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, secrets, simhash, substring_dedup, warc
+from . import line_dedup, mixing, ngram_join, secrets, simhash, substring_dedup, warc
 
-_MODULES = (substring_dedup, mixing, line_dedup, warc, simhash, secrets)
+_MODULES = (substring_dedup, mixing, line_dedup, warc, ngram_join, simhash, secrets)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
