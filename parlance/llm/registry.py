@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, ngram_join, secrets, simhash, substring_dedup, warc
+from . import decontaminate, line_dedup, mixing, ngram_join, quality, secrets, simhash, substring_dedup, toxicity, warc
 
-_MODULES = (substring_dedup, mixing, line_dedup, decontaminate, warc, ngram_join, simhash, secrets)
+_MODULES = (substring_dedup, mixing, line_dedup, quality, decontaminate, warc, ngram_join, simhash, secrets, toxicity)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
