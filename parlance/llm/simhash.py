@@ -114,18 +114,31 @@ def following(keys: DataFrame, order: list[str], name: str = "next") -> DataFram
     return found.select(*keys.columns, F.coalesce("after", "gap", "start").alias(name))
 
 
+#: Stands for a null id, so that ids join and partition as plain values; it sorts first, as a null does.
+NO_ID = -(2**63)
+
+
 def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, version, text, n_chars, edited, next): the last quarter replaced by the start of the next document."""
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    base = base.withColumn("version", F.xxhash64("text")).dropDuplicates(["doc_id", "version"])
-    keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("version"), F.length(text_or_empty(text_col)).cast("long").alias("n_chars"))
-    order = following(keys.distinct(), ["doc_id", "version"])
-    order = order.select(F.col("doc_id").alias("kid"), F.col("version").alias("kversion"), "n_chars", F.col("next.doc_id").alias("nid"), F.col("next.version").alias("nversion"))
-    heads = base.join(order, F.expr("doc_id <=> nid AND version = nversion"))
-    heads = heads.select(F.col("kid").alias("hid"), F.col("kversion").alias("hversion"), "n_chars", "nid", "nversion", F.expr("substring(text, 1, cast(floor(n_chars / 4) as int))").alias("head"))
-    both = base.join(heads, F.expr("doc_id <=> hid AND version = hversion"))
+    """(id, version, text, n_chars, edited, nid, nversion): the last quarter replaced by the start of the next document.
+
+    All joins are on (id, version), the partitioning that removing repeats has made, so whole texts are
+    shuffled once and only the starts of texts move again.
+    """
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
+    base = base.withColumn("version", F.xxhash64("text"))
+    order = following(base.select("id", "version", F.length("text").cast("long").alias("n_chars")).distinct(), ["id", "version"])
+    base = base.dropDuplicates(["id", "version"])
+    order = order.select(F.col("id").alias("pid"), F.col("version").alias("pversion"), "n_chars", F.col("next.id").alias("id"), F.col("next.version").alias("version"))
+    heads = base.join(order, ["id", "version"]).select(
+        F.col("pid").alias("id"),
+        F.col("pversion").alias("version"),
+        "n_chars",
+        F.col("id").alias("nid"),
+        F.col("version").alias("nversion"),
+        F.expr("substring(text, 1, cast(floor(n_chars / 4) as int))").alias("head"),
+    )
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.col("head"))
-    return both.select("doc_id", "version", "text", "n_chars", edited.alias("edited"), "nid", "nversion")
+    return base.join(heads, ["id", "version"]).select("id", "version", "text", "n_chars", edited.alias("edited"), "nid", "nversion")
 
 
 def fingerprint_documents(docs: DataFrame, radius: int = 3, query_step: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,21 +151,20 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3, query_step: int = 10
     empty; an empty text has fingerprint 0; without rows there is no result.
     """
     texts = edited_texts(docs, id_col, text_col)
-    keys = ["doc_id", "version", "n_chars", "edited_sha256", "nid", "nversion"]
+    keys = ["id", "version", "n_chars", "edited_sha256", "nid", "nversion"]
     prints = simhash(texts.withColumn("edited_sha256", F.sha2("edited", 256)), keys, ["text", "edited"])
     prints = prints.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == i, F.col("fingerprint"))).alias(n) for i, n in enumerate(("fingerprint", "edited_fingerprint"))])
     prints = materialise(prints, "prints")
-    nexts = prints.select(F.col("doc_id").alias("xid"), F.col("version").alias("xversion"), F.col("fingerprint").alias("next_fingerprint"))
-    out = prints.join(nexts, F.expr("nid <=> xid AND nversion = xversion"))
+    nexts = prints.select(F.col("id").alias("nid"), F.col("version").alias("nversion"), F.col("fingerprint").alias("next_fingerprint"))
+    out = prints.join(nexts, ["nid", "nversion"])
     counts = prints.groupBy("fingerprint").agg(F.count("*").alias("documents"))
-    is_query = F.col("doc_id") % query_step == 0
+    is_query = (F.col("id") % query_step == 0) & (F.col("id") != NO_ID)
     pairs = within_radius(prints.where(is_query).select("fingerprint").distinct(), counts.select("fingerprint"), radius)
     near = pairs.join(counts.withColumnRenamed("fingerprint", "found"), "found").groupBy("query").agg(F.sum("documents").alias("n_within"))
-    asked = prints.where(is_query).select("doc_id", "version", F.col("fingerprint").alias("query")).join(near, "query", "left")
-    asked = asked.select(F.col("doc_id").alias("qid"), F.col("version").alias("qversion"), "n_within")
-    out = out.join(asked, F.expr("doc_id <=> qid AND version = qversion"), "left")
+    asked = prints.where(is_query).select("id", "version", F.col("fingerprint").alias("query")).join(near, "query", "left")
+    out = out.join(asked.select("id", "version", "n_within"), ["id", "version"], "left")
     return out.select(
-        "doc_id",
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         "fingerprint",
