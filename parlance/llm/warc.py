@@ -66,11 +66,12 @@ def write_archives(
     """
     revisits = plan_revisits(pages, least_bytes, id_col, body_col)
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(body_col).alias("body"))
-    base = base.withColumn("digest", F.sha2("body", 256))
-    right = revisits.select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), F.col("refers_to").alias("rto"))
-    base = base.join(right, F.expr("page_id <=> rid AND digest = rdigest"), "left")
-    # equal rows get ids of their own; the window streams over the join's partitioning
-    base = base.withColumn("again", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy(F.lit(1))))
+    # a plain key for null ids, so that the join and the window share one shuffle of the bodies
+    key = F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("key")
+    base = base.withColumn("digest", F.sha2("body", 256)).select("*", key)
+    base = base.join(revisits.select(key, "digest", F.col("refers_to").alias("rto")), ["key", "digest"], "left")
+    # equal rows get ids of their own
+    base = base.withColumn("again", F.row_number().over(Window.partitionBy("key", "digest").orderBy(F.lit(1))))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     me = _urn(F.lit("capture"), F.col("page_id"), F.col("digest"), F.col("again"))
     target, is_revisit = ("WARC-Target-URI", uri), F.col("rto").isNotNull()
