@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from . import spans as sp
 
 SUBJECT, PARTNER, UNKNOWN = "subject", "partner", "unknown"
-_BY_SESSION = Window.partitionBy("session_id")
 
 
 def with_roles(spans: DataFrame, roles: DataFrame) -> DataFrame:
@@ -25,7 +24,7 @@ def build_turns(spans: DataFrame, gap: float, eps: float = 0, width: float | Non
     consecutive ones of a role collapse into one turn that reaches to the latest end.
     """
     m = sp.merge(spans, ["session_id", "role"], gap, eps, width)
-    w = _BY_SESSION.orderBy("start", "end", "role")
+    w = Window.partitionBy("session_id").orderBy("start", "end", "role")
     m = m.withColumn("__new", F.when(F.lag("role").over(w) == F.col("role"), 0).otherwise(1))
     m = m.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     t = m.groupBy("session_id", "__run").agg(F.first("role").alias("role"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_spans").alias("n_spans"))
@@ -34,7 +33,7 @@ def build_turns(spans: DataFrame, gap: float, eps: float = 0, width: float | Non
 
 def with_latency(turns: DataFrame) -> DataFrame:
     """Add ``latency``: from the end of a partner's turn to the start of the subject's next; negative if early."""
-    w = _BY_SESSION.orderBy("turn_index")
+    w = Window.partitionBy("session_id").orderBy("turn_index")
     answer = (F.col("role") == SUBJECT) & (F.lag("role").over(w) == PARTNER)
     return turns.withColumn("latency", F.when(answer, F.col("start") - F.lag("end").over(w)))
 
