@@ -109,7 +109,9 @@ def scan_versions(
     or empty text has no span; repeated rows each keep a row; a null id is kept; no rows give no rows.
     """
     paths = docs.select(F.col(id_col).alias("id"), blob_id(text_col).alias("blob"))
-    blobs = docs.select(blob_id(text_col).alias("blob"), text_or_empty(text_col).alias("text")).where("text <> ''").distinct()
+    # an aggregated text keeps the scan behind the removal of copies
+    blobs = docs.select(blob_id(text_col).alias("blob"), text_or_empty(text_col).alias("text")).where("text <> ''")
+    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     found, scanned = scan_blobs(blobs, rules, ledger)
     if known is not None:
         both = known.select("blob", "spans").unionByName(found).groupBy("blob")
