@@ -129,10 +129,10 @@ _NAMES_ = list(_TERMS)
     + ", g AS (SELECT fold, "
     + ", ".join(f'sum({_TERMS[a]} * {_TERMS[b]}) AS "{a}|{b}"' for i, a in enumerate(_NAMES_) for b in _NAMES_[i:])
     + """ FROM rows WHERE y IS NOT NULL GROUP BY 1), u AS (UNPIVOT g ON * EXCLUDE (fold) INTO NAME cell VALUE s)
-SELECT fold, string_split(cell, '|')[1] AS i, string_split(cell, '|')[2] AS j, round(s, 4) AS s FROM u""",
+SELECT fold, string_split(cell, '|')[1] AS i, string_split(cell, '|')[2] AS j, round(s, 7) AS s FROM u""",
 )
 def gram(spark, sf):
-    return rounded(ev.gram(_folded(spark, sf)[0], COLUMNS, "y"), places=4)
+    return rounded(ev.gram(_folded(spark, sf)[0], COLUMNS, "y"), places=7)
 
 
 def _fitted(spark, sf):
