@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ BEGINS, ENDS, BUCKETS = (3, 4, 5, 6, 7, 8), (3, 4, 5), 1 << 16
 KINDS = 1 + len(BEGINS) + len(ENDS)
 HIDDEN, RANDOM = 8, 4
 #: Labelled documents that the network is fitted on at most, a third of them toxic.
-MOST_DOCS = 12_000
+MOST_DOCS = 4_000
 _CHUNK = 2048
 
 
@@ -198,18 +199,17 @@ class Network:
 
 
 class ToxicityModel:
-    """Evidence tables, a network over windows, and a calibration of the highest window of a document."""
+    """Evidence tables, a network over windows, and a calibration of a document's windows."""
 
     def __init__(self, tables: np.ndarray, network: Network, calibration: np.ndarray) -> None:
         self.tables, self.network, self.calibration = tables, network, calibration
 
-    def window_logits(self, w: Words, tables: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def window_logits(self, first: np.ndarray, buckets: np.ndarray, back: np.ndarray, tables: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(text, logit) of all overlapping windows; distinct words are put through the input layer once."""
-        row, start, size = windows_of(w.first)
+        row, start, size = windows_of(first)
         out = np.zeros(len(row), np.float32)
         if not len(row):
             return row, out
-        buckets, back = unique_words(w)
         gates = word_inputs(buckets, self.tables if tables is None else tables) @ self.network.p["W"] + self.network.p["b"]
         order = np.argsort(size, kind="stable")
         for i in range(0, len(row), _CHUNK):
@@ -222,29 +222,52 @@ class ToxicityModel:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         w = Words(data, offsets, plain=True)
-        row, logit = self.window_logits(w)
+        row, logit = self.window_logits(w.first, *unique_words(w))
         return self.from_windows(row, logit, len(offsets) - 1)
 
     def from_windows(self, row: np.ndarray, logit: np.ndarray, n: int) -> np.ndarray:
-        top = np.full(n, -20.0)
-        np.maximum.at(top, row, logit)
-        count = np.bincount(row, minlength=n)
-        return _sigmoid(self.calibration @ np.stack([np.ones(n), np.clip(top, -20, 20), np.log1p(count)]))
-
-
-def _calibrate(top: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Logistic regression on the highest logit and the number of windows, by Newton's method with a small ridge."""
-    x = np.stack([np.ones(len(y)), np.clip(top, -20, 20), np.log1p(count)], axis=1)
-    b = np.array([0.0, 1.0, 0.0])
-    prior, ridge = b.copy(), np.diag([1e-3, 1.0, 1.0])
-    for _ in range(30):
+        return _sigmoid(window_summary(row, logit, n) @ self.calibration)
+
+
+def window_summary(row: np.ndarray, logit: np.ndarray, n: int) -> np.ndarray:
+    """A row for each text: 1, its highest logit, how many windows are expected to be toxic, and how many it has."""
+    top = np.full(n, -20.0)
+    np.maximum.at(top, row, logit)
+    expected = np.bincount(row, _sigmoid(logit.astype(float)), minlength=n)
+    return np.stack([np.ones(n), np.clip(top, -20, 20), np.log1p(expected), np.log1p(np.bincount(row, minlength=n))], axis=1)
+
+
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression on window summaries, by Newton's method with a small ridge."""
+    b = np.array([0.0, 1.0, 0.0, 0.0])
+    prior, ridge = b.copy(), np.diag([1e-3, 1.0, 0.1, 1.0])
+
+    def loss(c: np.ndarray) -> float:
+        z = x @ c
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (c - prior) @ ridge @ (c - prior))
+
+    for _ in range(50):
         p = _sigmoid(x @ b)
         g = x.T @ (weight * (y - p)) - ridge @ (b - prior)
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge
-        b = b + np.clip(np.linalg.solve(h, g), -2, 2)
+        step, length = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, g), 1.0
+        while length > 1e-6 and loss(b + length * step) > loss(b):
+            length /= 2
+        b = b + length * step
+        if np.abs(length * step).max() < 1e-9:
+            break
     return b
 
 
+class _Part(NamedTuple):
+    """What is kept of a run of texts while fitting: its place, texts, first words, and distinct words."""
+
+    at: int
+    n: int
+    first: np.ndarray
+    buckets: np.ndarray
+    back: np.ndarray
+
+
 def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     """Fit on whole labelled documents. ``weight``: documents that each stands for.
 
@@ -252,48 +275,53 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     evidence of, as it will later. A toxic document teaches its two windows of most evidence, since the label
     does not say which are meant; another teaches the one of most evidence and one in the middle.
     """
-    words: list[tuple[int, Words]] = [(i, Words(data, offsets, plain=True)) for i, _, data, offsets in slices(texts)]
     per_doc: list[np.ndarray] = []
-    parts = []
-    for i, w in words:
+    parts: list[_Part] = []
+    for i, _, data, offsets in slices(texts):
+        w = Words(data, offsets, plain=True)
         buckets, back = unique_words(w)
-        parts.append((i, w, buckets, back))
-        per_doc += [buckets[np.unique(back[w.first[r] : w.first[r + 1]])] for r in range(w.n)]
+        p = _Part(i, w.n, w.first, buckets.astype(np.uint16), back.astype(np.int32))
+        parts.append(p)
+        per_doc += [p.buckets[np.unique(p.back[w.first[r] : w.first[r + 1]])] for r in range(w.n)]
+        del w, buckets, back
     # halves by content, so that equal texts stand in the same one
-    half = np.array([int(mix(np.asarray([b[:, 0].sum() if len(b) else 0], np.uint64))[0] & np.uint64(1)) for b in per_doc])
+    half = np.array([int(mix(np.asarray([b[:, 0].astype(np.uint64).sum() if len(b) else 0], np.uint64))[0] & np.uint64(1)) for b in per_doc])
     tables = [evidence([b for b, s in zip(per_doc, half) if s != k], y[half != k]) for k in (0, 1)]
+    everything = evidence(per_doc, y)
+    del per_doc
     xs, masks, ys = [], [], []
-    for i, w, buckets, back in parts:
-        row, start, size = windows_of(w.first)
+    for p in parts:
+        row, start, size = windows_of(p.first)
+        edge = np.searchsorted(row, np.arange(p.n + 1))
         for k in (0, 1):
-            inputs = word_inputs(buckets, tables[k])
-            worth = inputs[:, :KINDS].sum(axis=1)[back]
-            for r in np.flatnonzero(half[i : i + w.n] == k):
-                own = np.flatnonzero(row == r) if len(row) < 2000 else np.arange(np.searchsorted(row, r), np.searchsorted(row, r + 1))
+            inputs = word_inputs(p.buckets, tables[k])
+            worth = inputs[:, :KINDS].sum(axis=1)[p.back]
+            for r in np.flatnonzero(half[p.at : p.at + p.n] == k):
+                own = np.arange(edge[r], edge[r + 1])
                 if not len(own):
                     continue
                 top = np.array([worth[start[o] : start[o] + size[o]].max() for o in own])
                 order = own[np.argsort(-top, kind="stable")]
-                for o in dict.fromkeys([order[0], order[min(1, len(order) - 1)] if y[i + r] else order[len(order) // 2]]):
+                for o in dict.fromkeys([order[0], order[min(1, len(order) - 1)] if y[p.at + r] else order[len(order) // 2]]):
                     x = np.zeros((WIDTH, inputs.shape[1]), np.float32)
-                    x[: size[o]] = inputs[back[start[o] : start[o] + size[o]]]
+                    x[: size[o]] = inputs[p.back[start[o] : start[o] + size[o]]]
                     xs.append(x)
                     masks.append(np.arange(WIDTH) < size[o])
-                    ys.append(y[i + r])
+                    ys.append(y[p.at + r])
     network = Network(KINDS + RANDOM)
     target = np.asarray(ys, np.float32)
     share = float(np.clip(target.mean(), 0.01, 0.99)) if len(ys) else 0.5
     if len(ys):
         network.fit(np.stack(xs), np.stack(masks).astype(np.float32), target, np.where(target > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32))
-    model = ToxicityModel(evidence(per_doc, y), network, np.array([0.0, 1.0, 0.0]))
-    top, count = np.full(len(y), -20.0), np.zeros(len(y))
-    for i, w, _, _ in parts:
+    del xs, masks
+    model = ToxicityModel(everything, network, np.array([0.0, 1.0, 0.0, 0.0]))
+    summary = np.zeros((len(y), 4))
+    for p in parts:
         for k in (0, 1):
-            row, logit = model.window_logits(w, tables[k])
-            own = half[i + row] == k
-            np.maximum.at(top, i + row[own], logit[own])
-            count[i : i + w.n] = np.bincount(row, minlength=w.n)
-    model.calibration = _calibrate(top, count, y, weight)
+            row, logit = model.window_logits(p.first, p.buckets, p.back, tables[k])
+            own = half[p.at : p.at + p.n] == k
+            summary[p.at : p.at + p.n][own] = window_summary(row, logit, p.n)[own]
+    model.calibration = _calibrate(summary, y, weight)
     return model
 
 
@@ -310,8 +338,8 @@ def _scorer(model: ToxicityModel | None, default: float):
 def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "pmod(crc32(cast(id as string)), 3) <> 1", most_docs: int = MOST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row of ``docs``: the chance that its label (``labels``: id, label 0 or 1) is 1.
 
-    Every whole text is scored, over all its overlapping windows; the highest window counts, calibrated with
-    their number. The network is fitted, on the driver, on at most ``most_docs`` labelled documents that fulfil
+    Every whole text is scored, over all its overlapping windows; the highest window, the number expected to
+    be toxic and the number of all are calibrated together. The network is fitted, on the driver, on at most ``most_docs`` labelled documents that fulfil
     ``train`` (a third toxic at most, in order of a hash of the id), weighted by what they stand for. Null
     and empty texts have no window and the score of that; without labels of both kinds the score is the share of
     label 1 among those given (0 without any). Rows that repeat keep a row each; an id with several labels
