@@ -182,6 +182,32 @@ def channel_stats(samples: DataFrame, keys: Sequence[str], floor: float) -> Data
     return c.withColumn("level_difference_db", F.when(both, 20 * F.log10(F.col("rms_left") / F.col("rms_right"))))
 
 
+def down_mix(samples: DataFrame) -> DataFrame:
+    """Add ``mono``: the mean of both sides; a single side passes through."""
+    return samples.withColumn("mono", F.coalesce((F.col("left") + F.col("right")) / 2, F.col("left"), F.col("right")))
+
+
+def audio_qc(decoded: DataFrame, expected: DataFrame, most_shortfall: float = 0.02, quiet: float = 0.01) -> DataFrame:
+    """Per session: decoded and expected duration, the share that is missing, level, and flags.
+
+    ``decoded``: (session_id, duration, rms, peak); sessions that were never decoded keep a row.
+    """
+    e = expected.select("session_id", F.col("duration").alias("expected"))
+    d = e.join(decoded.select("session_id", F.col("duration").alias("decoded"), "rms", "peak"), "session_id", "left")
+    short = F.when((F.col("expected") > 0) & F.col("decoded").isNotNull(), F.greatest((F.col("expected") - F.col("decoded")) / F.col("expected"), F.lit(0.0)))
+    d = d.withColumn("shortfall", short)
+    tests = [(F.col("decoded").isNull(), "not_decoded"), (F.col("shortfall") > most_shortfall, "short_audio"), (F.col("rms") < quiet, "quiet"), (F.col("peak") >= 1, "clipped")]
+    return d.withColumn("flags", flags(tests))
+
+
+def tallies(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows per value of a column, with the share among rows that have one."""
+    n = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    total = n.groupBy(*keys).agg(F.sum("n").alias("__total"))
+    both = n.join(total, list(keys)) if keys else n.crossJoin(F.broadcast(total))  # one row
+    return both.select(*keys, "value", "n", (F.col("n") / F.col("__total")).alias("share"))
+
+
 def channel_flags(same: float, quiet: float, uneven_db: float) -> Column:
     """Flags of a channel_stats row, in order."""
     tests = [

@@ -356,3 +356,29 @@ UNION ALL SELECT 'o_custkey', count(o_custkey), min(o_custkey)::DOUBLE, median(o
 )
 def stage_summary(spark, sf):
     return st.stage_summary(ad.table(spark, sf, "orders"), ["o_totalprice", "o_custkey"])
+
+
+@query("down_mix", "WITH " + ad.CHANNELS_SQL + """ SELECT session_id, count(*) AS n, round(sqrt(avg(("left" + "right") * ("left" + "right") / 4)), 8) AS rms, round(max(("left" + "right") / 2), 8) AS peak FROM channels GROUP BY 1""")
+def down_mix(spark, sf):
+    m = st.down_mix(ad.channels(spark, sf))
+    return rounded(m.groupBy("session_id").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("mono") * F.col("mono"))).alias("rms"), F.max("mono").alias("peak")), places=8)
+
+
+@query(
+    "audio_qc",
+    """WITH e AS (SELECT o_orderkey AS session_id, o_totalprice AS expected FROM orders), d AS (SELECT l_orderkey AS session_id, sum(l_extendedprice) AS decoded, sqrt(avg(l_tax * l_tax)) AS rms, max(l_quantity / 49.5) AS peak FROM lineitem GROUP BY 1),
+j AS (SELECT *, greatest((expected - decoded) / expected, 0) AS shortfall FROM e LEFT JOIN d USING (session_id))
+SELECT session_id, expected, round(decoded, 4) AS decoded, round(rms, 8) AS rms, round(peak, 8) AS peak, CASE WHEN decoded IS NOT NULL THEN round(shortfall, 8) END AS shortfall,
+concat_ws(';', CASE WHEN decoded IS NULL THEN 'not_decoded' END, CASE WHEN decoded IS NOT NULL AND shortfall > 0.02 THEN 'short_audio' END, CASE WHEN rms < 0.01 THEN 'quiet' END, CASE WHEN peak >= 1 THEN 'clipped' END) AS flags FROM j""",
+)
+def audio_qc(spark, sf):
+    li = ad.table(spark, sf, "lineitem")
+    d = li.groupBy(F.col("l_orderkey").alias("session_id")).agg(F.sum("l_extendedprice").alias("duration"), F.sqrt(F.avg(F.col("l_tax") * F.col("l_tax"))).alias("rms"), F.max(F.col("l_quantity") / 49.5).alias("peak"))
+    e = ad.table(spark, sf, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_totalprice").alias("duration"))
+    out = st.audio_qc(d, e)
+    return rounded(out, "expected", "decoded", places=8).withColumn("decoded", F.round("decoded", 4))
+
+
+@query("tallies", "WITH t AS (SELECT c_nationkey, c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1, 2) SELECT c_nationkey, value, n, round(n / sum(n) OVER (PARTITION BY c_nationkey), 8) AS share FROM t")
+def tallies(spark, sf):
+    return rounded(st.tallies(ad.table(spark, sf, "customer"), "c_mktsegment", ["c_nationkey"]), places=8)
