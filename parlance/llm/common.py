@@ -63,30 +63,38 @@ def is_empty(df: DataFrame) -> bool:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Component of each vertex of ``edges``: rows (node, component), component = smallest node.
 
-    Rounds of contraction: every vertex moves to the neighbour with the smallest random rank, so the
-    number of vertices falls by a constant factor in each round whatever the shape of the graph. Each
-    round is two aggregations with map-side combine and two joins; nothing is collected.
+    Rounds of contraction: every vertex moves to the vertex of least random rank within two steps, so a hub and
+    all its leaves become one vertex in one round, and long paths shrink by a constant factor. Each round is a
+    few aggregations with map-side combine and joins on vertices; nothing is collected.
     """
     cur = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     cur = materialise(cur.distinct(), "edges")
-    nodes = cur.select(F.col("u").alias("node")).union(cur.select(F.col("v").alias("node"))).distinct()
-    placed, turn = nodes.withColumn("at", F.col("node")), 0
+    placed, turn = None, 0
     while not is_empty(cur):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))  # noqa: B023, E731
-        step = both.groupBy("u").agg(F.min(rank("v")).alias("least"), F.min_by("v", rank("v")).alias("to"))
-        step = step.select("u", F.when(F.col("least") < rank("u"), F.col("to")).otherwise(F.col("u")).alias("to"))
+        near = both.groupBy("u").agg(F.min_by("v", rank("v")).alias("best"))
+        near = near.select("u", F.when(rank("best") < rank("u"), F.col("best")).otherwise(F.col("u")).alias("best"))
+        near = materialise(near, "near")
+        hop = both.join(near.select(F.col("u").alias("v"), F.col("best").alias("far")), "v")
+        step = hop.groupBy("u").agg(F.min_by("far", rank("far")).alias("far")).join(near, "u")
+        step = step.select("u", F.when(rank("far") < rank("best"), F.col("far")).otherwise(F.col("best")).alias("to"))
         step = materialise(step, "step")
-        placed = placed.join(step.withColumnRenamed("u", "at"), "at", "left")
-        placed = placed.select("node", F.coalesce("to", "at").alias("at"))
+        if placed is None:
+            placed = step.select(F.col("u").alias("node"), F.col("to").alias("at"))
+        else:
+            placed = placed.join(step.withColumnRenamed("u", "at"), "at", "left")
+            placed = placed.select("node", F.coalesce("to", "at").alias("at"))
         left = cur.join(step.select("u", F.col("to").alias("cu")), "u").select("cu", "v")
         both_ends = left.join(step.select(F.col("u").alias("v"), F.col("to").alias("cv")), "v")
         cur = both_ends.where("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v"))
         cur = materialise(cur.distinct(), "edges")
         turn += 1
+    if placed is None:
+        return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     placed = materialise(placed, "placed")
     first = placed.groupBy("at").agg(F.min("node").alias("component"))
-    return placed.join(first, "at").select("node", "component")
+    return materialise(placed.join(first, "at").select("node", "component"), "components")
 
 
 # ---------------------------------------------------------------- vectorised words

@@ -15,6 +15,8 @@ from .common import Words, connected_components, is_empty, materialise, mix, sli
 FREQUENT, FREQUENT_FROM, FILTER_BITS = 1 << 17, 4, 1 << 24
 #: Shingles a task holds while it counts, and members that meet one pivot in a group.
 _BUFFER, MEMBERS = 1 << 21, 64
+#: Bits of a set's parity sketch.
+SKETCH = 1024
 
 
 # ---------------------------------------------------------------- shingle sets
@@ -68,6 +70,21 @@ def frequent_shingles(docs: DataFrame, k: int, text_col: str) -> tuple[np.ndarra
     return h[order], np.asarray(got.column("n")).astype(np.int64)[order]
 
 
+def parity_sketches(rows: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """SKETCH bits for each set, each the parity of the number of its shingles that fall on it.
+
+    Sets that differ in d shingles differ in at most d bits, so the sketches tell pairs apart that cannot link
+    and never a pair that does.
+    """
+    out = np.zeros((n, SKETCH // 64), np.int64)
+    for a in range(0, n, 1024):
+        some = (rows >= a) & (rows < a + 1024)
+        cells = (rows[some] - a) * SKETCH + (h[some] % np.uint64(SKETCH)).astype(np.int64)
+        odd = (np.bincount(cells, minlength=min(1024, n - a) * SKETCH) & 1).astype(np.uint8)
+        out[a : a + 1024] = np.packbits(odd.reshape(-1, SKETCH), axis=1).view(np.int64)
+    return out
+
+
 def _profiles(k: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> Callable:
     """Size and digests of each set, and its short lists: the rarest shingles, one of which any partner shares."""
 
@@ -91,8 +108,10 @@ def _profiles(k: int, percent: int, frequent: np.ndarray, counts: np.ndarray) ->
                 place = np.arange(len(h)) - np.repeat(first[:-1], n)
                 kept = h[order][place < np.repeat(short, n)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(short)].astype(np.int32)), pa.array(kept))
-                out = [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *[pa.array(d) for d in digests], lists]
-                yield pa.RecordBatch.from_arrays(out, names=["id", "n", "d1", "d2", "short"])
+                longs = SKETCH // 64
+                sketch = pa.ListArray.from_arrays(pa.array((np.arange(j - i + 1) * longs).astype(np.int32)), pa.array(parity_sketches(rows, h, j - i).ravel()))
+                out = [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *[pa.array(d) for d in digests], lists, sketch]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "n", "d1", "d2", "short", "sketch"])
 
     return run
 
@@ -169,7 +188,13 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 
 def _candidates(lists: DataFrame, place: DataFrame | None, turn: int, percent: int, all_pairs: bool) -> DataFrame:
-    """Pairs in a short list that are not known to be connected; with one pivot of each list, or all of them."""
+    """(a, b, both, pivot): pairs, with the sizes of both sets added up,
+    that share a short list and are not known to be connected.
+
+    With one pivot of each list that holds several components, or with all pairs of different components, for
+    which the places of the common shingle must leave room for the overlap: nothing before the first common
+    shingle can be common.
+    """
     if place is not None:
         lists = lists.join(place.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     else:
@@ -180,15 +205,26 @@ def _candidates(lists: DataFrame, place: DataFrame | None, turn: int, percent: i
     fits = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
     if all_pairs:
         left = lists.join(open_.select("h"), "h")
-        right = left.select("h", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        got = left.join(right, "h").where(f"rep < pivot AND component <> pc AND {fits}").select("pivot", "rep")
+        right = left.select("h", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("pos").alias("ppos"))
+        room = f"{percent} * (n + pn) <= {100 + percent} * least(n - pos, pn - ppos)"
+        got = left.join(right, "h").where(f"rep < pivot AND component <> pc AND {fits} AND {room}")
     else:
         got = lists.join(open_, "h").select("rep", "n", "component", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pn"), F.col("pivot.component").alias("pc"))
-        got = got.where(f"component <> pc AND {fits}").select("pivot", "rep")
-    return got.select(F.greatest("pivot", "rep").alias("b"), F.least("pivot", "rep").alias("a"), F.col("pivot")).distinct()
+        got = got.where(f"component <> pc AND {fits}")
+    pair = got.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"), (F.col("n") + F.col("pn")).alias("both"), "pivot")
+    return pair.groupBy("a", "b").agg(F.min("both").alias("both"), F.min("pivot").alias("pivot"))
+
+
+def _may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not differ in more bits than the sets of a link may differ in shingles."""
+    sides = [sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab"]
+    p = pairs.join(sides[0], "a").join(sides[1], "b")
+    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
+    near = (100 + percent) * differ <= (100 - percent) * F.col("both")
+    return p.where(F.coalesce(near, F.lit(True))).select("a", "b", "pivot")
 
 
-def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) for every row: documents link when the Jaccard similarity of their sets of
     distinct k-word shingles is at least ``percent`` / 100; component is the smallest id reachable by links.
 
@@ -197,7 +233,9 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 3, i
     meet in one shuffle; the long lists are only probed, by binary search in the pivot's sorted set, for the
     candidates found. In each list one pivot is compared with all others, so candidates grow with the entries,
     not with their square; lists that still hold several components get other pivots, and after ``turns``
-    rounds, all of their pairs from different components. So no link that would join two components is lost.
+    rounds, the pairs from different components that the places of their common shingle allow. Before texts
+    are fetched, parity sketches drop pairs that differ in too many shingles. No filter can drop a link, so no
+    link that would join two components is lost.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; shorter documents have their whole
     sequence as one shingle. Null and empty texts have no shingle and are alone. Rows that share an id are one
@@ -207,37 +245,48 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 3, i
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.col(text_col).alias("text"))
     frequent, counts = frequent_shingles(texts, k, "text")
-    profiles = texts.mapInArrow(_profiles(k, percent, frequent, counts), "id long, n long, d1 long, d2 long, short array<long>")
+    profiles = texts.mapInArrow(_profiles(k, percent, frequent, counts), "id long, n long, d1 long, d2 long, short array<long>, sketch array<long>")
     profiles = materialise(profiles, "profiles")
     sets = ["n", "d1", "d2"]
     classes = materialise(profiles.groupBy(*sets).agg(F.min("id").alias("rep")), "classes")
-    member = profiles.join(classes, sets)
-    lists = member.where("id = rep AND n > 0").select("rep", "n", F.explode("short").alias("h")).distinct()
-    lists = lists.join(lists.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "h")
+    # one row of each class has its lists and its sketch
+    reps = profiles.where("n > 0").join(classes.select(*sets, F.col("rep").alias("id")), [*sets, "id"], "left_semi")
+    lists = reps.select(F.col("id").alias("rep"), "n", F.posexplode("short").alias("pos", "h"))
+    shared = lists.groupBy("h").agg(F.count("*").alias("c"), F.min("n").alias("smallest")).where("c > 1")
+    lists = lists.join(shared, "h").where(f"{percent} * (n + smallest) <= {100 + percent} * (n - pos)").select("h", "pos", "rep", "n")
     lists = materialise(lists, "lists")
-    # rows of one id with different sets, and sets of one representative, are the same node
-    edges = profiles.join(classes, sets).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    # sketches of those documents only that share a list with another; none where an id has different sets
+    sketches = profiles.join(lists.select(F.col("rep").alias("id")).distinct(), "id").groupBy(F.col("id").alias("rep")).agg(F.min("sketch").alias("lo"), F.max("sketch").alias("hi"))
+    sketches = materialise(sketches.select("rep", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("sketch")), "sketches")
+    # rows of one id with different sets are the same node
     twice = profiles.select("id", *sets).distinct().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    edges = edges.join(twice.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b").distinct()
+    twice = materialise(twice, "twice")
     place, tried = None, None
+    if not is_empty(twice):
+        same = profiles.join(twice, "id", "left_semi").join(classes, sets).where("id <> rep")
+        place = connected_components(same.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     for turn in range(turns + 1):
         pairs = _candidates(lists, place, turn, percent, all_pairs=turn == turns)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
-        pairs = materialise(pairs, "candidates")
+        pairs = materialise(_may_link(pairs, sketches, percent), "candidates")
         if is_empty(pairs):
-            break
+            continue
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         asked = pairs.select(F.col("pivot").alias("a"), F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
         links = materialise(verify(asked, texts, k, percent), "links")
-        edges = edges.unionByName(links)
-        place = connected_components(edges)
-    if place is None:
-        place = connected_components(edges)
-    out = profiles.select("id", *sets).join(classes, sets).join(place.withColumnRenamed("node", "rep"), "rep", "left")
+        if not is_empty(links):
+            # what is known goes on as one edge for each node
+            known = [] if place is None else [place.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+            place = connected_components(links.unionByName(known[0]) if known else links)
+    out = profiles.select("id", *sets).join(classes, sets)
+    if place is not None:
+        out = out.join(place.withColumnRenamed("node", "rep"), "rep", "left")
+    else:
+        out = out.withColumn("component", F.col("rep"))
     back = lambda c: F.when(c != least, c)
-    return out.select(back(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), back(F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))).alias("component"))
+    component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
+    return out.select(back(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), back(component).alias("component"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
