@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -325,11 +326,31 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     return model
 
 
-def _scorer(model: ToxicityModel | None, default: float):
+def _fitter(total: dict[int, int]):
+    """Fits in one task on the bounded sample, in order of id, and gives the pickled model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        t = pa.Table.from_batches(got).sort_by("id")
+        del got
+        y = np.asarray(t.column("label")).astype(np.int64)
+        if len(set(y.tolist())) == 2:
+            weight = np.where(y == 1, total[1] / (y == 1).sum(), total[0] / (y == 0).sum())
+            model = fit(t.column("text").combine_chunks(), y, weight * len(y) / weight.sum())
+        else:
+            model = float(y.mean())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
+
+
+def _scorer(model: ToxicityModel | float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(1), most_bytes=2 << 20):
-                score = model.scores(data, offsets) if model is not None else np.full(j - i, default)
+                score = model.scores(data, offsets) if isinstance(model, ToxicityModel) else np.full(j - i, model)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score)], names=["id", "score"])
 
     return run
@@ -339,11 +360,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "pmod(crc32(
     """(id, score) of every row of ``docs``: the chance that its label (``labels``: id, label 0 or 1) is 1.
 
     Every whole text is scored, over all its overlapping windows; the highest window, the number expected to
-    be toxic and the number of all are calibrated together. The network is fitted, on the driver, on at most ``most_docs`` labelled documents that fulfil
-    ``train`` (a third toxic at most, in order of a hash of the id), weighted by what they stand for. Null
-    and empty texts have no window and the score of that; without labels of both kinds the score is the share of
-    label 1 among those given (0 without any). Rows that repeat keep a row each; an id with several labels
-    counts with the largest.
+    be toxic and the number of all are calibrated together. The network is fitted, in one task, on at most
+    ``most_docs`` labelled documents that fulfil ``train`` (a third toxic at most, in order of a hash of the id),
+    weighted by what they stand for. Null and empty texts have no window and the score of that; without labels of
+    both kinds the score is the share of label 1 among those given (0 without any). Rows that repeat keep a row
+    each; an id with several labels counts with the largest, one with several texts teaches the smallest.
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -352,14 +373,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "pmod(crc32(
     quota = {1: most_docs // 3, 0: most_docs - most_docs // 3}
     kinds = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(q) for k, q in quota.items()]
     sample = kinds[0].unionByName(kinds[1])
-    got = source.join(F.broadcast(sample), "id").dropDuplicates(["id"]).limit(most_docs).toArrow().sort_by("id")  # most_docs rows at most
     total = {int(r["label"]): r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    y = np.asarray(got.column("label")).astype(np.int64)
-    model, default = None, float(y.mean()) if len(y) else 0.0
-    if len(set(y.tolist())) == 2:
-        weight = np.where(y == 1, total[1] / (y == 1).sum(), total[0] / (y == 0).sum())
-        model = fit(got.column("text").combine_chunks(), y, weight * len(y) / weight.sum())
-    return source.mapInArrow(_scorer(model, default), f"id {id_type}, score double")
+    # most_docs rows at most on either side of the join and in the task that fits
+    chosen = source.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text")).repartition(1)
+    got = chosen.select("id", "text", "label").mapInArrow(_fitter(total), "model binary").collect()
+    model = pickle.loads(bytes(got[0]["model"])) if got else 0.0
+    return source.mapInArrow(_scorer(model), f"id {id_type}, score double")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
