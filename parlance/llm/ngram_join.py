@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -133,8 +134,10 @@ def _needed_only(bits: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = np.asarray(batch.column(2)).astype(np.int64)
-            some = (bits[bucket >> 6] >> (bucket & 63)) & 1
-            yield batch.select([0, 1]).filter(pa.array(some.astype(bool)))
+            some = batch.select([0, 1]).filter(pa.array(((bits[bucket >> 6] >> (bucket & 63)) & 1).astype(bool)))
+            # texts are shuffled twice from here, so they travel packed
+            packed = [zlib.compress((t.as_py() or "").encode(), 1) for t in some.column(1)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(packed, pa.binary())], names=["id", "packed"])
 
     return run
 
@@ -145,7 +148,7 @@ def _overlaps(k: int, percent: int) -> Callable:
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         pivot = np.asarray(group.column("is_pivot"))
-        text = group.column("text").combine_chunks()
+        text = pa.array([zlib.decompress(x.as_py()).decode() for x in group.column("packed")], pa.large_string())
         sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(text)
         for i, j, data, offsets in slices(text):
             rows, h = shingle_sets(data, offsets, k)
@@ -179,7 +182,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     roles = roles.unionByName(dealt.select("a", "part", F.col("a").alias("id"), F.lit(True).alias("is_pivot")).distinct())
     bits = _document_filter(roles.select("id"))
     bucket = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bucket")
-    some = texts.select("id", "text", bucket).mapInArrow(_needed_only(bits), "id long, text string")
+    some = texts.select("id", "text", bucket).mapInArrow(_needed_only(bits), "id long, packed binary")
     met = roles.join(some, "id")
     return met.groupBy("a", "part").applyInArrow(_overlaps(k, percent), "a long, b long").distinct()
 
