@@ -1,4 +1,4 @@
-"""Operator 5: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment."""
+"""Operator 5: benchmark decontamination by n-gram seeds and Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -37,53 +37,6 @@ class Items:
         order = np.argsort(h, kind="stable")
         self.h, self.item, self.place = h[order], rows[order], place[order]
 
-    def only(self, keep: np.ndarray) -> Items:
-        """The same items with some of the seeds."""
-        out = object.__new__(Items)
-        out.ids, out.codes, out.length = self.ids, self.codes, self.length
-        out.h, out.item, out.place = self.h[keep], self.item[keep], self.place[keep]
-        return out
-
-
-def _count_seeds(grams: np.ndarray) -> Callable:
-    """Documents that hold each seed, summed over a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = np.zeros(len(grams), np.int64)
-            for _, _, data, offsets in slices(batch.column(0)):
-                rows, h = Words(data, offsets, plain=True).shingles(SEED)
-                at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
-                hit = grams[at] == h
-                once = np.unique(rows[hit] * len(grams) + at[hit])
-                total += np.bincount(once % len(grams), minlength=len(grams))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "n"])
-
-    return run
-
-
-def rare_seeds(items: Items, docs: DataFrame, text_col: str) -> Items:
-    """Drop the seeds of an item that are much more frequent in the corpus than its rarer ones.
-
-    Rarity is relative to the item, so an item copied into any share of the corpus keeps its seeds.
-    """
-    grams, back = np.unique(items.h, return_inverse=True)
-    if not len(grams):
-        return items
-    counted = docs.select(text_col).mapInArrow(_count_seeds(grams), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()  # a row per seed of the block at most
-    df = np.zeros(len(grams), np.int64)
-    df[np.asarray(got.column("seed")).astype(np.int64)] = np.asarray(got.column("n")).astype(np.int64)
-    own = df[back]
-    order = np.lexsort((own, items.item))
-    first = np.searchsorted(items.item[order], np.arange(len(items.ids) + 1))
-    n = np.diff(first)
-    quartile = np.zeros(len(n), np.int64)
-    some = n > 0
-    quartile[some] = own[order][first[:-1][some] + n[some] // 4]
-    return items.only(own <= 4 * quartile[items.item] + 8)
-
 
 def smith_waterman(query: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local score, and the window's word at its end, of each row of codes against a row of words.
@@ -109,34 +62,43 @@ def smith_waterman(query: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, n
     return best, end
 
 
-def _windows(w: Words, items: Items) -> tuple[np.ndarray, ...]:
-    """(row, item, from word, to word, seeds) of the passages that seeds point to."""
+def _hits(w: Words, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, item, diagonal) of every place where a document and an item share a seed, for whole documents at a time."""
     rows, h = w.shingles(SEED)
-    empty = tuple(np.zeros(0, np.int64) for _ in range(5))
     if not len(items.h) or not len(h):
-        return empty
+        return
     counts = np.maximum(np.diff(w.first) - SEED + 1, 0)
     place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-    lo, hi = np.searchsorted(items.h, h, "left"), np.searchsorted(items.h, h, "right")
-    times = hi - lo
+    lo = np.searchsorted(items.h, h, "left")
+    times = np.searchsorted(items.h, h, "right") - lo
     hit = np.flatnonzero(times)
-    if not len(hit):
-        return empty
-    times = times[hit]
-    seed = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    row, item = np.repeat(rows[hit], times), items.item[seed]
-    diagonal = np.repeat(place[hit], times) - items.place[seed]
-    order = np.lexsort((diagonal, item, row))
-    row, item, diagonal = row[order], item[order], diagonal[order]
-    length = items.length[item]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(8, length[1:] // 2))
-    first = np.flatnonzero(new)
-    seeds = np.diff(np.append(first, len(row)))
-    row, item, low, high = row[first], item[first], diagonal[first], np.maximum.reduceat(diagonal, first)
-    margin = items.length[item] // 4 + 4
-    words = np.diff(w.first)[row]
-    return row, item, np.maximum(low - margin, 0), np.minimum(high + items.length[item] + margin, words), seeds
+    rows, place, lo, times = rows[hit], place[hit], lo[hit], times[hit]
+    total, at = np.cumsum(times), 0
+    while at < len(hit):
+        # as many documents as fit the hits held at once, one at least
+        stop = int(np.searchsorted(total, total[at] - times[at] + _AT_ONCE, "right"))
+        if stop < len(hit):
+            stop = int(np.searchsorted(rows, rows[max(stop - 1, at)], "right" if rows[at] == rows[max(stop - 1, at)] else "left"))
+        t = times[at:stop]
+        seed = np.repeat(lo[at:stop], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        yield np.repeat(rows[at:stop], t), items.item[seed], np.repeat(place[at:stop], t) - items.place[seed]
+        at = stop
+
+
+def _windows(w: Words, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, item, from word, to word, seeds) of the passages that seeds point to."""
+    for row, item, diagonal in _hits(w, items):
+        order = np.lexsort((diagonal, item, row))
+        row, item, diagonal = row[order], item[order], diagonal[order]
+        length = items.length[item]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(8, length[1:] // 2))
+        first = np.flatnonzero(new)
+        seeds = np.diff(np.append(first, len(row)))
+        row, item, low, high = row[first], item[first], diagonal[first], np.maximum.reduceat(diagonal, first)
+        margin = items.length[item] // 4 + 4
+        words = np.diff(w.first)[row]
+        yield row, item, np.maximum(low - margin, 0), np.minimum(high + items.length[item] + margin, words), seeds
 
 
 def _align(items: Items, least: float) -> Callable:
@@ -144,33 +106,31 @@ def _align(items: Items, least: float) -> Callable:
         for batch in batches:
             for i, _, data, offsets in slices(batch.column(1)):
                 w = Words(data, offsets, plain=True)
-                row, item, low, high, seeds = _windows(w, items)
-                if not len(row):
-                    continue
-                size = np.lexsort((items.length[item], high - low))
-                score, end = np.zeros(len(row)), np.zeros(len(row), np.int64)
-                at = 0
-                while at < len(size):
-                    # windows of like width, as many as fit the cells held at once
-                    count = max(1, min(len(size) - at, 4096))
-                    wide = int((high - low)[size[at + count - 1]])
-                    count = max(1, min(count, _AT_ONCE // max(wide, 1)))
-                    some = size[at : at + count]
-                    at += count
-                    wide, deep = int((high - low)[some].max()), int(items.length[item[some]].max())
-                    places = low[some][:, None] + np.arange(wide)
-                    inside = places < high[some][:, None]
-                    words = np.where(inside, w.code[np.minimum(w.first[row[some]][:, None] + places, len(w.code) - 1)], np.uint64(0))
-                    query = np.zeros((len(some), deep), np.uint64)
-                    for k, it in enumerate(item[some]):
-                        query[k, : items.length[it]] = items.codes[it]
-                    best, last = smith_waterman(query, words)
-                    score[some] = np.minimum(best / (MATCH * np.minimum(items.length[item[some]], LONG)), 1.0)
-                    end[some] = low[some] + last
-                ok = np.flatnonzero(score >= least)
-                ids = batch.column(0).take(pa.array(row[ok] + i))
-                out = [ids, pa.array(items.ids[item[ok]]), pa.array(score[ok]), pa.array(seeds[ok]), pa.array(end[ok])]
-                yield pa.RecordBatch.from_arrays(out, names=["id", "item_id", "score", "seeds", "last_word"])
+                for row, item, low, high, seeds in _windows(w, items):
+                    size = np.lexsort((items.length[item], high - low))
+                    score, end = np.zeros(len(row)), np.zeros(len(row), np.int64)
+                    at = 0
+                    while at < len(size):
+                        # windows of like width, as many as fit the cells held at once
+                        count = max(1, min(len(size) - at, 4096))
+                        wide = int((high - low)[size[at + count - 1]])
+                        count = max(1, min(count, _AT_ONCE // max(wide, 1)))
+                        some = size[at : at + count]
+                        at += count
+                        wide, deep = int((high - low)[some].max()), int(items.length[item[some]].max())
+                        places = low[some][:, None] + np.arange(wide)
+                        inside = places < high[some][:, None]
+                        words = np.where(inside, w.code[np.minimum(w.first[row[some]][:, None] + places, len(w.code) - 1)], np.uint64(0))
+                        query = np.zeros((len(some), deep), np.uint64)
+                        for k, it in enumerate(item[some]):
+                            query[k, : items.length[it]] = items.codes[it]
+                        best, last = smith_waterman(query, words)
+                        score[some] = np.minimum(best / (MATCH * np.minimum(items.length[item[some]], LONG)), 1.0)
+                        end[some] = low[some] + last
+                    ok = np.flatnonzero(score >= least)
+                    ids = batch.column(0).take(pa.array(row[ok] + i))
+                    out = [ids, pa.array(items.ids[item[ok]]), pa.array(score[ok]), pa.array(seeds[ok]), pa.array(end[ok])]
+                    yield pa.RecordBatch.from_arrays(out, names=["id", "item_id", "score", "seeds", "last_word"])
 
     return run
 
@@ -178,13 +138,13 @@ def _align(items: Items, least: float) -> Callable:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, score, seeds, last_word) of every document and benchmark item that align well.
 
-    Words are runs of letters and digits, ASCII letters in lower case. Each item's rarer SEED-word seeds point
-    to passages of the documents, around which the item is aligned (Smith-Waterman over words). The score is
-    the best local alignment as a share of a full one of the item, or of LONG words if the item is longer; pairs
-    of ``least`` or more are kept, each once with its best passage.
+    Words are runs of letters and digits, ASCII letters in lower case. All SEED-word seeds of an
+    item, however frequent, point to passages of the documents, around which the item is aligned (Smith-Waterman
+    over words). The score is the best local alignment as a share of a full one of the item, or of LONG words if
+    the item is longer; pairs of ``least`` or more are kept, each once with its best passage.
 
     The items are taken in blocks of BLOCK_WORDS words, so what the tasks hold is bounded, and the documents
-    are scanned twice for each block, without a shuffle of texts. Null and empty texts and items align with
+    are scanned once for each block, without a shuffle of texts. Null and empty texts and items align with
     nothing, items shorter than a seed have none; rows that share an id are one document (the best score counts);
     an empty table on either side gives no rows.
     """
@@ -199,8 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id_c
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").toArrow()
         block = Items([x if x is not None else -1 for x in part.column("item_id").to_pylist()], part.column("text").combine_chunks())
-        seeds = rare_seeds(block, source, "text")
-        got = source.mapInArrow(_align(seeds, least), f"id {id_type}, item_id long, score double, seeds long, last_word long")
+        got = source.mapInArrow(_align(block, least), f"id {id_type}, item_id long, score double, seeds long, last_word long")
         found = got if found is None else found.unionByName(got)
     best = F.max(F.struct("score", "seeds", "last_word")).alias("best")
     return found.groupBy("id", "item_id").agg(best).select("id", "item_id", "best.score", "best.seeds", "best.last_word")

@@ -109,6 +109,29 @@ def test_edited_passages_are_found(documents, spark, prose):
     assert kept == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_many_copies_of_one_edited_passage_are_found(documents, spark, prose):
+    w = prose(1000, 40).split()
+    for p in (7, 15, 23, 31):
+        w[p] = "other"
+    rows = [(i, prose(i, 20) + " " + " ".join(w) + " " + prose(5000 + i, 20)) for i in range(1000)]
+    rows += [(5000 + i, prose(1000, 40)) for i in range(3)] + [(6000 + i, prose(9000 + i, 80)) for i in range(20)]
+    bench = spark.createDataFrame([(1, prose(1000, 40)), (2, prose(1001, 40))], "item_id long, text string")
+    got = dc.contaminated(documents(rows), bench).collect()
+    assert {(r.id, r.item_id) for r in got} == {(i, 1) for i, _ in rows if i < 6000}
+
+
+def test_hits_are_the_same_however_many_are_held(prose, monkeypatch):
+    items = dc.Items([1, 2, 3], pa.array([prose(1, 40), prose(1, 40), prose(2, 40)]))
+    texts = pa.array([prose(9, 30) + prose(1, 40), "", prose(2, 40) * 3, prose(8, 30), prose(1, 40)])
+    got = []
+    for most in (1 << 21, 60, 1):
+        monkeypatch.setattr(dc, "_AT_ONCE", most)
+        for _, _, data, offsets in slices(texts):
+            parts = list(dc._hits(Words(data, offsets, plain=True), items))
+            got.append(np.concatenate([np.stack(p) for p in parts], axis=1).tolist())
+    assert got[0] == got[1] == got[2] and len(parts) == 3
+
+
 def test_blocks_of_items_give_the_same(documents, spark, prose, monkeypatch):
     items = spark.createDataFrame([(i, prose(1000 + i, 40)) for i in range(9)], "item_id long, text string")
     docs = documents([(i, prose(i, 30) + " " + prose(1000 + i, 40)) for i in range(9)] + [(3, prose(1003, 40)), (None, prose(1001, 40))])
