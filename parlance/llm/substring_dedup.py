@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from .common import _STEP, Words, materialise, mix, segment_sums, slices, small_batches, table
 
-#: Words after which a long sentence is cut, sentences in a span, and words that a span must have.
-CUT, RUN, LEAST_WORDS = 10, 3, 12
+#: Words after which a long sentence is cut, sentences in a span, and words that a span must have: any span counts.
+CUT, RUN, LEAST_WORDS = 10, 3, 0
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
@@ -26,7 +26,7 @@ class Sentences:
         w = Words(data, offsets)
         n = len(w.start)
         self.row = np.zeros(0, np.int64)
-        self.begin = self.code = self.words = np.zeros(0, np.int64)
+        self.begin = self.code = np.zeros(0, np.int64)
         if n:
             lines = np.cumsum(data == 10)
             last = np.ones(n, bool)
@@ -38,17 +38,15 @@ class Sentences:
             self.row = w.row[first]
             self.begin = w.start[first]
             self.code = mix(np.add.reduceat(w.code * _STEP[place % CUT], first))
-            self.words = np.diff(np.append(first, n))
         self.first = np.searchsorted(self.row, np.arange(len(offsets)))
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first sentence, hash as signed) of every span of RUN sentences of one text with LEAST_WORDS words."""
+        """(first sentence, hash as signed) of every span of RUN sentences of one text, however short."""
         m = len(self.row) - RUN + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         h = sum(self.code[i : m + i] * _STEP[20 + i] for i in range(RUN))
-        words = sum(self.words[i : m + i] for i in range(RUN))
-        ok = np.flatnonzero((self.row[:m] == self.row[RUN - 1 :]) & (words >= LEAST_WORDS))
+        ok = np.flatnonzero(self.row[:m] == self.row[RUN - 1 :])
         return ok, mix(h[ok]).view(np.int64)
 
 
@@ -114,10 +112,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Remove the sentences covered by any span of RUN sentences that occurs before, across the whole table.
 
     A sentence ends at a word that ends in . ! or ?, at a line feed or after CUT words, and is compared word by
-    word, ASCII letters in lower case, by 64-bit hashes; spans of fewer than LEAST_WORDS words are not looked
-    at. The first occurrence, by (id, sentence), stays; of the later ones all covered sentences go, with the
-    white space after them. Returns all columns of ``docs`` with the new text, and ``__sentences`` and
-    ``__removed``, the numbers of sentences before and removed.
+    word, ASCII letters in lower case, by 64-bit hashes; spans of short sentences count as any other. The first
+    occurrence, by (id, sentence), stays; of the later ones all covered sentences go, with the white space after
+    them. Returns all columns of ``docs`` with the new text, and ``__sentences`` and ``__removed``, the numbers
+    of sentences before and removed.
 
     A first aggregation of (hash, count) with map-side combine finds repeated spans; only their occurrences go
     on, so no group is gathered. Texts of fewer sentences than a span stay as they are, null stays null, rows

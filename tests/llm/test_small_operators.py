@@ -63,6 +63,14 @@ def test_substrings_of_repeated_rows_and_columns(documents, prose):
     assert substring_dedup.substring_dedup(documents([])).count() == 0
 
 
+def test_repeats_of_short_sentences_go(documents):
+    long = " ".join(f"Um{i}! So{i}." for i in range(60))
+    rows = [(1, long), (2, long), (3, "Mine. " + long + " Also mine."), (4, "Yes.\nNo.\nWell."), (5, "Yes.\nNo.\nWell."), (6, "Yes.\nNo.")]
+    got = {r.doc_id: r.text for r in substring_dedup.substring_dedup(documents(rows)).collect()}
+    assert got == {1: long, 2: "", 3: "Mine. Also mine.", 4: rows[3][1], 5: "", 6: rows[5][1]}
+    assert got == brute_substrings(rows)
+
+
 # ---------------------------------------------------------------- 2
 
 
