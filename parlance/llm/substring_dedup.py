@@ -15,12 +15,17 @@ from .common import _STEP, Words, materialise, mix, segment_sums, slices, small_
 
 #: Words after which a long sentence is cut, sentences in a span, and words that a span must have: any span counts.
 CUT, RUN, LEAST_WORDS = 10, 3, 0
+#: A long sentence is cut before a word whose hash is the least among so many words on each side.
+NEAR = 3
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
 class Sentences:
-    """Sentences of a run of texts; one of more than CUT words counts as several, each of CUT words at most."""
+    """Sentences of a run of texts; one of more than CUT words counts as several, each of CUT words at most.
+
+    Its words say where it is cut, so a passage is cut in the same way whatever stands before it, but for its edges.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         w = Words(data, offsets)
@@ -33,6 +38,13 @@ class Sentences:
             last[:-1] = (w.row[1:] != w.row[:-1]) | (lines[w.start[1:]] > lines[w.end[:-1] - 1])
             last |= _STOP[data[w.end - 1]]
             opens = np.flatnonzero(np.r_[True, last[:-1]])
+            size = np.diff(np.append(opens, n))
+            place, size = np.arange(n) - np.repeat(opens, size), np.repeat(size, size)
+            least = (size > CUT) & (place >= NEAR) & (place + NEAR < size)
+            for i in range(1, NEAR + 1):
+                least[i:] &= w.code[i:] <= w.code[:-i]
+                least[:-i] &= w.code[:-i] <= w.code[i:]
+            opens = np.flatnonzero(least | (place == 0))
             place = np.arange(n) - np.repeat(opens, np.diff(np.append(opens, n)))
             first = np.flatnonzero(place % CUT == 0)
             self.row = w.row[first]
@@ -111,10 +123,10 @@ def _cutter(text_at: int, names: list[str]):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove the sentences covered by any span of RUN sentences that occurs before, across the whole table.
 
-    A sentence ends at a word that ends in . ! or ?, at a line feed or after CUT words, and is compared word by
-    word, ASCII letters in lower case, by 64-bit hashes; spans of short sentences count as any other. The first
-    occurrence, by (id, sentence), stays; of the later ones all covered sentences go, with the white space after
-    them. Returns all columns of ``docs`` with the new text, and ``__sentences`` and ``__removed``, the numbers
+    A sentence ends at a word that ends in . ! or ?, or at a line feed; one of more than CUT words is cut where its
+    words say, and at the latest after CUT words. Sentences are compared word by word, ASCII letters in lower
+    case, by 64-bit hashes; spans of short sentences count as any other. The first occurrence, by (id, sentence),
+    stays; of the later ones all covered sentences go, with the white space after them. Returns all columns of ``docs`` with the new text, and ``__sentences`` and ``__removed``, the numbers
     of sentences before and removed.
 
     A first aggregation of (hash, count) with map-side combine finds repeated spans; only their occurrences go

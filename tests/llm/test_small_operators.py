@@ -71,6 +71,24 @@ def test_repeats_of_short_sentences_go(documents):
     assert got == brute_substrings(rows)
 
 
+def test_repeats_out_of_phase_go(documents, prose):
+    flat = lambda seed, n: prose(seed, n).replace(".", "").lower()
+    rows = []
+    for k in range(12):
+        passage = flat(100 + k, 120)
+        rows += [(k, flat(200 + k, 30) + " " + passage + " " + flat(300 + k, 25)), (100 + k, flat(400 + k, 31 + k % 9) + " " + passage)]
+    whole = flat(999, 400).split()
+    rows += [(500, " ".join(whole)), (501, " ".join(whole[:100] + ["more"] + whole[100:200] + whole[201:])), (502, "mine " + "la di da du " * 100)]
+    rows += [(503, "la di da du " * 100)]
+    got = {r.doc_id: r.text for r in substring_dedup.substring_dedup(documents(rows)).collect()}
+    for k in range(12):
+        assert got[k] == rows[2 * k][1]
+        left = got[100 + k].split()
+        assert rows[2 * k + 1][1].split()[: 31 + k % 9] == left[: 31 + k % 9]
+        assert len(left) - (31 + k % 9) <= 30
+    assert got[500] == rows[24][1] and len(got[501].split()) <= 90 and len(got[503].split()) <= 12
+
+
 # ---------------------------------------------------------------- 2
 
 
