@@ -30,15 +30,20 @@ def query(name: str, sql: str | None = None):
 # ---------------------------------------------------------------- transcripts
 
 
-def _turn_rows(spark, sf):
-    """Turns of conversations as cues of two seconds and more, three seconds apart; every third has no name."""
+def _turn_rows(spark, sf, whole=False):
+    """Turns of conversations as cues of two seconds and more, three seconds apart; every third has no name.
+
+    A cue has the letters among the first 40 characters, or the whole text on one line, as a blank line ends a cue.
+    """
     c = ad.table(spark, sf, "conversations")
     words = F.trim(F.regexp_replace(F.substring("text", 1, 40), r"[^A-Za-z ]+", " "))
+    if whole:
+        words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " "))
     return c.select("conv_id", "turn", F.when(F.col("role") == "user", 1).otherwise(2).alias("n"), words.alias("words"))
 
 
-def _subtitles(spark, sf):
-    r = _turn_rows(spark, sf)
+def _subtitles(spark, sf, whole=False):
+    r = _turn_rows(spark, sf, whole)
     a, b = F.col("turn") * 3, F.col("turn") * 3 + F.when(F.col("turn") % 7 == 6, 0).otherwise(2)
     stamp = lambda s: F.format_string("%02d:%02d:%02d,%03d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60, F.col("conv_id") % 1000)
     name = F.when(F.col("turn") % 3 == 2, "").otherwise(F.format_string("Speaker %d: ", F.col("n")))
@@ -68,6 +73,16 @@ def speaker_fill(spark, sf):
     return rounded(tr.fill_speakers(tr.parse_cues(_subtitles(spark, sf))), places=3)
 
 
+@query("srt_parse_whole")
+def srt_parse_whole(spark, sf):
+    return rounded(tr.parse_cues(_subtitles(spark, sf, whole=True)), places=3)
+
+
+@query("speaker_fill_whole")
+def speaker_fill_whole(spark, sf):
+    return rounded(tr.fill_speakers(tr.parse_cues(_subtitles(spark, sf, whole=True))), places=3)
+
+
 @query(
     "rttm_parse",
     """SELECT CAST(l_suppkey AS VARCHAR) AS file, 'spk' || l_linenumber AS speaker, l_orderkey / 10 AS start_s, round(l_orderkey / 10 + (l_quantity - 5) / 10, 3) AS end_s, CAST(NULL AS VARCHAR) AS error

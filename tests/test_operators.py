@@ -1,6 +1,7 @@
 """Statistics, sources, assembly, roles and evaluation on small cases."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from parlance.operators import assemble as am
 from parlance.operators import evaluate as ev
 from parlance.operators import roles as ro
 from parlance.operators import stats as st
+from parlance.plans import registry
 from parlance.sources import tables as tb
 from parlance.sources import transcripts as tr
 from parlance.streaming import streams as sm
@@ -186,3 +188,21 @@ def test_stream_upserts_equal_the_batch(spark, tmp_path):
     run(spark.createDataFrame([(2, "c"), (3, "d")], "session_id int, v string"), 1)
     run(spark.createDataFrame([(2, "c"), (3, "d")], "session_id int, v string"), 1)
     assert sorted(map(tuple, spark.read.parquet(f"{path}/version=1").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_whole_turns_come_back_from_subtitles(spark, sf_dir):
+    turns = {}
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        turns.setdefault(str(r.conv_id), []).append((r.turn, 1 if r.role == "user" else 2, re.sub(r"[\r\n]+", " ", r.text or "").strip(" ")))
+    cues, spoken = [], []
+    for file, rows in turns.items():
+        who = None
+        for pos, (turn, n, text) in enumerate(sorted(rows)):
+            cues.append((file, pos, f"Speaker {n}: {text}".strip(" ") if turn % 3 != 2 else text))
+            who = n if turn % 3 != 2 else who
+            if who is not None and turn % 7 != 6:
+                spoken.append((file, pos, f"SPEAKER_{who:02d}", text))
+    got = registry.QUERIES["srt_parse_whole"](spark, sf_dir).collect()
+    assert sorted((r.file, r.pos, r.text) for r in got) == sorted(cues) and any(len(c[2]) > 60 for c in cues)
+    got = registry.QUERIES["speaker_fill_whole"](spark, sf_dir).collect()
+    assert sorted((r.file, r.pos, r.speaker, r.text) for r in got) == sorted(spoken)
