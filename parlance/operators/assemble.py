@@ -212,6 +212,18 @@ def join_coverage(ours: DataFrame, theirs: DataFrame, key: str = "session_id") -
     return a.join(b, key, "full_outer").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
+def number_rows(df: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """``df`` with the place of each row (``ordinal``, from 0) in the order of ``key``, in two levels: no task sorts all rows."""
+    part = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
+    part = part.checkpoint() if part.sparkSession.sparkContext.getCheckpointDir() else part.persist()
+    sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part").orderBy(key)
+    numbered = part.withColumn("__k", F.row_number().over(inside) - 1).join(F.broadcast(sizes), "__part")  # one row per partition
+    return numbered.select(*df.columns, (F.col("__before") + F.col("__k")).alias(ordinal))
+
+
 def positional_join(table: DataFrame, ids: DataFrame, ordinal: str, expected: int | None = None) -> DataFrame:
     """Rows numbered by the source (``ordinal``, from 0) joined to ids in numeric order.
 
@@ -223,15 +235,7 @@ def positional_join(table: DataFrame, ids: DataFrame, ordinal: str, expected: in
     rows = table.count()
     if counts["n"] != counts["d"] or counts["n"] != rows or (expected is not None and expected != rows):
         raise ValueError(f"{rows} rows cannot be given to {counts['n']} ids ({counts['d']} different)")
-    part = n.repartitionByRange("session_id").sortWithinPartitions("session_id").withColumn("__part", F.spark_partition_id())
-    part = part.checkpoint() if part.sparkSession.sparkContext.getCheckpointDir() else part.persist()
-    sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__part").orderBy("session_id")
-    numbered = part.withColumn("__k", F.row_number().over(inside) - 1).join(F.broadcast(sizes), "__part")  # one row per partition
-    numbered = numbered.select("session_id", (F.col("__before") + F.col("__k")).alias(ordinal))
-    return numbered.join(table, ordinal)
+    return number_rows(n, "session_id", ordinal).join(table, ordinal)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("session_id",), scope: Sequence[str] = ("session_id",)) -> DataFrame:

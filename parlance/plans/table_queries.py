@@ -440,8 +440,8 @@ def positional_join(spark, sf):
     ids = ad.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("session_id"))
     n = ids.count()
     d = ad.table(spark, sf, "documents").select("doc_id", "n_chars")
-    # the source numbers its rows; document ids do so here
-    table = d.where(F.col("doc_id") < n).select(F.col("doc_id").alias("ordinal"), "n_chars")
+    # the source numbers its rows; the order of document ids does so here, for all documents and whatever ids are missing
+    table = am.number_rows(d, "doc_id", "ordinal").where(F.col("ordinal") < n).select("ordinal", "n_chars")
     return am.positional_join(table, ids, "ordinal").select("session_id", F.col("ordinal").cast("long").alias("ordinal"), "n_chars")
 
 

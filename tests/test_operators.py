@@ -206,3 +206,10 @@ def test_whole_turns_come_back_from_subtitles(spark, sf_dir):
     assert sorted((r.file, r.pos, r.text) for r in got) == sorted(cues) and any(len(c[2]) > 60 for c in cues)
     got = registry.QUERIES["speaker_fill_whole"](spark, sf_dir).collect()
     assert sorted((r.file, r.pos, r.speaker, r.text) for r in got) == sorted(spoken)
+
+
+def test_positions_do_not_depend_on_gaps_of_ids(spark, tmp_path):
+    spark.createDataFrame([(10 * i + 7, 100 + i) for i in range(9)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in (30, 4, 200)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = registry.QUERIES["positional_join"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(4, 0, 100), (30, 1, 101), (200, 2, 102)]
