@@ -44,11 +44,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of one Arrow batch, since texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -57,6 +52,31 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+# ---------------------------------------------------------------- joins on hot keys
+
+#: Hot keys known at most, and rows up to which a key is never hot.
+MOST_HOT, LEAST_HOT = 1 << 16, 256
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", number: str = "n") -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, with the rows of hot keys dealt to several tasks.
+
+    ``right`` is a written table with one row per key, and in ``number`` (dropped) how many rows of ``left``
+    have the key, or more. A key is hot from LEAST_HOT rows and a MOST_HOT-th of all rows on, so there are
+    MOST_HOT hot keys at most and their list can be broadcast. The rows of a hot key are dealt by the hash of
+    ``by``, and its row of ``right`` is given to each deal.
+    """
+    seen = right.agg(F.sum(number), F.max(number)).first()
+    limit = max(LEAST_HOT, -(-(seen[0] or 0) // MOST_HOT))
+    if (seen[1] or 0) <= limit:
+        return left.join(right.drop(number), keys, how)
+    hot = F.broadcast(right.where(F.col(number) > limit).select(*keys, F.ceil(F.col(number) / limit).alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1).cast("long"))
+    dealt = left.join(hot, keys, "left").withColumn("__deal", F.pmod(F.xxhash64(*by), parts)).drop("__parts")
+    copies = right.join(hot, keys, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts", number)
+    return dealt.join(copies, [*keys, "__deal"], how).drop("__deal")
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -65,7 +85,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Rounds of contraction: every vertex moves to the vertex of least random rank within two steps, so a hub and
     all its leaves become one vertex in one round, and long paths shrink by a constant factor. Each round is a
-    few aggregations with map-side combine and joins on vertices; nothing is collected.
+    few aggregations with map-side combine and joins on vertices, hubs split by their degree; nothing is collected.
     """
     cur = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     cur = materialise(cur.distinct(), "edges")
@@ -73,28 +93,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not is_empty(cur):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))  # noqa: B023, E731
-        near = both.groupBy("u").agg(F.min_by("v", rank("v")).alias("best"))
-        near = near.select("u", F.when(rank("best") < rank("u"), F.col("best")).otherwise(F.col("u")).alias("best"))
+        near = both.groupBy("u").agg(F.min_by("v", rank("v")).alias("best"), F.count("*").alias("n"))
+        near = near.select("u", F.when(rank("best") < rank("u"), F.col("best")).otherwise(F.col("u")).alias("best"), "n")
         near = materialise(near, "near")
-        hop = both.join(near.select(F.col("u").alias("v"), F.col("best").alias("far")), "v")
+        hop = spread_join(both, near.select(F.col("u").alias("v"), F.col("best").alias("far"), "n"), ["v"], ["u"])
         step = hop.groupBy("u").agg(F.min_by("far", rank("far")).alias("far")).join(near, "u")
-        step = step.select("u", F.when(rank("far") < rank("best"), F.col("far")).otherwise(F.col("best")).alias("to"))
+        step = step.select("u", F.when(rank("far") < rank("best"), F.col("far")).otherwise(F.col("best")).alias("to"), "n")
         step = materialise(step, "step")
         if placed is None:
             placed = step.select(F.col("u").alias("node"), F.col("to").alias("at"))
         else:
-            placed = placed.join(step.withColumnRenamed("u", "at"), "at", "left")
-            placed = placed.select("node", F.coalesce("to", "at").alias("at"))
-        left = cur.join(step.select("u", F.col("to").alias("cu")), "u").select("cu", "v")
-        both_ends = left.join(step.select(F.col("u").alias("v"), F.col("to").alias("cv")), "v")
+            sizes = placed.groupBy("at").agg(F.count("*").alias("n"))
+            moves = materialise(step.select(F.col("u").alias("at"), "to").join(sizes, "at"), "moves")
+            placed = spread_join(placed, moves, ["at"], ["node"], "left").select("node", F.coalesce("to", "at").alias("at"))
+        placed = materialise(placed, "placed")
+        left = spread_join(cur, step.select("u", F.col("to").alias("cu"), "n"), ["u"], ["v"]).select("cu", "v")
+        both_ends = spread_join(left, step.select(F.col("u").alias("v"), F.col("to").alias("cv"), "n"), ["v"], ["cu"])
         cur = both_ends.where("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v"))
         cur = materialise(cur.distinct(), "edges")
         turn += 1
     if placed is None:
         return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    placed = materialise(placed, "placed")
-    first = placed.groupBy("at").agg(F.min("node").alias("component"))
-    return materialise(placed.join(first, "at").select("node", "component"), "components")
+    first = materialise(placed.groupBy("at").agg(F.min("node").alias("component"), F.count("*").alias("n")), "first")
+    return materialise(spread_join(placed, first, ["at"], ["node"]).select("node", "component"), "components")
 
 
 # ---------------------------------------------------------------- vectorised words

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, slices, small_batches, table, text_or_empty
+from .common import Words, slices, table, text_or_empty
 
 #: Words of a seed, words of benchmark items aligned in one scan (the most that is sent to the tasks).
 SEED, BLOCK_WORDS = 3, 1 << 20
@@ -149,7 +149,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id_c
     an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     items = benchmark.select("item_id", text_or_empty("text").alias("text"))

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-import zlib
+import heapq
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, is_empty, materialise, mix, slices, small_batches, table
-
-#: Most shingles known as frequent (2 MB), documents that make one frequent, bits of the document filter (2 MB).
-FREQUENT, FREQUENT_FROM, FILTER_BITS = 1 << 17, 4, 1 << 24
-#: Shingles a task holds while it counts, and members that meet one pivot in a group.
-_BUFFER, MEMBERS = 1 << 21, 64
+from .common import Words, connected_components, is_empty, materialise, mix, slices, spread_join, table
+
+#: Most shingles known as frequent (2 MB), and documents that make one frequent.
+FREQUENT, FREQUENT_FROM = 1 << 17, 4
+#: Least and most bits of the document filter (8 MB at most); beyond, it only holds back less.
+FILTER_BITS = (1 << 16, 1 << 26)
+#: Shingles a task holds while it counts; members, and shingles of members, that meet one query in a group.
+_BUFFER, MEMBERS, GROUP_SHINGLES = 1 << 21, 64, 1 << 20
+#: Members of one list that meet in one tile.
+TILE = 512
+#: DivideSkip's weight of a probe against a merge step.
+MU = 0.0085
 #: Bits of a set's parity sketch.
 SKETCH = 1024
 
@@ -117,114 +124,212 @@ def _profiles(k: int, percent: int, frequent: np.ndarray, counts: np.ndarray) ->
     return run
 
 
-# ---------------------------------------------------------------- verification
+# ---------------------------------------------------------------- T-occurrence search
+
 
+def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``sets``, overlaps) of the sets that share at least ``need`` shingles with the query.
 
-def _document_filter(needed: DataFrame) -> np.ndarray:
-    """A bit for each hash bucket that a needed id falls in; of fixed size, whatever the number of ids."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = needed.select(F.shiftright(bucket, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}L) & 63 as int))").alias("bit"))
+    All are sorted. The inverted lists of the query's shingles over ``sets`` are divided by length: of the short
+    ones a heap merges the entries and counts how often each set occurs; sets that still can reach their
+    overlap are looked up in the long ones by binary search, the longest first, until they no longer can.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    if not len(query) or not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
+    hit = np.flatnonzero(query[at] == flat)
+    order = hit[np.argsort(at[hit], kind="stable")]
+    ids, bounds = owner[order], np.searchsorted(at[order], np.arange(len(query) + 1))
+    length = np.diff(bounds)
+    by_length = np.argsort(length, kind="stable")
+    least, longest = int(need.min()), max(int(length.max()), 2)
+    n_long = max(0, min(int(least / (MU * np.log2(longest) + 1)), least - 1))
+    edge = len(query) - n_long
+    short = [ids[bounds[i] : bounds[i + 1]].tolist() for i in by_length[:edge] if length[i]]
+    count = np.zeros(len(sets), np.int64)
+    for member, run in groupby(heapq.merge(*short)):
+        count[member] = sum(1 for _ in run)
+    alive = np.flatnonzero((count > 0) & (count + n_long >= need))
+    for k, i in enumerate(by_length[edge:][::-1]):
+        if not len(alive):
+            break
+        entries = ids[bounds[i] : bounds[i + 1]]
+        if len(entries):
+            place = np.minimum(np.searchsorted(entries, alive), len(entries) - 1)
+            count[alive] += entries[place] == alive
+        alive = alive[count[alive] + (n_long - k - 1) >= need[alive]]
+    return alive, count[alive]
+
+
+def document_filter(needed: DataFrame) -> np.ndarray:
+    """A bit for each hash bucket that a needed id falls in: some eight for each id, FILTER_BITS at most."""
+    many = needed.agg(F.approx_count_distinct("id")).first()[0]
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(8 * many, 1))), np.log2(FILTER_BITS[0]), np.log2(FILTER_BITS[1])))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = needed.select(F.shiftright(bucket, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}L) & 63 as int))").alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[np.asarray(got.column("word")).astype(np.int64)] = np.asarray(got.column("bits")).astype(np.int64)
-    return bits
+    out = np.zeros(bits // 64, np.int64)
+    out[np.asarray(got.column("word")).astype(np.int64)] = np.asarray(got.column("bits")).astype(np.int64)
+    return out
+
+
+def _in_filter(bits: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    bucket = np.asarray(batch.column(batch.num_columns - 1)).astype(np.int64)
+    some = ((bits[bucket >> 6] >> (bucket & 63)) & 1).astype(bool)
+    return batch.select(list(range(batch.num_columns - 1))).filter(pa.array(some))
+
+
+def _bucket(bits: np.ndarray):
+    return F.pmod(F.xxhash64("id"), F.lit(64 * len(bits))).alias("bucket")
+
 
+def _sets_of(k: int, bits: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = _in_filter(bits, batch)
+            for i, j, data, offsets in slices(some.column(1)):
+                rows, h = shingle_sets(data, offsets, k)
+                first = np.searchsorted(rows, np.arange(j - i + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(first), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(i, j - i), lists], names=["id", "set"])
+
+    return run
 
-def _needed_only(bits: np.ndarray) -> Callable:
+
+def needed_sets(texts: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """(id, set) of the documents that have a list in common with another: the only ones whose sets ever move."""
+    bits = document_filter(needed)
+    return materialise(texts.select("id", "text", _bucket(bits)).mapInArrow(_sets_of(k, bits), "id long, set array<long>"), "sets")
+
+
+def _only_needed(bits: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket = np.asarray(batch.column(2)).astype(np.int64)
-            some = batch.select([0, 1]).filter(pa.array(((bits[bucket >> 6] >> (bucket & 63)) & 1).astype(bool)))
-            # texts are shuffled twice from here, so they travel packed
-            packed = [zlib.compress((t.as_py() or "").encode(), 1) for t in some.column(1)]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(packed, pa.binary())], names=["id", "packed"])
+            some = _in_filter(bits, batch)
+            if some.num_rows:
+                yield some
 
     return run
 
 
-def _overlaps(k: int, percent: int) -> Callable:
-    """Probes each member's shingles in the pivot's sorted list; links reach the required overlap."""
+def _search(percent: int) -> Callable:
+    """Links of the queries of one group with its members, by T-occurrence search."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        pivot = np.asarray(group.column("is_pivot"))
-        text = pa.array([zlib.decompress(x.as_py()).decode() for x in group.column("packed")], pa.large_string())
-        sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(text)
-        for i, j, data, offsets in slices(text):
-            rows, h = shingle_sets(data, offsets, k)
-            first = np.searchsorted(rows, np.arange(j - i + 1))
-            for r in range(j - i):
-                sets[i + r] = h[first[r] : first[r + 1]]
-        ids = group.column("id").to_pylist()
-        found = []
-        for p in np.flatnonzero(pivot):
-            a = sets[p]
-            for m in np.flatnonzero(~pivot):
-                b = sets[m]
-                at = np.minimum(np.searchsorted(a, b), max(len(a) - 1, 0))
-                both = int((a[at] == b).sum()) if len(a) and len(b) else 0
-                if both and 100 * both >= percent * (len(a) + len(b) - both):
-                    found.append((ids[p], ids[m]))
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+        asks = np.asarray(group.column("is_query"))
+        column = group.column("set").combine_chunks() if isinstance(group.column("set"), pa.ChunkedArray) else group.column("set")
+        flat, edge = np.asarray(column.flatten()).view(np.uint64), np.asarray(column.offsets) - column.offsets[0].as_py()
+        sets = [flat[edge[i] : edge[i + 1]] for i in range(len(asks))]
+        ids = np.asarray(group.column("id"))
+        rest = np.flatnonzero(~asks)
+        a, b = [], []
+        for q in np.flatnonzero(asks):
+            both = len(sets[q]) + np.array([len(sets[m]) for m in rest], np.int64)
+            need = np.maximum(-(-percent * both // (100 + percent)), 1)
+            found, _ = divide_skip(sets[q], [sets[m] for m in rest], need)
+            a.append(np.repeat(ids[q], len(found)))
+            b.append(ids[rest[found]])
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(join(a).astype(np.int64)), "b": pa.array(join(b).astype(np.int64))})
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts link. Members of a pivot ``a`` are dealt to groups of about MEMBERS rows.
+def search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, of candidates (a, b, both): a is the query. The members of a query are dealt
+    to groups of about MEMBERS members and GROUP_SHINGLES shingles, so no group grows with the table."""
+    sizes = materialise(pairs.groupBy("a").agg(F.count("*").alias("n"), F.sum("both").alias("shingles")), "sizes")
+    parts = F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("shingles") / GROUP_SHINGLES)).cast("long")
+    dealt = spread_join(pairs.select("a", "b"), sizes.select("a", parts.alias("parts"), "n"), ["a"], ["b"])
+    dealt = materialise(dealt.select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")), "pairs")
+    roles = dealt.select("a", "part", F.col("b").alias("id"), F.lit(False).alias("is_query"))
+    roles = roles.unionByName(dealt.select("a", "part", F.col("a").alias("id"), F.lit(True).alias("is_query")).distinct())
+    bits = document_filter(roles.select("id"))
+    some = sets.select("id", "set", _bucket(bits)).mapInArrow(_only_needed(bits), "id long, set array<long>")
+    return roles.join(some, "id").groupBy("a", "part").applyInArrow(_search(percent), "a long, b long").distinct()
 
-    Only texts of needed documents leave their scan: a filter of fixed size holds back the others.
-    """
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("members"))
-    dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / MEMBERS)))
-    dealt = materialise(dealt.select("a", "b", "part"), "pairs")
-    roles = dealt.select("a", "part", F.col("b").alias("id"), F.lit(False).alias("is_pivot"))
-    roles = roles.unionByName(dealt.select("a", "part", F.col("a").alias("id"), F.lit(True).alias("is_pivot")).distinct())
-    bits = _document_filter(roles.select("id"))
-    bucket = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bucket")
-    some = texts.select("id", "text", bucket).mapInArrow(_needed_only(bits), "id long, packed binary")
-    met = roles.join(some, "id")
-    return met.groupBy("a", "part").applyInArrow(_overlaps(k, percent), "a long, b long").distinct()
 
+# ---------------------------------------------------------------- candidates
 
-# ---------------------------------------------------------------- the join
 
+def _placed(lists: DataFrame, place: DataFrame | None) -> DataFrame:
+    if place is None:
+        return lists.withColumn("component", F.col("rep"))
+    return lists.join(place.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-def _candidates(lists: DataFrame, place: DataFrame | None, turn: int, percent: int, all_pairs: bool) -> DataFrame:
-    """(a, b, both, pivot): pairs, with the sizes of both sets added up,
-    that share a short list and are not known to be connected.
 
-    With one pivot of each list that holds several components, or with all pairs of different components, for
-    which the places of the common shingle must leave room for the overlap: nothing before the first common
-    shingle can be common.
-    """
-    if place is not None:
-        lists = lists.join(place.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    else:
-        lists = lists.withColumn("component", F.col("rep"))
-    rank = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), F.col("rep"))
-    open_ = lists.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("rep", "n", "component"), rank).alias("pivot"))
-    open_ = open_.where("lo <> hi").select("h", "pivot")
-    fits = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    if all_pairs:
-        left = lists.join(open_.select("h"), "h")
-        right = left.select("h", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("pos").alias("ppos"))
-        room = f"{percent} * (n + pn) <= {100 + percent} * least(n - pos, pn - ppos)"
-        got = left.join(right, "h").where(f"rep < pivot AND component <> pc AND {fits} AND {room}")
-    else:
-        got = lists.join(open_, "h").select("rep", "n", "component", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pn"), F.col("pivot.component").alias("pc"))
-        got = got.where(f"component <> pc AND {fits}")
-    pair = got.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"), (F.col("n") + F.col("pn")).alias("both"), "pivot")
-    return pair.groupBy("a", "b").agg(F.min("both").alias("both"), F.min("pivot").alias("pivot"))
+def _pivot_pairs(lists: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """(a, b, both): in each list, one member, the query a, with all others of other components and fitting size."""
+    got = spread_join(lists, open_, ["h"], ["rep"])
+    got = got.where(f"component <> pivot.component AND 100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n)")
+    pair = got.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"), (F.col("n") + F.col("pivot.n")).alias("both"))
+    return pair.groupBy("a", "b").agg(F.min("both").alias("both"))
+
+
+def _tile_pairs(percent: int) -> Callable:
+    """Pairs of members of a list, from the two parts that meet in a tile, whose components differ and whose
+    sizes, places of the common shingle and sketches leave room for a link."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        get = lambda c: np.asarray(group.column(c))
+        h, deal, other, rep, n, pos, component = (get(c) for c in ("h", "deal", "other", "rep", "n", "pos", "component"))
+        sketch = group.column("sketch").combine_chunks() if isinstance(group.column("sketch"), pa.ChunkedArray) else group.column("sketch")
+        known = ~np.asarray(sketch.is_null())
+        bits = np.zeros((len(h), SKETCH // 64), np.uint64)
+        bits[known] = np.asarray(sketch.drop_null().flatten()).view(np.uint64).reshape(-1, SKETCH // 64)
+        order = np.lexsort((rep, other, deal, h))
+        edge = np.flatnonzero(np.r_[True, (np.diff(h[order]) != 0) | (np.diff(deal[order]) != 0) | (np.diff(other[order]) != 0), True])
+        a, b, both = [], [], []
+        # a tile (i, j) holds the rows of part i under (i, j) and those of part j under (j, i)
+        start = {(h[order[x]], deal[order[x]], other[order[x]]): order[x:y] for x, y in zip(edge[:-1], edge[1:])}
+        for (key, i, j), left in start.items():
+            if i > j or (key, j, i) not in start:
+                continue
+            right = start[key, j, i]
+            for x in left:
+                y = right[rep[right] > rep[x]] if i == j else right
+                y = y[component[y] != component[x]]
+                total = n[y] + n[x]
+                y = y[(percent * total <= (100 + percent) * np.minimum(n[y] - pos[y], n[x] - pos[x])) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+                differ = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                y = y[((100 + percent) * differ <= (100 - percent) * (n[y] + n[x])) | ~known[y] | ~known[x]]
+                a.append(np.minimum(rep[x], rep[y]))
+                b.append(np.maximum(rep[x], rep[y]))
+                both.append(n[y] + n[x])
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({c: pa.array(join(v).astype(np.int64)) for c, v in (("a", a), ("b", b), ("both", both))})
+
+    return run
+
+
+def _tiles(lists: DataFrame, open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b, both): what is left after the pivots. The members of a list are dealt to parts of about TILE rows,
+    and each two parts meet in a tile; short lists share tiles. Only pairs that may link leave their tile."""
+    wide = open_.select("h", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), "n")
+    rows = spread_join(lists, wide, ["h"], ["rep"]).join(sketches, "rep", "left")
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64(F.lit(7), "rep"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    small = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.lit(open_.agg(F.sum("n")).first()[0] // TILE)))
+    tile = F.when(F.col("parts") == 1, small).otherwise(F.xxhash64("h", F.least("deal", "other"), F.greatest("deal", "other")))
+    rows = rows.select(tile.alias("tile"), "h", "deal", "other", "rep", "n", "pos", "component", "sketch")
+    return rows.groupBy("tile").applyInArrow(_tile_pairs(percent), "a long, b long, both long").groupBy("a", "b").agg(F.min("both").alias("both"))
 
 
 def _may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches do not differ in more bits than the sets of a link may differ in shingles."""
-    sides = [sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab"]
-    p = pairs.join(sides[0], "a").join(sides[1], "b")
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    one = materialise(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).join(sizes, "a"), "queries")
+    p = spread_join(pairs, one, ["a"], ["b"]).join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
     near = (100 + percent) * differ <= (100 - percent) * F.col("both")
-    return p.where(F.coalesce(near, F.lit(True))).select("a", "b", "pivot")
+    return p.where(F.coalesce(near, F.lit(True))).select("a", "b", "both")
+
+
+# ---------------------------------------------------------------- the join
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,35 +337,39 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, i
     distinct k-word shingles is at least ``percent`` / 100; component is the smallest id reachable by links.
 
     Equal sets become one representative first. A document that needs T shingles in common looks, of its n
-    lists, at the n - T + 1 shortest (rarest shingles first): any partner stands in one of these. Their entries
-    meet in one shuffle; the long lists are only probed, by binary search in the pivot's sorted set, for the
-    candidates found. In each list one pivot is compared with all others, so candidates grow with the entries,
-    not with their square; lists that still hold several components get other pivots, and after ``turns``
-    rounds, the pairs from different components that the places of their common shingle allow. Before texts
-    are fetched, parity sketches drop pairs that differ in too many shingles. No filter can drop a link, so no
-    link that would join two components is lost.
+    lists, at the n - T + 1 shortest (rarest shingles first): any partner stands in one of these. A query and
+    the members it meets there are dealt to bounded groups, and in each a T-occurrence search decides: the
+    short inverted lists over the group are merged by a heap that counts occurrences, and what can still reach
+    the overlap is probed in the long ones (DivideSkip). In each list one member is the query of all others, so
+    candidates grow with the entries, not with their square; lists that still hold several components get other
+    queries, and after ``turns`` rounds their parts meet in tiles, which only pairs that may link leave.
+    Parity sketches drop pairs that differ in too many shingles before any set moves. No filter can drop a
+    link, so no link that would join two components is lost.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; shorter documents have their whole
-    sequence as one shingle. Null and empty texts have no shingle and are alone. Rows that share an id are one
-    document; a null id counts as the smallest and comes back null. An empty table gives no rows.
+    sequence as one shingle. Null and empty texts have no shingle and are alone; very long texts are whole
+    sets, cut only where groups are dealt. Ids are whole numbers (but -2^63); others raise. Rows that share an
+    id are one document; a null id counts as the smallest and comes back null. An empty table gives no rows.
     """
     least = -(2**63)
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(least)).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     frequent, counts = frequent_shingles(texts, k, "text")
     profiles = texts.mapInArrow(_profiles(k, percent, frequent, counts), "id long, n long, d1 long, d2 long, short array<long>, sketch array<long>")
     profiles = materialise(profiles, "profiles")
     sets = ["n", "d1", "d2"]
-    classes = materialise(profiles.groupBy(*sets).agg(F.min("id").alias("rep")), "classes")
+    classes = profiles.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("c"))
+    classes = materialise(classes, "classes")
     # one row of each class has its lists and its sketch
     reps = profiles.where("n > 0").join(classes.select(*sets, F.col("rep").alias("id")), [*sets, "id"], "left_semi")
-    lists = reps.select(F.col("id").alias("rep"), "n", F.posexplode("short").alias("pos", "h"))
-    shared = lists.groupBy("h").agg(F.count("*").alias("c"), F.min("n").alias("smallest")).where("c > 1")
-    lists = lists.join(shared, "h").where(f"{percent} * (n + smallest) <= {100 + percent} * (n - pos)").select("h", "pos", "rep", "n")
+    lists = reps.select(F.col("id").alias("rep"), F.col("n"), F.posexplode("short").alias("pos", "h"))
+    shared = materialise(lists.groupBy("h").agg(F.count("*").alias("c"), F.min("n").alias("smallest")).where("c > 1"), "shared")
+    lists = spread_join(lists, shared, ["h"], ["rep"], number="c").where(f"{percent} * (n + smallest) <= {100 + percent} * (n - pos)").select("h", "pos", "rep", "n")
     lists = materialise(lists, "lists")
+    met = materialise(lists.select(F.col("rep").alias("id")).distinct(), "met")
     # sketches of those documents only that share a list with another; none where an id has different sets
-    sketches = profiles.join(lists.select(F.col("rep").alias("id")).distinct(), "id").groupBy(F.col("id").alias("rep")).agg(F.min("sketch").alias("lo"), F.max("sketch").alias("hi"))
+    sketches = profiles.join(met, "id").groupBy(F.col("id").alias("rep")).agg(F.min("sketch").alias("lo"), F.max("sketch").alias("hi"))
     sketches = materialise(sketches.select("rep", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("sketch")), "sketches")
+    whole = needed_sets(texts, met, k)
     # rows of one id with different sets are the same node
     twice = profiles.select("id", *sets).distinct().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     twice = materialise(twice, "twice")
@@ -269,22 +378,30 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, i
         same = profiles.join(twice, "id", "left_semi").join(classes, sets).where("id <> rep")
         place = connected_components(same.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     for turn in range(turns + 1):
-        pairs = _candidates(lists, place, turn, percent, all_pairs=turn == turns)
+        known = materialise(_placed(lists, place), "lists") if place is not None else _placed(lists, None)
+        rank = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), F.col("rep"))
+        open_ = known.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min_by(F.struct("rep", "n", "component"), rank).alias("pivot"))
+        open_ = materialise(open_.where("lo <> hi").select("h", "pivot", "n"), "open")
+        if is_empty(open_):
+            break
+        pairs = _pivot_pairs(known, open_, percent) if turn < turns else _tiles(known, open_, sketches, percent)
+        pairs = materialise(pairs, "met") if turn < turns else pairs
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(_may_link(pairs, sketches, percent), "candidates")
+            swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
+            pairs = pairs.join(tried.unionByName(swapped), ["a", "b"], "left_anti")
+        pairs = materialise(_may_link(pairs, sketches, percent) if turn < turns else pairs, "candidates")
         if is_empty(pairs):
             continue
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        asked = pairs.select(F.col("pivot").alias("a"), F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        links = materialise(verify(asked, texts, k, percent), "links")
+        links = materialise(search(pairs, whole, percent), "links")
         if not is_empty(links):
             # what is known goes on as one edge for each node
-            known = [] if place is None else [place.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-            place = connected_components(links.unionByName(known[0]) if known else links)
-    out = profiles.select("id", *sets).join(classes, sets)
+            before = [] if place is None else [place.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+            place = connected_components(links.unionByName(before[0]) if before else links)
+    out = spread_join(profiles.select("id", *sets), classes, sets, ["id"], number="c")
     if place is not None:
-        out = out.join(place.withColumnRenamed("node", "rep"), "rep", "left")
+        heads = materialise(place.withColumnRenamed("node", "rep").join(classes.groupBy("rep").agg(F.sum("c").alias("c")), "rep"), "heads")
+        out = spread_join(out, heads, ["rep"], ["id"], "left", number="c")
     else:
         out = out.withColumn("component", F.col("rep"))
     back = lambda c: F.when(c != least, c)

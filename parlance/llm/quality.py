@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, segment_sums, slices, small_batches, table
+from .common import Words, materialise, segment_sums, slices, table
 
 FEATURES = (
     "log_words", "word_bytes", "symbols", "capitals", "digits", "beyond_ascii", "bars", "distinct", "top_word", "echo",
@@ -215,7 +215,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: str = "pmod(crc32(c
     to learn from, or with one label only, the score is the share of label 1 (0.5 without rows). Rows that
     repeat keep a row each; an id with several labels counts with the largest.
     """
-    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     x = source.mapInArrow(_features, f"id {id_type}, " + ", ".join(f"{f} double" for f in FEATURES))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _STEP, Words, materialise, mix, segment_sums, slices, small_batches, table
+from .common import _STEP, Words, materialise, mix, segment_sums, slices, table
 
 #: Words after which a long sentence is cut, sentences in a span, and words that a span must have: any span counts.
 CUT, RUN, LEAST_WORDS = 10, 3, 0
@@ -134,7 +134,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that share an id are versions of one document (equal ones come out equal), a null id comes first, and an
     empty table gives an empty table.
     """
-    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     spans = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     spans = spans.mapInArrow(_spans, f"id {id_type}, at int, h long")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, mix, slices, small_batches, table
+from .common import LOWER, Words, mix, slices, table
 
 #: Words of a window, and words from one window's start to the next: windows overlap by a quarter.
 WIDTH, STRIDE = 48, 36
@@ -366,7 +366,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "pmod(crc32(
     both kinds the score is the share of label 1 among those given (0 without any). Rows that repeat keep a row
     each; an id with several labels counts with the largest, one with several texts teaches the smallest.
     """
-    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.where("label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label")).where(train)

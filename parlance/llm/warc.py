@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, scratch_root, small_batches, table, text_or_empty
+from .common import materialise, scratch_root, table, text_or_empty
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -158,7 +158,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under a path, one row each (RECORD_SCHEMA)."""
-    small_batches(spark, 8)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where("length > 0").select("content").mapInArrow(_parse, RECORD_SCHEMA)
 

@@ -243,7 +243,7 @@ def test_stages_take_effect_and_keep_the_columns(spark, sf_dir):
 
 def test_pipeline_stages_against_plain_versions(spark, documents, prose, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    from tests_llm_brute import lines_of, near_of
+    from plain_versions import lines_of, near_of
 
     base = [(i, prose(i, 60)) for i in range(30)]
     rows = base + [(100, base[3][1]), (101, base[4][1] + " x"), (102, "l one\nl two\nl three\nmine\n" + prose(50, 30)), (103, "l one\nl two\nl three\nyours\n" + prose(51, 30)), (104, "l one\nl two\nl three"), (105, None)]

@@ -111,3 +111,28 @@ def test_components_of_shapes(spark):
     got = connected_components(edges).groupBy("component").agg(F.count("*")).collect()
     assert sorted(map(tuple, got)) == [(0, 61), (100, 30), (500, 2)]
     assert connected_components(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_divide_skip_finds_all_that_reach_the_overlap(seed):
+    rng = np.random.default_rng(seed)
+    space = rng.integers(0, 2**63, 160).astype(np.uint64)
+    query = np.unique(rng.choice(space, 90))
+    sets = [np.unique(rng.choice(space, rng.integers(0, 140))) for _ in range(30)] + [query, query[:1], query[:0]]
+    sets += [np.unique(np.r_[query[: 40 + i], space[:i]]) for i in range(20)]
+    need = np.maximum(-(-60 * (len(query) + np.array([len(x) for x in sets])) // 160), 1)
+    overlap = np.array([len(np.intersect1d(query, x)) for x in sets])
+    found, count = nj.divide_skip(query, sets, need)
+    assert found.tolist() == np.flatnonzero(overlap >= need).tolist() and (count == overlap[found]).all()
+    assert len(nj.divide_skip(query[:0], sets, need)[0]) == 0
+
+
+def test_tiles_find_what_pivots_leave(documents, prose, monkeypatch):
+    monkeypatch.setattr(nj, "TILE", 4)
+    monkeypatch.setattr("parlance.llm.common.LEAST_HOT", 3)
+    rng = random.Random(3)
+    common = prose(50, 60)
+    rows = [(i, edited(rng, common, 1 + i % 9)) for i in range(60)] + [(100 + i, common + " " + prose(i, 12)) for i in range(12)]
+    for turns in (0, 1):
+        got = {r.id: (r.n_shingles, r.component) for r in nj.ngram_join(documents(rows), 4, 85, turns=turns).collect()}
+        assert got == brute(rows, 4, 85)
