@@ -276,30 +276,57 @@ CASES = [
 ]
 
 
-def test_secrets_equal_brute_force(documents):
-    rows = list(enumerate(CASES)) + [(10, CASES[1]), (11, None), (None, CASES[4])]
-    got, ledger = secrets.scan_versions(documents(rows))
-    by = {r.id: [tuple(s) for s in r.spans if s.rank < 3] for r in got.collect()}
+def bare(spans):
+    return [(s.start, s.rank, s.kind, s.end) for s in spans if s.rank < 3]
+
+
+def test_secrets_equal_brute_force(documents, monkeypatch):
+    monkeypatch.setattr("parlance.llm.common.LEAST_HOT", 2)
+    rows = list(enumerate(CASES)) + [(10, CASES[1]), (11, None), (None, CASES[4])] + [(100 + i, CASES[3]) for i in range(12)]
+    got, _, ledger = secrets.scan_versions(documents(rows))
+    found = got.collect()
+    assert len(found) == len(rows)
+    by = {r.id: bare(r.spans) for r in found}
     for i, t in rows:
         assert by[i] == brute_secrets(t or "")
-    assert ledger.count() == 5 * len(secrets.RULES)
+    assert ledger.count() == len(CASES) and all(len(r.pairs) == len(secrets.RULES) for r in ledger.collect())
 
 
 def test_only_unseen_pairs_are_scanned(documents):
     first = documents([(1, CASES[1]), (2, CASES[4])])
-    found, ledger = secrets.scan_versions(first)
-    known = found.select("blob", "spans").distinct()
+    _, known, ledger = secrets.scan_versions(first)
     again = documents([(3, CASES[1]), (4, CASES[3])])
-    got, more = secrets.scan_versions(again, ledger=ledger, known=known)
+    got, _, more = secrets.scan_versions(again, ledger=ledger, known=known)
     assert more.select("blob").distinct().count() == 1
-    by = {r.id: [tuple(s) for s in r.spans if s.rank < 3] for r in got.collect()}
+    by = {r.id: bare(r.spans) for r in got.collect()}
     assert by == {3: brute_secrets(CASES[1]), 4: brute_secrets(CASES[3])}
     newer = tuple(r._replace(version="2") if r.kind == "hex" else r for r in secrets.RULES)
-    _, third = secrets.scan_versions(first, rules=newer, ledger=ledger)
-    assert {(r.kind, r.version) for r in third.collect()} == {("hex", "2")}
+    _, _, third = secrets.scan_versions(first, rules=newer, ledger=ledger)
+    assert {p for r in third.collect() for p in r.pairs} == {"hex@2"}
+
+
+def test_findings_of_a_changed_rule_go(documents):
+    docs = documents([(1, "0" * 24 + " x " + "1" * 30 + " AKIA" + "A" * 16)])
+    _, known, ledger = secrets.scan_versions(docs)
+    newer = tuple(r._replace(version="2", least=28, pattern="[0-9a-f]{28,}") if r.kind == "hex" else r for r in secrets.RULES)
+    (row,) = secrets.scan_versions(docs, newer, ledger, known)[0].collect()
+    assert [(s.start, s.kind, s.version, s.end) for s in row.spans] == [(27, "hex", "2", 57), (58, "access", "1", 78)]
+    fewer = tuple(r for r in secrets.RULES if r.kind != "hex")
+    (row,) = secrets.scan_versions(docs, fewer, ledger, known)[0].collect()
+    assert [s.kind for s in row.spans] == ["access"]
+    (row,) = secrets.scan_runs(docs, (secrets.BASE_RULES, newer)).collect()
+    assert [(s.start, s.kind) for s in row.spans] == [(27, "hex"), (58, "access")]
+
+
+def test_many_hits_in_one_long_text(documents):
+    text = "".join(f"é token={i:06d} {'0123456789abcdef' * 2} " for i in range(50_000))
+    (row,) = secrets.scan_versions(documents([(1, text)]))[0].collect()
+    assert bare(row.spans) == brute_secrets(text) and len(row.spans) == 100_000
 
 
 def test_secrets_stay_in_the_jvm(documents, plan):
-    got, _ = secrets.scan_versions(documents([(1, CASES[1])]))
-    assert "Python" not in plan(got)
+    docs = documents([(1, CASES[1])])
+    got, _, _ = secrets.scan_versions(docs)
+    found, _ = secrets.scan_blobs(docs.select(secrets.blob_id("text").alias("blob"), "text"))
+    assert "Python" not in plan(got) and "Arrow" not in plan(found) and "Python" not in plan(found)
     assert secrets.scan_versions(documents([]))[0].count() == 0
