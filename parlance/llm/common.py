@@ -48,6 +48,19 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with an underscore more at its front as long as a column of ``taken`` has it, whatever the case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import free_name, materialise, quoted, spread_join, table, text_or_empty
 
 
 def repeated_windows(lines: DataFrame, window: int) -> DataFrame:
@@ -31,25 +31,27 @@ def line_dedup(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_co
     Lines are split at line feeds and compared without white space at their ends; blank lines are kept and
     stand in no window. The first occurrence is that with the smallest (id, line). All lines covered by a
     later one go, overlapping windows merging; what is left is joined with line feeds. Returns all columns of
-    ``docs`` with the new text, and ``__lines`` and ``__removed``, the numbers of lines before and removed.
+    ``docs`` with the new text, and ``__lines`` and ``__removed``, the numbers of lines before and removed; where
+    ``docs`` has such a column, that of the counts has more underscores (``free_name``).
 
-    Documents of fewer lines than a window stay as they are, as does a null text (with 0 lines). Rows that
-    share an id are versions of one document: the smallest line number is the first for all of them, so
-    equal rows come out equal. A null id comes first. An empty table gives an empty table.
+    Documents of fewer lines than a window stay as they are, as does a null text (with 0 lines); a very long text
+    is one row of lines. Rows that share an id are versions of one document: the smallest line number is the
+    first for all of them, so equal rows come out equal. A null id comes first. Windows of which there are very
+    many are dealt to several tasks. An empty table gives an empty table.
     """
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    columns = docs.columns
     base = docs.select(
-        F.struct(*[F.col(c) for c in others] or [F.lit(0).alias("none")]).alias("__others"),
-        F.col(id_col).alias("id"),
-        F.xxhash64(text_or_empty(text_col)).alias("version"),
-        F.split(F.col(text_col), "\n", -1).alias("lines"),
+        F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns) if c != text_col]).alias("others"),
+        F.col(quoted(id_col)).alias("id"),
+        F.xxhash64(text_or_empty(F.col(quoted(text_col)))).alias("version"),
+        F.split(F.col(quoted(text_col)), "\n", -1).alias("lines"),
     )
     trimmed = F.transform("lines", lambda x, i: F.struct(F.regexp_replace(x, r"^\s+|\s+$", "").alias("t"), i.alias("i")))
     full = base.select("id", "version", F.filter(trimmed, lambda x: x["t"] != "").alias("full"))
     w = repeated_windows(full, window)
     # one first occurrence per run, found by a map-side combined aggregation
     first = w.groupBy("h1", "h2").agg(F.min(F.struct("id", "covers")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = w.join(first, ["h1", "h2"]).where("NOT (struct(id, covers) <=> first)")
+    later = spread_join(w, materialise(first, "windows"), ["h1", "h2"], ["id", "covers"]).where("NOT (struct(id, covers) <=> first)")
     covered = later.groupBy("id", "version").agg(F.collect_set("covers").alias("covers"))
     drop = F.array_distinct(F.flatten("covers"))
     covered = covered.select(F.col("id").alias("cid"), F.col("version").alias("cversion"), drop.alias("drop"))
@@ -57,18 +59,17 @@ def line_dedup(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_co
     all_lines = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1))
     kept = F.transform(F.array_except(all_lines, "drop"), lambda i: F.element_at("lines", i + 1))
     text = F.when(F.col("drop").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(kept, "\n"))
-    out = {c: F.col(f"__others.`{c}`") for c in others} | {id_col: F.col("id"), text_col: text}
     return both.select(
-        *[out[c].alias(c) for c in docs.columns],
-        F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("long").alias("__lines"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("__removed"),
+        *[(text if c == text_col else F.col(f"others.c{i}")).alias(c) for i, c in enumerate(columns)],
+        F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("long").alias(free_name("__lines", columns)),
+        F.greatest(F.coalesce(F.size("drop"), F.lit(0)), F.lit(0)).cast("long").alias(free_name("__removed", columns)),
     )
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup(docs)
-    return out.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.greatest("__removed", F.lit(0)).alias("n_removed"))
+    return out.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
 
 
 OP3_SQL = r"""

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _STEP, Words, materialise, mix, segment_sums, slices, table
+from .common import _STEP, Words, free_name, materialise, mix, quoted, segment_sums, slices, spread_join, table
 
-#: Words after which a long sentence is cut, sentences in a span, and words that a span must have: any span counts.
-CUT, RUN, LEAST_WORDS = 10, 3, 0
+#: Words after which a long sentence is cut, and sentences in a span.
+CUT, RUN = 10, 3
 #: A long sentence is cut before a word whose hash is the least among so many words on each side.
 NEAR = 3
 _STOP = np.zeros(256, bool)
@@ -126,26 +126,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A sentence ends at a word that ends in . ! or ?, or at a line feed; one of more than CUT words is cut where its
     words say, and at the latest after CUT words. Sentences are compared word by word, ASCII letters in lower
     case, by 64-bit hashes; spans of short sentences count as any other. The first occurrence, by (id, sentence),
-    stays; of the later ones all covered sentences go, with the white space after them. Returns all columns of ``docs`` with the new text, and ``__sentences`` and ``__removed``, the numbers
-    of sentences before and removed.
+    stays; of the later ones all covered sentences go, with the white space after them. Returns all columns of
+    ``docs`` with the new text, and ``__sentences`` and ``__removed``, the numbers of sentences before and
+    removed; where ``docs`` has such a column, that of the counts has more underscores (``free_name``).
 
     A first aggregation of (hash, count) with map-side combine finds repeated spans; only their occurrences go
-    on, so no group is gathered. Texts of fewer sentences than a span stay as they are, null stays null, rows
-    that share an id are versions of one document (equal ones come out equal), a null id comes first, and an
-    empty table gives an empty table.
+    on, those of a hot hash dealt to several tasks, so no group is gathered. Texts of fewer sentences than a span
+    stay as they are, null stays null, a very long text is one row of marks, rows that share an id are versions of
+    one document (equal ones come out equal), a null id comes first, and an empty table gives an empty table.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    spans = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    spans = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).where("text IS NOT NULL")
     spans = spans.mapInArrow(_spans, f"id {id_type}, at int, h long")
-    often = spans.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = materialise(spans.join(often, "h"), "spans")
-    first = again.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"))
-    later = again.join(first, "h").where("NOT (struct(id, at) <=> first)")
-    marks = later.select("id", "at", "h").distinct().groupBy("id").agg(F.collect_list(F.struct("at", "h")).alias("__marks"))
-    marks = marks.withColumnRenamed("id", "__mark_id")
-    both = docs.join(marks, docs[id_col].eqNullSafe(F.col("__mark_id")), "left").select(*[docs[c] for c in docs.columns], "__marks")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__sentences", T.LongType()), T.StructField("__removed", T.LongType())])
-    return both.mapInArrow(_cutter(docs.columns.index(text_col), [f.name for f in schema.fields]), schema)
+    often = materialise(spans.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    again = materialise(spread_join(spans, often, ["h"], ["id", "at"]), "spans")
+    first = again.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n"))
+    later = spread_join(again, materialise(first, "first"), ["h"], ["id", "at"]).where("NOT (struct(id, at) <=> first)")
+    marks = later.select("id", "at", "h").distinct().groupBy("id").agg(F.collect_list(F.struct("at", "h")).alias("marks"))
+    # columns by number, so that no name of the table can meet one of ours
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    both = numbered.join(marks, numbered[f"c{id_at}"].eqNullSafe(marks["id"]), "left").select(*numbered.columns, "marks")
+    counts = [free_name(c, docs.columns) for c in ("__sentences", "__removed")]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
+    return both.mapInArrow(_cutter(text_at, [f.name for f in schema.fields]), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

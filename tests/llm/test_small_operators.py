@@ -36,8 +36,7 @@ def brute_substrings(rows):
     runs = lambda s: [(p, tuple(x[2] for x in s[p : p + 3])) for p in range(len(s) - 2)]
     for i, _ in sorted(rows):
         for p, r in runs(cut[i]):
-            if sum(map(len, r)) >= substring_dedup.LEAST_WORDS:
-                first.setdefault(r, (i, p))
+            first.setdefault(r, (i, p))
     for i, t in rows:
         gone = {q for p, r in runs(cut[i]) if r in first and first[r] != (i, p) for q in range(p, p + 3)}
         s = cut[i]
@@ -89,6 +88,21 @@ def test_repeats_out_of_phase_go(documents, prose):
     assert got[500] == rows[24][1] and len(got[501].split()) <= 90 and len(got[503].split()) <= 12
 
 
+ODD = ["__marks", "__mark_id", "__removed", "__sentences", "__lines", "__others", "__deal", "a.b", "id", "h", "marks", "lines", "drop"]
+
+
+@pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, line_dedup.line_dedup])
+def test_clashing_and_dotted_columns_stay(spark, prose, monkeypatch, operator):
+    monkeypatch.setattr("parlance.llm.common.LEAST_HOT", 2)
+    text = prose(1).replace(". ", ".\n")
+    df = spark.createDataFrame([(i, text if i < 8 else None, *range(len(ODD))) for i in range(10)], ["doc.id", "the.text", *ODD])
+    out = operator(df, id_col="doc.id", text_col="the.text")
+    assert out.columns[:-2] == df.columns and len(set(map(str.lower, out.columns))) == len(out.columns)
+    got = sorted(map(tuple, out.collect()))
+    assert [r[1] for r in got] == [text] + [""] * 7 + [None, None]
+    assert all(r[2:-2] == tuple(range(len(ODD))) for r in got) and [r[-1] > 0 for r in got] == [False] + [True] * 7 + [False] * 2
+
+
 # ---------------------------------------------------------------- 2
 
 
