@@ -90,6 +90,35 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     return dealt.join(copies, [*keys, "__deal"], how).drop("__deal")
 
 
+# ---------------------------------------------------------------- filters of fixed size
+
+#: Least and most bits of a filter (8 MB at most); beyond, it only holds back less.
+FILTER_BITS = (1 << 16, 1 << 26)
+
+
+def document_filter(needed: DataFrame, col: str = "id") -> np.ndarray:
+    """A bit for each hash bucket that a needed value falls in: some eight for each value, FILTER_BITS at most."""
+    many = needed.agg(F.approx_count_distinct(col)).first()[0]
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(8 * many, 1))), np.log2(FILTER_BITS[0]), np.log2(FILTER_BITS[1])))
+    bucket = F.pmod(F.xxhash64(col), F.lit(bits))
+    words = needed.select(F.shiftright(bucket, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({col}), {bits}L) & 63 as int))").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[np.asarray(got.column("word")).astype(np.int64)] = np.asarray(got.column("bits")).astype(np.int64)
+    return out
+
+
+def in_filter(bits: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows whose last column, their bucket, is in the filter; without that column."""
+    bucket = np.asarray(batch.column(batch.num_columns - 1)).astype(np.int64)
+    some = ((bits[bucket >> 6] >> (bucket & 63)) & 1).astype(bool)
+    return batch.select(list(range(batch.num_columns - 1))).filter(pa.array(some))
+
+
+def filter_bucket(bits: np.ndarray, col: str = "id") -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(64 * len(bits))).alias("bucket")
+
+
 # ---------------------------------------------------------------- components
 
 

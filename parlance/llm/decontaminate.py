@@ -8,34 +8,125 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Words, slices, table, text_or_empty
+from .common import _GOLDEN, _STEP, FILTER_BITS, Words, document_filter, filter_bucket, free_name, in_filter, materialise, mix, quoted, slices, spread_join, table, text_or_empty
 
-#: Words of a seed, words of benchmark items aligned in one scan (the most that is sent to the tasks).
-SEED, BLOCK_WORDS = 3, 1 << 20
+#: Words of a seed; a seed that more than MOST_ITEMS item texts share is made longer, up to LONGEST words.
+SEED, LONGEST, MOST_ITEMS = 3, 8, 32
+#: Words of benchmark items that are sent to the tasks at once, at most (8 MB).
+BLOCK_WORDS = 1 << 20
 #: Alignment: points for an equal word, and off for an unequal or a missing one.
 MATCH, UNEQUAL, GAP = 2, 1, 1
-#: An alignment counts in full at so many equal words, however long the item is.
-LONG = 40
 _AT_ONCE = 1 << 21
 
 
-class Items:
-    """Benchmark items of one block: word codes, and all their seeds sorted by hash."""
+# ---------------------------------------------------------------- seeds
+
+
+def _runs(code: np.ndarray, row: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, first words, hashes) of the runs of so many words within one text."""
+    h = np.zeros(len(code), np.uint64)
+    for size in range(1, max(sizes, default=0) + 1):
+        m = len(code) - size + 1
+        if m <= 0:
+            return
+        h = h[:m] + code[size - 1 :] * _STEP[size - 1]
+        if size in sizes:
+            at = np.flatnonzero(row[:m] == row[size - 1 :])
+            yield size, at, mix(h[at] + np.uint64(size) * np.uint64(_GOLDEN))
 
-    def __init__(self, ids: list[int], texts: pa.Array) -> None:
-        self.ids = np.asarray(ids, np.int64)
-        codes: list[np.ndarray] = []
-        for _, _, data, offsets in slices(texts, most_bytes=1 << 62):
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, data, offsets in slices(batch.column(1)):
             w = Words(data, offsets, plain=True)
-            codes = [w.code[w.first[i] : w.first[i + 1]] for i in range(w.n)]
-            rows, h = w.shingles(SEED)
-            place = np.concatenate([np.arange(max(len(c) - SEED + 1, 0)) for c in codes]) if codes else np.zeros(0, np.int64)
-        if not codes:
-            rows, h, place = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.codes, self.length = codes, np.array([len(c) for c in codes], np.int64)
-        order = np.argsort(h, kind="stable")
-        self.h, self.item, self.place = h[order], rows[order], place[order]
+            words = pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(w.code.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), words], names=["key", "words"])
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(1)
+        length = np.asarray(words.value_lengths()).astype(np.int64)
+        code = np.asarray(words.flatten()).view(np.uint64)
+        row = np.repeat(np.arange(len(length)), length)
+        first = np.cumsum(length) - length
+        for size, at, h in _runs(code, row, list(range(1, LONGEST + 1))):
+            # an item shorter than a seed is one as a whole
+            ok = np.minimum(length[row[at]], SEED) <= size
+            at, h = at[ok], h[ok]
+            keys = batch.column(0).take(pa.array(row[at]))
+            place = (at - first[row[at]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(at), size, np.int32)), pa.array(place), pa.array(h.view(np.int64))], names=["key", "size", "place", "h"])
+
+
+def rare_seeds(items: DataFrame) -> DataFrame:
+    """(h, size, entries): the seeds of the item texts (key, words), entries = array of (key, place, length).
+
+    At each place the shortest run, of SEED words or more, that MOST_ITEMS texts or fewer share; however often it
+    occurs in the corpus, it stays. A text all of whose runs are shared by more keeps its runs of SEED words.
+    """
+    runs = materialise(items.select("key", "words").mapInArrow(_item_seeds, "key long, size int, place int, h long"), "runs")
+    shared = runs.select("h", "key").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    rare = runs.join(shared, "h").where(F.col("n") <= MOST_ITEMS)
+    rare = materialise(rare.groupBy("key", "place").agg(F.min_by(F.struct("h", "size"), "size").alias("seed")).select("key", "place", "seed.*"), "rare")
+    others = runs.join(rare.select("key").distinct(), "key", "left_anti").withColumn("least", F.min("size").over(Window.partitionBy("key")))
+    chosen = rare.select("key", "place", "h", "size").unionByName(others.where("size = least").select("key", "place", "h", "size"))
+    chosen = chosen.join(items.select("key", F.size("words").alias("length")), "key")
+    return chosen.groupBy("h").agg(F.min("size").alias("size"), F.collect_list(F.struct("key", "place", "length")).alias("entries"))
+
+
+def _corpus_seeds(bits: np.ndarray, sizes: list[int]) -> Callable:
+    """Places of the runs of a document that may be seeds: those in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, data, offsets in slices(batch.column(1)):
+                w = Words(data, offsets, plain=True)
+                for _, at, h in _runs(w.code, w.row, sizes):
+                    bucket = (mix(h) % np.uint64(64 * len(bits))).astype(np.int64)
+                    some = ((bits[bucket >> 6] >> (bucket & 63)) & 1).astype(bool)
+                    at, found = at[some], h[some].view(np.int64)
+                    docs = batch.column(0).take(pa.array(w.row[at] + i))
+                    place = (at - w.first[w.row[at]]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(place), pa.array(found)], names=["doc", "place", "h"])
+
+    return run
+
+
+def _seed_bits(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The filter of the seeds' hashes, of bounded size, and the sizes of seeds that there are."""
+
+    def fill(bits: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bucket = (mix(np.asarray(batch.column(0)).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+                word, back = np.unique(bucket >> 6, return_inverse=True)
+                out = np.zeros(len(word), np.int64)
+                np.bitwise_or.at(out, back, np.int64(1) << (bucket & 63))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(out)], names=["word", "bits"])
+
+        return run
+
+    seen = seeds.agg(F.count("*"), F.collect_set("size")).first()
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(64 * seen[0], 1))), np.log2(FILTER_BITS[0]), np.log2(FILTER_BITS[1])))
+    got = seeds.select("h").mapInArrow(fill(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[np.asarray(got.column("word")).astype(np.int64)] = np.asarray(got.column("bits")).astype(np.int64)
+    return out, sorted(seen[1])
+
+
+# ---------------------------------------------------------------- alignment
+
+
+class Items:
+    """The words of item texts of one block, by their keys in order."""
+
+    def __init__(self, keys: np.ndarray, codes: list[np.ndarray]) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.codes = keys[order], [codes[i] for i in order]
+        self.length = np.array([len(c) for c in self.codes], np.int64)
 
 
 def smith_waterman(query: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,112 +153,132 @@ def smith_waterman(query: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, n
     return best, end
 
 
-def _hits(w: Words, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, item, diagonal) of every place where a document and an item share a seed, for whole documents at a time."""
-    rows, h = w.shingles(SEED)
-    if not len(items.h) or not len(h):
-        return
-    counts = np.maximum(np.diff(w.first) - SEED + 1, 0)
-    place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-    lo = np.searchsorted(items.h, h, "left")
-    times = np.searchsorted(items.h, h, "right") - lo
-    hit = np.flatnonzero(times)
-    rows, place, lo, times = rows[hit], place[hit], lo[hit], times[hit]
-    total, at = np.cumsum(times), 0
-    while at < len(hit):
-        # as many documents as fit the hits held at once, one at least
-        stop = int(np.searchsorted(total, total[at] - times[at] + _AT_ONCE, "right"))
-        if stop < len(hit):
-            stop = int(np.searchsorted(rows, rows[max(stop - 1, at)], "right" if rows[at] == rows[max(stop - 1, at)] else "left"))
-        t = times[at:stop]
-        seed = np.repeat(lo[at:stop], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
-        yield np.repeat(rows[at:stop], t), items.item[seed], np.repeat(place[at:stop], t) - items.place[seed]
-        at = stop
-
-
-def _windows(w: Words, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, item, from word, to word, seeds) of the passages that seeds point to."""
-    for row, item, diagonal in _hits(w, items):
-        order = np.lexsort((diagonal, item, row))
-        row, item, diagonal = row[order], item[order], diagonal[order]
-        length = items.length[item]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(8, length[1:] // 2))
-        first = np.flatnonzero(new)
-        seeds = np.diff(np.append(first, len(row)))
-        row, item, low, high = row[first], item[first], diagonal[first], np.maximum.reduceat(diagonal, first)
-        margin = items.length[item] // 4 + 4
-        words = np.diff(w.first)[row]
-        yield row, item, np.maximum(low - margin, 0), np.minimum(high + items.length[item] + margin, words), seeds
+def _windows(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray, words: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """(row, item, from word, to word, seeds) of the passages that seeds point to; words: how many each text has."""
+    order = np.lexsort((diagonal, item, row))
+    row, item, diagonal = row[order], item[order], diagonal[order]
+    length = items.length[item]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(8, length[1:] // 2))
+    first = np.flatnonzero(new)
+    seeds = np.diff(np.append(first, len(row)))
+    row, item, low = row[first], item[first], diagonal[first]
+    high = np.maximum.reduceat(diagonal, first) if len(first) else diagonal
+    margin = items.length[item] // 4 + 4
+    return row, item, np.maximum(low - margin, 0), np.minimum(high + items.length[item] + margin, words[row]), seeds
 
 
 def _align(items: Items, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, _, data, offsets in slices(batch.column(1)):
+            for i, j, data, offsets in slices(batch.column(1)):
+                hits = batch.column(2).slice(i, j - i)
+                entries = hits.flatten()
+                key, diagonal = np.asarray(entries.field("key")), np.asarray(entries.field("diagonal")).astype(np.int64)
+                row = np.repeat(np.arange(j - i), np.asarray(hits.value_lengths()))
+                at = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
+                own = items.keys[at] == key
                 w = Words(data, offsets, plain=True)
-                for row, item, low, high, seeds in _windows(w, items):
-                    size = np.lexsort((items.length[item], high - low))
-                    score, end = np.zeros(len(row)), np.zeros(len(row), np.int64)
-                    at = 0
-                    while at < len(size):
-                        # windows of like width, as many as fit the cells held at once
-                        count = max(1, min(len(size) - at, 4096))
-                        wide = int((high - low)[size[at + count - 1]])
-                        count = max(1, min(count, _AT_ONCE // max(wide, 1)))
-                        some = size[at : at + count]
-                        at += count
-                        wide, deep = int((high - low)[some].max()), int(items.length[item[some]].max())
-                        places = low[some][:, None] + np.arange(wide)
-                        inside = places < high[some][:, None]
-                        words = np.where(inside, w.code[np.minimum(w.first[row[some]][:, None] + places, len(w.code) - 1)], np.uint64(0))
-                        query = np.zeros((len(some), deep), np.uint64)
-                        for k, it in enumerate(item[some]):
-                            query[k, : items.length[it]] = items.codes[it]
-                        best, last = smith_waterman(query, words)
-                        score[some] = np.minimum(best / (MATCH * np.minimum(items.length[item[some]], LONG)), 1.0)
-                        end[some] = low[some] + last
-                    ok = np.flatnonzero(score >= least)
-                    ids = batch.column(0).take(pa.array(row[ok] + i))
-                    out = [ids, pa.array(items.ids[item[ok]]), pa.array(score[ok]), pa.array(seeds[ok]), pa.array(end[ok])]
-                    yield pa.RecordBatch.from_arrays(out, names=["id", "item_id", "score", "seeds", "last_word"])
+                row, item, low, high, seeds = _windows(row[own], at[own], diagonal[own], np.diff(w.first), items)
+                ok = high > low
+                row, item, low, high, seeds = row[ok], item[ok], low[ok], high[ok], seeds[ok]
+                size = np.lexsort((items.length[item], high - low))
+                score, end = np.zeros(len(row)), np.zeros(len(row), np.int64)
+                at = 0
+                while at < len(size):
+                    # windows of like width, as many as fit the cells held at once
+                    count = max(1, min(len(size) - at, 4096))
+                    wide = int((high - low)[size[at + count - 1]])
+                    count = max(1, min(count, _AT_ONCE // max(wide, 1)))
+                    some = size[at : at + count]
+                    at += count
+                    wide, deep = int((high - low)[some].max()), int(items.length[item[some]].max())
+                    places = low[some][:, None] + np.arange(wide)
+                    inside = places < high[some][:, None]
+                    words = np.where(inside, w.code[np.minimum(w.first[row[some]][:, None] + places, len(w.code) - 1)], np.uint64(0))
+                    query = np.zeros((len(some), deep), np.uint64)
+                    for k, it in enumerate(item[some]):
+                        query[k, : items.length[it]] = items.codes[it]
+                    best, last = smith_waterman(query, words)
+                    score[some] = best / (MATCH * items.length[item[some]])
+                    end[some] = low[some] + last
+                ok = np.flatnonzero(score >= least)
+                ids = batch.column(0).take(pa.array(row[ok] + i))
+                out = [ids, pa.array(items.keys[item[ok]]), pa.array(score[ok]), pa.array(seeds[ok]), pa.array(end[ok])]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "key", "score", "seeds", "last_word"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _only_filtered(bits: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield in_filter(bits, batch)
+
+    return run
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+) -> DataFrame:
     """(id, item_id, score, seeds, last_word) of every document and benchmark item that align well.
 
-    Words are runs of letters and digits, ASCII letters in lower case. All SEED-word seeds of an
-    item, however frequent, point to passages of the documents, around which the item is aligned (Smith-Waterman
-    over words). The score is the best local alignment as a share of a full one of the item, or of LONG words if
-    the item is longer; pairs of ``least`` or more are kept, each once with its best passage.
+    Words are runs of letters and digits, ASCII letters in lower case. Rare seeds (``rare_seeds``) of the items are
+    joined with the runs of the documents by their hashes; each item is aligned (Smith-Waterman over words) with the
+    passages its seeds point to. The score is the best local alignment as a share of a full one of the whole
+    item; pairs of ``least`` or more are kept, each once with its best passage.
+
+    The corpus is read twice, whatever the benchmark: once for seeds, of which only those in a filter of bounded
+    size leave their task, and once for the documents that share some. A seed of very many documents is dealt to
+    several tasks. Items are sent to the tasks in blocks of BLOCK_WORDS words.
 
-    The items are taken in blocks of BLOCK_WORDS words, so what the tasks hold is bounded, and the documents
-    are scanned once for each block, without a shuffle of texts. Null and empty texts and items align with
-    nothing, items shorter than a seed have none; rows that share an id are one document (the best score counts);
-    an empty table on either side gives no rows.
+    Ids of both sides have any type; a null id stays null, and items that share an id are versions of it, of
+    which the best counts, as are rows of ``docs`` that share an id. Null and empty texts align with nothing; an
+    item shorter than a seed is found where all its words stand in a row; very long texts are aligned only around
+    their seeds. Repeated rows change nothing; an empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    items = benchmark.select("item_id", text_or_empty("text").alias("text"))
-    total = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    blocks = int(total // BLOCK_WORDS) + 1
-    found = None
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).where("text IS NOT NULL")
+    source = source.withColumn("doc", F.xxhash64("id", "text"))
+    known = benchmark.select(F.col(quoted(item_col)).alias("item_id"), text_or_empty(F.col(quoted(item_text)).cast("string")).alias("text"))
+    known = materialise(known.select("item_id", "text", F.xxhash64("text").alias("key")).distinct(), "items")
+    items = known.groupBy("key").agg(F.min("text").alias("text")).mapInArrow(_item_words, "key long, words array<long>")
+    items = materialise(items.where("size(words) > 0"), "words")
+    seeds = materialise(rare_seeds(items), "seeds")
+    bits, sizes = _seed_bits(seeds)
+    found = source.select("doc", "text").mapInArrow(_corpus_seeds(bits, sizes), "doc long, place int, h long")
+    found = materialise(found, "found")
+    often = materialise(found.groupBy("h").agg(F.count("*").alias("n")).join(seeds.select("h", "entries"), "h"), "often")
+    hits = spread_join(found, often, ["h"], ["doc", "place"]).select("doc", "place", F.explode("entries").alias("e"))
+    hits = hits.select("doc", F.struct(F.col("e.key").alias("key"), (F.col("place") - F.col("e.place")).alias("diagonal")).alias("hit"))
+    hits = materialise(hits.groupBy("doc").agg(F.collect_list("hit").alias("hits")), "hits")
+    wanted = document_filter(hits.select("doc"), "doc")
+    texts = source.select("id", "text", "doc", filter_bucket(wanted, "doc")).mapInArrow(_only_filtered(wanted), f"id {id_type}, text string, doc long")
+    met = texts.join(hits, "doc").select("id", "text", "hits")
+    blocks = int((items.agg(F.sum(F.size("words"))).first()[0] or 0) // BLOCK_WORDS) + 1
+    met = materialise(met, "met") if blocks > 1 else met
+    aligned = None
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").toArrow()
-        block = Items([x if x is not None else -1 for x in part.column("item_id").to_pylist()], part.column("text").combine_chunks())
-        got = source.mapInArrow(_align(block, least), f"id {id_type}, item_id long, score double, seeds long, last_word long")
-        found = got if found is None else found.unionByName(got)
+        part = items.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toArrow()
+        block = Items(np.asarray(part.column("key")).astype(np.int64), [np.asarray(x.values).view(np.uint64) for x in part.column("words")])
+        if not len(block.keys):
+            continue
+        got = met.mapInArrow(_align(block, least), f"id {id_type}, key long, score double, seeds long, last_word long")
+        aligned = got if aligned is None else aligned.unionByName(got)
+    if aligned is None:
+        aligned = met.sparkSession.createDataFrame([], f"id {id_type}, key long, score double, seeds long, last_word long")
     best = F.max(F.struct("score", "seeds", "last_word")).alias("best")
-    return found.groupBy("id", "item_id").agg(best).select("id", "item_id", "best.score", "best.seeds", "best.last_word")
+    aligned = aligned.groupBy("id", "key").agg(best).join(known.select("key", "item_id"), "key")
+    return aligned.groupBy("id", "item_id").agg(F.max("best").alias("best")).select("id", "item_id", "best.score", "best.seeds", "best.last_word")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that align with no benchmark item, with all their columns."""
-    bad = contaminated(docs, benchmark, least, id_col, text_col).select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", **items: str) -> DataFrame:
+    """The documents that align with no benchmark item, with all their columns, whatever their names. Rows of an
+    id go together; nulls, empties and repeats are as in ``contaminated``, and without items all rows stay."""
+    bad = free_name("__bad", docs.columns)
+    found = contaminated(docs, benchmark, least, id_col, text_col, **items).select(F.col("id").alias(bad)).distinct()
+    found = materialise(found, "contaminated")
+    return docs.join(found, docs[quoted(id_col)].eqNullSafe(F.col(bad)), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, is_empty, materialise, mix, slices, spread_join, table
+from .common import Words, connected_components, document_filter, filter_bucket, in_filter, is_empty, materialise, mix, slices, spread_join, table
 
 #: Most shingles known as frequent (2 MB), and documents that make one frequent.
 FREQUENT, FREQUENT_FROM = 1 << 17, 4
-#: Least and most bits of the document filter (8 MB at most); beyond, it only holds back less.
-FILTER_BITS = (1 << 16, 1 << 26)
 #: Shingles a task holds while it counts; members, and shingles of members, that meet one query in a group.
 _BUFFER, MEMBERS, GROUP_SHINGLES = 1 << 21, 64, 1 << 20
 #: Members of one list that meet in one tile.
@@ -163,32 +161,10 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: np.ndarray) ->
     return alive, count[alive]
 
 
-def document_filter(needed: DataFrame) -> np.ndarray:
-    """A bit for each hash bucket that a needed id falls in: some eight for each id, FILTER_BITS at most."""
-    many = needed.agg(F.approx_count_distinct("id")).first()[0]
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(8 * many, 1))), np.log2(FILTER_BITS[0]), np.log2(FILTER_BITS[1])))
-    bucket = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = needed.select(F.shiftright(bucket, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}L) & 63 as int))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[np.asarray(got.column("word")).astype(np.int64)] = np.asarray(got.column("bits")).astype(np.int64)
-    return out
-
-
-def _in_filter(bits: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
-    bucket = np.asarray(batch.column(batch.num_columns - 1)).astype(np.int64)
-    some = ((bits[bucket >> 6] >> (bucket & 63)) & 1).astype(bool)
-    return batch.select(list(range(batch.num_columns - 1))).filter(pa.array(some))
-
-
-def _bucket(bits: np.ndarray):
-    return F.pmod(F.xxhash64("id"), F.lit(64 * len(bits))).alias("bucket")
-
-
 def _sets_of(k: int, bits: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = _in_filter(bits, batch)
+            some = in_filter(bits, batch)
             for i, j, data, offsets in slices(some.column(1)):
                 rows, h = shingle_sets(data, offsets, k)
                 first = np.searchsorted(rows, np.arange(j - i + 1)).astype(np.int32)
@@ -201,13 +177,13 @@ def _sets_of(k: int, bits: np.ndarray) -> Callable:
 def needed_sets(texts: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     """(id, set) of the documents that have a list in common with another: the only ones whose sets ever move."""
     bits = document_filter(needed)
-    return materialise(texts.select("id", "text", _bucket(bits)).mapInArrow(_sets_of(k, bits), "id long, set array<long>"), "sets")
+    return materialise(texts.select("id", "text", filter_bucket(bits)).mapInArrow(_sets_of(k, bits), "id long, set array<long>"), "sets")
 
 
 def _only_needed(bits: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = _in_filter(bits, batch)
+            some = in_filter(bits, batch)
             if some.num_rows:
                 yield some
 
@@ -248,7 +224,7 @@ def search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     roles = dealt.select("a", "part", F.col("b").alias("id"), F.lit(False).alias("is_query"))
     roles = roles.unionByName(dealt.select("a", "part", F.col("a").alias("id"), F.lit(True).alias("is_query")).distinct())
     bits = document_filter(roles.select("id"))
-    some = sets.select("id", "set", _bucket(bits)).mapInArrow(_only_needed(bits), "id long, set array<long>")
+    some = sets.select("id", "set", filter_bucket(bits)).mapInArrow(_only_needed(bits), "id long, set array<long>")
     return roles.join(some, "id").groupBy("a", "part").applyInArrow(_search(percent), "a long, b long").distinct()
 
 

@@ -1,6 +1,7 @@
 """Operators 4, 5 and 10, and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -120,16 +121,50 @@ def test_many_copies_of_one_edited_passage_are_found(documents, spark, prose):
     assert {(r.id, r.item_id) for r in got} == {(i, 1) for i, _ in rows if i < 6000}
 
 
-def test_hits_are_the_same_however_many_are_held(prose, monkeypatch):
-    items = dc.Items([1, 2, 3], pa.array([prose(1, 40), prose(1, 40), prose(2, 40)]))
-    texts = pa.array([prose(9, 30) + prose(1, 40), "", prose(2, 40) * 3, prose(8, 30), prose(1, 40)])
-    got = []
-    for most in (1 << 21, 60, 1):
-        monkeypatch.setattr(dc, "_AT_ONCE", most)
-        for _, _, data, offsets in slices(texts):
-            parts = list(dc._hits(Words(data, offsets, plain=True), items))
-            got.append(np.concatenate([np.stack(p) for p in parts], axis=1).tolist())
-    assert got[0] == got[1] == got[2] and len(parts) == 3
+def plain_words(t):
+    return re.findall(r"[a-z0-9]+", (t or "").lower())
+
+
+def plain_contaminated(rows, items, least=0.4):
+    """Every item against every whole document that shares a run of three words, by the full matrix."""
+    out = {}
+    runs = lambda w: {tuple(w[i : i + dc.SEED]) for i in range(max(len(w) - dc.SEED + 1, 1))}
+    for i, t in rows:
+        for j, u in items:
+            q, w = plain_words(u), plain_words(t)
+            if q and w and (runs(q) & runs(w)):
+                score = align(q, w) / (dc.MATCH * len(q))
+                if score >= least:
+                    out[i, j] = max(score, out.get((i, j), 0))
+    return out
+
+
+def test_contaminated_equals_a_plain_version(documents, spark, prose, monkeypatch):
+    rng = random.Random(8)
+    items = [(f"i{j}", prose(1000 + j, 10 + 3 * j)) for j in range(8)] + [("again", prose(1001, 13)), (None, prose(1002, 16)), ("i3", prose(1020, 12)), ("empty", ""), ("null", None)]
+    rows = [(i, prose(i, 25)) for i in range(10)] + [(90, None), (91, " . "), (None, prose(1004, 22)), (5, prose(1005, 25))]
+    for n in range(30):
+        w = prose(1000 + n % 8, 10 + 3 * (n % 8)).split()
+        for _ in range(rng.randrange(len(w) // 2)):
+            w[rng.randrange(len(w))] = "other"
+        w = w[: rng.randrange(len(w) // 2, len(w) + 1)]
+        rows.append((100 + n, prose(200 + n, 15) + " " + " ".join(w) + " " + prose(300 + n, 9)))
+    want = plain_contaminated(rows, items)
+    bench = spark.createDataFrame(items, "item string, words string")
+    for most in (32, 1):  # with every seed of copied items shared by more than the most, too
+        monkeypatch.setattr(dc, "MOST_ITEMS", most)
+        monkeypatch.setattr("parlance.llm.common.LEAST_HOT", 4)
+        got = {(r.id, r.item_id): r.score for r in dc.contaminated(documents(rows), bench, item_col="item", item_text="words").collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert 12 < len(want) < 60
+
+
+def test_common_seeds_grow_longer(spark):
+    texts = ["a b c " + " ".join(f"{i}w{k}" for k in range(6)) for i in range(40)] + ["a b c", "x y"]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string").mapInArrow(dc._item_words, "key long, words array<long>")
+    seeds = dc.rare_seeds(items).selectExpr("size", "explode(entries) as e").selectExpr("size", "e.key", "e.place").collect()
+    at = {(r.key, r.place): r["size"] for r in seeds}
+    assert at[0, 0] == 4 and at[0, 1] == 3 and at[40, 0] == 3 and at[41, 0] == 2 and len(at) == 40 * 7 + 2
 
 
 def test_blocks_of_items_give_the_same(documents, spark, prose, monkeypatch):
