@@ -179,7 +179,7 @@ def pages(spark, rows):
 def test_warc_round_trip(spark, tmp_path):
     long = "ü" * 80 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
     rows = [(3, "http://a.b/c?d#e", long), (1, "http://a.b", long), (2, None, None), (4, "x\r\ny", "short"), (5, "http://h", "short"), (6, "http://i/é", ""), (7, "http://j", "z" * 300_000), (1, "http://a.b", long)]
-    got = sorted(map(tuple, warc.round_trip(pages(spark, rows), f"file://{tmp_path}/w", pages_per_file=2).collect()), key=repr)
+    got = sorted(map(tuple, warc.round_trip(pages(spark, rows), f"file://{tmp_path}/w", file_bytes=200).collect()), key=repr)
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     want = [(i, len((t or "").encode()), sha(t), "revisit" if i == 3 else "response", 1 if i == 3 else None) for i, _, t in rows]
     assert got == sorted(want, key=repr)
@@ -190,7 +190,7 @@ def test_warc_captures_are_nested(spark, tmp_path):
     warc.write_archives(pages(spark, [(1, "http://a.b/c", "<p>é</p>")]), path)
     c = warc.assemble(warc.read_archives(spark, path)).collect()
     assert len(c) == 1 and bytes(c[0].response.payload).decode() == "<p>é</p>"
-    assert c[0].request.head.startswith("GET /c HTTP/1.1\r\nHost: a.b") and "page_id: 1" in c[0].metadata.fields
+    assert c[0].requests[0].head.startswith("GET /c HTTP/1.1\r\nHost: a.b") and "page_id: 1" in c[0].metadata[0].fields
     assert c[0].response.payload_digest == "sha256:" + c[0].response.payload_sha256
 
 
@@ -204,7 +204,68 @@ def test_an_archive_of_uncompressed_records(spark, tmp_path):
     lone = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <m>\r\nWARC-Concurrent-To: <zz>\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n"
     (tmp_path / "x.warc").write_bytes(rec + lone)
     c = {r.capture_id: r for r in warc.assemble(warc.read_archives(spark, f"file://{tmp_path}")).collect()}
-    assert c["<a>"].response.payload_bytes == 2 and c["<a>"].request is None and c["<zz>"].response is None
+    assert c["<a>"].response.payload_bytes == 2 and c["<a>"].requests == [] and c["<zz>"].response is None
+
+
+def record(kind, name, block, *fields):
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *fields, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_many_small_members_are_read_in_linear_time(spark, tmp_path):
+    import gzip
+    import time
+
+    took = []
+    for n in (2_500, 10_000):
+        data = b"".join(gzip.compress(record("response", i, b"HTTP/1.1 200 OK\r\n\r\n" + hashlib.sha256(str(i).encode()).hexdigest().encode() * 20)) for i in range(n))
+        began = time.perf_counter()
+        assert sum(1 for _ in warc._records(data)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 1
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    got = warc.read_archives(spark, f"file://{tmp_path}")
+    assert got.selectExpr("count(distinct record_id)", "sum(length(payload))", "count(damage)").first()[:] == (10_000, 10_000 * 1280, 0)
+
+
+def test_damaged_archives(spark, tmp_path):
+    import gzip
+
+    sound, other = record("response", "a", b"HTTP/1.1 200 OK\r\n\r\nhi"), record("metadata", "m", b"a:b", "WARC-Concurrent-To:", "\t<a>")
+    broken = record("response", "b", b"x").replace(b"Length: 1", b"Length: one")
+    (tmp_path / "1.warc").write_bytes(sound + broken + other + record("metadata", "m2", b"c:d", "WARC-Concurrent-To: <a>"))
+    (tmp_path / "2.warc.gz").write_bytes(b"".join(map(gzip.compress, (record("request", "q", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <a>"), broken, record("warcinfo", "i", b"x: y")))) + b"no member")
+    (tmp_path / "3.warc").write_bytes(record("resource", "r", b"0123456789")[:-9])
+    (tmp_path / "4.warc.gz").write_bytes(gzip.compress(record("resource", "s", bytes(range(256)) * 50))[:-40])
+    (tmp_path / "5.warc").write_bytes(b"nothing of the kind")
+    got = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.record_id or "", r.damage or "") for r in got) == sorted(
+        [("<a>", ""), ("", "head"), ("<m>", ""), ("<m2>", ""), ("<q>", ""), ("", "head"), ("<i>", ""), ("", "bytes"), ("<r>", "cut"), ("<s>", "cut"), ("", "cut")]
+    )
+    c = {r.capture_id: r for r in warc.assemble(warc.read_archives(spark, f"file://{tmp_path}")).collect()}
+    assert [(m.record_id, m.fields) for m in c["<a>"].metadata] == [("<m2>", "c:d"), ("<m>", "a:b")] and [q.record_id for q in c["<a>"].requests] == ["<q>"]
+
+
+def test_archives_are_bounded_and_have_a_member_for_each_record(spark, tmp_path, monkeypatch):
+    import zlib
+
+    monkeypatch.setattr("parlance.llm.common.LEAST_HOT", 2)
+    rows = [(i, f"http://a/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 40 if i % 3 else "same " * 40) for i in range(60)]
+    got = warc.round_trip(pages(spark, rows).repartition(2), f"file://{tmp_path}/w", file_bytes=2_000).collect()
+    first = {}
+    for i, _, t in rows:
+        first.setdefault(t, i)
+    want = [(i, len(t), hashlib.sha256(t.encode()).hexdigest(), "revisit" if first[t] < i else "response", first[t] if first[t] < i else None) for i, _, t in rows]
+    assert sorted(map(tuple, got)) == want
+    files = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part")]
+    assert len(files) > 8 and all(f.stat().st_size < 5_000 for f in files)
+    rest, members = files[0].read_bytes(), []
+    while rest:
+        z = zlib.decompressobj(31)
+        members.append(z.decompress(rest) + z.flush())
+        assert z.eof
+        rest = z.unused_data
+    assert all(m.startswith(b"WARC/1.1") and m.count(b"WARC-Type:") == 1 for m in members[:-1]) and members[-1] == b""
 
 
 # ---------------------------------------------------------------- 8
