@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -21,8 +22,8 @@ _BUFFER, MEMBERS, GROUP_SHINGLES = 1 << 21, 64, 1 << 20
 TILE = 512
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.0085
-#: Bits of a set's parity sketch.
-SKETCH = 1024
+#: Bits of a set's parity sketch, and of the folded one that goes into tiles.
+SKETCH, FOLDED = 1024, 256
 
 
 # ---------------------------------------------------------------- shingle sets
@@ -175,7 +176,7 @@ def _sets_of(k: int, bits: np.ndarray) -> Callable:
 
 
 def needed_sets(texts: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(id, set) of the documents that have a list in common with another: the only ones whose sets ever move."""
+    """(id, set) of the documents that stand in a candidate pair: the only ones whose sets are made and ever move."""
     bits = document_filter(needed)
     return materialise(texts.select("id", "text", filter_bucket(bits)).mapInArrow(_sets_of(k, bits), "id long, set array<long>"), "sets")
 
@@ -255,8 +256,8 @@ def _tile_pairs(percent: int) -> Callable:
         h, deal, other, rep, n, pos, component = (get(c) for c in ("h", "deal", "other", "rep", "n", "pos", "component"))
         sketch = group.column("sketch").combine_chunks() if isinstance(group.column("sketch"), pa.ChunkedArray) else group.column("sketch")
         known = ~np.asarray(sketch.is_null())
-        bits = np.zeros((len(h), SKETCH // 64), np.uint64)
-        bits[known] = np.asarray(sketch.drop_null().flatten()).view(np.uint64).reshape(-1, SKETCH // 64)
+        bits = np.zeros((len(h), FOLDED // 64), np.uint64)
+        bits[known] = np.asarray(sketch.drop_null().flatten()).view(np.uint64).reshape(-1, FOLDED // 64)
         order = np.lexsort((rep, other, deal, h))
         edge = np.flatnonzero(np.r_[True, (np.diff(h[order]) != 0) | (np.diff(deal[order]) != 0) | (np.diff(other[order]) != 0), True])
         a, b, both = [], [], []
@@ -286,7 +287,10 @@ def _tiles(lists: DataFrame, open_: DataFrame, sketches: DataFrame, percent: int
     """(a, b, both): what is left after the pivots. The members of a list are dealt to parts of about TILE rows,
     and each two parts meet in a tile; short lists share tiles. Only pairs that may link leave their tile."""
     wide = open_.select("h", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), "n")
-    rows = spread_join(lists, wide, ["h"], ["rep"]).join(sketches, "rep", "left")
+    # parities of several bits together are parities again: a fold tells apart less, and never more
+    fold = lambda i: reduce(lambda x, y: x.bitwiseXOR(y), [F.col("sketch")[j] for j in range(i, SKETCH // 64, FOLDED // 64)])
+    folded = F.when(F.col("sketch").isNotNull(), F.array(*[fold(i) for i in range(FOLDED // 64)]))
+    rows = spread_join(lists, wide, ["h"], ["rep"]).join(sketches.select("rep", folded.alias("sketch")), "rep", "left")
     rows = rows.withColumn("deal", F.pmod(F.xxhash64(F.lit(7), "rep"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     small = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.lit(open_.agg(F.sum("n")).first()[0] // TILE)))
@@ -345,7 +349,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, i
     # sketches of those documents only that share a list with another; none where an id has different sets
     sketches = profiles.join(met, "id").groupBy(F.col("id").alias("rep")).agg(F.min("sketch").alias("lo"), F.max("sketch").alias("hi"))
     sketches = materialise(sketches.select("rep", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("sketch")), "sketches")
-    whole = needed_sets(texts, met, k)
+    whole, fetched = None, None
     # rows of one id with different sets are the same node
     twice = profiles.select("id", *sets).distinct().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     twice = materialise(twice, "twice")
@@ -361,14 +365,19 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, i
         if is_empty(open_):
             break
         pairs = _pivot_pairs(known, open_, percent) if turn < turns else _tiles(known, open_, sketches, percent)
-        pairs = materialise(pairs, "met") if turn < turns else pairs
+        pairs = materialise(pairs, "met")
         if tried is not None:
             swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
             pairs = pairs.join(tried.unionByName(swapped), ["a", "b"], "left_anti")
-        pairs = materialise(_may_link(pairs, sketches, percent) if turn < turns else pairs, "candidates")
+        pairs = materialise(_may_link(pairs, sketches, percent), "candidates")
         if is_empty(pairs):
             continue
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        new = materialise(asked if fetched is None else asked.join(fetched, "id", "left_anti"), "asked")
+        sets_of = needed_sets(texts, new, k).join(new, "id", "left_semi") if fetched is not None else needed_sets(texts, new, k)
+        whole = sets_of if whole is None else whole.unionByName(sets_of)
+        fetched = whole.select("id").distinct()
         links = materialise(search(pairs, whole, percent), "links")
         if not is_empty(links):
             # what is known goes on as one edge for each node

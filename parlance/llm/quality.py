@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, segment_sums, slices, table
+from .common import Words, materialise, quoted, segment_sums, slices, table
 
 FEATURES = (
     "log_words", "word_bytes", "symbols", "capitals", "digits", "beyond_ascii", "bars", "distinct", "top_word", "echo",
@@ -213,10 +213,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: str = "pmod(crc32(c
     a label and fulfil ``train``, ``most_rows`` of them at most, in order of a hash of their id; nothing but the
     features goes into a score. Null and empty texts have zeros for features and so a score; without any row
     to learn from, or with one label only, the score is the share of label 1 (0.5 without rows). Rows that
-    repeat keep a row each; an id with several labels counts with the largest.
+    repeat keep a row each; an id with several labels counts with the largest; a null id is scored and teaches
+    nothing. Extra columns play no part; no rows give no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     x = source.mapInArrow(_features, f"id {id_type}, " + ", ".join(f"{f} double" for f in FEATURES))
     x = materialise(x, "features")
     known = labels.where("label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label")).where(train)
@@ -230,9 +231,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: str = "pmod(crc32(c
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is not held out, though no label is learned from it."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     out = score_quality(table(spark, sf_dir, "documents"), labels)
-    held_out = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0, F.lit(False))
     return out.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -10,17 +10,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import LOWER, Words, mix, slices, table
+from .common import LOWER, Words, materialise, mix, quoted, slices, table
 
 #: Words of a window, and words from one window's start to the next: windows overlap by a quarter.
 WIDTH, STRIDE = 48, 36
 #: Character inputs: beginnings and endings of so many bytes; hash buckets of each kind of input.
 BEGINS, ENDS, BUCKETS = (3, 4, 5, 6, 7, 8), (3, 4, 5), 1 << 16
 KINDS = 1 + len(BEGINS) + len(ENDS)
-HIDDEN, RANDOM = 8, 4
-#: Labelled documents that the network is fitted on at most, a third of them toxic.
-MOST_DOCS = 4_000
+#: Units of a direction, and numbers learned for a word and for its characters.
+HIDDEN, LEARNED = 8, 6
+#: Labelled documents that the network is fitted on at most, a third of them toxic, and bytes of their texts.
+MOST_DOCS, MOST_BYTES = 4_000, 64 << 20
+#: Share of words whose learned inputs are left out of a step while fitting, decay of those inputs per step, and
+#: how fast they learn, as a share of the network's rate, and how far they start from 0.
+LEFT_OUT, DECAY, PACE, SPREAD = 0.5, 1e-4, 0.1, 0.02
 _CHUNK = 2048
 
 
@@ -67,15 +72,44 @@ def evidence(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def word_inputs(buckets: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Evidence of the word and of its characters, and a few random signs that tell words apart."""
-    x = np.empty((len(buckets), KINDS + RANDOM), np.float32)
+class Embeddings:
+    """Learned inputs: LEARNED numbers for a word, and the mean of those of its beginnings and endings."""
+
+    def __init__(self, size: int = LEARNED, seed: int = 3) -> None:
+        rng = np.random.default_rng(seed)
+        self.size = size
+        self.t = {k: rng.normal(0, SPREAD, (BUCKETS, size)).astype(np.float32) for k in ("word", "char")}
+        self.t["char"][-1] = 0
+
+    def inputs(self, buckets: np.ndarray) -> np.ndarray:
+        chars = buckets[..., 1:]
+        there = np.maximum((chars != BUCKETS - 1).sum(axis=-1, keepdims=True), 1).astype(self.t["char"].dtype)
+        total = self.t["char"][chars[..., 0]]
+        for k in range(1, KINDS - 1):
+            total = total + self.t["char"][chars[..., k]]
+        return np.concatenate([self.t["word"][buckets[..., 0]], total / there], axis=-1)
+
+    def gradients(self, buckets: np.ndarray, dx: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """(rows, their gradients) of both tables, from the gradients of the inputs."""
+        flat, d = buckets.reshape(-1, KINDS), dx.reshape(-1, 2 * self.size)
+        chars = flat[:, 1:]
+        own = chars != BUCKETS - 1
+        share = d[:, self.size :] / np.maximum(own.sum(axis=1, keepdims=True), 1)
+        which = np.nonzero(own)
+        out = {}
+        for name, rows, g in (("word", flat[:, 0], d[:, : self.size]), ("char", chars[which], share[which[0]])):
+            rows, back = np.unique(rows, return_inverse=True)
+            sums = [np.bincount(back, g[:, k], minlength=len(rows)) for k in range(self.size)]
+            out[name] = rows, np.stack(sums, axis=1) if len(rows) else np.zeros((0, self.size))
+        return out
+
+
+def word_inputs(buckets: np.ndarray, tables: np.ndarray, learned: Embeddings) -> np.ndarray:
+    """Evidence of the word and of its characters, and what is learned of both."""
+    x = np.empty((len(buckets), KINDS), np.float32)
     for k in range(KINDS):
         x[:, k] = tables[k][buckets[:, k]]
-    signs = mix(buckets[:, 0].astype(np.uint64))
-    for r in range(RANDOM):
-        x[:, KINDS + r] = ((signs >> np.uint64(7 * r)) & np.uint64(1)).astype(np.float32) - 0.5
-    return x
+    return np.concatenate([x, learned.inputs(buckets)], axis=1)
 
 
 def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +175,7 @@ class Network:
         return self.pool(self.states(gates, mask), mask)[0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean weighted logistic loss of windows x (steps, windows, inputs), and its gradients."""
+        """Mean weighted logistic loss of windows x (steps, windows, inputs), and its gradients, those of x too."""
         p, k = self.p, self.hidden
         kept: list = []
         gates = x @ p["W"] + p["b"]
@@ -174,25 +208,42 @@ class Network:
             g[f"U{d}"] += before.T @ dhu
             back = total * (1 - m * (1 - z)) + dhu @ p[f"U{d}"].T
         g["W"], g["b"] = np.einsum("tni,tnk->ik", x, dgates), dgates.sum(axis=(0, 1))
+        g["x"] = dgates @ p["W"].T
         return float(loss), g
 
-    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 2) -> Network:
-        """Adam over shuffled batches. x: (windows, steps, inputs)."""
+    def fit(
+        self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, buckets: np.ndarray, learned: Embeddings, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 2
+    ) -> Network:
+        """Adam over shuffled batches, of the network and of the learned inputs of the words that a batch has.
+
+        x: (windows, steps, evidence), buckets: (windows, steps, kinds).
+        """
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        everything = self.p | learned.t
+        m = {k: np.zeros_like(v) for k, v in everything.items()}
+        s = {k: np.zeros_like(v) for k, v in everything.items()}
         step = 0
         epochs = max(epochs, -(-150 * batch // max(len(y), 1)) if len(y) < 25 * batch else epochs)
+
+        def move(k: str, at, g: np.ndarray, pace: float = 1.0) -> None:
+            g = g.astype(np.float32)
+            m[k][at] += 0.1 * (g - m[k][at])
+            s[k][at] += 0.001 * (g * g - s[k][at])
+            everything[k][at] -= (pace * rate * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(s[k][at] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+
         for _ in range(min(epochs, 40)):
             order = rng.permutation(len(y))
             for i in range(0, len(y), batch):
                 some = order[i : i + batch]
-                _, g = self.gradients(x[some].transpose(1, 0, 2), mask[some].T, y[some], weight[some])
+                own = buckets[some].transpose(1, 0, 2).astype(np.int64)
+                there = ((rng.random(own.shape[:2]) >= LEFT_OUT) * mask[some].T)[:, :, None].astype(np.float32)
+                inputs = np.concatenate([x[some].transpose(1, 0, 2), learned.inputs(own) * there], axis=2)
+                _, g = self.gradients(inputs, mask[some].T, y[some], weight[some])
                 step += 1
                 for k in self.p:
-                    m[k] += 0.1 * (g[k] - m[k])
-                    s[k] += 0.001 * (g[k] * g[k] - s[k])
-                    self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    move(k, ..., g[k])
+                for k, (rows, grads) in learned.gradients(own, g["x"][:, :, KINDS:] * there).items():
+                    move(k, rows, grads + DECAY * learned.t[k][rows], PACE)
         return self
 
 
@@ -200,10 +251,10 @@ class Network:
 
 
 class ToxicityModel:
-    """Evidence tables, a network over windows, and a calibration of a document's windows."""
+    """Evidence tables, learned inputs, a network over windows, and a calibration of a document's windows."""
 
-    def __init__(self, tables: np.ndarray, network: Network, calibration: np.ndarray) -> None:
-        self.tables, self.network, self.calibration = tables, network, calibration
+    def __init__(self, tables: np.ndarray, learned: Embeddings, network: Network, calibration: np.ndarray) -> None:
+        self.tables, self.learned, self.network, self.calibration = tables, learned, network, calibration
 
     def window_logits(self, first: np.ndarray, buckets: np.ndarray, back: np.ndarray, tables: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(text, logit) of all overlapping windows; distinct words are put through the input layer once."""
@@ -211,7 +262,7 @@ class ToxicityModel:
         out = np.zeros(len(row), np.float32)
         if not len(row):
             return row, out
-        gates = word_inputs(buckets, self.tables if tables is None else tables) @ self.network.p["W"] + self.network.p["b"]
+        gates = word_inputs(buckets, self.tables if tables is None else tables, self.learned) @ self.network.p["W"] + self.network.p["b"]
         order = np.argsort(size, kind="stable")
         for i in range(0, len(row), _CHUNK):
             some = order[i : i + _CHUNK]
@@ -290,13 +341,13 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     tables = [evidence([b for b, s in zip(per_doc, half) if s != k], y[half != k]) for k in (0, 1)]
     everything = evidence(per_doc, y)
     del per_doc
-    xs, masks, ys = [], [], []
+    xs, words, masks, ys = [], [], [], []
     for p in parts:
         row, start, size = windows_of(p.first)
         edge = np.searchsorted(row, np.arange(p.n + 1))
         for k in (0, 1):
-            inputs = word_inputs(p.buckets, tables[k])
-            worth = inputs[:, :KINDS].sum(axis=1)[p.back]
+            inputs = np.stack([tables[k][j][p.buckets[:, j]] for j in range(KINDS)], axis=1)
+            worth = inputs.sum(axis=1)[p.back]
             for r in np.flatnonzero(half[p.at : p.at + p.n] == k):
                 own = np.arange(edge[r], edge[r + 1])
                 if not len(own):
@@ -304,18 +355,21 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
                 top = np.array([worth[start[o] : start[o] + size[o]].max() for o in own])
                 order = own[np.argsort(-top, kind="stable")]
                 for o in dict.fromkeys([order[0], order[min(1, len(order) - 1)] if y[p.at + r] else order[len(order) // 2]]):
-                    x = np.zeros((WIDTH, inputs.shape[1]), np.float32)
-                    x[: size[o]] = inputs[p.back[start[o] : start[o] + size[o]]]
+                    x, b = np.zeros((WIDTH, KINDS), np.float32), np.full((WIDTH, KINDS), BUCKETS - 1, np.uint16)
+                    place = p.back[start[o] : start[o] + size[o]]
+                    x[: size[o]], b[: size[o]] = inputs[place], p.buckets[place]
                     xs.append(x)
+                    words.append(b)
                     masks.append(np.arange(WIDTH) < size[o])
                     ys.append(y[p.at + r])
-    network = Network(KINDS + RANDOM)
+    learned, network = Embeddings(), Network(KINDS + 2 * LEARNED)
     target = np.asarray(ys, np.float32)
     share = float(np.clip(target.mean(), 0.01, 0.99)) if len(ys) else 0.5
     if len(ys):
-        network.fit(np.stack(xs), np.stack(masks).astype(np.float32), target, np.where(target > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32))
-    del xs, masks
-    model = ToxicityModel(everything, network, np.array([0.0, 1.0, 0.0, 0.0]))
+        weights = np.where(target > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+        network.fit(np.stack(xs), np.stack(masks).astype(np.float32), target, weights, np.stack(words), learned)
+    del xs, words, masks
+    model = ToxicityModel(everything, learned, network, np.array([0.0, 1.0, 0.0, 0.0]))
     summary = np.zeros((len(y), 4))
     for p in parts:
         for k in (0, 1):
@@ -356,34 +410,51 @@ def _scorer(model: ToxicityModel | float):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "pmod(crc32(cast(id as string)), 3) <> 1", most_docs: int = MOST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    train: str = "pmod(crc32(cast(id as string)), 3) <> 1",
+    most_docs: int = MOST_DOCS,
+    most_bytes: int = MOST_BYTES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """(id, score) of every row of ``docs``: the chance that its label (``labels``: id, label 0 or 1) is 1.
 
     Every whole text is scored, over all its overlapping windows; the highest window, the number expected to
-    be toxic and the number of all are calibrated together. The network is fitted, in one task, on at most
-    ``most_docs`` labelled documents that fulfil ``train`` (a third toxic at most, in order of a hash of the id),
-    weighted by what they stand for. Null and empty texts have no window and the score of that; without labels of
-    both kinds the score is the share of label 1 among those given (0 without any). Rows that repeat keep a row
-    each; an id with several labels counts with the largest, one with several texts teaches the smallest.
+    be toxic and the number of all are calibrated together. The network and the inputs of words and characters
+    are fitted, in one task, on at most ``most_docs`` labelled documents that fulfil ``train`` (a third toxic at
+    most, in order of a hash of the id) and ``most_bytes`` of texts (a third of these, too; a text of more than an
+    eighth teaches nothing), weighted by what they stand for. Null and empty texts have no window and the score of
+    that; without labels of both kinds the score is the share of label 1 among those given (0 without any). Rows
+    that repeat keep a row each; an id with several labels counts with the largest, one with several texts teaches
+    the smallest; a null id is scored and teaches nothing. Extra columns play no part; no rows give no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     known = labels.where("label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label")).where(train)
     quota = {1: most_docs // 3, 0: most_docs - most_docs // 3}
     kinds = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(q) for k, q in quota.items()]
     sample = kinds[0].unionByName(kinds[1])
     total = {int(r["label"]): r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     # most_docs rows at most on either side of the join and in the task that fits
-    chosen = source.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text")).repartition(1)
-    got = chosen.select("id", "text", "label").mapInArrow(_fitter(total), "model binary").collect()
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    short = source.withColumn("size", size).where(F.col("size") <= most_bytes // 8)
+    chosen = short.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    chosen = materialise(chosen.withColumn("size", size), "chosen")
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    within = F.sum("size").over(so_far) <= F.when(F.col("label") == 1, most_bytes // 3).otherwise(most_bytes - most_bytes // 3)
+    taken = chosen.select("id", "label", "size").withColumn("within", within).where("within").select("id")
+    got = chosen.join(F.broadcast(taken), "id").repartition(1).select("id", "text", "label").mapInArrow(_fitter(total), "model binary").collect()
     model = pickle.loads(bytes(got[0]["model"])) if got else 0.0
     return source.mapInArrow(_scorer(model), f"id {id_type}, score double")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is not held out, though no label is learned from it."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
     out = score_toxicity(table(spark, sf_dir, "documents"), labels)
-    held_out = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3)) == 1
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3)) == 1, F.lit(False))
     return out.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

@@ -198,6 +198,69 @@ def test_gradients_by_differences():
             assert (values[0] - values[1]) / 2e-5 == pytest.approx(g[name][at], abs=1e-7)
 
 
+def test_gradients_of_learned_inputs_by_differences():
+    rng = np.random.default_rng(5)
+    net, learned = tx.Network(2 * 3, 3), tx.Embeddings(3)
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    learned.t = {k: v.astype(float) for k, v in learned.t.items()}
+    buckets = rng.integers(0, 40, (4, 5, tx.KINDS))
+    buckets[0, 0, 3:] = buckets[1, 2, 1:] = tx.BUCKETS - 1  # words too short for some, or all, characters
+    mask, y, weight = np.ones((4, 5)), rng.integers(0, 2, 5).astype(float), rng.random(5)
+    loss = lambda: net.gradients(learned.inputs(buckets), mask, y, weight)
+    for name, (rows, grads) in learned.gradients(buckets, loss()[1]["x"]).items():
+        assert tx.BUCKETS - 1 not in rows or name == "word"
+        for r, g in list(zip(rows, grads))[:8]:
+            for k in range(3):
+                old, values = learned.t[name][r, k], []
+                for e in (1e-5, -1e-5):
+                    learned.t[name][r, k] = old + e
+                    values.append(loss()[0])
+                learned.t[name][r, k] = old
+                assert (values[0] - values[1]) / 2e-5 == pytest.approx(g[k], abs=1e-7)
+
+
+def plain_score(model, text):
+    """Every window by itself, word after word."""
+    (_, _, data, offsets), = slices(pa.array([text]))
+    w = Words(data, offsets, plain=True)
+    kinds, back = tx.unique_words(w)
+    if not len(back):
+        return 1 / (1 + np.exp(-(model.calibration @ np.array([1, -20, 0, 0]))))
+    p, k = model.network.p, model.network.hidden
+    inputs = []
+    for b in (kinds[i] for i in back):
+        chars = [model.learned.t["char"][c] for c in b[1:] if c != tx.BUCKETS - 1]
+        inputs.append(np.concatenate([[model.tables[j][b[j]] for j in range(tx.KINDS)], model.learned.t["word"][b[0]], np.mean(chars, axis=0) if chars else np.zeros(tx.LEARNED)]))
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    logits, at = [], 0
+    while True:
+        window = inputs[at : at + tx.WIDTH]
+        states = [[None] * len(window), [None] * len(window)]
+        for d, order in ((0, range(len(window))), (1, reversed(range(len(window))))):
+            h = np.zeros(k)
+            for t in order:
+                x, hu = (window[t] @ p["W"] + p["b"])[3 * k * d : 3 * k * (d + 1)], h @ p[f"U{d}"]
+                z, r = sigmoid(x[:k] + hu[:k]), sigmoid(x[k : 2 * k] + hu[k : 2 * k])
+                h = z * h + (1 - z) * np.tanh(x[2 * k :] + r * hu[2 * k :])
+                states[d][t] = h
+        both = [np.concatenate([a, b]) for a, b in zip(*states)]
+        e = np.array([(np.tanh(s @ p["A"] + p["a"]) @ p["v"])[0] for s in both])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        logits.append(float((sum(w * s for w, s in zip(a, both)) @ p["o"])[0] + p["c"][0]))
+        if at + tx.WIDTH >= len(inputs):
+            break
+        at += tx.STRIDE
+    logits = np.array(logits)
+    return sigmoid(model.calibration @ np.array([1, np.clip(logits.max(), -20, 20), np.log1p(sigmoid(logits).sum()), np.log1p(len(logits))]))
+
+
+def test_scores_equal_a_plain_scorer(prose):
+    texts = [prose(i, 20 + i * 25) + (" Grobbit, zarkle!" if i % 2 else "") for i in range(10)] + ["", "one", "a b " * 60]
+    model = tx.fit(pa.array(texts), np.array([i % 2 for i in range(len(texts))]), np.ones(len(texts)))
+    (_, _, data, offsets), = slices(pa.array(texts))
+    assert np.allclose(model.scores(data, offsets), [plain_score(model, t) for t in texts], atol=1e-4)
+
+
 def test_padding_changes_no_window():
     net, rng = tx.Network(4, 3), np.random.default_rng(1)
     gates = rng.normal(size=(5, 2, 18))
@@ -240,8 +303,17 @@ def test_toxicity_of_held_out_rows(insults):
     held = labels.where("pmod(crc32(cast(id as string)), 3) = 1").collect()
     assert sum((got[r.id] >= 0.7) == bool(r.label) for r in held) >= 0.93 * len(held)
     assert got[902] > got[903] and got[900] == got[901] < 0.7 and all(0 <= s <= 1 for s in got.values())
-    again = {r.id: r.score for r in tx.score_toxicity(docs, labels).collect()}
-    assert again == pytest.approx(got)
+    # repeated rows and null ids are scored like any other, and teach nothing more
+    more = docs.unionByName(docs.limit(30)).unionByName(docs.where("doc_id = 902").withColumn("doc_id", F.lit(None).cast("long")))
+    again = tx.score_toxicity(more, labels.union(labels.limit(9))).collect()
+    assert len(again) == docs.count() + 31
+    assert all(r.score == pytest.approx(got[902 if r.id is None else r.id]) for r in again)
+
+
+def test_toxicity_learns_from_a_bounded_sample(insults):
+    docs, labels = insults
+    got = {r.id: r.score for r in tx.score_toxicity(docs, labels, most_docs=60, most_bytes=40_000).collect()}
+    assert len(got) == docs.count() and len(set(got.values())) > 100
 
 
 def test_toxicity_without_labels(insults):
