@@ -25,7 +25,7 @@ HIDDEN, LEARNED = 8, 6
 MOST_DOCS, MOST_BYTES = 4_000, 64 << 20
 #: Share of words whose learned inputs are left out of a step while fitting, decay of those inputs per step, and
 #: how fast they learn, as a share of the network's rate, and how far they start from 0.
-LEFT_OUT, DECAY, PACE, SPREAD = 0.5, 1e-4, 0.1, 0.02
+LEFT_OUT, DECAY, PACE, SPREAD = 0.8, 1e-4, 0.1, 0.1
 _CHUNK = 2048
 
 
@@ -212,7 +212,7 @@ class Network:
         return float(loss), g
 
     def fit(
-        self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, buckets: np.ndarray, learned: Embeddings, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 2
+        self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, buckets: np.ndarray, learned: Embeddings, epochs: int = 8, batch: int = 256, rate: float = 0.01, seed: int = 2
     ) -> Network:
         """Adam over shuffled batches, of the network and of the learned inputs of the words that a batch has.
 
