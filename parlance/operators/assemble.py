@@ -63,9 +63,17 @@ def sample_frames(frames: DataFrame, rates: DataFrame) -> DataFrame:
     return f.where(keep).select(*frames.columns)
 
 
+def excluded_overlap(spans: DataFrame) -> DataFrame:
+    """(session_id, excluded): how much of the subject's speech others talk into; 0 where they never do."""
+    own = spans.where("role = 'subject'").select("session_id", "start", "end")
+    rest = spans.where("role <> 'subject'").select("session_id", "start", "end")
+    over = sp.intersect(own, rest, ["session_id"]).groupBy("session_id").agg(F.sum(F.col("end") - F.col("start")).alias("excluded"))
+    return own.select("session_id").distinct().join(over, "session_id", "left").fillna(0, ["excluded"])
+
+
 def analysis_spans(spans: DataFrame, extents: DataFrame, least: float, exclusive: bool = True) -> DataFrame:
     """(session_id, start, end): the subject's merged speech without the others' (if exclusive), in the extent, long
-    enough."""
+    enough. ``excluded_overlap`` has the time that others talk into."""
     own = spans.where("role = 'subject'").select("session_id", "start", "end")
     rest = spans.where("role <> 'subject'").select("session_id", "start", "end")
     s = sp.subtract(own, rest, ["session_id"]) if exclusive else sp.merge(own, ["session_id"]).drop("n_spans")
@@ -89,20 +97,30 @@ def words_of_name(c: Column) -> Column:
     return F.trim(w)
 
 
-def outcome_like(c: Column) -> Column:
+def outcome_like(c: Column, words: Sequence[str] = OUTCOME_WORDS, harmless: Sequence[str] = HARMLESS_ENDINGS, exempt: Sequence[str] = ()) -> Column:
+    """Whether a name looks like an outcome: it has one of ``words``, and no harmless ending.
+
+    ``exempt`` names have a recorded confirmation. One holds for every name that ends with its words, so it still does after
+    the column has been given a family's prefix.
+    """
     w = words_of_name(c)
-    return w.rlike(r"\b(" + "|".join(OUTCOME_WORDS) + r")s?\b") & ~w.rlike("(" + "|".join(HARMLESS_ENDINGS) + ")$")
+    found = w.rlike(r"\b(" + "|".join(words) + r")s?\b")
+    if harmless:
+        found = found & ~w.rlike("(" + "|".join(harmless) + ")$")
+    for name in exempt:
+        allowed = words_of_name(F.lit(name))
+        found = found & ~((w == allowed) | w.endswith(F.concat(F.lit(" "), allowed)))
+    return found
 
 
-def label_like(columns: Sequence[str]) -> list[str]:
-    """The columns of a schema whose names look like outcomes."""
-    out = []
-    for c in columns:
-        w = re.sub("[^a-z0-9]+", " ", c.lower())
-        w = re.sub("([0-9])([a-z])", r"\1 \2", re.sub("([a-z])([0-9])", r"\1 \2", w)).strip()
-        if re.search(r"\b(" + "|".join(OUTCOME_WORDS) + r")s?\b", w) and not re.search("(" + "|".join(HARMLESS_ENDINGS) + ")$", w):
-            out.append(c)
-    return out
+def label_like(columns: Sequence[str], words: Sequence[str] = OUTCOME_WORDS, harmless: Sequence[str] = HARMLESS_ENDINGS, exempt: Sequence[str] = ()) -> list[str]:
+    """The columns of a schema whose names look like outcomes, by the same rule (``outcome_like``), run over one row of names."""
+    if not columns:
+        return []
+    spark = SparkSession.active()
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("name"))
+    bad = {r["name"] for r in names.where(outcome_like(F.col("name"), words, harmless, exempt)).collect()}
+    return [c for c in columns if c in bad]
 
 
 def refuse_forbidden(columns: Sequence[str], budget: int | None = None) -> None:
@@ -119,6 +137,25 @@ def single_source(df: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
     return n.withColumn("comparable", F.col("n_sources") <= 1)
 
 
+def require_single_source(df: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
+    """The table, refused if any group has several sources."""
+    if bad := single_source(df, keys, source).where("NOT comparable").take(3):
+        raise ValueError("several sources: " + "; ".join(", ".join(str(r[k]) for k in keys) for r in bad))
+    return df
+
+
+def typed(df: DataFrame, fields: Sequence[Field], order: Sequence[str] = ()) -> DataFrame:
+    """The fields' columns, cast to their types, so that empty and all-null tables keep them; one that ``df`` lacks is null."""
+    have = set(df.columns)
+    out = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.type).alias(f.name) for f in fields])
+    return out.orderBy(*order) if order else out
+
+
+def empty_table(spark: SparkSession, fields: Sequence[Field]) -> DataFrame:
+    """A table of the fields without rows."""
+    return spark.createDataFrame([], ", ".join(f"`{f.name}` {f.type}" for f in fields))
+
+
 @dataclass(frozen=True)
 class Field:
     """Contract of a column: type, nulls, a range and the values allowed."""
@@ -204,6 +241,16 @@ def apply_notes(df: DataFrame, notes: DataFrame, modalities: dict[str, Sequence[
     return out.withColumns(blank | {"qc__note_flags": flags}).drop("__gone")
 
 
+def join_text(ours: DataFrame, theirs: DataFrame, key: str = "session_id") -> DataFrame:
+    """Every row of ``ours`` with the columns of ``theirs``; the key must be unique on both sides, and no column on both."""
+    if both := (set(ours.columns) & set(theirs.columns)) - {key}:
+        raise ValueError("columns of both sides: " + ", ".join(sorted(both)))
+    for side in (ours, theirs):
+        if not side.groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError(f"{key} is not unique")
+    return ours.join(theirs, key, "left")
+
+
 def join_coverage(ours: DataFrame, theirs: DataFrame, key: str = "session_id") -> DataFrame:
     """How many keys of two tables match or stand on one side only."""
     a = ours.select(key).distinct().withColumn("__a", F.lit(1))
@@ -213,15 +260,16 @@ def join_coverage(ours: DataFrame, theirs: DataFrame, key: str = "session_id") -
 
 
 def number_rows(df: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """``df`` with the place of each row (``ordinal``, from 0) in the order of ``key``, in two levels: no task sorts all rows."""
-    part = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
-    part = part.checkpoint() if part.sparkSession.sparkContext.getCheckpointDir() else part.persist()
-    sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__part").orderBy(key)
-    numbered = part.withColumn("__k", F.row_number().over(inside) - 1).join(F.broadcast(sizes), "__part")  # one row per partition
-    return numbered.select(*df.columns, (F.col("__before") + F.col("__k")).alias(ordinal))
+    """``df`` with the place of each row (``ordinal``, from 0) in the order of ``key``, whose values are unique.
+
+    Running totals over range buckets of the key: no task sorts all rows, and nothing rests on which task had a row, so a lost
+    executor changes no number.
+    """
+    from .evaluate import running_total
+
+    ones = df.select(key, F.lit(1).cast("long").alias("__one"))
+    places = running_total(ones, [], key, "__one", "__upto").select(key, (F.col("__upto") - 1).alias(ordinal))
+    return df.join(places, key)
 
 
 def positional_join(table: DataFrame, ids: DataFrame, ordinal: str, expected: int | None = None) -> DataFrame:
@@ -238,20 +286,45 @@ def positional_join(table: DataFrame, ids: DataFrame, ordinal: str, expected: in
     return number_rows(n, "session_id", ordinal).join(table, ordinal)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("session_id",), scope: Sequence[str] = ("session_id",)) -> DataFrame:
-    """Rows of this run, and the old rows of sessions that it did not touch; columns that one side lacks are null."""
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("session_id",), scope: Sequence[str] = ("session_id",), force: bool = False) -> DataFrame:
+    """Rows of this run, and the old rows of sessions that it did not touch; columns that one side lacks are null.
+
+    Old rows without a key are dropped. An old table without the key columns is none of ours and is refused, or left out
+    if forced. ``new_columns`` tells which columns the old rows lack.
+    """
+    if gone := [k for k in (*keys, *scope) if k not in old.columns]:
+        if force:
+            return new
+        raise ValueError("the table that is there lacks " + ", ".join(dict.fromkeys(gone)))
     kept = old.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).join(new.select(*scope).distinct(), list(scope), "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def new_columns(old: DataFrame, new: DataFrame, scope: Sequence[str] = ("session_id",)) -> DataFrame:
+    """(column, n_carried): columns of this run that the old table predates, with how many of its rows stay without them."""
+    kept = old.join(new.select(*scope).distinct(), list(scope), "left_anti").agg(F.count("*").alias("n_carried"))
+    fresh = F.array(*[F.lit(c) for c in new.columns if c not in old.columns]).cast("array<string>")
+    return kept.select(F.explode(fresh).alias("column"), "n_carried").where("n_carried > 0")
+
+
 def pending(selected: DataFrame, artifacts: DataFrame, rows: DataFrame) -> DataFrame:
     """(session_id, status): 'skipped' where both the artifact and the row are there, else 'pending'."""
     done = artifacts.select("session_id").intersect(rows.select("session_id")).withColumn("__done", F.lit(True))
     return selected.select("session_id").join(done, "session_id", "left").select("session_id", F.when(F.col("__done"), "skipped").otherwise("pending").alias("status"))
 
 
-def keep_all_rows(selected: DataFrame, measured: DataFrame, failures: DataFrame) -> DataFrame:
-    """Every selected session: measured, or with nulls and the reason why as its flag."""
+def keep_all_rows(selected: DataFrame, measured: DataFrame, failures: DataFrame, old: DataFrame | None = None, contract: Sequence[Field] = (), force: bool = False) -> DataFrame:
+    """Every selected session: measured, or with nulls and the reason why as its flag.
+
+    ``old`` rows of other sessions are carried forward, once the old table has met the contract; a foreign one is refused, or
+    left out if forced.
+    """
+    if old is not None:
+        bad = validate(old, contract, ("session_id",), strict=False).take(5) if "session_id" in old.columns else [{"column": "session_id", "check": "missing"}]
+        if bad and not force:
+            raise ValueError("the table that is there is not ours: " + ", ".join(f"{r['column']} {r['check']}" for r in bad))
+        fresh = keep_all_rows(selected, measured, failures)
+        return fresh if bad else upsert(old, fresh)
     why = failures.select("session_id", F.concat(F.lit("unreadable: "), F.col("reason")).alias("__why"))
     out = selected.select("session_id").join(measured, "session_id", "left").join(why, "session_id", "left")
     return out.withColumn("flags", F.coalesce("flags", "__why", F.lit("not measured"))).drop("__why")
@@ -278,6 +351,14 @@ def cohort(features: DataFrame, labels: DataFrame, groups: DataFrame | None = No
     return out.select("session_id", "part", F.coalesce("__g", F.col("session_id").cast("string")).alias("group"))
 
 
+def modelled_cohort(features: DataFrame, labels: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(session_id, group) of the sessions with features and labels; none at all is an error."""
+    out = cohort(features, labels, groups).where("part = 'cohort'").select("session_id", "group")
+    if out.isEmpty():
+        raise ValueError("no session has both features and labels")
+    return out
+
+
 def feature_dictionary(spark: SparkSession, columns: Sequence[str], described: dict[str, tuple[str, str, str]]) -> DataFrame:
     """(name, family, unit, tier, description) of feature columns; a column that nobody describes is an error."""
     if unknown := [c for c in columns if c not in described]:

@@ -7,7 +7,7 @@ the training matrix of a fold is the total less that of the fold.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# ---------------------------------------------------------------- running totals in range buckets
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written to the checkpoint folder where the session has one, so that what follows does not compute it again."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+#: Range buckets of a key's values; any boundaries give the same totals.
+BUCKETS = 128
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str, name: str) -> DataFrame:
+    """Add ``name``, the sum of ``amount`` over the rows of the keys up to ``order`` and with it, and ``__bucket``.
+
+    ``order`` has no ties within the keys. Values fall into range buckets, whose bounds are approximate quantiles; a window
+    runs over the few buckets of the keys, and one over the rows of each bucket, so no task holds all rows of a key.
+    """
+    ks, df = list(keys), settled(df)
+    cuts = F.percentile_approx(order, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(10 * BUCKETS)).alias("__cuts")
+    small = df.groupBy(*ks).agg(cuts)
+    bucket = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
+    d = (df.join(small, ks) if ks else df.crossJoin(F.broadcast(small))).withColumn("__bucket", bucket).drop("__cuts")  # without keys: one row
+    totals = d.groupBy(*ks, "__bucket").agg(F.sum(amount).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*ks).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(totals.select(*ks, "__bucket", before.alias("__before")), [*ks, "__bucket"])
+    within = F.sum(amount).over(Window.partitionBy(*ks, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn(name, F.col("__before") + within).drop("__before")
+
+
 # ---------------------------------------------------------------- plans
 
 
@@ -67,29 +96,97 @@ def group_folds(rows: DataFrame, k: int, seed: int = 0, group: str = "group") ->
     return g.select(group, ((F.col("__before") + F.col("__i")) % k).cast("int").alias("fold"))
 
 
+def _fold_medians(x: DataFrame, cells: DataFrame) -> DataFrame:
+    """(fold, feature, median) of the known values of all other folds. ``x``: (fold, feature, v), ``cells``: (fold, feature, n, total).
+
+    A place t among the values outside a fold is the place t + c among all of them, c being how many of the fold's own stand
+    before it; so each fold needs running counts of its own values, and two look-ups among those of all.
+    """
+    own = x.where("v IS NOT NULL").groupBy("fold", "feature", "v").agg(F.count("*").alias("k"))
+    own = settled(own)
+    every = settled(running_total(own.groupBy("feature", "v").agg(F.sum("k").alias("k")), ["feature"], "v", "k", "upto"))
+    own = running_total(own, ["fold", "feature"], "v", "k", "mine").drop("__bucket").join(every.select("feature", "v", "upto"), ["feature", "v"])
+    wanted = cells.withColumn("rest", F.col("total") - F.col("n")).where("rest > 0")
+    wanted = wanted.select("fold", "feature", F.explode(F.array(F.floor((F.col("rest") + 1) / 2), F.ceil((F.col("rest") + 1) / 2))).alias("t")).distinct()
+    place = own.join(wanted, ["fold", "feature"], "right").groupBy("fold", "feature", "t").agg(F.max(F.when(F.col("upto") - F.col("mine") < F.col("t"), F.col("mine"))).alias("c"))
+    place = place.select("fold", "feature", (F.col("t") + F.coalesce("c", F.lit(0))).alias("at"))
+    # the value at a place: the bucket from the few totals of buckets, then the last value that begins at or before it
+    starts = every.groupBy("feature", "__bucket").agg(F.min(F.col("upto") - F.col("k")).alias("s"))
+    starts = starts.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("s", "__bucket"))).alias("starts"))
+    place = place.join(starts, "feature").withColumn("__bucket", F.element_at(F.filter("starts", lambda b: b["s"] < F.col("at")), -1)["__bucket"]).drop("starts")
+    both = every.select("feature", "__bucket", (F.col("upto") - F.col("k") + 1).alias("at"), F.lit(0).alias("kind"), "v", F.lit(None).cast("int").alias("fold"))
+    both = both.unionByName(place.select("feature", "__bucket", "at", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v"), F.col("fold").cast("int").alias("fold")))
+    w = Window.partitionBy("feature", "__bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("v", F.last("v", ignorenulls=True).over(w)).where("kind = 1")
+    return found.groupBy("fold", "feature").agg(F.avg("v").alias("median"))
+
+
 def prepare_folds(rows: DataFrame, columns: Sequence[str], folds: DataFrame) -> DataFrame:
     """(fold, feature, median, mean, sd) of the training rows of every fold: medians of known values, then mean and population
-    sd after imputing them. ``rows`` has ``fold``, its own one."""
-    f = folds.select(F.col("fold").alias("__out")).distinct()
+    sd after imputing them. ``rows`` has ``fold``, its own one.
+
+    Counts, means and squares of a fold are summed once, and those of all other folds added up, so rows are never copied per
+    fold, however many there are.
+    """
     long = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]))
-    x = rows.select("fold", long.alias("x")).select("fold", "x.feature", "x.v").join(F.broadcast(f), F.col("fold") != F.col("__out"))
-    med = x.groupBy("__out", "feature").agg(F.median("v").alias("median"))
-    x = x.join(med, ["__out", "feature"])
-    v = F.coalesce("v", "median")
-    return x.groupBy(F.col("__out").alias("fold"), "feature", "median").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+    x = rows.select(F.col("fold").cast("int").alias("fold"), long.alias("x")).select("fold", "x.feature", "x.v")
+    mine = x.groupBy("fold", "feature").agg(F.count("v").alias("n"), F.count("*").alias("rows"), F.avg("v").alias("m"), F.coalesce(F.var_pop("v") * F.count("v"), F.lit(0.0)).alias("q"))
+    grid = folds.select(F.col("fold").cast("int").alias("fold")).distinct().withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
+    mine = settled(grid.join(mine, ["fold", "feature"], "left").fillna(0, ["n", "rows", "q"]))
+    # moments about a value of the middle, added up over the folds before and after: nothing is subtracted, so values held out
+    # leave no trace, however large
+    center = mine.groupBy("feature").agg(F.percentile_approx("m", 0.5).alias("at"))
+    c = mine.join(center, "feature").withColumn("d", F.when(F.col("n") > 0, F.col("m") - F.col("at")).otherwise(0.0))
+    w = Window.partitionBy("feature").orderBy("fold")
+    others = lambda v: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.coalesce(F.sum(v).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    n, d = F.col("n"), F.col("d")
+    c = c.withColumns({"rest": others(n), "rest_rows": others(F.col("rows")), "first": others(n * d), "second": others(F.col("q") + n * d * d)})
+    c = settled(c.where("rest > 0"))
+    c = c.join(_fold_medians(x, c.select("fold", "feature", "n", (F.col("rest") + n).alias("total"))), ["fold", "feature"])
+    c = c.withColumn("mean", F.col("at") + F.col("first") / F.col("rest")).withColumn("holes", F.col("rest_rows") - F.col("rest"))
+    c = c.withColumn("q_rest", F.greatest(F.lit(0.0), F.col("second") - F.col("first") * F.col("first") / F.col("rest")))
+    # imputed values stand at the median
+    far, count = F.col("median") - F.col("mean"), F.col("rest") + F.col("holes")
+    variance = (F.col("q_rest") + far * far * F.col("rest") * F.col("holes") / count) / count
+    return c.select("fold", "feature", "median", (F.col("mean") + far * F.col("holes") / count).alias("mean"), F.sqrt(variance).alias("sd"))
+
+
+#: Bytes of sums that a task holds before it hands them on.
+_HELD = 64 << 20
 
 
 def gram(rows: DataFrame, columns: Sequence[str], target: str, keys: Sequence[str] = ("fold",)) -> DataFrame:
     """(keys, i, j, s): sums of products of every pair of [columns with nulls as 0, their null marks, target, 1], i <= j.
 
-    One pass with map-side combine; the pairs of all columns are summed in one wide aggregate and unpivoted.
+    One pass: each task multiplies whole batches of rows into one matrix per key and hands on its upper triangle, so the work
+    does not depend on how many expressions a plan can hold.
     """
     names, terms = gram_terms(columns, target)
-    r = rows.where(F.col(target).isNotNull()).select(*keys, *[t.alias(n) for n, t in zip(names, terms)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    g = r.groupBy(*keys).agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs])
-    cells = F.explode(F.array(*[F.struct(F.lit(names[i]).alias("i"), F.lit(names[j]).alias("j"), F.col(f"s{i}_{j}").alias("s")) for i, j in pairs]))
-    return g.select(*keys, cells.alias("c")).select(*keys, "c.*")
+    ks, p = list(keys), len(names)
+    r = rows.where(F.col(target).isNotNull()).select(*ks, F.array(*terms).alias("x"))
+    upper = np.triu_indices(p)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([[*k, m[upper]] for k, m in held.items()], columns=[*ks, "s"])
+
+        for pdf in batches:
+            for key, part in pdf.groupby(ks, dropna=False, sort=False):
+                x = np.stack(part["x"].to_numpy())
+                held[key] = held.get(key, 0) + x.T @ x
+            if len(held) * p * p * 8 > _HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    kinds = dict(r.dtypes)
+    g = r.mapInPandas(sums, ", ".join(f"`{k}` {kinds[k]}" for k in ks) + ", s array<double>")
+    g = g.select(*ks, F.posexplode("s").alias("cell", "s")).groupBy(*ks, "cell").agg(F.sum("s").alias("s"))
+    at = lambda side: F.element_at(F.array(*[F.lit(names[int(i)]) for i in upper[side]]), F.col("cell") + 1)
+    return g.select(*ks, at(0).alias("i"), at(1).alias("j"), "s")
 
 
 def gram_terms(columns: Sequence[str], target: str) -> tuple[list[str], list]:
@@ -101,37 +198,116 @@ def gram_terms(columns: Sequence[str], target: str) -> tuple[list[str], list]:
 
 # ---------------------------------------------------------------- elastic net on Gram matrices
 
-L1_RATIOS, N_ALPHAS, ALPHA_SPAN, TURNS = (0.1, 0.5, 0.9, 1.0), 50, 1e-2, 2000
+L1_RATIOS, N_ALPHAS, ALPHA_SPAN, TURNS, TOLERANCE = (0.1, 0.5, 0.9, 1.0), 50, 1e-2, 200_000, 1e-6
+#: Fewer rows than these are not modelled.
+MIN_ROWS = 10
 
 
-def _scaled(total: np.ndarray, p: int, medians: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, np.ndarray, np.ndarray]:
-    """Correlations of imputed, standardised columns with each other and the centred target, by algebra on the sums."""
-    t = np.eye(2 * p + 2)
+def _imputed(s: np.ndarray, p: int, medians: np.ndarray) -> np.ndarray:
+    """Sums of products of the columns with nulls at the median, the targets (one or more) and 1, from those with null marks."""
+    t = np.eye(len(s))
     t[:p, p : 2 * p] = np.diag(medians)
-    s = t @ total @ t.T
-    n = total[-1, -1]
-    mean, ymean = s[:p, -1] / n, s[2 * p, -1] / n
+    s = t @ s @ t.T
+    keep = np.r_[0:p, 2 * p : len(s)]
+    return s[np.ix_(keep, keep)]
+
+
+def _scaled(s: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(correlations of the standardised columns, with each centred target, means of targets, of columns, sds), from imputed sums."""
+    n = s[-1, -1]
+    mean, ymean = s[:p, -1] / n, s[p:-1, -1] / n
     cov = s[:p, :p] / n - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
     sd[sd < 1e-12] = np.inf
-    return cov / np.outer(sd, sd), (s[:p, 2 * p] / n - mean * ymean) / sd, s[2 * p, 2 * p] / n - ymean**2, ymean, mean, sd
+    return cov / np.outer(sd, sd), ((s[:p, p:-1] / n - np.outer(mean, ymean)) / sd[:, None]).T, ymean, mean, sd
+
 
+def coordinate_descent(c: np.ndarray, r: np.ndarray, alpha: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, converged) of many elastic nets with the same columns at once: c (p, p), r (problems, p).
 
-def coordinate_descent(c: np.ndarray, r: np.ndarray, alpha: float, ratio: float, b: np.ndarray) -> tuple[np.ndarray, bool]:
-    b, g = b.copy(), r - c @ b
+    Each turn goes over the coordinates, for all problems that still move.
+    """
+    b, done = np.zeros_like(r), np.zeros(len(r), bool)
+    live = np.arange(len(r))
+    x, g, al, l1 = b.copy(), r.copy(), alpha.copy(), alpha * ratio
+    l2 = al - l1
     for _ in range(TURNS):
-        worst = 0.0
-        for j in range(len(b)):
-            old = b[j]
-            z = g[j] + c[j, j] * old
-            new = np.sign(z) * max(abs(z) - alpha * ratio, 0) / (c[j, j] + alpha * (1 - ratio)) if c[j, j] > 0 else 0.0
-            if new != old:
-                g -= c[:, j] * (new - old)
-                b[j] = new
-                worst = max(worst, abs(new - old))
-        if worst < 1e-6:
-            return b, True
-    return b, False
+        worst = np.zeros(len(live))
+        for j in np.flatnonzero(np.diag(c) > 0):
+            old = x[:, j]
+            z = g[:, j] + c[j, j] * old
+            new = np.sign(z) * np.maximum(np.abs(z) - l1, 0) / (c[j, j] + l2)
+            moved = new - old
+            g -= moved[:, None] * c[j]
+            x[:, j] = new
+            worst = np.maximum(worst, np.abs(moved))
+        still = worst >= TOLERANCE
+        if not still.all():
+            b[live[~still]], done[live[~still]] = x[~still], True
+            live, x, g, l1, l2 = live[still], x[still], g[still], l1[still], l2[still]
+        if not len(live):
+            break
+    b[live] = x
+    return b, done
+
+
+def _squared_error(s: np.ndarray, p: int, b: np.ndarray, intercept: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Sum of squared errors of linear predictions (problems, p) of the targets ``which``, from imputed sums."""
+    w = np.concatenate([b, intercept[:, None]], axis=1)
+    keep = np.r_[0:p, len(s) - 1]
+    y = p + which
+    return np.einsum("mi,ij,mj->m", w, s[np.ix_(keep, keep)], w, optimize=True) - 2 * np.einsum("mi,im->m", w, s[np.ix_(keep, y)]) + s[y, y]
+
+
+def elastic_nets(parts: Sequence[np.ndarray], p: int) -> dict[str, np.ndarray]:
+    """The elastic net of every target, with its penalty chosen over the parts (imputed sums of the inner folds)."""
+    total = np.sum(parts, axis=0)
+    c, r, ymean, mean, sd = _scaled(total, p)
+    m = len(r)
+    tops = np.maximum(np.abs(r).max(axis=1)[:, None] / np.array(L1_RATIOS), 1e-9)
+    # problems: targets x ratios x penalties
+    alpha = (tops[:, :, None] * np.geomspace(1, ALPHA_SPAN, N_ALPHAS)).ravel()
+    ratio = np.tile(np.repeat(L1_RATIOS, N_ALPHAS), m)
+    which = np.repeat(np.arange(m), len(L1_RATIOS) * N_ALPHAS)
+    loss, stuck = np.zeros(len(alpha)), np.zeros(m, np.int64)
+    for part in parts:
+        rest = total - part
+        if rest[-1, -1] < 2:
+            continue
+        ci, ri, yi, mi, si = _scaled(rest, p)
+        b, ok = coordinate_descent(ci, ri[which], alpha, ratio)
+        b = b / si
+        loss += _squared_error(part, p, b, yi[which] - b @ mi, which)
+        stuck += np.bincount(which[~ok], minlength=m)
+    best = loss.reshape(m, -1).argmin(axis=1) + np.arange(m) * len(L1_RATIOS) * N_ALPHAS
+    b, ok = coordinate_descent(c, r, alpha[best], ratio[best])
+    b = b / sd
+    return {"b": b, "intercept": ymean - b @ mean, "alpha": alpha[best], "ratio": ratio[best], "stuck": stuck + ~ok}
+
+
+def _matrices(pdf: pd.DataFrame, at: dict[str, int], p: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Imputed sums of each inner fold, and the medians, of one outer fold's rows (inner, i, j, s, median)."""
+    medians = np.zeros(p)
+    cells: dict[int, np.ndarray] = {}
+    i, j = pdf["i"].map(at).to_numpy(), pdf["j"].map(at).to_numpy()
+    known = (i < p) & pdf["median"].notna().to_numpy()
+    medians[i[known]] = pdf["median"].to_numpy()[known]
+    for inner, some in pdf.groupby("inner").indices.items():
+        g = np.zeros((len(at), len(at)))
+        g[i[some], j[some]] = g[j[some], i[some]] = pdf["s"].to_numpy()[some]
+        cells[int(inner)] = _imputed(g, p, medians)
+    return cells, medians
+
+
+def _training_sums(grams: DataFrame, medians: DataFrame) -> DataFrame:
+    """(out, inner, i, j, s, median): the sums of all rows outside each outer fold, those of all less the fold's own."""
+    g = settled(grams.select(F.col("fold").cast("int").alias("fold"), "inner", "i", "j", "s"))
+    every = g.groupBy("inner", "i", "j").agg(F.sum("s").alias("all"))
+    outs = g.select(F.col("fold").alias("out")).distinct()
+    # a small matrix per (outer, inner) fold: this is what a fit needs, whatever the number of rows
+    train = every.crossJoin(outs).join(g.withColumnRenamed("fold", "out"), ["out", "inner", "i", "j"], "left").withColumn("s", F.col("all") - F.coalesce("s", F.lit(0.0)))
+    m = medians.select(F.col("fold").cast("int").alias("out"), F.concat(F.lit("x_"), F.col("feature")).alias("i"), "median")
+    return train.join(m, ["out", "i"], "left").select("out", "inner", "i", "j", "s", "median")
 
 
 def fit_elastic_nets(grams: DataFrame, medians: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -141,59 +317,136 @@ def fit_elastic_nets(grams: DataFrame, medians: DataFrame, columns: Sequence[str
     folds of the other outer folds; a task holds the matrices of one outer fold.
     """
     p = len(columns)
-    names, _ = gram_terms(columns, "y")
-    at = {n: i for i, n in enumerate(names)}
+    at = {n: i for i, n in enumerate(gram_terms(columns, "y")[0])}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = int(pdf["out"].iloc[0])
-        med = pdf.drop_duplicates("i")[["i", "median"]]
-        medians_ = np.zeros(p)
-        for c, m in zip(med["i"], med["median"]):
-            if c.startswith("x_"):
-                medians_[at[c]] = m if m == m else 0.0
-        cells: dict[int, np.ndarray] = {}
-        for inner, i, j, s in zip(pdf["inner"], pdf["i"], pdf["j"], pdf["s"]):
-            g = cells.setdefault(int(inner), np.zeros((2 * p + 2, 2 * p + 2)))
-            a, b = at[i], at[j]
-            g[a, b] += s
-            if a != b:
-                g[b, a] += s
-        total = sum(cells.values())
-        c, r, _, ymean, mean, sd = _scaled(total, p, medians_)
-        best, stuck = (np.inf, 0.0, 1.0), 0
-        for ratio in L1_RATIOS:
-            top = max(np.abs(r).max() / ratio, 1e-9)
-            alphas = np.geomspace(top, top * ALPHA_SPAN, N_ALPHAS)
-            loss = np.zeros(N_ALPHAS)
-            for part in cells.values():
-                rest = total - part
-                if rest[-1, -1] < 2:
-                    continue
-                ci, ri, _, yi, mi, si = _scaled(rest, p, medians_)
-                b = np.zeros(p)
-                t = np.eye(2 * p + 2)
-                t[:p, p : 2 * p] = np.diag(medians_)
-                held = t @ part @ t.T
-                for k, alpha in enumerate(alphas):
-                    b, ok = coordinate_descent(ci, ri, alpha, ratio, b)
-                    stuck += not ok
-                    w = np.zeros(2 * p + 2)
-                    w[:p], w[2 * p], w[-1] = b / si, -1.0, yi - (b / si) @ mi
-                    loss[k] += w @ held @ w
-            k = int(loss.argmin())
-            if loss[k] < best[0]:
-                best = (float(loss[k]), float(alphas[k]), ratio)
-        b, ok = coordinate_descent(c, r, best[1], best[2], np.zeros(p))
-        coefficient = b / sd
-        return pd.DataFrame({"fold": out, "feature": list(columns), "coefficient": coefficient, "intercept": ymean - coefficient @ mean, "alpha": best[1], "l1_ratio": best[2], "not_converged": stuck + (not ok)})
-
-    g = grams.select(F.col("fold").alias("__of"), "inner", "i", "j", "s")
-    outs = grams.select(F.col("fold").alias("out")).distinct()
-    train = g.join(F.broadcast(outs), F.col("__of") != F.col("out")).groupBy("out", "inner", "i", "j").agg(F.sum("s").alias("s"))
-    m = medians.select(F.col("fold").alias("out"), F.concat(F.lit("x_"), F.col("feature")).alias("i"), "median")
-    train = train.join(m, ["out", "i"], "left")
+        cells, _ = _matrices(pdf, at, p)
+        f = elastic_nets(list(cells.values()), p)
+        return pd.DataFrame({"fold": int(pdf["out"].iloc[0]), "feature": list(columns), "coefficient": f["b"][0], "intercept": f["intercept"][0], "alpha": f["alpha"][0], "l1_ratio": f["ratio"][0], "not_converged": f["stuck"][0]})
+
     schema = "fold int, feature string, coefficient double, intercept double, alpha double, l1_ratio double, not_converged long"
-    return train.groupBy("out").applyInPandas(fit, schema)
+    return _training_sums(grams, medians).groupBy("out").applyInPandas(fit, schema)
+
+
+def enough_rows(rows: DataFrame, target: str) -> DataFrame:
+    """``rows``, refused if fewer than MIN_ROWS have the target."""
+    if len(rows.where(F.col(target).isNotNull()).take(MIN_ROWS)) < MIN_ROWS:
+        raise ValueError(f"fewer than {MIN_ROWS} rows with {target}")
+    return rows
+
+
+def cross_validate(rows: DataFrame, columns: Sequence[str], target: str, k: int, seed: int = 0, inner: int = 5, group: str = "group") -> tuple[DataFrame, DataFrame]:
+    """(rows with ``fold`` and ``prediction``, fits) of elastic nets under k folds of groups; k = 0 leaves each group out alone."""
+    folds = settled(group_folds(enough_rows(rows, target), k, seed, group))
+    rows = settled(rows.join(folds, group))
+    medians = settled(prepare_folds(rows.where(F.col(target).isNotNull()), columns, folds))
+    part = F.pmod(F.crc32(F.col(group).cast("string")), F.lit(inner)).cast("int")
+    fits = settled(fit_elastic_nets(gram(rows.withColumn("inner", part), columns, target, ["fold", "inner"]), medians, columns))
+    return predict(rows, columns, fits, medians), fits
+
+
+def permuted_targets(rows: DataFrame, target: str, n: int, seed: int = 0, row_id: str = "id") -> DataFrame:
+    """(row_id, ys): for every row with a target, its own and those that n permutations of all rows pair it with.
+
+    Rows are numbered in the order of a hash; permutation p gives place i the target of place (a i + b) mod the number of rows,
+    with a coprime to it, so each pairing is one to one and no permutation is sorted by itself.
+    """
+    r = rows.where(F.col(target).isNotNull()).select(F.col(row_id).alias("__id"), F.col(target).cast("double").alias("__y"))
+    r = r.withColumn("__h", F.xxhash64(F.lit(seed), "__id").cast("double")).groupBy("__h").agg(F.collect_list(F.struct("__id", "__y")).alias("__same"), F.count("*").alias("__n"))
+    # rows whose hashes are equal as doubles are few, and stand in order of id
+    r = running_total(r, [], "__h", "__n", "__to").select(F.col("__to"), "__n", F.posexplode(F.array_sort("__same")).alias("__k", "__row"))
+    r = r.select("__row.*", (F.col("__to") - F.col("__n") + F.col("__k")).alias("__i"))
+    many = r.count()
+    rng = np.random.default_rng(seed)
+    steps = []
+    while len(steps) < n:
+        a, b = int(rng.integers(1, max(many, 2))), int(rng.integers(0, max(many, 1)))
+        if math.gcd(a, max(many, 1)) == 1:
+            steps.append((a, b))
+    # place j = a i + b sends its target to i: the inverse steps, one row per permutation
+    to = F.explode(F.array(*[F.struct(F.lit(p + 1).alias("p"), F.lit(pow(a, -1, many) if many > 1 else 0).alias("a"), F.lit(b).alias("b")) for p, (a, b) in enumerate(steps)]))
+    wide = F.lit(many).cast("decimal(38,0)")
+    place = F.pmod(F.col("t.a").cast("decimal(18,0)") * (F.col("__i") - F.col("t.b")).cast("decimal(19,0)"), wide).cast("long")
+    sent = r.select("__i", "__y", to.alias("t")).select(place.alias("__i"), F.col("t.p").alias("p"), "__y")
+    ys = sent.groupBy("__i").agg(F.array_sort(F.collect_list(F.struct("p", "__y"))).alias("ys"))
+    out = r.join(ys, "__i").select(F.col("__id").alias(row_id), F.concat(F.array("__y"), F.transform("ys", lambda x: x["__y"])).alias("ys"))
+    return out
+
+
+def permutation_null(rows: DataFrame, columns: Sequence[str], target: str, n: int, k: int = 5, seed: int = 0, inner: int = 5, group: str = "group", row_id: str = "id") -> DataFrame:
+    """(permutation, score): out-of-fold r2 of the elastic net for the targets as they are (0) and for n permutations.
+
+    All are fitted under the same folds. Sums of products of the columns are those of the first fit; a permutation changes only
+    those with the target, which one pass over the rows adds up for all of them. The scores come from sums as well.
+    """
+    p, count = len(columns), n + 1
+    folds = settled(group_folds(enough_rows(rows, target), k, seed, group))
+    part = F.pmod(F.crc32(F.col(group).cast("string")), F.lit(inner)).cast("int")
+    r = rows.where(F.col(target).isNotNull()).join(folds, group).withColumn("inner", part)
+    r = settled(r.join(permuted_targets(rows, target, n, seed, row_id), row_id))
+    names, terms = gram_terms(columns, target)
+    fixed = settled(gram(r, columns, target, ["fold", "inner"])).where("i <> 'y' AND j <> 'y'")
+    x = F.array(*[t for nm, t in zip(names, terms) if nm != "y"])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([[*key, m.ravel()] for key, m in held.items()], columns=["fold", "inner", "s"])
+
+        for pdf in batches:
+            for key, some in pdf.groupby(["fold", "inner"]):
+                y = np.stack(some["ys"].to_numpy())
+                held[key] = held.get(key, 0) + np.concatenate([np.stack(some["x"].to_numpy()).T @ y, (y * y).sum(axis=0, keepdims=True)])
+            if len(held) * (2 * p + 2) * count * 8 > _HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    crossed = r.select("fold", "inner", x.alias("x"), "ys").mapInPandas(products, "fold int, inner int, s array<double>")
+    crossed = crossed.select("fold", "inner", F.posexplode("s").alias("cell", "s")).groupBy("fold", "inner", "cell").agg(F.sum("s").alias("s"))
+    crossed = crossed.groupBy("fold", "inner").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "s"))), lambda c: c["s"]).alias("ys"))  # p x n cells
+    order = {nm: i for i, nm in enumerate(nm for nm in names if nm != "y")}
+    square = fixed.groupBy("fold", "inner").agg(F.collect_list(F.struct("i", "j", "s")).alias("cells")).join(crossed, ["fold", "inner"])
+    medians = prepare_folds(r, columns, folds).groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("medians"))
+    # one row of sums per (outer, inner) fold, met by each outer fold: what a fit needs, whatever the number of rows
+    outs = medians.select(F.col("fold").alias("out"), "medians")
+    met = square.crossJoin(outs)
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        med = dict(pdf["medians"].iloc[0])
+        medians_ = np.array([med.get(c) if med.get(c) is not None else 0.0 for c in columns])
+        train: dict[int, np.ndarray] = {}
+        held = 0.0
+        size = 2 * p + count + 1
+        for fold, own, cells, ys in zip(pdf["fold"], pdf["inner"], pdf["cells"], pdf["ys"]):
+            s = np.zeros((size, size))
+            xs = np.r_[0 : 2 * p, size - 1]
+            for c in cells:
+                a, b = xs[order[c["i"]]], xs[order[c["j"]]]
+                s[a, b] = s[b, a] = c["s"]
+            y = np.asarray(ys).reshape(2 * p + 2, count)
+            s[xs, 2 * p : -1] = y[:-1]
+            s[2 * p : -1, xs] = y[:-1].T
+            s[np.arange(2 * p, size - 1), np.arange(2 * p, size - 1)] = y[-1]
+            s = _imputed(s, p, medians_)
+            if fold == pdf["out"].iloc[0]:
+                held = held + s
+            else:
+                train[int(own)] = train.get(int(own), 0) + s
+        which = np.arange(count)
+        empty = pd.DataFrame({"permutation": which, "n": 0.0, "error": 0.0, "sum": 0.0, "squares": 0.0})
+        if np.ndim(held) == 0 or not train:
+            return empty
+        f = elastic_nets(list(train.values()), p)
+        error = _squared_error(held, p, f["b"], f["intercept"], which)
+        return pd.DataFrame({"permutation": which, "n": held[-1, -1], "error": error, "sum": held[p:-1, -1], "squares": np.diag(held)[p:-1]})
+
+    s = met.groupBy("out").applyInPandas(score, "permutation int, n double, error double, sum double, squares double")
+    g = s.groupBy("permutation").agg(*[F.sum(c).alias(c) for c in ("n", "error", "sum", "squares")])
+    spread = F.col("squares") - F.col("sum") * F.col("sum") / F.col("n")
+    return g.select("permutation", F.when(spread > 0, 1 - F.col("error") / spread).alias("score"))
 
 
 def predict(rows: DataFrame, columns: Sequence[str], fits: DataFrame, medians: DataFrame) -> DataFrame:
@@ -213,11 +466,11 @@ def predict(rows: DataFrame, columns: Sequence[str], fits: DataFrame, medians: D
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Add ranks in which ties share the mean of their places, without a window over all rows.
 
-    Values are counted first; the places before a value come from sums over range buckets of values.
+    Values are counted first; the places before a value come from running totals over range buckets of values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn(name, F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
+    counts = running_total(counts, keys, value, "__n", "__upto")
+    counts = counts.select(*keys, value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(counts, [*keys, value], "left")
 
 
@@ -273,35 +526,23 @@ def permutation_p(scores: DataFrame, keys: Sequence[str], observed: str = "obser
     return g.select(*keys, "n", ((F.col("__ge") + 1) / (F.col("n") + 1)).alias("p_value"), "null_mean", "null_p95")
 
 
-def permutation_scores(rows: DataFrame, feature: str, target: str, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """(keys, permutation, score, observed): squared correlation of a feature with the target and with it re-paired.
-
-    Rows are paired by place: features in one hashed order, targets in another one for each permutation.
-    """
-    r = rows.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*keys, F.col("id").alias("__id"), F.col(feature).alias("__x"), F.col(target).alias("__y"))
-    observed = r.groupBy(*keys).agg((F.corr("__x", "__y") * F.corr("__x", "__y")).alias("observed"))
-    perms = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("permutation")
-    order = lambda *c: Window.partitionBy(*keys, "permutation").orderBy(F.xxhash64(*c), "__id")
-    x = r.select(*keys, "__id", "__x", perms).withColumn("__k", F.row_number().over(order(F.lit(seed), "__id")))
-    y = r.select(*keys, "__id", "__y", perms).withColumn("__k", F.row_number().over(order(F.lit(seed + 1), "permutation", "__id")))
-    both = x.select(*keys, "permutation", "__k", "__x").join(y.select(*keys, "permutation", "__k", "__y"), [*keys, "permutation", "__k"])
-    s = both.groupBy(*keys, "permutation").agg((F.corr("__x", "__y") * F.corr("__x", "__y")).alias("score"))
-    return s.join(observed, list(keys))
-
-
-def holm(tests: DataFrame, p: str = "p_value", order: Sequence[str] = ()) -> DataFrame:
+def holm(tests: DataFrame, p: str = "p_value") -> DataFrame:
     """Add Holm's step-down adjusted p values of one family of tests; null stays null, p outside [0, 1] is refused.
 
-    A family is a handful of planned tests, so one task orders them.
+    Equal p values get the same. Ranks and running maxima go over range buckets of p, so no task orders the whole family.
     """
     if tests.where((F.col(p) < 0) | (F.col(p) > 1)).take(1):
         raise ValueError("a p value outside [0, 1]")
-    known = tests.where(F.col(p).isNotNull())
-    w = Window.orderBy(p, *order)
-    n = F.count("*").over(Window.partitionBy())
-    h = known.withColumn("__raw", (n - F.row_number().over(w) + 1) * F.col(p))
-    h = h.withColumn("p_holm", F.least(F.lit(1.0), F.max("__raw").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("__raw")
-    return h.unionByName(tests.where(F.col(p).isNull()).withColumn("p_holm", F.lit(None).cast("double")))
+    c = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__c"))
+    c = running_total(c, [], "__p", "__c", "__upto")
+    c = c.crossJoin(F.broadcast(c.agg(F.sum("__c").alias("__all"))))  # one row
+    c = c.withColumn("__raw", (F.col("__all") - F.col("__upto") + F.col("__c")) * F.col("__p"))
+    tops = c.groupBy("__bucket").agg(F.max("__raw").alias("__top"))  # BUCKETS rows
+    tops = tops.select("__bucket", F.max("__top").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    within = F.max("__raw").over(Window.partitionBy("__bucket").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumn("__within", within).join(tops, "__bucket")
+    c = c.select("__p", F.least(F.lit(1.0), F.greatest("__within", "__before")).alias("p_holm"))
+    return tests.join(c, tests[p] == c["__p"], "left").drop("__p")
 
 
 def forest_out_of_fold(rows: DataFrame, columns: Sequence[str], target: str, folds: Sequence[int], trees: int = 500, depth: int = 6, seed: int = 0) -> DataFrame:
@@ -319,3 +560,58 @@ def forest_out_of_fold(rows: DataFrame, columns: Sequence[str], target: str, fol
         got = model.transform(vector.transform(imputer.transform(test))).drop("__v", *[f"__{c}" for c in columns])
         out = got if out is None else out.unionByName(got)
     return out
+
+
+# ---------------------------------------------------------------- estimates and result tables
+
+#: Columns that a result table may have: metrics and what they are of, never a prediction or a label.
+RESULT_COLUMNS = (
+    "target", "variant", "tier", "model", "n", "n_features", "r2", "mae", "spearman", "r2_mean", "r2_sd", "sign_disagrees", "n_repeats", "not_converged",
+    "p_value", "null_mean", "null_p95", "p_holm", "test", "left", "right", "median_difference",
+)
+
+
+def result_table(df: DataFrame, columns: Sequence[str] = RESULT_COLUMNS, places: int = 6) -> DataFrame:
+    """The columns of ``df``, numbers rounded to ``places``; a column that is not among ``columns`` is refused."""
+    if bad := [c for c in df.columns if c not in columns]:
+        raise ValueError("no result columns: " + ", ".join(bad))
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def run_estimates(plan: DataFrame, fit: Callable[[dict], DataFrame], most_scores: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(results, outcomes) of the planned estimates: each by ``fit``, a job that gives a handful of score rows.
+
+    A plan (target, variant, tier, model, status) is configuration, so the driver goes through it. An estimate that fails is
+    noted and the others go on. Outcomes have (target, variant, tier, model, status, message), status ok, failed or skipped.
+    """
+    spark = plan.sparkSession
+    results, notes = None, []
+    for row in plan.collect():
+        e = row.asDict()
+        key = [e[k] for k in ("target", "variant", "tier", "model")]
+        if e["status"] != "planned":
+            notes.append((*key, e["status"], None))
+            continue
+        try:
+            scores = fit(e)
+            got = spark.createDataFrame(scores.limit(most_scores).collect(), scores.schema)
+        except Exception as problem:  # noqa: BLE001 - whatever it is, it is on record
+            notes.append((*key, "failed", f"{type(problem).__name__}: {problem}".splitlines()[0][:300]))
+            continue
+        notes.append((*key, "ok", None))
+        got = got.select(*[F.lit(v).alias(k) for k, v in zip(("target", "variant", "tier", "model"), key)], *[c for c in got.columns if c not in ("target", "variant", "tier", "model")])
+        results = got if results is None else results.unionByName(got, allowMissingColumns=True)
+    outcomes = spark.createDataFrame(notes, "target string, variant string, tier string, model string, status string, message string")
+    empty = spark.createDataFrame([], "target string, variant string, tier string, model string")
+    return (empty if results is None else result_table(results)), outcomes
+
+
+def estimate_counts(outcomes: DataFrame) -> DataFrame:
+    """(tier, status, n) of estimates."""
+    return outcomes.groupBy("tier", "status").agg(F.count("*").alias("n"))
+
+
+def composition(tiers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, tier, n): features by where they come from (``sources``: family, source; 'unknown' where none says) and tier."""
+    s = F.coalesce("source", F.lit("unknown")).alias("source")
+    return tiers.join(sources.select("family", "source").distinct(), "family", "left").groupBy(s, "tier").agg(F.count_distinct("name").alias("n"))

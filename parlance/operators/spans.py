@@ -58,24 +58,30 @@ def cut(spans: DataFrame, width: float) -> DataFrame:
     return s.withColumns({"start": start, "end": end})
 
 
-def _sweep(left: DataFrame, right: DataFrame, keys: Keys, wanted: Column, eps: float, width: float | None) -> DataFrame:
-    """Stretches where ``wanted`` holds of the numbers of left and right spans (l, r) that are open."""
+def levels(spans: DataFrame, keys: Keys, marks: dict[str, Column], eps: float = 0, width: float | None = None) -> DataFrame:
+    """Stretches (keys, start, end) between neighbouring ends of spans, with how many spans of each mark are open in them.
+
+    One pass: the ends of all spans are added up per time, and running sums over them count what is open.
+    """
     ks = list(keys)
-    sides = []
-    for df, name in ((left, "l"), (right, "r")):
-        s = normalise(df, eps).select(*ks, "start", "end")
-        s = cut(s, width) if width is not None else s.withColumn("__bucket", F.lit(0).cast("long"))
-        other = "r" if name == "l" else "l"
-        ends = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d"))))
-        s = s.select(*ks, "__bucket", ends.alias("x"))
-        sides.append(s.select(*ks, "__bucket", "x.t", F.col("x.d").alias(name), F.lit(0).alias(other)))
+    s = normalise(spans, eps)
+    s = s.select(*ks, "start", "end", *[F.when(m, 1).otherwise(0).alias(n) for n, m in marks.items()])
+    s = cut(s, width) if width is not None else s.withColumn("__bucket", F.lit(0).cast("long"))
+    ends = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d"))))
     per = [*ks, "__bucket"]
-    e = sides[0].unionByName(sides[1]).groupBy(*per, "t").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    e = s.select(*per, *marks, ends.alias("x")).groupBy(*per, F.col("x.t").alias("t")).agg(*[F.sum(F.col(n) * F.col("x.d")).alias(n) for n in marks])
     w = Window.partitionBy(*per).orderBy("t")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    e = e.select(*ks, F.col("t").alias("start"), F.lead("t").over(w).alias("end"), F.sum("l").over(upto).alias("l"), F.sum("r").over(upto).alias("r"))
-    pieces = e.where(wanted & (F.col("end") - F.col("start") > eps))
-    return merge(pieces.select(*ks, "start", "end"), ks, 0, eps).drop("n_spans")
+    e = e.select(*ks, F.col("t").alias("start"), F.lead("t").over(w).alias("end"), *[F.sum(n).over(upto).alias(n) for n in marks])
+    return e.where(F.col("end") - F.col("start") > eps)
+
+
+def _sweep(left: DataFrame, right: DataFrame, keys: Keys, wanted: Column, eps: float, width: float | None) -> DataFrame:
+    """Stretches where ``wanted`` holds of the numbers of left and right spans (l, r) that are open."""
+    sides = [df.select(*keys, "start", "end", F.lit(name).alias("__side")) for df, name in ((left, "l"), (right, "r"))]
+    marks = {n: F.col("__side") == n for n in ("l", "r")}
+    pieces = levels(sides[0].unionByName(sides[1]), keys, marks, eps, width).where(wanted)
+    return merge(pieces.select(*keys, "start", "end"), keys, 0, eps).drop("n_spans")
 
 
 def intersect(left: DataFrame, right: DataFrame, keys: Keys, eps: float = 0, width: float | None = None) -> DataFrame:
@@ -129,21 +135,31 @@ def contains(start: Column, end: Column, t: Column) -> Column:
     return (start <= t) & (t < end)
 
 
-def points_in_spans(points: DataFrame, spans: DataFrame, keys: Keys, t: str = "t", eps: float = 0) -> DataFrame:
-    """All points with ``inside``: whether any span of their key contains them (as-of join on the merged spans).
+def points_by_kind(points: DataFrame, spans: DataFrame, keys: Keys, kinds: dict[str, Column], t: str = "t", eps: float = 0, width: float | None = None) -> DataFrame:
+    """All points with a column for each kind: whether any span of their key and of that kind contains them.
 
-    Span starts and points are sorted together, starts first at equal times, and the last start before a point
-    is carried forward; no range join is planned.
+    An as-of join on the merged spans: starts and points are sorted together, starts first at equal times, and the last start of
+    each kind before a point is carried forward; no range join is planned, and all kinds share one sort. ``width`` cuts the
+    spans of a very long key into time buckets, which are swept apart.
     """
     ks = list(keys)
-    m = merge(spans, ks, 0, eps)
+    one = spans.withColumn("__kind", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))))
+    m = merge(one, [*ks, "__kind"], 0, eps, width)
+    m = cut(m, width) if width is not None else m.withColumn("__bucket", F.lit(0).cast("long"))
     point = F.struct(*[F.col(c) for c in points.columns])
-    p = points.select(*ks, F.col(t).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(m.schema["end"].dataType).alias("__end"), point.alias("__point"))
-    s = m.select(*ks, F.col("start").alias("__t"), F.lit(0).alias("__kind"), F.col("end").alias("__end"), F.lit(None).cast(p.schema["__point"].dataType).alias("__point"))
-    w = Window.partitionBy(*ks).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(s).withColumn("__reach", F.last("__end", ignorenulls=True).over(w))
-    inside = F.coalesce(F.col("__t") < F.col("__reach"), F.lit(False))
-    return both.where("__kind = 1").select("__point.*", inside.alias("inside"))
+    bucket = F.floor(F.col(t) / width) if width is not None else F.lit(0).cast("long")
+    p = points.select(*ks, bucket.alias("__bucket"), F.col(t).alias("__t"), F.lit(1).alias("__order"), F.lit(None).cast("string").alias("__kind"), F.lit(None).cast(m.schema["end"].dataType).alias("__end"), point.alias("__point"))
+    s = m.select(*ks, "__bucket", F.col("start").alias("__t"), F.lit(0).alias("__order"), "__kind", F.col("end").alias("__end"), F.lit(None).cast(p.schema["__point"].dataType).alias("__point"))
+    w = Window.partitionBy(*ks, "__bucket").orderBy("__t", "__order").rowsBetween(Window.unboundedPreceding, 0)
+    reach = {k: F.last(F.when(F.col("__kind") == k, F.col("__end")), ignorenulls=True).over(w) for k in kinds}
+    both = p.unionByName(s).withColumns({f"__reach{i}": r for i, r in enumerate(reach.values())})
+    inside = [F.coalesce(F.col("__t") < F.col(f"__reach{i}"), F.lit(False)).alias(k) for i, k in enumerate(kinds)]
+    return both.where("__order = 1").select("__point.*", *inside)
+
+
+def points_in_spans(points: DataFrame, spans: DataFrame, keys: Keys, t: str = "t", eps: float = 0, width: float | None = None) -> DataFrame:
+    """All points with ``inside``: whether any span of their key contains them (``points_by_kind``)."""
+    return points_by_kind(points, spans, keys, {"inside": F.lit(True)}, t, eps, width)
 
 
 def shift(spans: DataFrame, offset: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .spans import merge, points_in_spans
+from .spans import merge, points_by_kind, points_in_spans
 
 
 def clean(col: str | Column) -> Column:
@@ -103,56 +103,53 @@ def peak_candidates(frames: DataFrame, keys: Sequence[str], order: Sequence[str]
 def count_peaks(candidates: DataFrame, keys: Sequence[str], value: str, spacing: int) -> DataFrame:
     """Peaks of each key that stand ``spacing`` places apart; of nearer ones the louder stays and becomes the anchor.
 
-    The rule depends on the last peak kept, so it runs in order over the few candidates of each key.
+    The rule depends on the last peak kept, so it folds over the ordered candidates of a key, which is to be one span.
     """
-    import pyarrow as pa
+    in_order = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("place").cast("long").alias("place"), F.col(value).cast("double").alias("v")))).alias("__c"))
+    start = F.struct(F.lit(0).cast("long").alias("kept"), F.lit(None).cast("long").alias("last"), F.lit(0.0).alias("loud"))
 
-    names = list(keys)
-    fields = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in names)
+    def step(acc: Column, c: Column) -> Column:
+        apart = acc["last"].isNull() | (c["place"] - acc["last"] >= spacing)
+        moves = apart | (c["v"] > acc["loud"])
+        kept = acc["kept"] + F.when(apart, 1).otherwise(0)
+        return F.struct(kept.cast("long").alias("kept"), F.when(moves, c["place"]).otherwise(acc["last"]).alias("last"), F.when(moves, c["v"]).otherwise(acc["loud"]).alias("loud"))
 
-    def walk(t: pa.Table) -> pa.Table:
-        t = t.sort_by("place")
-        kept, last, loud = 0, None, 0.0
-        for place, v in zip(t.column("place").to_pylist(), t.column(value).to_pylist()):
-            if last is None or place - last >= spacing:
-                kept, last, loud = kept + 1, place, v
-            elif v > loud:
-                last, loud = place, v
-        return t.select(names).slice(0, 1).append_column("n_peaks", pa.array([kept], pa.int64()))
+    return in_order.select(*keys, F.aggregate("__c", start, step)["kept"].alias("n_peaks"))
 
-    return candidates.select(*names, "place", value).groupBy(*names).applyInArrow(walk, f"{fields}, n_peaks long")
 
+def _frames_by_state(frames: DataFrame, timeline: DataFrame, states: Sequence[str], width: float | None) -> DataFrame:
+    """A row of ``frames`` with ``state`` for each state that holds it; one sweep finds all."""
+    marks = {f"__in{i}": F.col("state") == s for i, s in enumerate(states)}
+    p = points_by_kind(frames, timeline, ["session_id"], marks, width=width)
+    held = F.array_compact(F.array(*[F.when(F.col(f"__in{i}"), F.lit(s)) for i, s in enumerate(states)]))
+    return p.withColumn("state", F.explode(held)).drop(*marks)
 
-def window_coverage(frames: DataFrame, timeline: DataFrame, states: Sequence[str], measured: str = "detected") -> DataFrame:
-    """Per session and state: frames in its time, those measured, its length and the measured share of it."""
-    out = None
-    for state in states:
-        part = timeline.where(F.col("state") == state)
-        got = points_in_spans(frames, part, ["session_id"]).where("inside")
-        n = got.groupBy("session_id").agg(F.count("*").alias("n_frames"), F.count_if(F.col(measured)).alias("n_measured"))
-        long = part.groupBy("session_id").agg(F.sum(F.col("end") - F.col("start")).alias("length"))
-        n = long.join(n, "session_id", "left").fillna(0, ["n_frames", "n_measured"]).withColumn("state", F.lit(state))
-        out = n if out is None else out.unionByName(n)
+
+def _covered_by_state(got: DataFrame, timeline: DataFrame, states: Sequence[str], aggs: Sequence[Column] = (), measured: str = "detected") -> DataFrame:
+    long = timeline.where(F.col("state").isin(*states)).groupBy("session_id", "state").agg(F.sum(F.col("end") - F.col("start")).alias("length"))
+    n = got.groupBy("session_id", "state").agg(F.count("*").alias("n_frames"), F.count_if(F.col(measured)).alias("n_measured"), *aggs)
+    n = long.join(n, ["session_id", "state"], "left").fillna(0, ["n_frames", "n_measured"])
     share = F.when(F.col("n_frames") > 0, F.col("n_measured") / F.col("n_frames"))
-    return out.withColumn("fraction", share).withColumn("measured_length", F.coalesce(F.col("length") * share, F.lit(0.0)))
+    return n.withColumn("fraction", share).withColumn("measured_length", F.coalesce(F.col("length") * share, F.lit(0.0)))
 
 
-def window_summary(frames: DataFrame, timeline: DataFrame, plan: dict[str, Sequence[str]], states: Sequence[str], least: float) -> DataFrame:
+def window_coverage(frames: DataFrame, timeline: DataFrame, states: Sequence[str], measured: str = "detected", width: float | None = None) -> DataFrame:
+    """Per session and state: frames in its time, those measured, its length and the measured share of it."""
+    got = _frames_by_state(frames, timeline, states, width)
+    return _covered_by_state(got, timeline, states, measured=measured).select("session_id", "length", "n_frames", "n_measured", "state", "fraction", "measured_length")
+
+
+def window_summary(frames: DataFrame, timeline: DataFrame, plan: dict[str, Sequence[str]], states: Sequence[str], least: float, width: float | None = None) -> DataFrame:
     """One row per session of ``<state>__<measure>_<stat>`` by a per-measure plan (mean, sd, p90).
 
-    A state with less measured time than ``least`` gives nulls. Missing measures are null in ``frames``.
+    A state with less measured time than ``least`` gives nulls; sessions without a frame in any state have no row. Missing
+    measures are null in ``frames``. Frames meet the timeline once, for coverage and values of all states.
     """
-    cover = window_coverage(frames, timeline, states).select("session_id", "state", (F.col("measured_length") >= least).alias("enough"))
     stat = {"mean": F.avg, "sd": F.stddev_samp, "p90": lambda c: F.percentile(c, F.lit(0.9))}
-    rows = None
-    for state in states:
-        got = points_in_spans(frames, timeline.where(F.col("state") == state), ["session_id"]).where("inside").withColumn("state", F.lit(state))
-        rows = got if rows is None else rows.unionByName(got)
-    aggs = [stat[s](clean(m)).alias(f"{m}_{s}") for m, stats in plan.items() for s in stats]
-    by = rows.groupBy("session_id", "state").agg(*aggs)
-    by = by.join(cover, ["session_id", "state"])
     names = [f"{m}_{s}" for m, stats in plan.items() for s in stats]
-    by = by.select("session_id", "state", *[F.when(F.col("enough"), F.col(n)).alias(n) for n in names])
+    aggs = [stat[s](clean(m)).alias(f"{m}_{s}") for m, stats in plan.items() for s in stats]
+    by = _covered_by_state(_frames_by_state(frames, timeline, states, width), timeline, states, aggs).where("n_frames > 0")
+    by = by.select("session_id", "state", *[F.when(F.col("measured_length") >= least, F.col(n)).alias(n) for n in names])
     wide = by.groupBy("session_id").pivot("state", list(states)).agg(*[F.first(n).alias(n) for n in names])
     return wide.select("session_id", *[F.col(f"{s}_{n}").alias(f"{s}__{n}") for s in states for n in names])
 
@@ -231,15 +228,14 @@ def robust_outliers(df: DataFrame, value: str, k: float, keys: Sequence[str] = (
     The scale is 1.4826 MAD, or 1.2533 times the mean deviation where the MAD is 0; none under three values.
     """
     ks = list(keys)
-    one = ks or ["__all"]
-    d = df if ks else df.withColumn("__all", F.lit(0))
-    mid = d.groupBy(*one).agg(F.median(clean(value)).alias("__mid"), F.count(clean(value)).alias("__n"))
-    off = F.abs(F.col(value) - F.col("__mid"))
-    dev = d.join(mid, one).groupBy(*one).agg((1.4826 * F.median(off)).alias("__mad"), (1.2533 * F.avg(off)).alias("__dev"))
+    mid = df.groupBy(*ks).agg(F.median(clean(value)).alias("__mid"), F.count(clean(value)).alias("__n"))
+    # without keys the statistics are one row, which goes to every task
+    meet = lambda d, g: d.join(g, ks, "left") if ks else d.crossJoin(F.broadcast(g))
+    off = F.abs(clean(value) - F.col("__mid"))
+    dev = meet(df, mid).groupBy(*ks).agg(F.first("__n").alias("__n"), F.first("__mid").alias("__mid"), (1.4826 * F.median(off)).alias("__mad"), (1.2533 * F.avg(off)).alias("__dev"))
     scale = F.when(F.col("__n") >= 3, F.when(F.col("__mad") > 0, F.col("__mad")).when(F.col("__dev") > 0, F.col("__dev")))
-    groups = mid.join(dev, one).select(*one, "__mid", scale.alias("__scale"))
-    out = d.join(groups, one, "left")
-    return out.withColumn("outlier", F.coalesce(off / F.col("__scale") > k, F.lit(False))).drop("__mid", "__scale", "__all")
+    out = meet(df, dev.select(*ks, F.col("__mid"), scale.alias("__scale")))
+    return out.withColumn("outlier", F.coalesce(F.abs(F.col(value) - F.col("__mid")) / F.col("__scale") > k, F.lit(False))).drop("__mid", "__scale")
 
 
 def duration_flags(df: DataFrame, low: float, high: float, k: float, known: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
@@ -250,8 +246,9 @@ def duration_flags(df: DataFrame, low: float, high: float, k: float, known: Sequ
     return d.withColumn("flags", F.array_join(marked, ";"))
 
 
-def diarization_qc(segments: DataFrame, durations: DataFrame, speakers: int = 2, least_coverage: float = 0.3, most_overlap: float = 0.25) -> DataFrame:
-    """Per session: segments, speakers in order of first appearance, seconds, coverage, overlap share and flags."""
+def diarization_qc(segments: DataFrame, durations: DataFrame, speakers: int = 2, least_coverage: float = 0.3, most_overlap: float = 0.25, text: str | None = None) -> DataFrame:
+    """Per session: segments, speakers in order of first appearance, seconds, coverage, overlap share and flags; with a column
+    ``text``, whether any segment has some, too."""
     first = segments.groupBy("session_id", "speaker").agg(F.min(F.struct("start", "end")).alias("at"))
     names = first.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "speaker"))).alias("s"))
     names = names.select("session_id", F.array_join("s.speaker", ",").alias("speakers"), F.size("s").alias("n_speakers"))
@@ -265,6 +262,10 @@ def diarization_qc(segments: DataFrame, durations: DataFrame, speakers: int = 2,
         (F.coalesce("coverage", F.lit(0.0)) < least_coverage, "low_coverage"),
         (F.col("overlap_share") > most_overlap, "much_overlap"),
     ]
+    if text is not None:
+        some = segments.groupBy("session_id").agg(F.coalesce(F.bool_or(F.col(text) != ""), F.lit(False)).alias("has_text"))
+        out = out.join(some, "session_id", "left").fillna(False, ["has_text"])
+        tests.append((~F.col("has_text"), "no_text"))
     return out.withColumn("flags", flags(tests)).drop("duration")
 
 
@@ -350,8 +351,9 @@ def best_tile(corr: DataFrame, tile: str, least: float = 0.15, lead: float = 0.1
     return r.select("session_id", "speaker", F.when(clear, F.col(tile)).alias(tile), "corr")
 
 
-def prosody_qc(spans: DataFrame, least_seconds: float) -> DataFrame:
-    """Per session of measured spans: seconds, spans analysed and failed, voiced frames, reference and flags."""
+def prosody_qc(spans: DataFrame, least_seconds: float, role_sources: DataFrame | None = None) -> DataFrame:
+    """Per session of measured spans: seconds, spans analysed and failed, voiced frames, reference and flags, among them
+    that the roles (``role_sources``: session_id, source) are hand-written."""
     q = spans.groupBy("session_id").agg(
         F.sum("duration").alias("analysed_seconds"),
         F.count_if(~F.col("failed")).alias("n_spans"),
@@ -360,7 +362,11 @@ def prosody_qc(spans: DataFrame, least_seconds: float) -> DataFrame:
         F.median("reference").alias("reference_hz"),
     )
     tests = [(F.col("analysed_seconds") < least_seconds, "little_speech"), (F.col("n_voiced") == 0, "none_voiced"), (F.col("n_failed") > 0, "failed_spans")]
-    return q.withColumn("flags", flags(tests))
+    if role_sources is None:
+        return q.withColumn("flags", flags(tests))
+    manual = role_sources.groupBy("session_id").agg(F.bool_or(F.col("source") == "manual").alias("__manual"))
+    q = q.join(manual, "session_id", "left")
+    return q.withColumn("flags", flags([*tests, (F.coalesce("__manual", F.lit(False)), "manual_roles")])).drop("__manual")
 
 
 def region_tallies(lines: DataFrame, keys: Sequence[str], least: float) -> DataFrame:

@@ -17,18 +17,32 @@ def with_roles(spans: DataFrame, roles: DataFrame) -> DataFrame:
     return spans.join(r, ["session_id", "speaker"], "left").withColumn("role", F.coalesce("role", F.lit(UNKNOWN)))
 
 
-def build_turns(spans: DataFrame, gap: float, eps: float = 0, width: float | None = None) -> DataFrame:
-    """Turns of (session_id, role, start, end) spans, numbered from 0.
+def turn_spans(spans: DataFrame, gap: float, eps: float = 0, width: float | None = None) -> DataFrame:
+    """The merged spans of every role (gap 0) with the turn that each belongs to: (session_id, role, start, end, n_spans,
+    turn_index, and ``gap_before``, the silence since the turn's span before).
 
-    Spans merge per role, bridging gaps of at most ``gap``; all are then ordered by start, end and role, and
-    consecutive ones of a role collapse into one turn that reaches to the latest end.
+    Spans merge per role, bridging gaps of at most ``gap``, into runs; runs are ordered by start, end and role, and
+    consecutive ones of a role are one turn, numbered from 0. All comes from one merge and the windows over its few rows.
     """
-    m = sp.merge(spans, ["session_id", "role"], gap, eps, width)
-    w = Window.partitionBy("session_id").orderBy("start", "end", "role")
-    m = m.withColumn("__new", F.when(F.lag("role").over(w) == F.col("role"), 0).otherwise(1))
-    m = m.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    t = m.groupBy("session_id", "__run").agg(F.first("role").alias("role"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_spans").alias("n_spans"))
-    return t.select("session_id", (F.col("__run") - 1).cast("int").alias("turn_index"), "role", "start", "end", "n_spans")
+    m = sp.merge(spans, ["session_id", "role"], 0, eps, width)
+    own = Window.partitionBy("session_id", "role").orderBy("start")
+    m = m.withColumn("__opens", F.when(F.col("start") - F.lag("end").over(own) <= gap + eps, 0).otherwise(1))
+    m = m.withColumn("__run", F.sum("__opens").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
+    run = Window.partitionBy("session_id", "role", "__run")
+    m = m.withColumns({"__from": F.min("start").over(run), "__to": F.max("end").over(run)})
+    order = Window.partitionBy("session_id").orderBy("__from", "__to", "role", "start")
+    m = m.withColumn("__new", F.when(F.lag("role").over(order) == F.col("role"), 0).otherwise(1))
+    m = m.withColumn("turn_index", (F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    # spans of a role do not touch, so within a turn the one before ends before this one starts
+    m = m.withColumn("gap_before", F.when(F.col("__new") == 0, F.col("start") - F.lag("end").over(order)))
+    return m.select("session_id", "role", "start", "end", "n_spans", "turn_index", "gap_before")
+
+
+def build_turns(spans: DataFrame, gap: float, eps: float = 0, width: float | None = None) -> DataFrame:
+    """Turns of (session_id, role, start, end) spans, numbered from 0 (``turn_spans``); a turn reaches to the latest end."""
+    t = turn_spans(spans, gap, eps, width).groupBy("session_id", "turn_index", "role")
+    t = t.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_spans").alias("n_spans"))
+    return t.select("session_id", "turn_index", "role", "start", "end", "n_spans")
 
 
 def with_latency(turns: DataFrame) -> DataFrame:
@@ -38,58 +52,61 @@ def with_latency(turns: DataFrame) -> DataFrame:
     return turns.withColumn("latency", F.when(answer, F.col("start") - F.lag("end").over(w)))
 
 
-def pauses(spans: DataFrame, turns: DataFrame, least: float, eps: float = 0) -> DataFrame:
-    """Gaps longer than ``least`` between a role's spans that lie within one turn of that role."""
-    m = sp.merge(spans, ["session_id", "role"], 0, eps).drop("n_spans")
-    t = turns.select("session_id", "role", F.col("start").alias("t"), F.struct("turn_index", "start", "end").alias("turn"))
-    s = m.select("session_id", "role", F.col("start").alias("t"), F.lit(None).cast(t.schema["turn"].dataType).alias("turn"), "start", "end")
-    t = t.select("session_id", "role", "t", "turn", F.lit(None).cast(s.schema["start"].dataType).alias("start"), F.lit(None).cast(s.schema["end"].dataType).alias("end"))
-    # the turn that holds a span is the last one of its role that began at or before it
-    asof = Window.partitionBy("session_id", "role").orderBy("t", F.col("start").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.unionByName(t).withColumn("turn", F.last("turn", ignorenulls=True).over(asof)).where("start IS NOT NULL")
-    s = s.where((F.col("start") >= F.col("turn.start") - eps) & (F.col("end") <= F.col("turn.end") + eps))
-    w = Window.partitionBy("session_id", "role", "turn.turn_index").orderBy("start")
-    p = s.select("session_id", "role", F.col("turn.turn_index").alias("turn_index"), F.lag("end").over(w).alias("pause_start"), F.col("start").alias("pause_end"))
-    p = p.where(F.col("pause_end") - F.col("pause_start") > max(least, eps))
-    return p.withColumn("pause", F.col("pause_end") - F.col("pause_start"))
-
-
-def timeline(spans: DataFrame, eps: float = 0) -> DataFrame:
-    """Speaking time of the subject, and listening time: the partner's where the subject is silent."""
-    own = spans.where(F.col("role") == SUBJECT).select("session_id", "start", "end")
-    other = spans.where(F.col("role") == PARTNER).select("session_id", "start", "end")
-    speaking = sp.merge(own, ["session_id"], 0, eps).select("session_id", F.lit("speaking").alias("state"), "start", "end")
-    listening = sp.subtract(other, own, ["session_id"], eps).select("session_id", F.lit("listening").alias("state"), "start", "end")
-    return speaking.unionByName(listening)
-
-
-def coverage(spans: DataFrame, eps: float = 0) -> DataFrame:
-    """Per session: covered time of subject, partner, all roles added up, both together, and their overlap."""
+def pauses(spans: DataFrame, gap: float, least: float, eps: float = 0, width: float | None = None) -> DataFrame:
+    """Gaps longer than ``least`` between the spans of a turn (``turn_spans``)."""
+    p = turn_spans(spans, gap, eps, width).where(F.col("gap_before") > max(least, eps))
+    return p.select("session_id", "role", "turn_index", (F.col("start") - F.col("gap_before")).alias("pause_start"), F.col("start").alias("pause_end"), F.col("gap_before").alias("pause"))
+
+
+def timeline(spans: DataFrame, eps: float = 0, width: float | None = None) -> DataFrame:
+    """Speaking time of the subject, and listening time: the partner's where the subject is silent; one sweep gives both."""
+    marks = {"own": F.col("role") == SUBJECT, "other": F.col("role") == PARTNER}
+    pieces = sp.levels(spans.where(F.col("role").isin(SUBJECT, PARTNER)), ["session_id"], marks, eps, width)
+    state = F.when(F.col("own") > 0, "speaking").when(F.col("other") > 0, "listening")
+    pieces = pieces.withColumn("state", state).where("state IS NOT NULL")
+    return sp.merge(pieces.select("session_id", "state", "start", "end"), ["session_id", "state"], 0, eps).select("session_id", "state", "start", "end")
+
+
+def _covered(merged: DataFrame) -> DataFrame:
+    """Add ``__more``, the time that each of a role's merged spans adds to what subject and partner together covered before."""
+    pair = F.col("role").isin(SUBJECT, PARTNER)
+    before = Window.partitionBy("session_id").orderBy("start", "end", "role").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(pair, F.col("end"))).over(before)
+    more = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(reach, F.col("start"))), F.lit(0))
+    return merged.withColumn("__more", F.when(pair, more))
+
+
+def _coverage_sums() -> list:
     length = F.col("end") - F.col("start")
-    per_role = sp.merge(spans, ["session_id", "role"], 0, eps)
-    c = per_role.groupBy("session_id").agg(
-        F.sum(F.when(F.col("role") == SUBJECT, length)).alias("subject_time"),
-        F.sum(F.when(F.col("role") == PARTNER, length)).alias("partner_time"),
-        F.sum(length).alias("all_time"),
-    )
-    pair = spans.where(F.col("role").isin(SUBJECT, PARTNER))
-    both = sp.merge(pair, ["session_id"], 0, eps).groupBy("session_id").agg(F.sum(length).alias("both_time"))
-    own, other = (spans.where(F.col("role") == r) for r in (SUBJECT, PARTNER))
-    over = sp.intersect(own, other, ["session_id"], eps).groupBy("session_id").agg(F.sum(length).alias("overlap_time"))
-    out = c.join(both, "session_id", "left").join(over, "session_id", "left")
-    return out.fillna(0, ["subject_time", "partner_time", "both_time", "overlap_time"])
+    mine, theirs = (F.coalesce(F.sum(F.when(F.col("role") == r, length)), F.lit(0)) for r in (SUBJECT, PARTNER))
+    both = F.coalesce(F.sum("__more"), F.lit(0))
+    return [mine.alias("subject_time"), theirs.alias("partner_time"), F.sum(length).alias("all_time"), both.alias("both_time"), (mine + theirs - both).alias("overlap_time")]
 
 
-def turn_features(spans: DataFrame, durations: DataFrame, gap: float, least_pause: float, most_latency: float, unit: float = 1.0, eps: float = 0) -> DataFrame:
+def coverage(spans: DataFrame, eps: float = 0, width: float | None = None) -> DataFrame:
+    """Per session: covered time of subject, partner, all roles added up, both together, and their overlap."""
+    return _covered(sp.merge(spans, ["session_id", "role"], 0, eps, width)).groupBy("session_id").agg(*_coverage_sums())
+
+
+def turn_features(
+    spans: DataFrame, durations: DataFrame, gap: float, least_pause: float, most_latency: float, unit: float = 1.0, eps: float = 0, width: float | None = None
+) -> DataFrame:
     """One row of turn features per session of ``durations`` (session_id, duration).
 
     ``unit`` is the length of a second. Rates are per minute of the session; pauses per minute of the subject's
-    speech. Every feature that has nothing to rest on is null, never 0.
+    speech. Every feature that has nothing to rest on is null, never 0. The spans are read and merged once.
     """
-    turns = with_latency(build_turns(spans, gap, eps))
+    s = _covered(turn_spans(spans, gap, eps, width))
+    pause = F.when(F.col("gap_before") > max(least_pause, eps), F.col("gap_before"))
+    turns = s.groupBy("session_id", "turn_index", "role").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("end") - F.col("start")).alias("spoken"), F.sum("__more").alias("more"), F.sum(pause).alias("pause"), F.count(pause).alias("n_pauses")
+    )
+    turns = with_latency(turns)
     length, latency = (F.col("end") - F.col("start")) / unit, F.col("latency") / unit
     usable = F.when((F.col("latency") >= 0) & (F.col("latency") <= most_latency), latency)
     mine, theirs = (F.when(F.col("role") == r, length) for r in (SUBJECT, PARTNER))
+    of = lambda r, c: F.coalesce(F.sum(F.when(F.col("role") == r, F.col(c))), F.lit(0))
+    both = F.coalesce(F.sum("more"), F.lit(0))
     t = turns.groupBy("session_id").agg(
         F.count("*").alias("n_turns"),
         F.avg(usable).alias("latency_mean"),
@@ -100,10 +117,16 @@ def turn_features(spans: DataFrame, durations: DataFrame, gap: float, least_paus
         F.avg(mine).alias("subject_turn_duration_mean"),
         F.stddev_samp(mine).alias("subject_turn_duration_sd"),
         F.avg(theirs).alias("partner_turn_duration_mean"),
+        of(SUBJECT, "spoken").alias("subject_time"),
+        of(PARTNER, "spoken").alias("partner_time"),
+        F.sum("spoken").alias("all_time"),
+        both.alias("both_time"),
+        (of(SUBJECT, "spoken") + of(PARTNER, "spoken") - both).alias("overlap_time"),
+        of(SUBJECT, "n_pauses").alias("n_pauses"),
+        (F.sum(F.when(F.col("role") == SUBJECT, F.col("pause"))) / unit).alias("__paused"),
     )
-    p = pauses(spans, turns, least_pause, eps).where(F.col("role") == SUBJECT)
-    p = p.groupBy("session_id").agg(F.avg(F.col("pause") / unit).alias("pause_within_mean"), F.count("*").alias("n_pauses"))
-    s = durations.select("session_id", "duration").join(t, "session_id", "left").join(coverage(spans, eps), "session_id", "left").join(p, "session_id", "left")
+    t = t.withColumn("pause_within_mean", F.when(F.col("n_pauses") > 0, F.col("__paused") / F.col("n_pauses")))
+    s = durations.select("session_id", "duration").join(t, "session_id", "left")
     minutes = F.col("duration") / unit / 60
     per_minute = lambda n: F.when(F.col("duration") > 0, F.coalesce(F.col(n), F.lit(0)) / minutes)
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
@@ -132,12 +155,8 @@ def turn_features(spans: DataFrame, durations: DataFrame, gap: float, least_paus
 
 def first_known_duration(*tables: DataFrame) -> DataFrame:
     """Duration by session from the first of the tables that has any row: a table is chosen, not a row."""
-    out = None
-    for i, t in enumerate(tables):
-        t = t.select("session_id", "duration", F.lit(i).alias("__rank"))
-        out = t if out is None else out.unionByName(t)
-    best = out.agg(F.min("__rank").alias("__rank"))
-    return out.join(F.broadcast(best), "__rank").drop("__rank")  # one row
+    found = next((t for t in tables[:-1] if not t.isEmpty()), tables[-1])
+    return found.select("session_id", "duration")
 
 
 def budget_sample(segments: DataFrame, keys: list[str], least: float, budget: float) -> DataFrame:

@@ -183,7 +183,7 @@ def latencies(spark, sf):
 @query("pauses", "WITH " + TURNS_SQL + PAUSES_SQL + "\nSELECT session_id, role, turn_index, pause_start, pause_end, pause FROM pauses")
 def pauses(spark, sf):
     s = ad.role_spans(spark, sf)
-    return tn.pauses(s, tn.build_turns(s, ad.GAP), ad.PAUSE)
+    return tn.pauses(s, ad.GAP, ad.PAUSE)
 
 
 TIMELINE_SQL = ad.SPANS_SQL + OWN_OTHER + "," + ad.merge_sql("speaking", "own", "session_id") + "," + ad.elementary_sql("listening", "other", "own", "session_id", False) + """,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -28,11 +27,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 _ROWS_SQL = """
 d AS (SELECT doc_id AS id, source AS "group", len(string_split(text, ' ')) AS n_words, CASE WHEN doc_id % 9 > 0 THEN len(string_split(text, chr(10))) END AS n_lines, n_chars / 1000 AS n_thousand,
   CASE WHEN doc_id % 4 > 0 THEN length(regexp_replace(text, '[^A-Z]', '', 'g')) END AS n_upper, quality + toxic * 2 + n_chars % 7 AS y FROM documents JOIN labels USING (doc_id)),
@@ -135,49 +129,71 @@ def gram(spark, sf):
     return rounded(ev.gram(_folded(spark, sf)[0], COLUMNS, "y"), places=7)
 
 
-def _fitted(spark, sf):
-    rows, folds = _folded(spark, sf)
-    inner = F.pmod(F.crc32(F.col("group")), F.lit(5)).cast("int")
-    grams = ev.gram(rows.withColumn("inner", inner), COLUMNS, "y", ["fold", "inner"])
-    medians = ev.prepare_folds(rows, COLUMNS, folds)
-    return rows, ev.fit_elastic_nets(grams, medians, COLUMNS), medians
-
-
 @query("elastic_net")
 def elastic_net(spark, sf):
-    return _fitted(spark, sf)[1]
+    return ev.cross_validate(_documents(spark, sf), COLUMNS, "y", 5)[1]
 
 
 @query("elastic_net_scores")
 def elastic_net_scores(spark, sf):
-    rows, fits, medians = _fitted(spark, sf)
-    p = ev.predict(rows, COLUMNS, fits, medians).withColumn("model", F.lit("net"))
-    return ev.out_of_fold_scores(p, ["model"], "y", "prediction")
+    p, _ = ev.cross_validate(_documents(spark, sf), COLUMNS, "y", 5)
+    return ev.out_of_fold_scores(p.withColumn("model", F.lit("net")), ["model"], "y", "prediction")
 
 
-@query("forest_scores")
-def forest_scores(spark, sf):
-    rows, _ = _folded(spark, sf)
-    rows = rows.withColumn("y", F.col("y").cast("double"))
-    p = ev.forest_out_of_fold(rows, COLUMNS, "y", range(5), trees=20, depth=4).withColumn("model", F.lit("forest"))
-    return ev.out_of_fold_scores(p, ["model"], "y", "prediction")
+@query("leave_one_out")
+def leave_one_out(spark, sf):
+    """Every group left out alone."""
+    p, _ = ev.cross_validate(_documents(spark, sf), COLUMNS, "y", 0)
+    return ev.out_of_fold_scores(p.withColumn("model", F.lit("net")), ["model"], "y", "prediction")
 
 
 @query("repeated_folds")
 def repeated_folds(spark, sf):
-    """A one-feature prediction under three seeds of folds: the mean of the other folds' targets per group of lengths."""
-    d = _documents(spark, sf).withColumn("bin", F.floor(F.log2(F.col("n_words") + 1)))
+    """The elastic net under three seeds of five folds."""
     every = None
     for seed in range(3):
-        r = d.join(ev.group_folds(d, 5, seed), "group")
-        s = r.groupBy("fold", "bin").agg(F.sum("y").alias("s"), F.count("y").alias("c"))
-        t = s.groupBy("bin").agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"))
-        p = r.join(s, ["fold", "bin"]).join(t, "bin").withColumn("prediction", F.when(F.col("tc") > F.col("c"), (F.col("ts") - F.col("s")) / (F.col("tc") - F.col("c"))))
-        got = ev.out_of_fold_scores(p.withColumn("seed", F.lit(seed)), ["seed"], "y", "prediction").withColumn("model", F.lit("bins"))
+        p, _ = ev.cross_validate(_documents(spark, sf), COLUMNS, "y", 5, seed)
+        got = ev.out_of_fold_scores(p.withColumn("seed", F.lit(seed)), ["seed"], "y", "prediction").withColumn("model", F.lit("net"))
         every = got if every is None else every.unionByName(got)
     return ev.repeated_scores(every, ["model"])
 
 
+@query("forest_scores")
+def forest_scores(spark, sf):
+    rows, _ = _folded(spark, sf)
+    p = ev.forest_out_of_fold(rows.withColumn("y", F.col("y").cast("double")), COLUMNS, "y", range(5)).withColumn("model", F.lit("forest"))
+    return ev.out_of_fold_scores(p, ["model"], "y", "prediction")
+
+
+def _wide_documents(spark, sf):
+    """54 columns of documents: how often each of as many byte sequences stands in the text."""
+    d = ad.table(spark, sf, "documents").join(ad.table(spark, sf, "labels"), "doc_id")
+    marks = [chr(97 + i) for i in range(26)] + [a + b for a, b in zip("thenarsoitelnd" * 2, "henarsoitelndt" * 2)]
+    counted = [((F.length("text") - F.length(F.replace(F.col("text"), F.lit(m), F.lit("")))) / len(m)).alias(f"c{i}") for i, m in enumerate(marks)]
+    return d.select(F.col("source").alias("group"), F.col("quality").alias("y"), *counted), marks
+
+
+_MARKS = [chr(97 + i) for i in range(26)] + [a + b for a, b in zip("thenarsoitelnd" * 2, "henarsoitelndt" * 2)]
+
+
+@query(
+    "gram_wide",
+    "WITH d AS (SELECT source AS \"group\", quality AS y, "
+    + ", ".join(f"(length(text) - length(replace(text, '{m}', ''))) / {len(m)} AS c{i}" for i, m in enumerate(_MARKS))
+    + """ FROM documents JOIN labels USING (doc_id)), r AS (SELECT row_number() OVER () AS r, * FROM d),
+u AS (UNPIVOT (SELECT r, "group", CAST(y AS DOUBLE) AS y, 1.0::DOUBLE AS one, """
+    + ", ".join(f"CAST(c{i} AS DOUBLE) AS x_c{i}" for i in range(54))
+    + """ FROM r) ON * EXCLUDE (r, "group") INTO NAME k VALUE v)
+SELECT a."group", a.k AS i, b.k AS j, CAST(sum(a.v * b.v) AS BIGINT) AS s FROM u a JOIN u b ON a.r = b.r
+WHERE a.k <= b.k GROUP BY 1, 2, 3""",
+)
+def gram_wide(spark, sf):
+    """Whole numbers only, so that sums are exact; the marks of nulls, of which there are none, are left out."""
+    d, marks = _wide_documents(spark, sf)
+    g = ev.gram(d, [f"c{i}" for i in range(len(marks))], "y", ["group"]).where("NOT (i LIKE 'm%' OR j LIKE 'm%')")
+    return g.select("group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.round("s").cast("long").alias("s"))
+
+
 @query(
     "oof_scores",
     """WITH p AS (SELECT l_suppkey, l_extendedprice AS truth, CASE WHEN l_linenumber % 7 > 0 THEN l_quantity * 1500 END AS prediction FROM lineitem), q AS (SELECT * FROM p WHERE prediction IS NOT NULL),
@@ -224,8 +240,37 @@ def perm_p(spark, sf):
 
 @query("permutation_null")
 def permutation_null(spark, sf):
-    d = _documents(spark, sf).withColumn("model", F.lit("words"))
-    return ev.permutation_p(ev.permutation_scores(d, "n_words", "y", ["model"], 50), ["model"])
+    s = ev.permutation_null(_documents(spark, sf), COLUMNS, "y", 50).withColumn("model", F.lit("net"))
+    observed = s.where("permutation = 0").select(F.col("score").alias("observed"))
+    return ev.permutation_p(s.where("permutation > 0").crossJoin(F.broadcast(observed)), ["model"])  # one row
+
+
+@query("estimates")
+def estimates(spark, sf):
+    """Every planned estimate of two targets and two models, the second of which fails; outcomes by tier."""
+    targets = spark.createDataFrame([("y", 1), ("none", 0)], "target string, n_known long")
+    plan = ev.estimate_plan(targets, [("all", "confirmatory"), ("words", "exploratory")], ["net", "absent"])
+    variants = {"all": COLUMNS, "words": ["n_words"]}
+
+    def fit(e):
+        if e["model"] != "net":
+            raise ValueError("no such model")
+        p, _ = ev.cross_validate(_documents(spark, sf), variants[e["variant"]], e["target"], 5)
+        return ev.out_of_fold_scores(p.withColumn("model", F.lit("net")), ["model"], e["target"], "prediction")
+
+    results, outcomes = ev.run_estimates(plan, fit)
+    return outcomes.join(results, ["target", "variant", "tier", "model"], "left")
+
+
+@query(
+    "composition",
+    "WITH " + _NAMES_SQL
+    + """, t AS (SELECT name, string_split(name, '__')[1] AS family FROM n), p AS (SELECT DISTINCT lower(p_type) AS family, any_value(p_brand) AS b, min(p_brand) AS source FROM part GROUP BY 1)
+SELECT coalesce(source, 'unknown') AS source, CASE WHEN t.family IN ('economy', 'large') THEN 'exploratory' ELSE 'awaiting' END AS tier, count(DISTINCT name) AS n FROM t LEFT JOIN p USING (family) GROUP BY 1, 2""",
+)
+def composition(spark, sf):
+    sources = ad.table(spark, sf, "part").groupBy(F.lower("p_type").alias("family")).agg(F.min("p_brand").alias("source"))
+    return ev.composition(ev.tier_plan(_names(spark, sf), [], ["economy", "large"]), sources)
 
 
 @query(
@@ -236,7 +281,7 @@ SELECT s_suppkey, round(p_value, 9) AS p_value, round(least(1, max(raw) OVER (OR
 )
 def holm(spark, sf):
     p = F.when(F.col("s_suppkey") % 10 > 0, F.abs("s_acctbal") / 20000 / (1 + F.col("s_nationkey") * 40))
-    return rounded(ev.holm(ad.table(spark, sf, "supplier").select("s_suppkey", p.alias("p_value")), order=["s_suppkey"]), places=9)
+    return rounded(ev.holm(ad.table(spark, sf, "supplier").select("s_suppkey", p.alias("p_value"))), places=9)
 
 
 # ---------------------------------------------------------------- streaming
@@ -252,7 +297,7 @@ def _stream(spark, sf, name):
 
 def _drained(spark, df, mode: str):
     name = f"s{uuid.uuid4().hex}"
-    sm.run_available(df, scratch(spark), name, mode)
+    sm.run_available(df, ad.scratch(spark), name, mode)
     return spark.table(name)
 
 
@@ -264,18 +309,26 @@ def stream_channel_stats(spark, sf):
     return out.select("session_id", "n", F.round("rms_left", 6).alias("rms_left"), F.round("peak_right", 8).alias("peak_right"), "identical")
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    """WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), o AS (SELECT *, CASE WHEN t - lag(t) OVER w < 14400000000 THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, min(t) AS start_us, max(t) + 14400000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k""",
+)
 def stream_sessions(spark, sf):
-    e = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return _drained(spark, sm.stream_sessions(e, "ts", "4 hours", "1 day", ["user_id"]), "append")
+    """Sessions of all events: the stream ends with a row of nobody's that is later than any."""
+    e = _stream(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    late = ad.table(spark, sf, "events").agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 10 DAYS")).alias("ts"))
+    last = late.select(F.lit(None).cast(e.schema["user_id"].dataType).alias("user_id"), "ts")
+    s = sm.run_to_the_end(lambda rows: sm.stream_sessions(rows, "ts", "4 hours", "1 day", ["user_id"]), e, last, ad.scratch(spark))
+    return s.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
 
 
 @query("stream_upsert", "SELECT o_custkey AS session_id, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) GROUP BY 1")
 def stream_upsert(spark, sf):
     """Orders carried forward by micro-batch, keyed by order, then counted."""
-    path = scratch(spark)
+    path = ad.scratch(spark)
     o = _stream(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), "o_orderkey")
-    q = o.writeStream.foreachBatch(sm.upsert_batches(path, ["session_id", "o_orderkey"])).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    q = o.writeStream.foreachBatch(sm.upsert_batches(path, ["session_id", "o_orderkey"])).option("checkpointLocation", ad.scratch(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    return spark.read.parquet(f"{path}/version={last}").groupBy("session_id").agg(F.count("*").alias("n"))
+    return sm.read_upserted(spark, path).groupBy("session_id").agg(F.count("*").alias("n"))

@@ -33,10 +33,10 @@ def query(name: str, sql: str | None = None):
 def _turn_rows(spark, sf, whole=False):
     """Turns of conversations as cues of two seconds and more, three seconds apart; every third has no name.
 
-    A cue has the letters among the first 40 characters, or the whole text on one line, as a blank line ends a cue.
+    A cue has the letters of the text, or the whole text on one line, as a blank line ends a cue.
     """
     c = ad.table(spark, sf, "conversations")
-    words = F.trim(F.regexp_replace(F.substring("text", 1, 40), r"[^A-Za-z ]+", " "))
+    words = F.trim(F.regexp_replace("text", r"[^A-Za-z ]+", " "))
     if whole:
         words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " "))
     return c.select("conv_id", "turn", F.when(F.col("role") == "user", 1).otherwise(2).alias("n"), words.alias("words"))
@@ -53,7 +53,7 @@ def _subtitles(spark, sf, whole=False):
 
 
 _CUES_SQL = """
-WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS n, trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z ]+', ' ', 'g')) AS words FROM conversations),
+WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS n, trim(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g')) AS words FROM conversations),
 cues AS (SELECT CAST(conv_id AS VARCHAR) AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, turn * 3 + (conv_id % 1000) / 1000 AS start_s,
   turn * 3 + CASE WHEN turn % 7 = 6 THEN 0 ELSE 2 END + (conv_id % 1000) / 1000 AS end_s, CASE WHEN turn % 3 = 2 THEN NULL ELSE n END AS named, words FROM c)"""
 
@@ -123,7 +123,7 @@ def _listing(spark, sf):
     + """, s AS (SELECT c_custkey AS session_id FROM customer), w AS (SELECT session_id, 0 AS rank, session_id || '_final.rttm' AS file FROM s UNION ALL SELECT session_id, 1, session_id || '.srt' FROM s),
 b AS (SELECT session_id, arg_min(file, rank) AS file FROM w WHERE file IN (SELECT name FROM f) GROUP BY 1)
 SELECT s.session_id, file, CASE WHEN file IS NULL THEN 'missing' ELSE 'matched' END AS status FROM s LEFT JOIN b ON b.session_id = s.session_id
-UNION ALL SELECT NULL, name, 'unmatched' FROM f WHERE name NOT IN (SELECT file FROM w)""",
+UNION ALL SELECT NULL, name, CASE WHEN name LIKE '%.txt' THEN 'timeless' ELSE 'unmatched' END FROM f WHERE name NOT IN (SELECT file FROM b WHERE file IS NOT NULL)""",
 )
 def file_match(spark, sf):
     s = ad.table(spark, sf, "customer").select(F.col("c_custkey").alias("session_id"))
@@ -163,10 +163,10 @@ def frame_ingest(spark, sf):
 
 @query(
     "media_meta",
-    """WITH p AS (SELECT *, p_partkey % 5 AS k, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size END AS d FROM part)
+    """WITH p AS (SELECT *, p_partkey % 5 AS k, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size END AS d, CASE WHEN p_partkey % 3 = 0 THEN 1030 ELSE 1000 END AS base FROM part)
 SELECT p_partkey AS session_id, round(p_retailprice, 4) AS duration_s, CASE WHEN k = 0 THEN 0 WHEN k = 1 THEN 2 ELSE 1 END AS n_video, CASE WHEN k = 2 THEN 0 ELSE 1 END AS n_audio,
 CASE WHEN k > 0 THEN 640 END AS width, CASE WHEN k > 0 THEN p_size END AS height, CASE WHEN k > 0 AND d > 0 THEN round(1000 / d, 6) END AS fps,
-concat_ws(';', CASE WHEN k = 0 THEN 'no_video' END, CASE WHEN k = 2 THEN 'no_audio' END, CASE WHEN k = 1 THEN 'several_video' END, CASE WHEN k > 0 AND d > 0 AND abs(1010 / p_size - 1000 / d) / (1000 / d) > 0.0101 THEN 'variable_rate' END) AS flags FROM p""",
+concat_ws(';', CASE WHEN k = 0 THEN 'no_video' END, CASE WHEN k = 2 THEN 'no_audio' END, CASE WHEN k = 1 THEN 'several_video' END, CASE WHEN k > 0 AND d > 0 AND abs(base / p_size - 1000 / d) / (1000 / d) > 0.01 THEN 'variable_rate' END) AS flags FROM p""",
 )
 def media_meta(spark, sf):
     p = ad.table(spark, sf, "part")
@@ -177,9 +177,6 @@ def media_meta(spark, sf):
     return rounded(tb.parse_media(p.select(F.col("p_partkey").alias("session_id"), js.alias("json"))), places=6)
 
 
-ORACLE["media_meta"] = ORACLE["media_meta"].replace("abs(1010 / p_size - 1000 / d) / (1000 / d) > 0.0101", "p_partkey % 3 = 0")
-
-
 @query(
     "text_source",
     """SELECT doc_id AS session_id, CAST(n_chars AS DOUBLE) AS text__n_chars, round(n_chars / 7, 6) AS text__mean_length FROM documents""",
@@ -226,17 +223,16 @@ def manifest(spark, sf):
     return tb.manifest(_wide(spark, sf), ["turn", "face"], {"seed": "7"})
 
 
-@query("bundle_sink")
+@query("bundle_sink", "WITH " + _WIDE_SQL + " SELECT *, 'column ' || 'turn__orders' AS described FROM w")
 def bundle_sink(spark, sf):
-    """Write a bundle of features, quality columns and manifest, and read the parts back."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{root}/bundle-{uuid.uuid4().hex}"
+    """Write a bundle of features, quality columns, dictionary and manifest, and read the parts back."""
+    path = f"{ad.scratch(spark)}/bundle"
     features, qc = am.split_quality(_wide(spark, sf), ["session_id", "wave"])
-    tb.write_bundle({"features": features, "qc": qc, "manifest": tb.manifest(features, ["turn", "face", "prosody"])}, path)
-    return spark.read.parquet(f"{path}/features").join(spark.read.parquet(f"{path}/qc"), ["session_id", "wave"])
+    names = {c: ("", "exploratory", f"column {c}") for c in features.columns if "__" in c}
+    parts = {"features": features, "qc": qc, "dictionary": am.feature_dictionary(spark, list(names), names)}
+    tb.write_bundle(parts | {"manifest": tb.manifest(features, ["turn", "face", "prosody"], seeds=[7])}, path, budget=10)
+    first = spark.read.parquet(f"{path}/dictionary").where("name = 'turn__orders'").select(F.col("description").alias("described"))
+    return spark.read.parquet(f"{path}/features").join(spark.read.parquet(f"{path}/qc"), ["session_id", "wave"]).crossJoin(F.broadcast(first))  # one row
 
 
 # ---------------------------------------------------------------- selection and projections
@@ -396,18 +392,19 @@ def combine_present(spark, sf):
 @query(
     "role_precedence",
     """WITH r AS (SELECT l_suppkey AS session_id, l_linenumber AS speaker, l_suppkey % 3 AS k FROM lineitem GROUP BY ALL)
-SELECT session_id, speaker, 'subject' AS role, 'assigned' AS source FROM r WHERE k > 0 AND speaker < 3 UNION ALL SELECT session_id, speaker, 'partner', 'manual' FROM r WHERE k = 0 AND speaker > 2""",
+SELECT session_id, speaker, CASE WHEN k > 0 THEN 'subject' ELSE 'partner' END AS role, CASE WHEN k > 0 THEN 'assigned' ELSE 'manual' END AS source FROM r""",
 )
 def role_precedence(spark, sf):
     r = ad.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("session_id"), F.col("l_linenumber").alias("speaker")).distinct()
-    assigned = r.where("session_id % 3 > 0 AND speaker < 3").withColumn("role", F.lit("subject"))
-    return am.role_precedence(assigned, r.where("speaker > 2").withColumn("role", F.lit("partner")))
+    assigned = r.where("session_id % 3 > 0").withColumn("role", F.lit("subject"))
+    manual = tb.role_table(r.withColumn("role", F.lit(" partner ")).withColumn("speaker", F.col("speaker").cast("string")))
+    return am.role_precedence(assigned, manual.withColumn("speaker", F.col("speaker").cast("int")))
 
 
 @query(
     "assemble_features",
     """WITH o AS (SELECT o_custkey AS session_id, count(*) AS turn__n, CASE WHEN count(*) > 12 THEN 'many;busy' ELSE '' END AS fl FROM orders GROUP BY 1),
-a AS (SELECT c_custkey AS session_id, c_acctbal AS face__balance, CASE WHEN c_acctbal < 0 THEN 'debt;busy' END AS fl FROM customer WHERE c_custkey % 4 <> 1)
+a AS (SELECT c_custkey AS session_id, c_acctbal AS face__balance, CASE WHEN c_acctbal < 0 THEN 'debt;busy' END AS fl FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT c.c_custkey AS session_id, c_mktsegment AS wave, turn__n, face__balance, concat_ws(';', CASE WHEN o.session_id IS NULL THEN 'turns' END, CASE WHEN a.session_id IS NULL THEN 'face' END) AS qc__stages_missing,
 CASE WHEN o.fl = 'many;busy' AND a.fl = 'debt;busy' THEN 'many;busy;debt' ELSE concat_ws(';', nullif(o.fl, ''), a.fl) END AS qc__flags
 FROM customer c LEFT JOIN o ON o.session_id = c_custkey LEFT JOIN a ON a.session_id = c_custkey""",
@@ -416,7 +413,7 @@ def assemble_features(spark, sf):
     c = ad.table(spark, sf, "customer")
     turns = ad.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("session_id")).agg(F.count("*").alias("turn__n"))
     turns = turns.withColumn("qc__flags", F.when(F.col("turn__n") > 12, "many;busy").otherwise(""))
-    face = c.where("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("session_id"), F.col("c_acctbal").alias("face__balance"), F.when(F.col("c_acctbal") < 0, "debt;busy").alias("qc__flags"))
+    face = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("session_id"), F.col("c_acctbal").alias("face__balance"), F.when(F.col("c_acctbal") < 0, "debt;busy").alias("qc__flags"))
     return am.assemble_features(c.select(F.col("c_custkey").alias("session_id"), F.col("c_mktsegment").alias("wave")), {"turns": turns, "face": face})
 
 
@@ -433,26 +430,37 @@ def join_coverage(spark, sf):
 
 @query(
     "positional_join",
-    """WITH l AS (SELECT doc_id AS session_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM labels), d AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents)
+    """WITH l AS (SELECT doc_id AS session_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents), d AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id DESC) - 1 AS k FROM documents)
 SELECT session_id, k AS ordinal, n_chars FROM l JOIN d USING (k)""",
 )
 def positional_join(spark, sf):
-    ids = ad.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("session_id"))
-    n = ids.count()
-    d = ad.table(spark, sf, "documents").select("doc_id", "n_chars")
-    # the source numbers its rows; the order of document ids does so here, for all documents and whatever ids are missing
-    table = am.number_rows(d, "doc_id", "ordinal").where(F.col("ordinal") < n).select("ordinal", "n_chars")
+    d = ad.table(spark, sf, "documents").select((-F.col("doc_id")).alias("back"), "n_chars")
+    # the source numbers its rows; here the order of ids from the last to the first does so, for all documents
+    table = am.number_rows(d, "back", "ordinal").select("ordinal", "n_chars")
+    ids = ad.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("session_id"))
     return am.positional_join(table, ids, "ordinal").select("session_id", F.col("ordinal").cast("long").alias("ordinal"), "n_chars")
 
 
 @query(
     "upsert",
-    """SELECT o_custkey AS session_id, o_orderkey, o_totalprice AS value, CAST(NULL AS VARCHAR) AS extra FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey % 2 = 1)
-UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey % 2 = 1""",
+    """WITH o AS (SELECT *, o_orderkey % 2 = 1 AND o_custkey % 2 = 1 AS fresh FROM orders)
+SELECT o_custkey AS session_id, o_orderkey, o_totalprice AS value, CASE WHEN fresh THEN o_orderstatus END AS extra FROM o WHERE fresh OR o_custkey NOT IN (SELECT o_custkey FROM o WHERE fresh)""",
 )
 def upsert(spark, sf):
     o = ad.table(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), "o_orderkey", F.col("o_totalprice").alias("value"), F.col("o_orderstatus").alias("extra"))
-    return am.upsert(o.where("o_orderkey % 2 = 0").drop("extra"), o.where("o_orderkey % 2 = 1 AND session_id % 2 = 1"))
+    fresh = F.expr("o_orderkey % 2 = 1 AND session_id % 2 = 1")
+    return am.upsert(o.where(~fresh).drop("extra"), o.where(fresh))
+
+
+@query(
+    "new_columns",
+    """WITH o AS (SELECT *, o_orderkey % 2 = 1 AND o_custkey % 2 = 1 AS fresh FROM orders)
+SELECT 'extra' AS "column", count(*) AS n_carried FROM o WHERE NOT fresh AND o_custkey NOT IN (SELECT o_custkey FROM o WHERE fresh)""",
+)
+def new_columns(spark, sf):
+    o = ad.table(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), "o_orderkey", F.col("o_orderstatus").alias("extra"))
+    fresh = F.expr("o_orderkey % 2 = 1 AND session_id % 2 = 1")
+    return am.new_columns(o.where(~fresh).drop("extra"), o.where(fresh))
 
 
 @query(
@@ -467,12 +475,12 @@ def pending_sessions(spark, sf):
 @query(
     "cohort",
     """SELECT coalesce(d.doc_id, l.doc_id) AS session_id, CASE WHEN l.doc_id IS NULL THEN 'features_only' WHEN d.doc_id IS NULL THEN 'labels_only' ELSE 'cohort' END AS part, coalesce(source, CAST(coalesce(d.doc_id, l.doc_id) AS VARCHAR)) AS "group"
-FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN source END AS source FROM documents WHERE doc_id % 7 > 0) d FULL JOIN labels l ON l.doc_id = d.doc_id""",
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN source END AS source FROM documents) d FULL JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def cohort(spark, sf):
     d = ad.table(spark, sf, "documents").select(F.col("doc_id").alias("session_id"), F.col("source").alias("group"))
-    features = d.where("session_id % 7 > 0")
-    return am.cohort(features, ad.table(spark, sf, "labels").select(F.col("doc_id").alias("session_id")), features.where("session_id % 5 > 0"))
+    groups = d.withColumn("group", F.when(F.col("session_id") % 5 > 0, F.col("group")))
+    return am.cohort(d, ad.table(spark, sf, "labels").select(F.col("doc_id").alias("session_id")), groups)
 
 
 @query("single_source", "SELECT l_suppkey, count(DISTINCT l_shipmode) AS n_sources, count(DISTINCT l_shipmode) <= 1 AS comparable FROM (SELECT l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 'one' ELSE l_returnflag END AS l_shipmode FROM lineitem) GROUP BY 1")

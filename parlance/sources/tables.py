@@ -12,8 +12,14 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as fn
 
-MODALITIES, STATUSES, LEAST_REASON = ("audio", "video", "face", "speech"), ("available", "degraded", "unavailable"), 15
+#: What a note may be about, what it may say, and how long its reason is at least.
+MODALITIES, STATUSES, LEAST_REASON = ("audio", "video", "face", "speech"), ("unavailable", "degraded", "note"), 15
+#: Names of identifier columns of label files and of text-feature files, in order of preference.
 ID_NAMES = ("session_id", "session", "id")
+TEXT_ID_NAMES = (*ID_NAMES, "recording_id", "file_id")
+#: Endings of files that carry no times.
+TIMELESS = (".txt", ".json", ".tsv", ".csv")
+ROLES = ("subject", "partner", "unknown")
 
 
 # ---------------------------------------------------------------- discovery and matching
@@ -48,21 +54,28 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
 
 
-def match_files(sessions: DataFrame, files: DataFrame, patterns: Sequence[str]) -> DataFrame:
+def match_files(sessions: DataFrame, files: DataFrame, patterns: Sequence[str], known: DataFrame | None = None) -> DataFrame:
     """(session_id, file, status): each session with the first pattern's file that exists.
 
-    ``patterns`` hold {session_id}; ``files`` has (name). Sessions without a file are 'missing', files of no
-    session 'unmatched'.
+    ``patterns`` hold {session_id}; ``files`` has (name). Sessions without a file are 'missing'; of the files that no session
+    claims, those with an ending that carries no times are 'timeless' and the others 'unmatched'. ``known`` has all sessions
+    there are: where a run takes some of them only, the files of the others are theirs and are not reported.
     """
     by = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("pattern")) for i, p in enumerate(patterns)]))
-    want = sessions.select("session_id", by.alias("p"))
-    want = want.select("session_id", "p.rank", F.replace(F.col("p.pattern"), F.lit("{session_id}"), F.col("session_id").cast("string")).alias("file"))
+    every = sessions.select("session_id", F.lit(True).alias("asked"))
+    if known is not None:
+        rest = known.select("session_id").distinct().join(every, "session_id", "left_anti")
+        every = every.unionByName(rest.withColumn("asked", F.lit(False)))
+    want = every.select("session_id", "asked", by.alias("p"))
+    want = want.select("session_id", "asked", "p.rank", F.replace(F.col("p.pattern"), F.lit("{session_id}"), F.col("session_id").cast("string")).alias("file"))
     found = want.join(files.select(F.col("name").alias("file")), "file")
-    w = Window.partitionBy("session_id").orderBy("rank")
-    best = found.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("session_id", "file")
-    out = sessions.select("session_id").join(best, "session_id", "left").withColumn("status", F.when(F.col("file").isNull(), "missing").otherwise("matched"))
-    rest = files.select(F.col("name").alias("file")).join(want.select("file").distinct(), "file", "left_anti")
-    return out.unionByName(rest.select(F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"), "file", F.lit("unmatched").alias("status")))
+    best = found.groupBy("session_id", "asked").agg(F.min_by("file", "rank").alias("file"))
+    mine = best.where("asked").select("session_id", "file")
+    out = sessions.select("session_id").join(mine, "session_id", "left").withColumn("status", F.when(F.col("file").isNull(), "missing").otherwise("matched"))
+    rest = files.select(F.col("name").alias("file")).join(best.select("file").distinct(), "file", "left_anti")
+    timeless = F.lower(F.regexp_extract("file", r"(\.[^./]+)$", 1)).isin(*TIMELESS)
+    none = F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id")
+    return out.unionByName(rest.select(none, "file", F.when(timeless, "timeless").otherwise("unmatched").alias("status")))
 
 
 # ---------------------------------------------------------------- measurements
@@ -76,6 +89,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def write_table(df: DataFrame, path: str, force: bool = False) -> None:
+    """Write a CSV (with a header) or Parquet folder by its extension; one that is there is kept unless forced.
+
+    Spark commits a folder as a whole, so a reader sees all of it or nothing.
+    """
+    w = df.write.mode("overwrite" if force else "errorifexists")
+    w.parquet(path) if path.rstrip("/").endswith(".parquet") else w.option("header", True).csv(path)
+
+
 def ingest_frames(raw: DataFrame, measures: dict[str, str], fps: float, poses: Sequence[str] = ()) -> DataFrame:
     """Frames of an exported measurement table (frame, timestamp, success, confidence, measures).
 
@@ -173,14 +195,32 @@ def read_notes(notes: DataFrame) -> DataFrame:
     return notes.withColumn("reason", F.trim(F.regexp_replace("reason", r"\s+", " ")))
 
 
-def text_feature_table(df: DataFrame, prefix: str = "text__") -> DataFrame:
-    """(session_id, text__*) of an external table: label-like columns are refused, names normalised once."""
+def role_table(df: DataFrame) -> DataFrame:
+    """(session_id, speaker, role) of a hand-written table; refused as a whole if a column is missing, an id is no number, a
+    role is none of ROLES or a speaker of a session comes twice."""
+    if gone := [c for c in ("session_id", "speaker", "role") if c not in df.columns]:
+        raise ValueError("a role table lacks " + ", ".join(gone))
+    out = df.select(F.col("session_id").cast("string").try_cast("long").alias("session_id"), F.trim("speaker").alias("speaker"), F.trim("role").alias("role"))
+    if not out.where(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False))).isEmpty():
+        raise ValueError("a role table has a role that is none of " + ", ".join(ROLES))
+    return require_unique(out, ["session_id", "speaker"], "roles")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of the files under a path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def text_feature_table(df: DataFrame, prefix: str = "text__", exempt: Sequence[str] = ()) -> DataFrame:
+    """(session_id, text__*) of an external table: label-like columns are refused, but for those with a recorded exemption,
+    and names normalised once."""
     from ..operators.assemble import label_like
 
     df = df.toDF(*[c.strip() for c in df.columns])
-    key = id_column(df.columns)
+    key = id_column(df.columns, TEXT_ID_NAMES)
     others = [c for c in df.columns if c != key]
-    if bad := label_like(others):
+    if bad := label_like(others, exempt=exempt):
         raise ValueError("columns look like labels: " + ", ".join(bad))
     if key is None:
         raise ValueError("no id column")
@@ -196,19 +236,43 @@ def text_feature_table(df: DataFrame, prefix: str = "text__") -> DataFrame:
 # ---------------------------------------------------------------- sinks
 
 
-def manifest(df: DataFrame, families: Sequence[str], notes: dict[str, str] | None = None) -> DataFrame:
-    """One JSON row: sessions, ids, columns by family and notes."""
+def manifest(df: DataFrame, families: Sequence[str], notes: dict[str, str] | None = None, **record: object) -> DataFrame:
+    """One JSON row: sessions, ids, columns by family and notes, and what else is to be on record (seeds, backends, digests)."""
     cols = {f: [c for c in df.columns if c.startswith(f + "__")] for f in families}
     listed = F.struct(*[F.array(*[F.lit(c) for c in v]).cast("array<string>").alias(f) for f, v in cols.items()])
     one = df.agg(F.count("*").alias("n_sessions"), F.count_distinct("session_id").alias("n_ids"), F.min("session_id").alias("first_id"), F.max("session_id").alias("last_id"))
     extra = F.lit(json.dumps(notes or {}, sort_keys=True))
-    return one.select(F.to_json(F.struct("n_sessions", "n_ids", "first_id", "last_id", listed.alias("columns"), extra.alias("notes"))).alias("manifest"))
+    more = [F.lit(json.dumps(record, sort_keys=True, default=str)).alias("record")] if record else []
+    return one.select(F.to_json(F.struct("n_sessions", "n_ids", "first_id", "last_id", listed.alias("columns"), extra.alias("notes"), *more)).alias("manifest"))
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str, force: bool = False) -> list[str]:
-    """Write tables as Parquet under a path, the manifest last, so that a bundle with a manifest is whole."""
-    mode = "overwrite" if force else "errorifexists"
+def write_bundle(tables: dict[str, DataFrame], path: str, force: bool = False, budget: int | None = None) -> list[str]:
+    """Write tables as Parquet under a path, as features, qc, dictionary, text, notes and whatever else a bundle has.
+
+    No column of any table may look like an outcome or could carry text or identity, and ``features`` may have ``budget``
+    columns at most: all is checked before anything is written. Notes are exempt, as they are sentences by nature, and so is
+    the dictionary, whose rows name columns. The tables go into a folder beside the path first, which then takes the path's
+    name; the manifest is written last, so a bundle that has one is whole. One that is there is kept unless forced.
+    """
+    from ..operators.assemble import label_like, refuse_forbidden
+
+    for name, df in tables.items():
+        if name not in ("notes", "dictionary", "manifest"):
+            columns = [c for c in df.columns if c != "session_id"]
+            if bad := label_like(columns):
+                raise ValueError(f"{name}: columns look like labels: " + ", ".join(bad))
+            refuse_forbidden(columns, budget if name == "features" else None)
+    spark = next(iter(tables.values())).sparkSession
+    jvm = spark.sparkContext._jvm
+    target, staged = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, path.rstrip("/") + ".partial"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and not force:
+        raise ValueError(f"a bundle is there already: {path}")
     order = sorted(tables, key=lambda n: (n == "manifest", n))
     for name in order:
-        tables[name].write.mode(mode).parquet(f"{path}/{name}")
+        tables[name].write.mode("overwrite").parquet(f"{path.rstrip('/')}.partial/{name}")
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(staged, target):
+        raise OSError(f"could not publish {path}")
     return order

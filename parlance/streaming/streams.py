@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,24 +26,83 @@ def stream_sessions(spans: DataFrame, time: str, gap: str, lateness: str, keys:
     return s.agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def upsert_batches(path: str, keys: Sequence[str] = ("session_id",)) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that carries a table forward: batch n reads version n - 1 and writes version n.
+def upsert_batches(path: str, keys: Sequence[str] = ("session_id",), buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that carries a table forward by buckets of its keys.
 
-    A batch that is tried again writes the same version again, so the table is exact after failures.
+    Batch n reads the newest version of the buckets that it touches, and writes these as version n; other buckets stay. A batch
+    that is tried again reads the same and writes the same, so the table is exact after failures. What a bucket's version
+    before the last one held is removed. ``read_upserted`` gives the table.
     """
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(list(keys))
-        if n > 0:
-            new = upsert(spark.read.parquet(f"{path}/version={n - 1}"), new, keys, keys)
-        new.write.mode("overwrite").parquet(f"{path}/version={n}")
+        new = batch.dropDuplicates(list(keys)).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # buckets rows
+        newest = {b: v for b, v in _newest(spark, path, n).items() if b in touched}
+        if newest:
+            old = spark.read.option("basePath", path).parquet(*[f"{path}/version={v}/bucket={b}" for b, v in newest.items()]).drop("version")
+            new = upsert(old, new, (*keys, "bucket"), keys)
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={n}")
+        fs, at = _file_system(spark, path)
+        for b, v in newest.items():
+            for old_version in _versions(spark, path):
+                if old_version < v:
+                    fs.delete(at(f"{path}/version={old_version}/bucket={b}"), True)
 
     return run
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at(path)):
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(at(path))]
+    return sorted(int(f.removeprefix(name + "=")) for f in found if f.startswith(name + "="))
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return _numbers(spark, path, "version")
+
+
+def _newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The newest version of each bucket, of those before ``before``."""
+    out: dict[int, int] = {}
+    for v in _versions(spark, path):
+        if before is None or v < before:
+            out |= {b: v for b in _numbers(spark, f"{path}/version={v}", "bucket")}
+    return out
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_batches`` carries, as of its last batch."""
+    return spark.read.option("basePath", path).parquet(*[f"{path}/version={v}/bucket={b}" for b, v in _newest(spark, path).items()]).drop("version", "bucket")
+
+
 def run_available(query_frame: DataFrame, checkpoint: str, name: str, mode: str) -> StreamingQuery:
     """Process all that is there into an in-memory table and stop; for tests and small reports only."""
     q = query_frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def run_to_the_end(build: Callable[[DataFrame], DataFrame], source: DataFrame, last: DataFrame, path: str) -> DataFrame:
+    """All rows of an append-mode query over a stream that has ended, those of its last windows too.
+
+    Windows close when later rows come in. When all is read, ``last`` rows (of the source's schema, later than everything by
+    more than gap and lateness) follow through a second file stream; their own windows stay open and give no row.
+    """
+    spark = source.sparkSession
+    beats = f"{path}/beats"
+    last.limit(0).write.mode("append").parquet(beats)
+    rows = build(source.unionByName(spark.readStream.schema(source.schema).parquet(beats)))
+    for more in (None, last):
+        if more is not None:
+            more.write.mode("append").parquet(beats)
+        q = rows.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")

@@ -1,5 +1,8 @@
 """Turn taking on hand-made schedules."""
 
+from pyspark.sql import functions as F
+
+from parlance.operators import spans as sp
 from parlance.operators import turns as tn
 
 
@@ -43,8 +46,7 @@ def test_features_of_nothing_are_null(spark):
 
 def test_pauses_use_unbridged_spans(spark):
     s = spans(spark, [("subject", 0, 5), ("subject", 8, 10), ("subject", 11, 12)])
-    t = tn.build_turns(s, 5)
-    assert [(r.pause_start, r.pause_end) for r in tn.pauses(s, t, 1).collect()] == [(5, 8)]
+    assert [(r.pause_start, r.pause_end) for r in tn.pauses(s, 5, 1).collect()] == [(5, 8)]
 
 
 def test_timeline_silence_is_neither(spark):
@@ -62,3 +64,20 @@ def test_budget_cuts_the_last(spark):
 def test_top_k_puts_nan_last_and_first_wins(spark):
     df = spark.createDataFrame([("a", 1.0, 2), ("a", 1.0, 1), ("a", float("nan"), 0)], "k string, s double, i int")
     assert [r.i for r in tn.top_k(df, ["k"], "s", ["i"], 2).orderBy("rank").collect()] == [1, 2]
+
+
+def test_width_changes_no_feature(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["subject", "partner", "unknown"]), a := rng.randrange(1000), a + rng.randrange(1, 40)) for _ in range(150)]
+    s = spans(spark, rows)
+    d = s.groupBy("session_id").agg(F.max("end").alias("duration"))
+    same = lambda w: [tuple(r) for r in tn.turn_features(s, d, 3, 1, 50, width=w).collect()]
+    assert same(None) == same(37)
+    assert sorted(map(tuple, tn.timeline(s).collect())) == sorted(map(tuple, tn.timeline(s, width=50).collect()))
+    points = spark.createDataFrame([(1, t) for t in range(0, 1100, 3)], "session_id long, t long").withColumn("session_id", s.select("session_id").limit(1).collect()[0][0] + F.lit(0))
+    marks = {"a": F.col("role") == "subject", "b": F.col("role") == "partner"}
+    one, two = (sorted(map(tuple, sp.points_by_kind(points, s, ["session_id"], marks, width=w).collect())) for w in (None, 41))
+    want = [tuple(any(r == role and a <= t < b for r, a, b in rows) for role in ("subject", "partner")) for t in range(0, 1100, 3)]
+    assert one == two and [x[2:] for x in one] == want
