@@ -363,3 +363,51 @@ def test_pipeline_stages_against_plain_versions(spark, documents, prose, tmp_pat
     kept = {r.doc_id for r in pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
     assert kept == {i for i, _ in rows} - {7}
     assert pipeline.mix(spark, docs, "").agg(F.sum("taken")).first()[0] > 0
+
+
+def test_toxicity_stage_against_its_plain_version(spark, insults, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = insults
+    labels.select(F.col("id").alias("doc_id"), F.col("label").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 6"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    # the model is fitted once more by itself; what it says of each text is worked out window by window
+    known = {r.id: r.label for r in labels.where("pmod(crc32(cast(id as string)), 3) <> 1").collect()}
+    texts = {i: t for i, t in rows if i in known}
+    order = sorted(texts)
+    y = np.array([known[i] for i in order])
+    weight = np.where(y == 1, 1.0, 1.0)
+    model = tx.fit(pa.array([texts[i] for i in order]), y, weight)
+    want = {i for i, t in rows if plain_score(model, t or "") < pipeline.TOXIC}
+    got = [r.doc_id for r in pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == sum(i in want for i, _ in rows) and 0 < len(set(dict(rows)) - want) < 120
+
+
+def test_near_copies_are_found_up_to_the_similarity(spark, documents, prose):
+    """Copies with edits on either side of a similarity of 0.8 in runs of five words."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from plain_versions import near_of
+    from test_ngram_join import edited, shingles
+
+    rng = random.Random(11)
+    rows, near, far = [(i, prose(i, 150)) for i in range(20)], set(), set()
+    for i in range(20):
+        for n in (1, 2, 4, 9):
+            t = edited(rng, rows[i][1], n)
+            a, b = shingles(rows[i][1], 5), shingles(t, 5)
+            rows.append((100 + 10 * i + n, t))
+            (near if len(a & b) >= 0.8 * len(a | b) else far).add(100 + 10 * i + n)
+    kept = {r.doc_id for r in pipeline.drop_near_duplicates(spark, documents(rows), "").collect()}
+    assert not kept & near and kept == near_of(rows, 5, 80) and len(near) >= 40 and len(far & kept) >= 15
+
+
+def test_stages_of_empty_tables_and_odd_columns(spark, documents, prose, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = documents([(1, prose(1)), (None, None), (2, ""), (2, "")]).withColumnsRenamed({"id": "__removed", "component": "a.b", "lang": "__gone"}).drop("n_chars")
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, documents([]), str(tmp_path)).count() == 0, name
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and out.count() == 4, name
+    assert pipeline.mix(spark, documents([]), str(tmp_path)).count() == 0
