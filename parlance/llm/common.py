@@ -77,8 +77,10 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     ``right`` is a written table with one row per key, and in ``number`` (dropped) how many rows of ``left``
     have the key, or more. A key is hot from LEAST_HOT rows and a MOST_HOT-th of all rows on, so there are
     MOST_HOT hot keys at most and their list can be broadcast. The rows of a hot key are dealt by the hash of
-    ``by``, and its row of ``right`` is given to each deal.
+    ``by``, and its row of ``right`` is given to each deal. Both sides grow with the input, so they are merged and
+    neither is ever broadcast.
     """
+    right = right.hint("merge")
     seen = right.agg(F.sum(number), F.max(number)).first()
     limit = max(LEAST_HOT, -(-(seen[0] or 0) // MOST_HOT))
     if (seen[1] or 0) <= limit:
@@ -108,6 +110,28 @@ def document_filter(needed: DataFrame, col: str = "id") -> np.ndarray:
     return out
 
 
+def _fill(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = (mix(np.asarray(batch.column(0)).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+            word, back = np.unique(bucket >> 6, return_inverse=True)
+            out = np.zeros(len(word), np.int64)
+            np.bitwise_or.at(out, back, np.int64(1) << (bucket & 63))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(out)], names=["word", "bits"])
+
+    return run
+
+
+def hash_filter(hashes: DataFrame, per: int = 32, col: str = "h") -> np.ndarray:
+    """A bit for each bucket that a 64-bit hash falls in (``mix`` of it, modulo the bits; ``per`` bits for a hash, FILTER_BITS at
+    most), for tests on arrays of hashes."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(per * hashes.count(), 1))), np.log2(FILTER_BITS[0]), np.log2(FILTER_BITS[1])))
+    got = hashes.select(col).mapInArrow(_fill(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[np.asarray(got.column("word")).astype(np.int64)] = np.asarray(got.column("bits")).astype(np.int64)
+    return out
+
+
 def in_filter(bits: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
     """The rows whose last column, their bucket, is in the filter; without that column."""
     bucket = np.asarray(batch.column(batch.num_columns - 1)).astype(np.int64)
@@ -257,7 +281,7 @@ def _as_string_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "") if column.null_count else column
 
 
-def slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, bytes, offsets) of runs of texts of at most so many bytes (one text at least)."""
     column = _as_string_array(column)
     n = len(column)

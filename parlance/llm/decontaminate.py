@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _GOLDEN, _STEP, FILTER_BITS, Words, document_filter, filter_bucket, free_name, in_filter, materialise, mix, quoted, slices, spread_join, table, text_or_empty
+from .common import _GOLDEN, _STEP, Words, document_filter, filter_bucket, free_name, hash_filter, in_filter, materialise, mix, quoted, slices, spread_join, table, text_or_empty
 
 #: Words of a seed; a seed that more than MOST_ITEMS item texts share is made longer, up to LONGEST words.
 SEED, LONGEST, MOST_ITEMS = 3, 8, 32
@@ -95,28 +95,6 @@ def _corpus_seeds(bits: np.ndarray, sizes: list[int]) -> Callable:
     return run
 
 
-def _seed_bits(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The filter of the seeds' hashes, of bounded size, and the sizes of seeds that there are."""
-
-    def fill(bits: int) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bucket = (mix(np.asarray(batch.column(0)).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
-                word, back = np.unique(bucket >> 6, return_inverse=True)
-                out = np.zeros(len(word), np.int64)
-                np.bitwise_or.at(out, back, np.int64(1) << (bucket & 63))
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(out)], names=["word", "bits"])
-
-        return run
-
-    seen = seeds.agg(F.count("*"), F.collect_set("size")).first()
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(64 * seen[0], 1))), np.log2(FILTER_BITS[0]), np.log2(FILTER_BITS[1])))
-    got = seeds.select("h").mapInArrow(fill(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[np.asarray(got.column("word")).astype(np.int64)] = np.asarray(got.column("bits")).astype(np.int64)
-    return out, sorted(seen[1])
-
-
 # ---------------------------------------------------------------- alignment
 
 
@@ -245,7 +223,7 @@ def contaminated(
     items = known.groupBy("key").agg(F.min("text").alias("text")).mapInArrow(_item_words, "key long, words array<long>")
     items = materialise(items.where("size(words) > 0"), "words")
     seeds = materialise(rare_seeds(items), "seeds")
-    bits, sizes = _seed_bits(seeds)
+    bits, sizes = hash_filter(seeds, 64), sorted(r["size"] for r in seeds.select("size").distinct().collect())
     found = source.select("doc", "text").mapInArrow(_corpus_seeds(bits, sizes), "doc long, place int, h long")
     found = materialise(found, "found")
     often = materialise(found.groupBy("h").agg(F.count("*").alias("n")).join(seeds.select("h", "entries"), "h"), "often")

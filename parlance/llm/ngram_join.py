@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, document_filter, filter_bucket, in_filter, is_empty, materialise, mix, slices, spread_join, table
+from .common import Words, connected_components, document_filter, filter_bucket, hash_filter, in_filter, is_empty, materialise, mix, slices, spread_join, table
 
 #: Most shingles known as frequent (2 MB), and documents that make one frequent.
 FREQUENT, FREQUENT_FROM = 1 << 17, 4
@@ -181,6 +181,23 @@ def needed_sets(texts: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     return materialise(texts.select("id", "text", filter_bucket(bits)).mapInArrow(_sets_of(k, bits), "id long, set array<long>"), "sets")
 
 
+def _shared_lists(bits: np.ndarray) -> Callable:
+    """(rep, n, pos, h) of the short lists whose shingle is in the filter: most stand in one text only and go no further."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, h = batch.column(2), np.asarray(batch.column(2).flatten()).view(np.uint64)
+            size = np.asarray(lists.value_lengths()).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            bucket = (mix(h) % np.uint64(64 * len(bits))).astype(np.int64)
+            some = np.flatnonzero((bits[bucket >> 6] >> (bucket & 63)) & 1)
+            rep, n = (batch.column(c).take(pa.array(row[some])) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([rep, n, pa.array(pos[some].astype(np.int32)), pa.array(h[some].view(np.int64))], names=["rep", "n", "pos", "h"])
+
+    return run
+
+
 def _only_needed(bits: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +243,7 @@ def search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     roles = roles.unionByName(dealt.select("a", "part", F.col("a").alias("id"), F.lit(True).alias("is_query")).distinct())
     bits = document_filter(roles.select("id"))
     some = sets.select("id", "set", filter_bucket(bits)).mapInArrow(_only_needed(bits), "id long, set array<long>")
-    return roles.join(some, "id").groupBy("a", "part").applyInArrow(_search(percent), "a long, b long").distinct()
+    return roles.join(some.hint("merge"), "id").groupBy("a", "part").applyInArrow(_search(percent), "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- candidates
@@ -235,7 +252,7 @@ def search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _placed(lists: DataFrame, place: DataFrame | None) -> DataFrame:
     if place is None:
         return lists.withColumn("component", F.col("rep"))
-    return lists.join(place.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    return lists.join(place.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
 def _pivot_pairs(lists: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +307,7 @@ def _tiles(lists: DataFrame, open_: DataFrame, sketches: DataFrame, percent: int
     # parities of several bits together are parities again: a fold tells apart less, and never more
     fold = lambda i: reduce(lambda x, y: x.bitwiseXOR(y), [F.col("sketch")[j] for j in range(i, SKETCH // 64, FOLDED // 64)])
     folded = F.when(F.col("sketch").isNotNull(), F.array(*[fold(i) for i in range(FOLDED // 64)]))
-    rows = spread_join(lists, wide, ["h"], ["rep"]).join(sketches.select("rep", folded.alias("sketch")), "rep", "left")
+    rows = spread_join(lists, wide, ["h"], ["rep"]).join(sketches.select("rep", folded.alias("sketch")).hint("merge"), "rep", "left")
     rows = rows.withColumn("deal", F.pmod(F.xxhash64(F.lit(7), "rep"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     small = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.lit(open_.agg(F.sum("n")).first()[0] // TILE)))
@@ -302,8 +319,8 @@ def _tiles(lists: DataFrame, open_: DataFrame, sketches: DataFrame, percent: int
 def _may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches do not differ in more bits than the sets of a link may differ in shingles."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    one = materialise(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).join(sizes, "a"), "queries")
-    p = spread_join(pairs, one, ["a"], ["b"]).join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+    one = materialise(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).join(sizes.hint("merge"), "a"), "queries")
+    p = spread_join(pairs, one, ["a"], ["b"]).join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
     differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
     near = (100 + percent) * differ <= (100 - percent) * F.col("both")
     return p.where(F.coalesce(near, F.lit(True))).select("a", "b", "both")
@@ -343,6 +360,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, i
     reps = profiles.where("n > 0").join(classes.select(*sets, F.col("rep").alias("id")), [*sets, "id"], "left_semi")
     lists = reps.select(F.col("id").alias("rep"), F.col("n"), F.posexplode("short").alias("pos", "h"))
     shared = materialise(lists.groupBy("h").agg(F.count("*").alias("c"), F.min("n").alias("smallest")).where("c > 1"), "shared")
+    bits = hash_filter(shared)
+    lists = reps.select("id", "n", "short").mapInArrow(_shared_lists(bits), "rep long, n long, pos int, h long")
     lists = spread_join(lists, shared, ["h"], ["rep"], number="c").where(f"{percent} * (n + smallest) <= {100 + percent} * (n - pos)").select("h", "pos", "rep", "n")
     lists = materialise(lists, "lists")
     met = materialise(lists.select(F.col("rep").alias("id")).distinct(), "met")
