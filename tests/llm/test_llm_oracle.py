@@ -5,7 +5,7 @@ import pytest
 
 from parlance.llm import registry
 
-TABLES = ("documents", "pages", "labels", "benchmark")
+TABLES = ("documents", "pages", "labels", "benchmark", "embeddings", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
