@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators for very large text tables.
+"""Training-data operators: corpus operators for very large text tables.
 
 Nothing else in the library imports this subpackage.
 """
