@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .common import LOWER, Words, hash_filter, materialise, mix, quoted, spread_join, table
 
 #: Bytes of text that a task counts before it passes records on.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Occurrences that the prefixes of one group have together, about; a prefix over an eighth of it is made longer by a word.
 BUDGET = 1 << 20
 #: Hash buckets that are packed into groups: least and most.
@@ -24,7 +24,7 @@ BUCKETS = (1 << 10, 1 << 22)
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[9, 32]] = 1
 _CLASS[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = 2
-_RECORDS = "grp int, level int, lang string, words array<binary>, codes array<array<int>>, n array<int>"
+_RECORDS = "grp int, level int, lang string, size long, packed binary"
 _NODES = "lang string, phrase binary, size int, f long"
 
 
@@ -50,7 +50,7 @@ class Chunk:
         start = np.flatnonzero(inside & (~before | edge[:-1]))
         end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         # a piece ends at its marks and with its text
-        self.piece = np.cumsum((kind == 2) | edge[:-1])[start] if len(start) else np.zeros(0, np.int64)
+        self.piece = np.cumsum((kind == 2) | edge[:-1], dtype=np.int32)[start] if len(start) else np.zeros(0, np.int64)
         row = np.searchsorted(offsets, start, side="right") - 1
         sizes = np.concatenate([[0], np.cumsum(end - start)])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(LOWER[raw[inside]])])
@@ -62,10 +62,10 @@ class Chunk:
         key = (of_lang[row] if len(row) else np.zeros(0, np.int64)) * max(len(values), 1) + code
         if len(self.langs) * len(values) <= 1 << 24:
             there = np.bincount(key, minlength=1) > 0
-            self.code, kept = np.cumsum(there)[key], np.flatnonzero(there)
+            self.code, kept = np.cumsum(there, dtype=np.int32)[key], np.flatnonzero(there)
         else:
             kept, self.code = np.unique(key, return_inverse=True)
-            self.code = self.code + 1
+            self.code = (self.code + 1).astype(np.int32)
         self.many = len(kept)
         self.lang = kept // max(len(values), 1)
         self.word = values.take(pa.array(kept % max(len(values), 1)))
@@ -102,44 +102,55 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 # ---------------------------------------------------------------- suffixes and their prefixes
 
 
-def suffixes(c: Chunk, depth: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct suffixes (a row of ``depth`` codes each, 0 from their end on) and how often they occur.
+def suffixes(c: Chunk, depth: int, bits: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct suffixes (a column of ``depth`` codes each, 0 from their end on) and how often they occur.
 
-    A suffix ends with its piece, or before the first word that the filter knows to be infrequent; one that starts with such a word is left out.
+    A suffix ends with its piece, or before the first word that the filter knows to be infrequent; one that starts with such a word is left out, as is
+    one whose first code is not marked in ``first``.
     """
     bucket = (mix(c.hash) % np.uint64(64 * len(bits))).astype(np.int64)
     frequent = ((bits[bucket >> 6] >> (bucket & 63)) & 1).astype(bool)
     frequent[0] = False
-    some = frequent[c.code] if len(c.code) else np.zeros(0, bool)
-    n = len(c.code)
-    columns, going = [np.where(some, c.code, 0)], some
+    n, many = len(c.code), c.many + 1
+    kept = np.flatnonzero((frequent if first is None else frequent & first)[c.code]) if n else np.zeros(0, np.int64)
+    key, going, reach, packed = c.code[kept].astype(np.int64), np.ones(len(kept), bool), many, True
+    columns = []
     for d in range(1, depth):
-        going = going.copy()
-        going[: n - d] &= some[d:] & (c.piece[: n - d] == c.piece[d:])
-        going[max(n - d, 0) :] = False
-        shifted = np.zeros(n, np.int64)
-        shifted[: max(n - d, 0)] = c.code[d:]
-        columns.append(np.where(going, shifted, 0))
-    kept = np.flatnonzero(some)
-    columns = [x[kept] for x in columns]
-    key, reach = columns[0], c.many + 1
-    for x in columns[1:]:
-        if reach * (c.many + 1) >= 1 << 62:
+        at = np.minimum(kept + d, n - 1)
+        going &= (kept + d < n) & frequent[c.code[at]] & (c.piece[at] == c.piece[kept])
+        column = np.where(going, c.code[at], 0)
+        if reach * many >= 1 << 62:  # too wide for one number: positions are kept, and what is there so far is renumbered
+            packed = False
             key = np.unique(key, return_inverse=True)[1]
             reach = len(kept) + 1
-        key, reach = key * (c.many + 1) + x, reach * (c.many + 1)
-    _, first, count = np.unique(key, return_index=True, return_counts=True)
-    return np.stack([x[first] for x in columns], 1), count
-
-
-def prefix_hashes(c: Chunk, found: np.ndarray) -> np.ndarray:
-    """Hashes of the prefixes of one, two, ... words of each suffix."""
-    out = np.zeros(found.shape, np.uint64)
-    h = np.zeros(len(found), np.uint64)
-    for d in range(found.shape[1]):
-        h = c.hash[found[:, d]] if d == 0 else mix(h * np.uint64(31) + c.hash[found[:, d]] + np.uint64(d))
-        out[:, d] = h
-    return out
+        key, reach = key * many + column, reach * many
+        columns.append(column)
+    if packed:
+        key.sort()
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        count, key = np.diff(np.append(new, len(key))), key[new]
+        found = np.empty((depth, len(key)), np.int64)
+        for d in range(depth - 1, -1, -1):
+            found[d] = key % many
+            key //= many
+        return found, count
+    _, place, count = np.unique(key, return_index=True, return_counts=True)
+    return np.stack([c.code[kept[place]], *(x[place] for x in columns)]), count
+
+
+def prefixes(c: Chunk, found: np.ndarray, hot: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of the prefix that stands for each suffix, and its words: a word more for each hot prefix.
+
+    ``hot[0]`` holds hashes of words; the others mark, of all buckets, those whose longer prefixes are hot.
+    """
+    at, level = c.hash[found[0]], np.ones(found.shape[1], np.int64)
+    where = np.flatnonzero(np.isin(c.hash, hot[0])[found[0]])
+    for d in range(1, len(found)):
+        at[where] = mix(at[where] * np.uint64(31) + c.hash[found[d, where]] + np.uint64(d))
+        level[where] += 1
+        if d < len(found) - 1:
+            where = where[hot[d][(at[where] % np.uint64(buckets)).astype(np.int64)]]
+    return (at % np.uint64(buckets)).astype(np.int64), level
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,61 +161,82 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["lang", "word", "h", "f"])
 
 
-def _prefix_counts(depth: int, bits: np.ndarray, hot: list[np.ndarray]):
-    """Counts of prefixes of ``depth`` words whose shorter prefixes are hot at every length."""
+def _prefix_counts(depth: int, bits: np.ndarray, hot: list[np.ndarray], buckets: int):
+    """Occurrences in each bucket of the prefixes of ``depth`` words whose shorter prefixes are hot at every length; once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = np.zeros(buckets, np.int64)
         for c in chunks(batches):
-            found, count = suffixes(c, depth, bits)
-            hashes = prefix_hashes(c, found)
-            under = np.ones(len(found), bool)
-            for d in range(depth - 1):
-                under &= np.isin(hashes[:, d], hot[d])
-            h, back = np.unique(hashes[under, depth - 1], return_inverse=True)
-            f = np.bincount(back, count[under], len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f)], names=["h", "f"])
+            found, count = suffixes(c, depth, bits, np.isin(c.hash, hot[0]))
+            at, level = prefixes(c, found, hot, buckets)
+            np.add.at(load, at[level == depth], count[level == depth])
+        some = np.flatnonzero(load)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(load[some])], names=["bucket", "load"])
 
     return run
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest type."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def pack_suffixes(codes: np.ndarray, count: np.ndarray, words: pa.Array) -> tuple[int, bytes]:
+    """(size, compressed bytes) of suffixes in order: codes (from 1) into a list of words, a column for each depth, and counts."""
+    codes = codes.copy()
+    codes[0, 1:] -= codes[0, :-1].copy()
+    parts = [_narrow(x) for x in (*codes, count)]
+    _, offs, data = words.buffers()
+    at = np.frombuffer(offs, np.int32)[words.offset : words.offset + len(words) + 1]
+    text = np.full(int(at[-1] - at[0]) + len(words), 32, np.uint8)
+    ends = np.arange(1, len(words) + 1) + (at[1:] - at[0]) - 1
+    inside = np.ones(len(text), bool)
+    inside[ends] = False
+    text[inside] = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    head = np.asarray([len(count), len(words), *(x.itemsize for x in parts)], np.int64)
+    whole = b"".join([head.tobytes(), *(x.tobytes() for x in parts), text.tobytes()])
+    return len(whole), pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def unpack_suffixes(size: int, packed: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, counts, bytes of the words, each followed by a space) as they were packed."""
+    whole = np.frombuffer(pa.decompress(packed, size, codec="zstd", asbytes=True), np.uint8)
+    n, _, *widths = whole[: 8 * (depth + 3)].view(np.int64).tolist()
+    at, parts = 8 * (depth + 3), []
+    for width in widths:
+        parts.append(np.frombuffer(whole[at : at + n * width].tobytes(), f"u{width}").astype(np.int64))
+        at += n * width
+    parts[0] = np.cumsum(parts[0])
+    return np.stack(parts[:-1]), parts[-1], whole[at:]
+
+
 def _records(depth: int, bits: np.ndarray, hot: list[np.ndarray], groups: np.ndarray):
-    """A row for each group and language of a chunk: its suffixes as lists of codes into a list of words, and their counts."""
+    """A packed row for each group and language of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
             found, count = suffixes(c, depth, bits)
-            if not len(found):
+            if not len(count):
                 continue
-            hashes = prefix_hashes(c, found)
-            at, going, level = hashes[:, 0].copy(), np.ones(len(found), bool), np.ones(len(found), np.int64)
-            for d in range(1, depth):
-                going &= np.isin(hashes[:, d - 1], hot[d - 1])
-                at[going] = hashes[going, d]
-                level += going
-            group = groups[(at % np.uint64(len(groups))).astype(np.int64)].astype(np.int64)
-            lang = c.lang[found[:, 0] - 1]
+            at, level = prefixes(c, found, hot, len(groups))
             # nodes of fewer words than the prefix that chose the group have leaves in other groups too
-            key = (group * (depth + 1) + level) * len(c.langs) + lang
+            key = (groups[at].astype(np.int64) * (depth + 1) + level) * len(c.langs) + c.lang[found[0] - 1]
             order = np.argsort(key, kind="stable")
-            key, found, count = key[order], found[order], count[order]
+            key, found, count = key[order], found[:, order], count[order]
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            segment = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
-            pairs = segment[:, None] * (c.many + 1) + found
-            held = np.unique(pairs[found > 0])
-            first = np.searchsorted(held, np.arange(len(new) + 1) * (c.many + 1))
-            local = np.where(found > 0, np.searchsorted(held, pairs) - first[segment][:, None] + 1, 0).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), c.word.cast(pa.binary()).take(pa.array(held % (c.many + 1) - 1)))
-            bounds = np.append(new, len(key)).astype(np.int32)
-            # the columns of a segment follow each other, so that equal codes stand together
-            by_column = np.concatenate([local[a:b].T.ravel() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            inner = np.concatenate([[0], np.cumsum(np.repeat(np.diff(bounds), depth))]).astype(np.int32)
-            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * depth), pa.ListArray.from_arrays(pa.array(inner), pa.array(by_column)))
-            n = pa.ListArray.from_arrays(pa.array(bounds), pa.array(count.astype(np.int32)))
+            sizes, packed = [], []
+            for a, b in zip(new, np.append(new[1:], len(key)), strict=True):
+                held = np.unique(found[:, a:b])
+                held = held[held > 0]
+                codes = np.where(found[:, a:b] > 0, np.searchsorted(held, found[:, a:b]) + 1, 0)
+                size, content = pack_suffixes(codes, count[a:b], c.word.take(pa.array(held - 1)).cast(pa.binary()))
+                sizes.append(size)
+                packed.append(content)
             which = key[new]
             langs = pa.array(c.langs, pa.string()).take(pa.array(which % len(c.langs)))
             rest = which // len(c.langs)
-            arrays = [pa.array((rest // (depth + 1)).astype(np.int32)), pa.array((rest % (depth + 1)).astype(np.int32)), langs, words, codes, n]
-            yield pa.RecordBatch.from_arrays(arrays, names=["grp", "level", "lang", "words", "codes", "n"])
+            arrays = [pa.array((rest // (depth + 1)).astype(np.int32)), pa.array((rest % (depth + 1)).astype(np.int32)), langs, pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["grp", "level", "lang", "size", "packed"])
 
     return run
 
@@ -212,42 +244,36 @@ def _records(depth: int, bits: np.ndarray, hot: list[np.ndarray], groups: np.nda
 # ---------------------------------------------------------------- subtrees of a group
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-    """Values and sizes of the lists of a column."""
-    lists = [x for x in column.chunks if len(x)]
-    return pa.concat_arrays([x.flatten() for x in lists]), np.concatenate([np.diff(np.asarray(x.offsets)) for x in lists])
-
-
 def _subtrees(depth: int, least: int):
     """The suffix subtrees of one group, cut at ``depth``: suffixes are sorted, equal ones are a leaf, and a node has the total of its leaves."""
 
     def run(records: pa.Table) -> pa.Table:
-        values, many = _flat(records.column("words"))
-        seen = values.dictionary_encode()
-        langs = records.column("lang").combine_chunks().dictionary_encode()
-        langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
-        size = len(seen.dictionary)
-        # words of all rows in one numbering, in order of language and bytes
-        rank = np.empty(size, np.int64)
-        rank[np.asarray(pc.sort_indices(seen.dictionary))] = np.arange(size)
-        number = np.repeat(np.asarray(langs.indices).astype(np.int64), many) * size + rank[np.asarray(seen.indices)] + 1
-        inner, sizes = _flat(records.column("codes"))
-        codes, lengths = np.asarray(inner.flatten()), np.diff(np.asarray(inner.offsets))
-        counts, rows = _flat(records.column("n"))
-        begin = np.cumsum(many) - many
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1].reshape(-1, depth)
-        at = np.repeat(begin, rows)
-        within = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
-        columns = []
-        for d in range(depth):
-            code = codes[np.repeat(starts[:, d], rows) + within].astype(np.int64)
-            columns.append(np.where(code > 0, number[np.maximum(at + code - 1, 0)], 0))
+        langs, texts, codes, counts, rows = records.column("lang").to_pylist(), [], [], [], []
+        for size, packed in zip(records.column("size").to_pylist(), records.column("packed").to_pylist(), strict=True):
+            code, count, text = unpack_suffixes(size, packed, depth)
+            texts.append(text)
+            codes.append(code)
+            counts.append(count)
+            rows.append(len(count))
+        many = np.asarray([int((t == 32).sum()) for t in texts])
+        text = np.concatenate(texts)
+        gap = text == 32
+        bounds = np.concatenate([[0], np.cumsum(~gap)[gap]]).astype(np.int64)
+        seen = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(text[~gap])]).dictionary_encode()
+        words, size = seen.dictionary, len(seen.dictionary)
+        names = sorted(set(langs))
+        of_row = np.asarray([names.index(x) for x in langs])
+        # words of all rows in one numbering, by language; 0 is the end
+        number = np.concatenate([[0], np.repeat(of_row, many) * size + np.asarray(seen.indices) + 1])
+        begin = np.repeat(np.cumsum(many) - many, rows)
         level = np.repeat(np.concatenate([np.asarray(x) for x in records.column("level").chunks]), rows)
+        code, count = np.concatenate(codes, 1), np.concatenate(counts)
+        del codes, counts, texts
+        columns = [number[np.where(x > 0, begin + x, 0)] for x in code]
         order = np.lexsort(columns[::-1])
-        columns, level, total = [x[order] for x in columns], level[order], np.concatenate([[0], np.cumsum(np.asarray(counts).astype(np.int64)[order])])
+        columns, level, total = [x[order] for x in columns], level[order], np.concatenate([[0], np.cumsum(count[order])])
         new = np.zeros(len(order), bool)
         new[:1] = True
-        words = seen.dictionary.take(pc.sort_indices(seen.dictionary))
         out = []
         for d in range(depth):
             new[1:] |= columns[d][1:] != columns[d][:-1]
@@ -257,8 +283,8 @@ def _subtrees(depth: int, least: int):
             if d:  # words themselves are counted before
                 node, f = node[keep], f[keep]
                 parts = [words.take(pa.array((columns[k][node] - 1) % size)) for k in range(d + 1)]
-                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", parts[0].type))
-                lang = langs.dictionary.take(pa.array((columns[0][node] - 1) // size))
+                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.binary())
+                lang = pa.array(names, pa.string()).take(pa.array((columns[0][node] - 1) // size))
                 out.append(pa.table([lang, phrase, pa.array(np.full(len(node), d + 1, np.int32)), pa.array(f)], names=["lang", "phrase", "size", "f"]))
         return pa.concat_tables(out)
 
@@ -279,16 +305,22 @@ def pack(loads: np.ndarray, budget: int) -> np.ndarray:
     return out
 
 
+def _by_bucket(sums: DataFrame, buckets: int) -> np.ndarray:
+    got, out = sums.select("bucket", "load").toArrow(), np.zeros(buckets, np.int64)
+    out[np.asarray(got.column("bucket")).astype(np.int64)] = np.asarray(got.column("load")).astype(np.int64)
+    return out
+
+
 def phrase_counts(texts: DataFrame, depth: int, least: int, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """(lang, n), and (lang, phrase, size, f) of every phrase of 1 to ``depth`` words that occurs ``least`` times or more.
 
     ``texts``: (lang, text). Vertical partitioning: prefixes of one word are counted; one that occurs more often than an eighth of the
-    budget is made longer by a word and counted again, up to ``depth``. Prefixes fall into hash buckets, and neighbouring buckets into groups of
-    the budget. Each group's suffixes, pre-aggregated per chunk of text, are shuffled to one task, which sorts them into subtrees cut at
+    budget is made longer by a word and counted again, up to ``depth``. Prefixes fall into hash buckets (longer ones are found hot by bucket), and neighbouring
+    buckets into groups of the budget. Each group's suffixes, pre-aggregated per chunk of text, are shuffled to one task, which sorts them into subtrees cut at
     ``depth`` and reads the counts from the totals of their leaves. A node whose leaves were dealt to several groups is added up.
 
-    What the driver holds is bounded: a filter of frequent words (8 MB at most, which only holds back), prefixes over an eighth of
-    the budget (of which all words together have 8 * words / budget), a sum for each bucket.
+    What the driver holds is bounded: a filter of frequent words (8 MB at most, which only holds back), words over an eighth of
+    the budget (8 * all words / budget at most), a sum for each bucket.
     """
     spark = texts.sparkSession
     words = texts.mapInArrow(_word_counts, "lang string, word binary, h long, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"), F.first("h").alias("h"))
@@ -299,20 +331,18 @@ def phrase_counts(texts: DataFrame, depth: int, least: int, budget: int = BUDGET
     limit = max(1, budget // 8)
     every = frequent.agg(F.sum("f")).first()[0] or 0
     buckets = 1 << int(np.clip(np.ceil(np.log2(max(32 * every / budget, 1))), *np.log2(BUCKETS)))
-    loads, hot, counted = np.zeros(buckets, np.int64), [], frequent.select("h", "f")
-    for d in range(1, depth + 1):
-        last = d == depth
-        over = np.asarray(counted.where(F.col("f") > limit).select("h").toArrow().column("h")).astype(np.int64).view(np.uint64) if not last else np.zeros(0, np.uint64)
-        cool = counted if last else counted.where(F.col("f") <= limit)
-        got = cool.groupBy(F.col("h").bitwiseAND(F.lit(buckets - 1)).alias("bucket")).agg(F.sum("f").alias("load")).toArrow()
-        loads[np.asarray(got.column("bucket"))] += np.asarray(got.column("load"))
-        hot.append(over)
-        if not len(over):
-            break
-        counted = materialise(texts.mapInArrow(_prefix_counts(d + 1, bits, hot), "h long, f long").groupBy("h").agg(F.sum("f").alias("f")), "prefixes")
-    hot += [np.zeros(0, np.uint64)] * (depth - len(hot))
-    groups = pack(loads, budget)
-    records = texts.mapInArrow(_records(depth, bits, hot, groups), _RECORDS)
+    over = frequent.where(F.col("f") > limit).select("h").toArrow()
+    hot = [np.asarray(over.column("h")).astype(np.int64).view(np.uint64)]
+    sums = frequent.where(F.col("f") <= limit).groupBy(F.col("h").bitwiseAND(F.lit(buckets - 1)).alias("bucket")).agg(F.sum("f").alias("load"))
+    loads = _by_bucket(sums, buckets)
+    for d in range(2, depth + 1):
+        more = np.zeros(buckets, np.int64)
+        if hot[-1].any():
+            found = texts.mapInArrow(_prefix_counts(d, bits, hot, buckets), "bucket long, load long")
+            more = _by_bucket(found.groupBy("bucket").agg(F.sum("load").alias("load")), buckets)
+        hot.append((more > limit) & (d < depth))
+        loads += np.where(hot[-1], 0, more)
+    records = texts.mapInArrow(_records(depth, bits, hot, pack(loads, budget)), _RECORDS)
     nodes = records.groupBy("grp").applyInArrow(_subtrees(depth, least), _NODES)
     nodes = nodes.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     single = frequent.select("lang", F.col("word").cast("string").alias("phrase"), F.lit(1).alias("size"), "f")
