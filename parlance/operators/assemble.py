@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as fn
 from . import spans as sp
+from .scans import order_statistics, previous
 
 # ---------------------------------------------------------------- selection
 
@@ -45,18 +46,23 @@ def keep_confident(frames: DataFrame, measures: Sequence[str], least: float) ->
     return frames.withColumns({m: F.when(ok, F.col(m)) for m in measures} | {"detected": ok})
 
 
-def sample_frames(frames: DataFrame, rates: DataFrame) -> DataFrame:
+def sample_frames(frames: DataFrame, rates: DataFrame, width: float | None = None) -> DataFrame:
     """Every n-th frame of each session, n = native / requested rate of ``rates`` (session_id, native, requested).
 
     A ratio that is no whole number is refused, one-based indexes count from 0, and sessions that are thinned
-    already (median step over 1) stay as they are.
+    already (median step over 1) stay as they are. ``width`` cuts the frames of a very long session into buckets of their
+    index, so that steps are taken in several tasks; their median is found by counts either way.
     """
     r = rates.select("session_id", (F.col("native") / F.col("requested")).alias("__step"))
     if r.where(F.abs(F.col("__step") - F.round("__step")) > 1e-6).take(1):
         raise ValueError("the requested rate does not divide the native one")
-    w = Window.partitionBy("session_id").orderBy("frame_index")
-    steps = frames.select("session_id", "frame_index", (F.col("frame_index") - F.lag("frame_index").over(w)).alias("__d"))
-    info = steps.groupBy("session_id").agg(F.median("__d").alias("__median"), F.min("frame_index").alias("__first"))
+    bucket = None if width is None else F.floor(F.col("frame_index") / width)
+    steps = previous(frames.select("session_id", "frame_index"), ["session_id"], ["frame_index"], {"__prev": "frame_index"}, bucket)
+    steps = steps.select("session_id", "frame_index", (F.col("frame_index") - F.col("__prev")).alias("__d"))
+    if width is None:
+        info = steps.groupBy("session_id").agg(F.median("__d").alias("__median"), F.min("frame_index").alias("__first"))
+    else:
+        info = order_statistics(steps, ["session_id"], "__d", {"__median": 0.5}).drop("n").join(steps.groupBy("session_id").agg(F.min("frame_index").alias("__first")), "session_id")
     f = frames.join(info, "session_id").join(r, "session_id")
     base = F.when(F.col("__first") == 1, 1).otherwise(0)
     keep = (F.col("__median") > 1) | (F.pmod(F.col("frame_index") - base, F.round("__step").cast("long")) == 0)

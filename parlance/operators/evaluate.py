@@ -15,12 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# ---------------------------------------------------------------- running totals in range buckets
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df``, written to the checkpoint folder where the session has one, so that what follows does not compute it again."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+from .scans import settled
 
+# ---------------------------------------------------------------- running totals in range buckets
 
 #: Range buckets of a key's values; any boundaries give the same totals.
 BUCKETS = 128

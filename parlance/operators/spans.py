@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import previous, scan
+
 Keys = Sequence[str]
 
 
@@ -25,8 +27,8 @@ def normalise(spans: DataFrame, eps: float = 0) -> DataFrame:
 def merge(spans: DataFrame, keys: Keys, gap: float = 0, eps: float = 0, width: float | None = None) -> DataFrame:
     """Union of the spans of each key, bridging gaps of at most ``gap``; ``n_spans`` counts the spans merged.
 
-    Touching spans merge. With ``width``, spans are merged within buckets of their start first: the second,
-    per-key sort then sees the merged ones only.
+    Touching spans merge. With ``width``, spans are merged within buckets of their start first, and what is left of a bucket meets
+    what the buckets before it reach to by a segmented scan, so one very long key is no one task's.
     """
     counted = "n_spans" in spans.columns
     n = F.col("n_spans") if counted else F.lit(1).cast("long")
@@ -34,6 +36,7 @@ def merge(spans: DataFrame, keys: Keys, gap: float = 0, eps: float = 0, width: f
     if width is not None:
         s = s.withColumn("__bucket", F.floor(F.col("start") / width))
         s = _islands(s, [*keys, "__bucket"], gap, eps).drop("__bucket")
+        return _scanned_islands(s, list(keys), gap, eps, width)
     return _islands(s, list(keys), gap, eps)
 
 
@@ -47,6 +50,16 @@ def _islands(s: DataFrame, keys: list[str], gap: float, eps: float) -> DataFrame
     return out.drop("__island")
 
 
+def _scanned_islands(s: DataFrame, keys: list[str], gap: float, eps: float, width: float) -> DataFrame:
+    """``_islands`` of spans of which no two of a key start together."""
+    bucket = F.floor(F.col("start") / width)
+    s = scan(s, keys, ["start"], bucket, {"__reach": ("max", F.col("end"))})
+    s = s.withColumn("__opens", F.when(F.col("__reach").isNull() | (F.col("start") - F.col("__reach") > gap + eps), 1).otherwise(0))
+    s = scan(s, keys, ["start"], bucket, {"__before": ("sum", F.col("__opens"))}).withColumn("__island", F.col("__before") + F.col("__opens"))
+    out = s.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_spans").alias("n_spans"))
+    return out.drop("__island")
+
+
 def cut(spans: DataFrame, width: float) -> DataFrame:
     """Cut spans at multiples of ``width``; column ``__bucket`` numbers the pieces' buckets."""
     first = F.floor(F.col("start") / width)
@@ -81,7 +94,7 @@ def _sweep(left: DataFrame, right: DataFrame, keys: Keys, wanted: Column, eps: f
     sides = [df.select(*keys, "start", "end", F.lit(name).alias("__side")) for df, name in ((left, "l"), (right, "r"))]
     marks = {n: F.col("__side") == n for n in ("l", "r")}
     pieces = levels(sides[0].unionByName(sides[1]), keys, marks, eps, width).where(wanted)
-    return merge(pieces.select(*keys, "start", "end"), keys, 0, eps).drop("n_spans")
+    return merge(pieces.select(*keys, "start", "end"), keys, 0, eps, width).drop("n_spans")
 
 
 def intersect(left: DataFrame, right: DataFrame, keys: Keys, eps: float = 0, width: float | None = None) -> DataFrame:
@@ -94,10 +107,11 @@ def subtract(left: DataFrame, right: DataFrame, keys: Keys, eps: float = 0, widt
     return _sweep(left, right, keys, (F.col("l") > 0) & (F.col("r") <= 0), eps, width)
 
 
-def gaps(spans: DataFrame, keys: Keys, least: float = 0, eps: float = 0) -> DataFrame:
+def gaps(spans: DataFrame, keys: Keys, least: float = 0, eps: float = 0, width: float | None = None) -> DataFrame:
     """Gaps between consecutive merged spans that are longer than ``least``."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    m = merge(spans, keys, 0, eps).select(*keys, F.lag("end").over(w).alias("gap_start"), F.col("start").alias("gap_end"))
+    bucket = None if width is None else F.floor(F.col("start") / width)
+    m = previous(merge(spans, keys, 0, eps, width), keys, ["start"], {"gap_start": "end"}, bucket)
+    m = m.select(*keys, "gap_start", F.col("start").alias("gap_end"))
     m = m.where(F.col("gap_end") - F.col("gap_start") > max(least, eps))
     return m.select(*keys, F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .spans import merge, points_by_kind, points_in_spans
+from .scans import order_statistics, previous, same_keys, scan
+from .spans import merge, points_by_kind
 
 
 def clean(col: str | Column) -> Column:
@@ -31,9 +32,15 @@ def spread(value: str | Column, low: float, high: float) -> Column:
     return F.when(F.count(v) >= 2, F.percentile(v, F.lit(high)) - F.percentile(v, F.lit(low)))
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, approximate: int | None = None) -> DataFrame:
-    """Median, interquartile range, 5-95 range and 90th percentile; ``approximate`` sets the sketch's accuracy."""
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, approximate: int | None = None, long: bool = False) -> DataFrame:
+    """Median, interquartile range, 5-95 range and 90th percentile; ``approximate`` sets the sketch's accuracy, ``long`` ranks the values of
+    a key in several tasks (``order_statistics``)."""
     v = clean(value)
+    if long or not keys:
+        at = {"median": 0.5, "__q1": 0.25, "__q3": 0.75, "__low": 0.05, "__high": 0.95, "p90": 0.9}
+        q = order_statistics(df, keys, v, at)
+        two = lambda a, b: F.when(F.col("n") >= 2, F.col(a) - F.col(b))
+        return q.select(*keys, "median", two("__q3", "__q1").alias("iqr"), two("__high", "__low").alias("range_90"), "p90")
     if approximate is not None:
         at = lambda p: F.percentile_approx(v, p, approximate)
         two = F.count(v) >= 2
@@ -41,11 +48,12 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, approximate: int
     return df.groupBy(*keys).agg(F.median(v).alias("median"), spread(value, 0.25, 0.75).alias("iqr"), spread(value, 0.05, 0.95).alias("range_90"), F.percentile(v, F.lit(0.9)).alias("p90"))
 
 
-def mean_abs_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Mean absolute step between consecutive known values of each key's pooled sequence."""
+def mean_abs_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: float | None = None) -> DataFrame:
+    """Mean absolute step between consecutive known values of each key's pooled sequence; ``width`` cuts the first column of
+    ``order`` into buckets, so that a very long sequence is scanned in several tasks (``order`` then has no ties)."""
     s = df.select(*keys, *order, clean(value).alias("__v")).where("__v IS NOT NULL")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    s = s.withColumn("__step", F.abs(F.col("__v") - F.lag("__v").over(w)))
+    s = previous(s, keys, order, {"__prev": "__v"}, None if width is None else F.floor(F.col(order[0]) / width))
+    s = s.withColumn("__step", F.abs(F.col("__v") - F.col("__prev")))
     return s.groupBy(*keys).agg(F.avg("__step").alias("mean_abs_delta"))
 
 
@@ -90,8 +98,15 @@ def prosody_features(frames: DataFrame, spans: DataFrame, order: Sequence[str])
     return out.select("session_id", *[F.col(c).alias(f"prosody__{c}") for c in out.columns if c != "session_id"])
 
 
-def peak_candidates(frames: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, below_top: float) -> DataFrame:
-    """Local maxima (over the last, not under the next) that reach the key's top less ``below_top``."""
+def peak_candidates(frames: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, below_top: float, width: float | None = None) -> DataFrame:
+    """Local maxima (over the last, not under the next) that reach the key's top less ``below_top``; ``width`` as in ``mean_abs_delta``."""
+    if width is not None:
+        row, bucket = F.struct(F.col(value).alias("v")), F.floor(F.col(order[0]) / width)
+        f = scan(frames, keys, order, bucket, {"__prev": ("last", row), "__next": ("next", row), "place": ("sum", F.lit(1))})
+        top = frames.groupBy(*keys).agg(F.max(value).alias("__top"))
+        v = F.col(value)
+        f = f.join(top, list(keys)).where((v > F.col("__prev.v")) & (v >= F.col("__next.v")) & (v >= F.col("__top") - below_top))
+        return f.drop("__prev", "__next", "__top")
     w = Window.partitionBy(*keys).orderBy(*order)
     v = F.col(value)
     top = F.max(value).over(Window.partitionBy(*keys))
@@ -228,9 +243,10 @@ def robust_outliers(df: DataFrame, value: str, k: float, keys: Sequence[str] = (
     The scale is 1.4826 MAD, or 1.2533 times the mean deviation where the MAD is 0; none under three values.
     """
     ks = list(keys)
+    if not ks:
+        return _outliers_of_all(df, value, k)
     mid = df.groupBy(*ks).agg(F.median(clean(value)).alias("__mid"), F.count(clean(value)).alias("__n"))
-    # without keys the statistics are one row, which goes to every task
-    meet = lambda d, g: d.join(g, ks, "left") if ks else d.crossJoin(F.broadcast(g))
+    meet = lambda d, g: d.join(g, ks, "left")
     off = F.abs(clean(value) - F.col("__mid"))
     dev = meet(df, mid).groupBy(*ks).agg(F.first("__n").alias("__n"), F.first("__mid").alias("__mid"), (1.4826 * F.median(off)).alias("__mad"), (1.2533 * F.avg(off)).alias("__dev"))
     scale = F.when(F.col("__n") >= 3, F.when(F.col("__mad") > 0, F.col("__mad")).when(F.col("__dev") > 0, F.col("__dev")))
@@ -238,6 +254,18 @@ def robust_outliers(df: DataFrame, value: str, k: float, keys: Sequence[str] = (
     return out.withColumn("outlier", F.coalesce(F.abs(F.col(value) - F.col("__mid")) / F.col("__scale") > k, F.lit(False))).drop("__mid", "__scale")
 
 
+def _outliers_of_all(df: DataFrame, value: str, k: float) -> DataFrame:
+    """``robust_outliers`` of the whole table as one group: its statistics are one row, found without one task for all values."""
+    mid = order_statistics(df, [], clean(value), {"__mid": 0.5})
+    off = df.select(clean(value).alias("__v")).crossJoin(F.broadcast(mid)).select("n", "__mid", F.abs(F.col("__v") - F.col("__mid")).alias("__off"))
+    mad = order_statistics(off, [], "__off", {"__mad": 0.5}).drop("n")
+    dev = off.agg(F.first("n").alias("__n"), F.first("__mid").alias("__mid"), (1.2533 * F.avg("__off")).alias("__dev")).crossJoin(mad)
+    half = 1.4826 * F.col("__mad")
+    scale = F.when(F.col("__n") >= 3, F.when(half > 0, half).when(F.col("__dev") > 0, F.col("__dev")))
+    out = df.crossJoin(F.broadcast(dev.select("__mid", scale.alias("__scale"))))
+    return out.withColumn("outlier", F.coalesce(F.abs(F.col(value) - F.col("__mid")) / F.col("__scale") > k, F.lit(False))).drop("__mid", "__scale")
+
+
 def duration_flags(df: DataFrame, low: float, high: float, k: float, known: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """Flags for durations outside [low, high], for outliers, and a marker of known cases where flagged."""
     d = robust_outliers(df, "duration", k, keys)
@@ -308,13 +336,19 @@ def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of known values per row, summed up as least, median and greatest, and per column."""
     known = [F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in columns]
     share = sum(known[1:], known[0]) / F.lit(len(columns))
-    return df.agg(
+    one = df.agg(
         F.count("*").alias("n_rows"),
         F.min(share).alias("row_min"),
-        F.median(share).alias("row_median"),
         F.max(share).alias("row_max"),
         *[F.avg(k.cast("double")).alias(f"known_{c}") for k, c in zip(known, columns)],
     )
+    # a row has one of len(columns) + 1 shares, so the median is read off their counts
+    counts = df.groupBy(share.alias("__share")).agg(F.count("*").alias("__n"))
+    upto = counts.withColumn("__upto", F.sum("__n").over(Window.orderBy("__share")))
+    places = one.select(F.explode(F.array(F.floor((F.col("n_rows") + 1) / 2), F.ceil((F.col("n_rows") + 1) / 2))).alias("__place"))
+    middle = places.crossJoin(F.broadcast(upto)).where((F.col("__place") <= F.col("__upto")) & (F.col("__place") > F.col("__upto") - F.col("__n"))).agg(F.avg("__share").alias("row_median"))
+    both = one.crossJoin(F.broadcast(middle))
+    return both.select("n_rows", "row_min", "row_median", "row_max", *[f"known_{c}" for c in columns])
 
 
 def recurring_labels(labels: DataFrame, fraction: float, least: int = 2) -> DataFrame:
@@ -334,13 +368,46 @@ def recurring_labels(labels: DataFrame, fraction: float, least: int = 2) -> Data
     return df.select(key.alias("key"), "label", "df", "rank")
 
 
-def indicator_correlation(samples: DataFrame, spans: DataFrame, keys: Sequence[str], tile: str, value: str, t: str = "t") -> DataFrame:
-    """Correlation of each tile's values with whether each speaker speaks; null where either hardly varies."""
-    who = spans.select("session_id", "speaker").distinct()
-    p = samples.join(who, "session_id")
-    p = points_in_spans(p, spans, ["session_id", "speaker"], t).withColumn("__on", F.col("inside").cast("double"))
-    enough = (F.var_pop("__on") >= 1e-9) & (F.var_pop(value) >= 1e-9)
-    return p.groupBy(*keys, "speaker", tile).agg(F.when(enough, F.corr("__on", value)).alias("corr"), F.count("*").alias("n"))
+def indicator_correlation(samples: DataFrame, spans: DataFrame, keys: Sequence[str], tile: str, value: str, t: str = "t", width: float | None = None) -> DataFrame:
+    """Correlation of each tile's values with whether each speaker speaks; null where either hardly varies. ``keys`` hold session_id.
+
+    Times at which anybody starts or ends cut a session into stretches in which the same speakers speak. One sweep gives each sample its
+    stretch, and the samples of a stretch and tile become a count, a mean and a sum of squares; only these meet the speakers. ``width``
+    cuts a very long session into buckets for the sweep.
+    """
+    if "session_id" not in keys:
+        raise ValueError("keys must hold session_id")
+    ks = list(keys)
+    m = merge(spans, ["session_id", "speaker"], width=width)
+    times = m.select("session_id", F.explode(F.array("start", "end")).alias("__t")).distinct()
+    row = F.struct(*[F.col(c) for c in dict.fromkeys([*ks, tile, value])])
+    p = samples.select("session_id", F.col(t).alias("__t"), F.lit(1).alias("__kind"), row.alias("__row"))
+    p = p.unionByName(times.select("session_id", "__t", F.lit(0).alias("__kind"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row")))
+    # a sample belongs to the last time at or before it, and so does a time itself
+    if width is None:
+        upto = Window.partitionBy("session_id").orderBy("__t", "__kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        p = p.withColumn("__stretch", F.sum(1 - F.col("__kind")).over(upto))
+    else:
+        p = p.withColumn("__one", F.monotonically_increasing_id())
+        p = scan(p, ["session_id"], ["__t", "__kind", "__one"], F.floor(F.col("__t") / width), {"__before": ("sum", 1 - F.col("__kind"))})
+        p = p.withColumn("__stretch", F.col("__before") + 1 - F.col("__kind")).drop("__one")
+    v = clean(F.col(f"__row.{value}").cast("double"))
+    a = p.where("__kind = 1").groupBy(*[F.col(f"__row.{c}").alias(c) for c in ks], F.col(f"__row.{tile}").alias(tile), "__stretch")
+    a = a.agg(F.count("*").alias("__rows"), F.count(v).alias("__n"), F.coalesce(F.avg(v), F.lit(0.0)).alias("__m"), F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias("__q"))
+    mean = a.groupBy(*ks, tile).agg((F.sum(F.col("__n") * F.col("__m")) / F.sum("__n")).alias("__mean"))
+    a = same_keys(a, mean, [*ks, tile]).withColumn("__off", F.col("__m") - F.col("__mean"))
+    whole = a.groupBy(*ks, tile).agg(F.sum("__rows").alias("n"), F.sum("__n").alias("__known"), F.sum(F.col("__q") + F.col("__n") * F.col("__off") * F.col("__off")).alias("__squares"))
+    # the stretches of a speaker's spans: from that of its start to that before its end
+    at = p.where("__kind = 0").select("session_id", "__t", "__stretch")
+    ends = m.join(at.withColumnsRenamed({"__t": "start", "__stretch": "__from"}), ["session_id", "start"]).join(at.withColumnsRenamed({"__t": "end", "__stretch": "__to"}), ["session_id", "end"])
+    on = ends.select("session_id", "speaker", F.explode(F.sequence("__from", F.col("__to") - 1)).alias("__stretch"))
+    on = a.join(on, ["session_id", "__stretch"]).groupBy(*ks, "speaker", tile)
+    on = on.agg(F.sum("__rows").alias("__on_rows"), F.sum("__n").alias("__on"), F.sum(F.col("__n") * F.col("__off")).alias("__cross"))
+    out = same_keys(whole.join(spans.select("session_id", "speaker").distinct(), "session_id"), on, [*ks, "speaker", tile], "left").fillna(0, ["__on_rows", "__on", "__cross"])
+    share = F.col("__on_rows") / F.col("n")
+    enough = (share * (1 - share) >= 1e-9) & (F.col("__squares") / F.col("__known") >= 1e-9)
+    spread_on = F.col("__on") - F.col("__on") * F.col("__on") / F.col("__known")
+    return out.select(*ks, "speaker", tile, F.when(enough & (spread_on > 0), F.col("__cross") / F.sqrt(F.col("__squares") * spread_on)).alias("corr"), "n")
 
 
 def best_tile(corr: DataFrame, tile: str, least: float = 0.15, lead: float = 0.10) -> DataFrame:
@@ -385,4 +452,5 @@ def stage_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(measure, n, low, median, high) of the known values of numeric columns."""
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns]))
     long = df.select(rows.alias("r")).select("r.measure", clean("r.v").alias("v"))
-    return long.groupBy("measure").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.median("v").alias("median"), F.max("v").alias("high"))
+    ends = long.groupBy("measure").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return order_statistics(long, ["measure"], "v", {"median": 0.5}).join(ends, "measure").select("measure", "n", "low", "median", "high")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import spans as sp
+from .scans import order_statistics, previous, same_keys, scan, settled
 
 SUBJECT, PARTNER, UNKNOWN = "subject", "partner", "unknown"
 
@@ -22,9 +23,12 @@ def turn_spans(spans: DataFrame, gap: float, eps: float = 0, width: float | None
     turn_index, and ``gap_before``, the silence since the turn's span before).
 
     Spans merge per role, bridging gaps of at most ``gap``, into runs; runs are ordered by start, end and role, and
-    consecutive ones of a role are one turn, numbered from 0. All comes from one merge and the windows over its few rows.
+    consecutive ones of a role are one turn, numbered from 0. All comes from one merge and the windows over its few rows; with
+    ``width`` from segmented scans, which give the same rows and no session to one task.
     """
-    m = sp.merge(spans, ["session_id", "role"], 0, eps, width)
+    if width is not None:
+        return _scanned_turn_spans(spans, gap, eps, width)
+    m = sp.merge(spans, ["session_id", "role"], 0, eps)
     own = Window.partitionBy("session_id", "role").orderBy("start")
     m = m.withColumn("__opens", F.when(F.col("start") - F.lag("end").over(own) <= gap + eps, 0).otherwise(1))
     m = m.withColumn("__run", F.sum("__opens").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
@@ -38,6 +42,25 @@ def turn_spans(spans: DataFrame, gap: float, eps: float = 0, width: float | None
     return m.select("session_id", "role", "start", "end", "n_spans", "turn_index", "gap_before")
 
 
+def _scanned_turn_spans(spans: DataFrame, gap: float, eps: float, width: float) -> DataFrame:
+    own, bucket = ["session_id", "role"], F.floor(F.col("start") / width)
+    m = previous(sp.merge(spans, own, 0, eps, width), own, ["start"], {"__last": "end"}, bucket)
+    m = m.withColumn("__opens", F.when(F.col("start") - F.col("__last") <= gap + eps, 0).otherwise(1))
+    m = scan(m, own, ["start"], bucket, {"__before": ("sum", F.col("__opens"))})
+    m = settled(m.withColumn("__run", F.col("__before") + F.col("__opens")).withColumn("__at", bucket).drop("__before"))
+    runs = m.groupBy(*own, "__run").agg(F.min("start").alias("__from"), F.max("end").alias("__to"))
+    order, begin = ["__from", "__to", "role"], F.floor(F.col("__from") / width)
+    runs = previous(runs, ["session_id"], order, {"__other": "role"}, begin)
+    runs = runs.withColumn("__new", F.when(F.col("__other") == F.col("role"), 0).otherwise(1))
+    runs = scan(runs, ["session_id"], order, begin, {"__turns": ("sum", F.col("__new"))})
+    # a long run meets its spans bucket by bucket
+    runs = runs.withColumn("__at", F.explode(F.sequence(begin, F.floor(F.col("__to") / width))))
+    runs = runs.select(*own, "__run", "__at", "__new", (F.col("__turns") + F.col("__new") - 1).cast("int").alias("turn_index"))
+    m = same_keys(m, runs, [*own, "__run", "__at"])
+    m = m.withColumn("gap_before", F.when(F.col("__opens") * F.col("__new") == 0, F.col("start") - F.col("__last")))
+    return m.select("session_id", "role", "start", "end", "n_spans", "turn_index", "gap_before")
+
+
 def build_turns(spans: DataFrame, gap: float, eps: float = 0, width: float | None = None) -> DataFrame:
     """Turns of (session_id, role, start, end) spans, numbered from 0 (``turn_spans``); a turn reaches to the latest end."""
     t = turn_spans(spans, gap, eps, width).groupBy("session_id", "turn_index", "role")
@@ -45,11 +68,12 @@ def build_turns(spans: DataFrame, gap: float, eps: float = 0, width: float | Non
     return t.select("session_id", "turn_index", "role", "start", "end", "n_spans")
 
 
-def with_latency(turns: DataFrame) -> DataFrame:
+def with_latency(turns: DataFrame, width: float | None = None) -> DataFrame:
     """Add ``latency``: from the end of a partner's turn to the start of the subject's next; negative if early."""
-    w = Window.partitionBy("session_id").orderBy("turn_index")
-    answer = (F.col("role") == SUBJECT) & (F.lag("role").over(w) == PARTNER)
-    return turns.withColumn("latency", F.when(answer, F.col("start") - F.lag("end").over(w)))
+    bucket = None if width is None else F.floor(F.col("start") / width)  # turns are numbered by their start
+    t = previous(turns, ["session_id"], ["turn_index"], {"__role": "role", "__end": "end"}, bucket)
+    answer = (F.col("role") == SUBJECT) & (F.col("__role") == PARTNER)
+    return t.withColumn("latency", F.when(answer, F.col("start") - F.col("__end"))).drop("__role", "__end")
 
 
 def pauses(spans: DataFrame, gap: float, least: float, eps: float = 0, width: float | None = None) -> DataFrame:
@@ -64,16 +88,21 @@ def timeline(spans: DataFrame, eps: float = 0, width: float | None = None) -> Da
     pieces = sp.levels(spans.where(F.col("role").isin(SUBJECT, PARTNER)), ["session_id"], marks, eps, width)
     state = F.when(F.col("own") > 0, "speaking").when(F.col("other") > 0, "listening")
     pieces = pieces.withColumn("state", state).where("state IS NOT NULL")
-    return sp.merge(pieces.select("session_id", "state", "start", "end"), ["session_id", "state"], 0, eps).select("session_id", "state", "start", "end")
+    return sp.merge(pieces.select("session_id", "state", "start", "end"), ["session_id", "state"], 0, eps, width).select("session_id", "state", "start", "end")
 
 
-def _covered(merged: DataFrame) -> DataFrame:
+def _covered(merged: DataFrame, width: float | None = None) -> DataFrame:
     """Add ``__more``, the time that each of a role's merged spans adds to what subject and partner together covered before."""
     pair = F.col("role").isin(SUBJECT, PARTNER)
-    before = Window.partitionBy("session_id").orderBy("start", "end", "role").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.when(pair, F.col("end"))).over(before)
+    order, ends = ["start", "end", "role"], F.when(pair, F.col("end"))
+    if width is None:
+        before = Window.partitionBy("session_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        merged = merged.withColumn("__reach", F.max(ends).over(before))
+    else:
+        merged = scan(merged, ["session_id"], order, F.floor(F.col("start") / width), {"__reach": ("max", ends)})
+    reach = F.col("__reach")
     more = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(reach, F.col("start"))), F.lit(0))
-    return merged.withColumn("__more", F.when(pair, more))
+    return merged.withColumn("__more", F.when(pair, more)).drop("__reach")
 
 
 def _coverage_sums() -> list:
@@ -85,7 +114,7 @@ def _coverage_sums() -> list:
 
 def coverage(spans: DataFrame, eps: float = 0, width: float | None = None) -> DataFrame:
     """Per session: covered time of subject, partner, all roles added up, both together, and their overlap."""
-    return _covered(sp.merge(spans, ["session_id", "role"], 0, eps, width)).groupBy("session_id").agg(*_coverage_sums())
+    return _covered(sp.merge(spans, ["session_id", "role"], 0, eps, width), width).groupBy("session_id").agg(*_coverage_sums())
 
 
 def turn_features(
@@ -96,12 +125,12 @@ def turn_features(
     ``unit`` is the length of a second. Rates are per minute of the session; pauses per minute of the subject's
     speech. Every feature that has nothing to rest on is null, never 0. The spans are read and merged once.
     """
-    s = _covered(turn_spans(spans, gap, eps, width))
+    s = _covered(turn_spans(spans, gap, eps, width), width)
     pause = F.when(F.col("gap_before") > max(least_pause, eps), F.col("gap_before"))
     turns = s.groupBy("session_id", "turn_index", "role").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("end") - F.col("start")).alias("spoken"), F.sum("__more").alias("more"), F.sum(pause).alias("pause"), F.count(pause).alias("n_pauses")
     )
-    turns = with_latency(turns)
+    turns = with_latency(turns, width)
     length, latency = (F.col("end") - F.col("start")) / unit, F.col("latency") / unit
     usable = F.when((F.col("latency") >= 0) & (F.col("latency") <= most_latency), latency)
     mine, theirs = (F.when(F.col("role") == r, length) for r in (SUBJECT, PARTNER))
@@ -110,7 +139,7 @@ def turn_features(
     t = turns.groupBy("session_id").agg(
         F.count("*").alias("n_turns"),
         F.avg(usable).alias("latency_mean"),
-        F.median(usable).alias("latency_median"),
+        *([F.median(usable).alias("latency_median")] if width is None else []),
         F.stddev_samp(usable).alias("latency_sd"),
         F.count(usable).alias("n_latencies"),
         F.count(F.when(F.col("latency") < 0, 1)).alias("n_interruptions"),
@@ -125,6 +154,9 @@ def turn_features(
         of(SUBJECT, "n_pauses").alias("n_pauses"),
         (F.sum(F.when(F.col("role") == SUBJECT, F.col("pause"))) / unit).alias("__paused"),
     )
+    if width is not None:
+        middle = order_statistics(turns.select("session_id", usable.alias("__usable")), ["session_id"], "__usable", {"latency_median": 0.5})
+        t = same_keys(t, middle.drop("n"), ["session_id"], "left")
     t = t.withColumn("pause_within_mean", F.when(F.col("n_pauses") > 0, F.col("__paused") / F.col("n_pauses")))
     s = durations.select("session_id", "duration").join(t, "session_id", "left")
     minutes = F.col("duration") / unit / 60

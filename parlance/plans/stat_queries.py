@@ -316,6 +316,21 @@ def indicator_corr(spark, sf):
     return rounded(st.indicator_correlation(f, ad.spans(spark, sf), ["session_id"], "tile", "unit_a"))
 
 
+@query(
+    "best_tile",
+    "WITH " + ad.FRAMES_SQL + ad.SPANS_SQL[len(ad.EVENTS_SQL) :]
+    + """, k AS (SELECT DISTINCT session_id, speaker FROM spans),
+p AS (SELECT f.session_id, k.speaker, f.frame_index % 2 AS tile, f.unit_a, CAST(EXISTS (SELECT 1 FROM spans s WHERE s.session_id = f.session_id AND s.speaker = k.speaker AND s.start <= f.t AND f.t < s."end") AS DOUBLE) AS speaks
+  FROM frames f JOIN k ON k.session_id = f.session_id),
+c AS (SELECT session_id, speaker, tile, CASE WHEN var_pop(speaks) >= 1e-9 AND var_pop(unit_a) >= 1e-9 THEN corr(speaks, unit_a) END AS corr FROM p GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER w AS rank, lead(corr) OVER w AS next FROM c WINDOW w AS (PARTITION BY session_id, speaker ORDER BY corr DESC NULLS LAST, tile))
+SELECT session_id, speaker, CASE WHEN corr >= 0.15 AND coalesce(corr - next, 0.1) >= 0.1 THEN tile END AS tile, round(corr, 6) AS corr FROM r WHERE rank = 1""",
+)
+def best_tile(spark, sf):
+    f = ad.frames(spark, sf).select("session_id", "frame_index", "t", "unit_a", (F.col("frame_index") % 2).alias("tile"))
+    return rounded(st.best_tile(st.indicator_correlation(f, ad.spans(spark, sf), ["session_id"], "tile", "unit_a"), "tile"))
+
+
 @query(
     "prosody_qc",
     "WITH " + ad.CONTOURS_SQL
