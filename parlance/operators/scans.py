@@ -95,7 +95,9 @@ def _selected(d: DataFrame, ks: list[str], wanted: DataFrame, most: int) -> Data
     """
     cuts = d.groupBy(*ks).agg(F.percentile_approx("v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10 * RANGES)).alias("__cuts"))
     d = same_keys(d, cuts, ks) if ks else d.crossJoin(F.broadcast(cuts))  # one row
-    d = d.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("v")))).drop("__cuts")
+    # a bound is a range of its own, so that each round parts at least the most frequent value from the others
+    under, upto = (F.size(F.filter("__cuts", f)) for f in (lambda c: c < F.col("v"), lambda c: c <= F.col("v")))
+    d = d.withColumn("__range", under + upto).drop("__cuts")
     held = d.groupBy(*ks, "__range").agg(F.count("*").alias("__rows"), F.min("v").alias("__low"), F.max("v").alias("__high"))
     before = Window.partitionBy(*ks).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
@@ -115,8 +117,8 @@ def _selected(d: DataFrame, ks: list[str], wanted: DataFrame, most: int) -> Data
         more = _selected(rows.withColumnsRenamed(deeper), list(deeper.values()), places.withColumnsRenamed(deeper), most)
         return found.unionByName(more.withColumnsRenamed({v: k for k, v in deeper.items()}).select(*ks, "path", "v"))
     values = rows.groupBy(*inner, "v").agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*inner).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    values = values.withColumn("__upto", upto)
+    running = F.sum("__n").over(Window.partitionBy(*inner).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    values = values.withColumn("__upto", running)
     hit = same_keys(places, values, inner).where((F.col("place") < F.col("__upto")) & (F.col("place") >= F.col("__upto") - F.col("__n")))
     return found.unionByName(hit.select(*ks, "path", "v"))
 
