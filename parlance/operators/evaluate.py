@@ -11,10 +11,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from ..functions.tails import correlation_p, signed_rank_exact
+
 from .scans import settled
 
 # ---------------------------------------------------------------- running totals in range buckets
@@ -82,15 +86,14 @@ def group_folds(rows: DataFrame, k: int, seed: int = 0, group: str = "group") ->
     The number of a group is its place among the group table's hash order, found in two levels.
     """
     g = rows.select(group).distinct()
-    if k == 0:
-        return g.withColumn("fold", F.dense_rank().over(Window.orderBy(group)) - 1)
     g = g.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))))
     g = g.withColumn("__b", F.substring("__h", 1, 2))
     sizes = g.groupBy("__b").agg(F.count("*").alias("__n"))  # 256 rows
     sizes = sizes.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", group)) - 1
     g = g.withColumn("__i", place).join(F.broadcast(sizes), "__b")
-    return g.select(group, ((F.col("__before") + F.col("__i")) % k).cast("int").alias("fold"))
+    number = F.col("__before") + F.col("__i")
+    return g.select(group, (number % k if k else number).cast("int").alias("fold"))
 
 
 def _fold_medians(x: DataFrame, cells: DataFrame) -> DataFrame:
@@ -127,8 +130,13 @@ def prepare_folds(rows: DataFrame, columns: Sequence[str], folds: DataFrame) ->
     """
     long = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]))
     x = rows.select(F.col("fold").cast("int").alias("fold"), long.alias("x")).select("fold", "x.feature", "x.v")
-    mine = x.groupBy("fold", "feature").agg(F.count("v").alias("n"), F.count("*").alias("rows"), F.avg("v").alias("m"), F.coalesce(F.var_pop("v") * F.count("v"), F.lit(0.0)).alias("q"))
     grid = folds.select(F.col("fold").cast("int").alias("fold")).distinct().withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
+    return prepare_values(x, grid)
+
+
+def prepare_values(x: DataFrame, grid: DataFrame) -> DataFrame:
+    """``prepare_folds`` of values (fold, feature, v), for the cells (fold, feature) of ``grid``."""
+    mine = x.groupBy("fold", "feature").agg(F.count("v").alias("n"), F.count("*").alias("rows"), F.avg("v").alias("m"), F.coalesce(F.var_pop("v") * F.count("v"), F.lit(0.0)).alias("q"))
     mine = settled(grid.join(mine, ["fold", "feature"], "left").fillna(0, ["n", "rows", "q"]))
     # moments about a value of the middle, added up over the folds before and after: nothing is subtracted, so values held out
     # leave no trace, however large
@@ -163,31 +171,45 @@ def gram(rows: DataFrame, columns: Sequence[str], target: str, keys: Sequence[st
     r = rows.where(F.col(target).isNotNull()).select(*ks, F.array(*terms).alias("x"))
     upper = np.triu_indices(p)
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([[*k, m[upper]] for k, m in held.items()], columns=[*ks, "s"])
-
-        for pdf in batches:
-            for key, part in pdf.groupby(ks, dropna=False, sort=False):
-                x = np.stack(part["x"].to_numpy())
-                held[key] = held.get(key, 0) + x.T @ x
+        def out() -> pa.RecordBatch:
+            found = [pa.array([key[i] for key in held], kinds[i]) for i in range(len(ks))]
+            return pa.RecordBatch.from_arrays([*found, pa.array([m[upper] for m in held.values()], pa.list_(pa.float64()))], names=[*ks, "s"])
+
+        for batch in batches:
+            lists = batch.column(len(ks))
+            x = np.asarray(lists.flatten()).reshape(batch.num_rows, p)  # rows lie one after the other
+            code = np.zeros(batch.num_rows, np.int64)
+            for i in range(len(ks)):
+                code = np.unique(code, return_inverse=True)[1] * (batch.num_rows + 1) + np.asarray(batch.column(i).dictionary_encode("encode").indices)
+            order = np.argsort(code, kind="stable")
+            new = np.flatnonzero(np.diff(code[order], prepend=-1))
+            for begin, end in zip(new, np.append(new[1:], len(order)), strict=True):
+                key = tuple(batch.column(i)[int(order[begin])].as_py() for i in range(len(ks)))
+                some = x[order[begin:end]]
+                held[key] = held.get(key, 0) + some.T @ some
             if len(held) * p * p * 8 > _HELD:
                 yield out()
                 held.clear()
         if held:
             yield out()
 
-    kinds = dict(r.dtypes)
-    g = r.mapInPandas(sums, ", ".join(f"`{k}` {kinds[k]}" for k in ks) + ", s array<double>")
+    kinds = [f.type for f in to_arrow_schema(r.select(*ks).schema)]
+    types = dict(r.dtypes)
+    g = r.mapInArrow(sums, ", ".join(f"`{k}` {types[k]}" for k in ks) + ", s array<double>")
     g = g.select(*ks, F.posexplode("s").alias("cell", "s")).groupBy(*ks, "cell").agg(F.sum("s").alias("s"))
     at = lambda side: F.element_at(F.array(*[F.lit(names[int(i)]) for i in upper[side]]), F.col("cell") + 1)
     return g.select(*ks, at(0).alias("i"), at(1).alias("j"), "s")
 
 
+def gram_names(columns: Sequence[str]) -> list[str]:
+    return [f"x_{c}" for c in columns] + [f"m_{c}" for c in columns] + ["y", "one"]
+
+
 def gram_terms(columns: Sequence[str], target: str) -> tuple[list[str], list]:
-    names = [f"x_{c}" for c in columns] + [f"m_{c}" for c in columns] + ["y", "one"]
+    names = gram_names(columns)
     terms = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
     terms += [F.col(c).isNull().cast("double") for c in columns]
     return names, [*terms, F.col(target).cast("double"), F.lit(1.0)]
@@ -481,6 +503,17 @@ def out_of_fold_scores(df: DataFrame, keys: Sequence[str], truth: str = "truth",
     return g.select(*keys, "n", r2.alias("r2"), "mae", F.when((F.col("__v") > 0) & (F.col("__p") > 0), F.col("__s")).alias("spearman"))
 
 
+def with_spearman_p(scores: DataFrame) -> DataFrame:
+    """Add ``spearman_p`` to rows of ``out_of_fold_scores``: two-sided, uncorrected; null without a correlation or under three rows."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            p = correlation_p(pdf["spearman"].to_numpy(float), pdf["n"].to_numpy(float))
+            yield pdf.assign(spearman_p=pd.Series(p, index=pdf.index).astype(object).where(~np.isnan(p), None))
+
+    return scores.mapInPandas(add, ", ".join(f"`{c}` {t}" for c, t in scores.dtypes) + ", spearman_p double")
+
+
 def repeated_scores(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean and spread of scores over repeats, and whether their signs disagree."""
     return scores.groupBy(*keys).agg(F.count("*").alias("n_repeats"), F.avg("r2").alias("r2_mean"), F.stddev_samp("r2").alias("r2_sd"), ((F.min("r2") < 0) & (F.max("r2") > 0)).alias("sign_disagrees"))
@@ -504,14 +537,22 @@ def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame
     return g.join(ties, list(keys)) if keys else g.crossJoin(F.broadcast(ties))  # one row
 
 
+#: Differences up to which the distribution of the rank sum is counted out.
+EXACT_RANKS = 50
+
+
 def signed_rank_p(tests: DataFrame) -> DataFrame:
-    """Add the two-sided p value of signed_rank rows by the normal approximation."""
+    """Add the two-sided p value of signed_rank rows: exact up to EXACT_RANKS differences without ties and zeros, else by the
+    normal approximation."""
+
+    def one(n: int, plus: float, minus: float, ties: float) -> float:
+        if n <= EXACT_RANKS and not ties and plus == int(plus):  # a zero would leave half a rank
+            return signed_rank_exact(int(plus), n)
+        sd = math.sqrt(max(n * (n + 1) * (2 * n + 1) / 24 - ties / 48, 0.0))
+        return min(1.0, math.erfc((n * (n + 1) / 4 - min(plus, minus)) / sd / math.sqrt(2))) if sd > 0 else 1.0
 
     def p(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].astype(float)
-        sd = np.sqrt(n * (n + 1) * (2 * n + 1) / 24 - pdf["ties"] / 48)
-        z = (np.minimum(pdf["w_plus"], pdf["w_minus"]) - n * (n + 1) / 4) / sd.replace(0, np.nan)
-        return pdf.assign(p_value=[min(1.0, 2 * 0.5 * math.erfc(-x / math.sqrt(2))) if x == x else 1.0 for x in z])
+        return pdf.assign(p_value=[one(*row) for row in zip(pdf["n"], pdf["w_plus"], pdf["w_minus"], pdf["ties"], strict=True)])
 
     schema = ", ".join(f"{c} {t}" for c, t in tests.dtypes) + ", p_value double"
     return tests.mapInPandas(lambda it: (p(x) for x in it), schema)
@@ -542,19 +583,36 @@ def holm(tests: DataFrame, p: str = "p_value") -> DataFrame:
     return tests.join(c, tests[p] == c["__p"], "left").drop("__p")
 
 
+#: Folds that a forest is fitted for at most: each is a distributed fit of its own, so leaving groups out one by one is refused.
+MOST_FOREST_FOLDS = 20
+
+
 def forest_out_of_fold(rows: DataFrame, columns: Sequence[str], target: str, folds: Sequence[int], trees: int = 500, depth: int = 6, seed: int = 0) -> DataFrame:
-    """Out-of-fold predictions of a random forest; folds are few (k-fold), each a distributed fit."""
-    from pyspark.ml.feature import Imputer, VectorAssembler
+    """Out-of-fold predictions of a random forest, a distributed fit for each of a few folds (MOST_FOREST_FOLDS; more are refused).
+
+    The source is read once: rows are written with an array of every fold's imputed vector of features, so that fits and predictions of all folds
+    read that table and nothing else.
+    """
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
-    x = rows.withColumns({c: F.col(c).cast("double") for c in columns}).where(F.col(target).isNotNull())
+    folds = list(folds)
+    if len(folds) > MOST_FOREST_FOLDS:
+        raise ValueError(f"a forest for {len(folds)} folds; at most {MOST_FOREST_FOLDS} are fitted")
+    kept = rows.columns
+    x = settled(rows.where(F.col(target).isNotNull()).withColumn("__x", F.array(*[F.col(c).cast("double") for c in columns])))
+    flat = x.select("fold", *[F.col("__x")[i].alias(c) for i, c in enumerate(columns)])
+    grid = rows.sparkSession.createDataFrame([(int(k),) for k in folds], "fold int")
+    medians = prepare_folds(flat, columns, grid).select("fold", "feature", "median").collect()  # folds x columns, both bounded
+    at = {(r["fold"], r["feature"]): r["median"] for r in medians}
+    # an array of vectors, one for each fold in turn
+    imputed = F.array(*[F.array(*[F.coalesce(F.col("__x")[i], F.lit(at.get((k, c), 0.0))) for i, c in enumerate(columns)]) for k in folds])
+    x = settled(x.withColumn("__all", imputed).drop("__x"))
     out = None
-    for k in folds:
-        train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
-        imputer = Imputer(strategy="median", inputCols=list(columns), outputCols=[f"__{c}" for c in columns]).fit(train)
-        vector = VectorAssembler(inputCols=[f"__{c}" for c in columns], outputCol="__v")
-        model = RandomForestRegressor(featuresCol="__v", labelCol=target, predictionCol="prediction", numTrees=trees, maxDepth=depth, seed=seed).fit(vector.transform(imputer.transform(train)))
-        got = model.transform(vector.transform(imputer.transform(test))).drop("__v", *[f"__{c}" for c in columns])
+    for place, k in enumerate(folds):
+        v = x.withColumn("__v", array_to_vector(F.col("__all")[place]))
+        model = RandomForestRegressor(featuresCol="__v", labelCol=target, predictionCol="prediction", numTrees=trees, maxDepth=depth, seed=seed).fit(v.where(F.col("fold") != k))
+        got = model.transform(v.where(F.col("fold") == k)).select(*kept, "prediction")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -576,7 +634,8 @@ def result_table(df: DataFrame, columns: Sequence[str] = RESULT_COLUMNS, places:
 
 
 def run_estimates(plan: DataFrame, fit: Callable[[dict], DataFrame], most_scores: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(results, outcomes) of the planned estimates: each by ``fit``, a job that gives a handful of score rows.
+    """(results, outcomes) of planned estimates by models that are jobs of their own: each by ``fit``, which gives a handful of score
+    rows (more than ``most_scores`` is a failure). Models that rest on sums of products are fitted together (``estimates.run_plan``).
 
     A plan (target, variant, tier, model, status) is configuration, so the driver goes through it. An estimate that fails is
     noted and the others go on. Outcomes have (target, variant, tier, model, status, message), status ok, failed or skipped.
@@ -591,7 +650,10 @@ def run_estimates(plan: DataFrame, fit: Callable[[dict], DataFrame], most_scores
             continue
         try:
             scores = fit(e)
-            got = spark.createDataFrame(scores.limit(most_scores).collect(), scores.schema)
+            few = scores.limit(most_scores + 1).collect()
+            if len(few) > most_scores:
+                raise ValueError(f"more than {most_scores} score rows")
+            got = spark.createDataFrame(few, scores.schema)
         except Exception as problem:  # noqa: BLE001 - whatever it is, it is on record
             notes.append((*key, "failed", f"{type(problem).__name__}: {problem}".splitlines()[0][:300]))
             continue

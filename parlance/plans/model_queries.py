@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import estimates as es
 from ..operators import evaluate as ev
 from ..streaming import streams as sm
 from . import adapters as ad
@@ -150,12 +151,14 @@ def leave_one_out(spark, sf):
 @query("repeated_folds")
 def repeated_folds(spark, sf):
     """The elastic net under three seeds of five folds."""
-    every = None
-    for seed in range(3):
-        p, _ = ev.cross_validate(_documents(spark, sf), COLUMNS, "y", 5, seed)
-        got = ev.out_of_fold_scores(p.withColumn("seed", F.lit(seed)), ["seed"], "y", "prediction").withColumn("model", F.lit("net"))
-        every = got if every is None else every.unionByName(got)
-    return ev.repeated_scores(every, ["model"])
+    got = es.scheme_scores(_documents(spark, sf), COLUMNS, "y", 5, 3)
+    return got.select("model", "n_repeats", "r2_mean", "r2_sd", "sign_disagrees")
+
+
+@query("stability")
+def stability(spark, sf):
+    """Leave-one-group-out beside three repeats of five folds, from one pass over the rows."""
+    return es.scheme_scores(_documents(spark, sf), COLUMNS, "y", 5, 3)
 
 
 @query("forest_scores")
@@ -194,6 +197,14 @@ def gram_wide(spark, sf):
     return g.select("group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.round("s").cast("long").alias("s"))
 
 
+@query("oof_p")
+def oof_p(spark, sf):
+    """The scores of every supplier with the p value of the rank correlation."""
+    li = ad.table(spark, sf, "lineitem")
+    p = li.select("l_suppkey", F.col("l_extendedprice").alias("truth"), F.when(F.col("l_linenumber") % 7 > 0, F.col("l_quantity") * 1500).alias("prediction"))
+    return ev.with_spearman_p(ev.out_of_fold_scores(p, ["l_suppkey"]))
+
+
 @query(
     "oof_scores",
     """WITH p AS (SELECT l_suppkey, l_extendedprice AS truth, CASE WHEN l_linenumber % 7 > 0 THEN l_quantity * 1500 END AS prediction FROM lineitem), q AS (SELECT * FROM p WHERE prediction IS NOT NULL),
@@ -245,23 +256,29 @@ def permutation_null(spark, sf):
     return ev.permutation_p(s.where("permutation > 0").crossJoin(F.broadcast(observed)), ["model"])  # one row
 
 
+def _planned(spark, sf):
+    """Two targets, one of which no row has, three variants, one of a column that is not there, and two models, one unknown."""
+    targets = spark.createDataFrame([("y", 1), ("long", 1), ("none", 0)], "target string, n_known long")
+    plan = ev.estimate_plan(targets, [("all", "confirmatory"), ("words", "confirmatory"), ("absent", "exploratory")], ["net", "unknown"])
+    rows = _documents(spark, sf).withColumn("long", F.when(F.col("id") % 5 > 0, F.log1p("n_thousand")))
+    return es.run_plan(rows, plan, {"all": COLUMNS, "words": ["n_words", "n_upper"], "absent": ["nothing"]})
+
+
 @query("estimates")
 def estimates(spark, sf):
-    """Every planned estimate of two targets and two models, the second of which fails; outcomes by tier."""
-    targets = spark.createDataFrame([("y", 1), ("none", 0)], "target string, n_known long")
-    plan = ev.estimate_plan(targets, [("all", "confirmatory"), ("words", "exploratory")], ["net", "absent"])
-    variants = {"all": COLUMNS, "words": ["n_words"]}
-
-    def fit(e):
-        if e["model"] != "net":
-            raise ValueError("no such model")
-        p, _ = ev.cross_validate(_documents(spark, sf), variants[e["variant"]], e["target"], 5)
-        return ev.out_of_fold_scores(p.withColumn("model", F.lit("net")), ["model"], e["target"], "prediction")
-
-    results, outcomes = ev.run_estimates(plan, fit)
+    """Every planned estimate with its outcome and scores, all in one set of sums and fits."""
+    results, outcomes, _ = _planned(spark, sf)
     return outcomes.join(results, ["target", "variant", "tier", "model"], "left")
 
 
+@query("model_comparison")
+def model_comparison(spark, sf):
+    """The variants of each target compared by their paired out-of-fold errors, corrected as one family."""
+    _, _, errors = _planned(spark, sf)
+    plan = spark.createDataFrame([("c1", "y", "all", "words"), ("c1", "long", "all", "words"), ("c2", "y", "all", "absent")], "test string, target string, left string, right string")
+    return es.compare_models(errors, plan)
+
+
 @query(
     "composition",
     "WITH " + _NAMES_SQL
