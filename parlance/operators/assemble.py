@@ -92,8 +92,10 @@ def analysis_spans(spans: DataFrame, extents: DataFrame, least: float, exclusive
 OUTCOME_WORDS = ("label", "target", "outcome", "diagnosis", "severity", "score", "quality", "toxic", "brand")
 #: Endings that make a name harmless all the same.
 HARMLESS_ENDINGS = ("confidence score", "similarity score")
-#: Pieces of names that could carry text or identity.
-FORBIDDEN = ("transcript", "utterance", "name", "email", "phone", "address", "birth")
+#: Pieces of column names that hold what was said or shown, rather than a measure of it.
+TEXT_PIECES = ("transcript", "utterance", "text_content", "words_spoken", "speech_text", "caption", "srt", "name", "label_text", "ocr")
+#: Pieces of names that could carry identity.
+FORBIDDEN = (*TEXT_PIECES, "subtitle", "email", "phone", "address", "birth")
 
 
 def words_of_name(c: Column) -> Column:
@@ -129,9 +131,9 @@ def label_like(columns: Sequence[str], words: Sequence[str] = OUTCOME_WORDS, har
     return [c for c in columns if c in bad]
 
 
-def refuse_forbidden(columns: Sequence[str], budget: int | None = None) -> None:
-    """Raise for names that could carry text or identity, and for more features than the budget."""
-    if bad := [c for c in columns if any(f in c.lower() for f in FORBIDDEN)]:
+def refuse_forbidden(columns: Sequence[str], budget: int | None = None, pieces: Sequence[str] = FORBIDDEN) -> None:
+    """Raise for names with ``pieces`` that could carry text or identity, and for more features than the budget."""
+    if bad := [c for c in columns if any(f in c.lower() for f in pieces)]:
         raise ValueError("columns that must not leave: " + ", ".join(bad))
     if budget is not None and len(columns) > budget:
         raise ValueError(f"{len(columns)} features are more than {budget}")

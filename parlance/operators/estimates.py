@@ -7,6 +7,7 @@ cells of one unit and fold, cut to the columns of its variant inside the task; w
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -84,23 +85,23 @@ def scores_from_sums(fits: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- validation schemes
 
 
-def schemes(groups: DataFrame, k: int, repeats: int, seed: int = 0, group: str = "group") -> DataFrame:
-    """(group, unit, fold): an assignment of every group under leaving one out ('loo') and under each repeat of k folds ('repeat 0', ...)."""
+def schemes(groups: DataFrame, k: int, repeats: int, seed: int = 0, group: str = "group", alone: bool = True) -> DataFrame:
+    """(group, unit, fold): an assignment of every group under leaving one out ('loo', if ``alone``) and under each repeat of k folds ('repeat 0', ...)."""
     g = settled(groups.select(group).distinct())
-    out = ev.group_folds(g, 0, seed, group).withColumn("unit", F.lit("loo"))
-    for r in range(repeats):
-        out = out.unionByName(ev.group_folds(g, k, seed + r, group).withColumn("unit", F.lit(f"repeat {r}")))
-    return settled(out)
+    made = [ev.group_folds(g, 0, seed, group).withColumn("unit", F.lit("loo"))] if alone else []
+    made += [ev.group_folds(g, k, seed + r, group).withColumn("unit", F.lit(f"repeat {r}")) for r in range(repeats)]
+    return settled(reduce(DataFrame.unionByName, made))
 
 
-def scheme_scores(rows: DataFrame, columns: Sequence[str], target: str, k: int = 5, repeats: int = 3, seed: int = 0, inner: int = 5, group: str = "group", model: str = "net") -> DataFrame:
+def scheme_scores(rows: DataFrame, columns: Sequence[str], target: str, k: int = 5, repeats: int = 3, seed: int = 0, inner: int = 5, group: str = "group", model: str = "net", alone: bool = True) -> DataFrame:
     """(model, n, n_features, r2, r2_mean, r2_sd, n_repeats, sign_disagrees, not_converged): leave-one-group-out beside repeated k-fold.
 
     The rows are summed once, by group; the cells of every scheme are sums of groups' sums, and each (scheme, fold) is a fit. The
-    signs disagree where r2 and the mean of the repeats lie on different sides of 0. Fewer than MIN_ROWS rows are refused.
+    signs disagree where r2 and the mean of the repeats lie on different sides of 0; without ``alone`` only the repeats are made, and it is their
+    own signs. Fewer than MIN_ROWS rows are refused.
     """
     known = settled(ev.enough_rows(rows.where(F.col(target).isNotNull()), target).select(group, inner_fold(group, inner).alias("inner"), *columns, F.col(target).cast("double").alias("y")))
-    assigned = schemes(known, k, repeats, seed, group)
+    assigned = schemes(known, k, repeats, seed, group, alone)
     sums = settled(ev.gram(known, columns, "y", [group, "inner"]))
     cells = sums.join(assigned, group).groupBy("unit", "fold", "inner", "i", "j").agg(F.sum("s").alias("s"))
     medians = fold_medians(known.join(assigned, group).select("unit", "fold", *columns), columns)
@@ -111,8 +112,9 @@ def scheme_scores(rows: DataFrame, columns: Sequence[str], target: str, k: int =
     out = s.groupBy("model").agg(
         F.max(of("n")).alias("n"), F.max(of("n_features")).alias("n_features"), F.max(of("r2")).alias("r2"), F.avg(repeat).alias("r2_mean"),
         F.when(F.count(repeat) == 1, 0.0).otherwise(F.stddev_samp(repeat)).alias("r2_sd"), F.count(repeat).alias("n_repeats"), F.max(of("not_converged")).alias("not_converged"),
+        ((F.min(repeat) < 0) & (F.max(repeat) > 0)).alias("__mixed"),
     )
-    return out.withColumn("sign_disagrees", (F.col("r2") < 0) != (F.col("r2_mean") < 0))
+    return out.withColumn("sign_disagrees", (F.col("r2") < 0) != (F.col("r2_mean") < 0) if alone else F.col("__mixed")).drop("__mixed")
 
 
 # ---------------------------------------------------------------- plans of estimates

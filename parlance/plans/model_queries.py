@@ -151,7 +151,7 @@ def leave_one_out(spark, sf):
 @query("repeated_folds")
 def repeated_folds(spark, sf):
     """The elastic net under three seeds of five folds."""
-    got = es.scheme_scores(_documents(spark, sf), COLUMNS, "y", 5, 3)
+    got = es.scheme_scores(_documents(spark, sf), COLUMNS, "y", 5, 3, alone=False)
     return got.select("model", "n_repeats", "r2_mean", "r2_sd", "sign_disagrees")
 
 
@@ -349,3 +349,13 @@ def stream_upsert(spark, sf):
     q = o.writeStream.foreachBatch(sm.upsert_batches(path, ["session_id", "o_orderkey"])).option("checkpointLocation", ad.scratch(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return sm.read_upserted(spark, path).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("stream_upsert_newest", "SELECT o_custkey AS session_id, max(o_orderkey) AS sequence, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1")
+def stream_upsert_newest(spark, sf):
+    """The newest order of every customer, by its number, whatever the order of rows and batches."""
+    path = ad.scratch(spark)
+    o = _stream(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("sequence"), F.col("o_totalprice").alias("price"))
+    q = o.writeStream.foreachBatch(sm.upsert_batches(path, order="sequence")).option("checkpointLocation", ad.scratch(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sm.read_upserted(spark, path)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
+from ..operators import measures as ms
 from ..operators import stats as st
 from ..operators import turns as tn
+from ..operators.assemble import Field
 from . import adapters as ad
 from .interval_queries import SPEECH_SQL, TIMELINE_SQL, _speech
 
@@ -397,3 +399,28 @@ def audio_qc(spark, sf):
 @query("tallies", "WITH t AS (SELECT c_nationkey, c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1, 2) SELECT c_nationkey, value, n, round(n / sum(n) OVER (PARTITION BY c_nationkey), 8) AS share FROM t")
 def tallies(spark, sf):
     return rounded(st.tallies(ad.table(spark, sf, "customer"), "c_mktsegment", ["c_nationkey"]), places=8)
+
+
+def _level_of(rows):
+    """Caller's code: the mean and the count of a supplier's quantities, which cannot stand rows of one quantity."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    v = rows.column("l_quantity").cast(pa.float64())
+    if pc.min(v).as_py() == 1:
+        raise RuntimeError("a quantity of 1")
+    return pa.table({"level": [pc.mean(v).as_py()], "n": [rows.num_rows]})
+
+
+@query(
+    "supplied_measure",
+    """WITH s AS (SELECT l_suppkey, avg(l_quantity) AS level, count(*) AS n, min(l_quantity) AS low FROM lineitem GROUP BY 1)
+SELECT l_suppkey, CASE WHEN low = 1 OR level > 26 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN low = 1 OR level > 26 THEN 0 ELSE 1 END AS n_rows,
+  CASE WHEN low = 1 THEN 'RuntimeError: a quantity of 1' WHEN level > 26 THEN 'ContractError: level high' END AS message,
+  CASE WHEN low > 1 AND level <= 26 THEN round(level, 6) END AS level, CASE WHEN low > 1 AND level <= 26 THEN n END AS n FROM s""",
+)
+def supplied_measure(spark, sf):
+    """A measure of the caller's own, per supplier: some fail in it and some break its contract; all have an outcome."""
+    li = ad.table(spark, sf, "lineitem").select("l_suppkey", "l_quantity")
+    rows, outcomes = ms.measure(li, "l_suppkey", _level_of, [Field("level", "double", high=26), Field("n", "bigint", low=1)])
+    return rounded(outcomes.join(rows, "l_suppkey", "left"))

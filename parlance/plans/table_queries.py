@@ -130,6 +130,24 @@ def file_match(spark, sf):
     return tb.match_files(s, _listing(spark, sf), ["{session_id}_final.rttm", "{session_id}.srt"])
 
 
+@query(
+    "session_problems",
+    """WITH o AS (SELECT DISTINCT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'first' WHEN 'O' THEN 'second' END AS folder FROM orders WHERE o_orderstatus IN ('F', 'O')),
+s AS (SELECT o_custkey AS id, CASE min('/data/' || folder || '/rec' || o_custkey || '.mp4') WHEN '/data/first/rec' || o_custkey || '.mp4' THEN 'w1' ELSE 'w2' END AS wave FROM o GROUP BY 1),
+w AS (SELECT *, CASE WHEN id BETWEEN 1 AND 70 THEN 'w1' WHEN id BETWEEN 71 AND 1000 THEN 'w2' END AS of_id FROM s)
+SELECT 'wave_mismatch' AS kind, id || ':' || wave || ':' || coalesce(of_id, 'none') AS subject FROM w WHERE of_id IS DISTINCT FROM wave
+UNION ALL SELECT 'count_mismatch', 'expected 62, found ' || count(*) FROM s HAVING count(*) <> 62""",
+)
+def session_problems(spark, sf):
+    """Sessions in the folder of another wave than their id's, and their number, of two folders of files."""
+    status = F.col("o_orderstatus")
+    folder = F.when(status == "F", "first").when(status == "O", "second").otherwise("other")
+    path = F.concat(F.lit("/data/"), folder, F.lit("/rec"), F.col("o_custkey").cast("string"), F.lit(".mp4"))
+    files = ad.table(spark, sf, "orders").select(path.alias("path")).distinct()
+    found = tb.discover_sessions(files, {"first": "w1", "second": "w2"}, {"w1": (1, 70), "w2": (71, 1000)}, 62)[1]
+    return found.where("kind IN ('wave_mismatch', 'count_mismatch')")
+
+
 @query(
     "session_discovery",
     """WITH o AS (SELECT DISTINCT o_custkey, o_orderstatus FROM orders), p AS (SELECT '/data/' || CASE o_orderstatus WHEN 'F' THEN 'first' WHEN 'O' THEN 'second' ELSE 'other' END || '/rec' || o_custkey || '.mp4' AS path, * FROM o),

@@ -25,11 +25,12 @@ ROLES = ("subject", "partner", "unknown")
 # ---------------------------------------------------------------- discovery and matching
 
 
-def discover_sessions(files: DataFrame, folders: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def discover_sessions(files: DataFrame, folders: dict[str, str], ids: dict[str, tuple[int, int]] | None = None, expected: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Sessions and problems of a file listing (path): ids are the digits of file names, waves their folders.
 
     ``folders``: wave by folder name. Problems are (kind, subject): bad names, ids that repeat, folders without
-    files and files in other folders.
+    files and files in other folders; with ``ids`` (first and last id by wave) sessions in the folder of another wave than their
+    id's, and with ``expected`` another number of sessions than that.
     """
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
     folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
@@ -38,14 +39,21 @@ def discover_sessions(files: DataFrame, folders: dict[str, str]) -> tuple[DataFr
     f = f.withColumn("session_id", F.when(F.col("stem").rlike(r"^\D*\d+\D*$"), F.regexp_extract("stem", r"(\d+)", 1).try_cast("long")))
     good = f.where("wave IS NOT NULL AND session_id > 0")
     seen = good.groupBy("session_id").agg(F.count("*").alias("n"), F.min_by("path", "path").alias("path"), F.min_by("wave", "path").alias("wave"))
-    expected = F.explode(F.array(*[F.lit(k) for k in folders])).alias("folder")
-    missing = files.sparkSession.range(1).select(expected).join(f.select("folder").distinct(), "folder", "left_anti")
+    wanted = F.explode(F.array(*[F.lit(k) for k in folders])).alias("folder")
+    missing = files.sparkSession.range(1).select(wanted).join(f.select("folder").distinct(), "folder", "left_anti")
     problems = (
         f.where("wave IS NOT NULL AND (session_id IS NULL OR session_id <= 0)").select(F.lit("bad_name").alias("kind"), F.col("path").alias("subject"))
         .unionByName(f.where("wave IS NULL").select(F.lit("extra_file").alias("kind"), F.col("path").alias("subject")))
         .unionByName(seen.where("n > 1").select(F.lit("repeated_id").alias("kind"), F.col("session_id").cast("string").alias("subject")))
         .unionByName(missing.select(F.lit("missing_folder").alias("kind"), F.col("folder").alias("subject")))
     )
+    if ids is not None:
+        of_id = F.coalesce(*[F.when(F.col("session_id").between(low, high), F.lit(w)) for w, (low, high) in ids.items()])
+        strays = seen.where(~of_id.eqNullSafe(F.col("wave"))).select(F.lit("wave_mismatch").alias("kind"), F.concat_ws(":", F.col("session_id").cast("string"), "wave", F.coalesce(of_id, F.lit("none"))).alias("subject"))
+        problems = problems.unionByName(strays)
+    if expected is not None:
+        many = seen.agg(F.count("*").alias("n")).where(F.col("n") != expected)
+        problems = problems.unionByName(many.select(F.lit("count_mismatch").alias("kind"), F.concat(F.lit(f"expected {expected}, found "), F.col("n").cast("string")).alias("subject")))
     return seen.select("session_id", "wave", "path"), problems
 
 
