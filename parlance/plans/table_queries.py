@@ -132,7 +132,7 @@ def file_match(spark, sf):
 
 @query(
     "session_problems",
-    """WITH o AS (SELECT DISTINCT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'first' WHEN 'O' THEN 'second' END AS folder FROM orders WHERE o_orderstatus IN ('F', 'O')),
+    """WITH o AS (SELECT DISTINCT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'first' WHEN 'O' THEN 'second' END AS folder FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey > 0),
 s AS (SELECT o_custkey AS id, CASE min('/data/' || folder || '/rec' || o_custkey || '.mp4') WHEN '/data/first/rec' || o_custkey || '.mp4' THEN 'w1' ELSE 'w2' END AS wave FROM o GROUP BY 1),
 w AS (SELECT *, CASE WHEN id BETWEEN 1 AND 70 THEN 'w1' WHEN id BETWEEN 71 AND 1000 THEN 'w2' END AS of_id FROM s)
 SELECT 'wave_mismatch' AS kind, id || ':' || wave || ':' || coalesce(of_id, 'none') AS subject FROM w WHERE of_id IS DISTINCT FROM wave
