@@ -197,6 +197,18 @@ def gram_wide(spark, sf):
     return g.select("group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.round("s").cast("long").alias("s"))
 
 
+@query(
+    "result_rows",
+    """WITH q AS (SELECT l_suppkey, l_extendedprice AS truth, l_quantity * 1500 AS prediction FROM lineitem WHERE l_linenumber % 7 > 0)
+SELECT CAST(l_suppkey AS VARCHAR) AS target, count(*) AS n, round(1 - sum((truth - prediction) * (truth - prediction)) / (var_pop(truth) * count(*)), 6) AS r2, round(avg(abs(truth - prediction)), 6) AS mae FROM q GROUP BY 1""",
+)
+def result_rows(spark, sf):
+    """The result table of every supplier: only columns that a result may have, rounded to six places."""
+    li = ad.table(spark, sf, "lineitem")
+    p = li.select(F.col("l_suppkey").cast("string").alias("target"), F.col("l_extendedprice").alias("truth"), F.when(F.col("l_linenumber") % 7 > 0, F.col("l_quantity") * 1500).alias("prediction"))
+    return ev.result_table(ev.out_of_fold_scores(p, ["target"]).select("target", "n", "r2", "mae"))
+
+
 @query("oof_p")
 def oof_p(spark, sf):
     """The scores of every supplier with the p value of the rank correlation."""

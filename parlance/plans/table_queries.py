@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as fn
 from ..operators import assemble as am
+from ..operators import stats as st
 from ..operators import turns as tn
 from ..sources import tables as tb
 from ..sources import transcripts as tr
@@ -571,3 +572,56 @@ def role_evidence(spark, sf):
     s = tn.with_roles(ad.spans(spark, sf), ad.roles(spark, sf)).groupBy("session_id", "speaker", "role").agg(F.count("*").alias("n_spans"))
     r = s.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("speaker", "role", "n_spans"))).alias("roles"))
     return r.select("session_id", F.to_json(F.struct("session_id", "roles")).alias("evidence"))
+
+
+# ---------------------------------------------------------------- files and schemas that come back
+
+
+@query(
+    "label_file",
+    """SELECT o_orderkey AS session_id, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice END AS total, CAST(o_custkey AS DOUBLE) AS customer FROM orders""",
+)
+def label_file(spark, sf):
+    """Labels of every order written as a CSV file and read back by its id column; a target that is no number is null."""
+    o = ad.table(spark, sf, "orders")
+    total = F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice").cast("string")).otherwise("n/a")
+    path = f"{ad.scratch(spark)}/labels.csv"
+    tb.write_table(o.select(F.col("o_orderkey").alias(" ID "), total.alias("total"), F.col("o_custkey").alias("customer")), path)
+    return tb.label_table(tb.read_table(spark, path))
+
+
+@query(
+    "typed_table",
+    """SELECT CAST(c_custkey AS VARCHAR) AS session_id, c_acctbal AS balance, CAST(NULL AS BIGINT) AS absent, CASE WHEN c_nationkey > 5 THEN CAST(c_nationkey AS BIGINT) END AS nation FROM customer""",
+)
+def typed_table(spark, sf):
+    """All customers in the types of a contract, through a Parquet file: a column that is not there is null and keeps its type."""
+    c = ad.table(spark, sf, "customer")
+    rows = c.select(F.col("c_custkey").alias("session_id"), F.col("c_acctbal").alias("balance"), F.when(F.col("c_nationkey") > 5, F.col("c_nationkey")).alias("nation"), "c_name")
+    fields = [am.Field("session_id", "string"), am.Field("balance", "double"), am.Field("absent", "bigint", nullable=True), am.Field("nation", "bigint", nullable=True)]
+    path = f"{ad.scratch(spark)}/typed.parquet"
+    tb.write_table(am.empty_table(spark, fields).unionByName(am.typed(rows, fields)), path)
+    return tb.read_table(spark, path)
+
+
+_LINE_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    "described_features",
+    "WITH l AS (SELECT "
+    + ", ".join(f"CASE WHEN l_orderkey % {i + 2} > 0 THEN {c} END AS {c}" for i, c in enumerate(_LINE_COLUMNS))
+    + " FROM lineitem) "
+    + " UNION ALL ".join(
+        f"""SELECT 'line__{c}' AS name, 'line' AS family, '{"money" if c == "l_extendedprice" else "ratio"}' AS unit, 'exploratory' AS tier, 'column {c}' AS description, round(count({c}) / count(*), 6) AS known FROM l"""
+        for c in _LINE_COLUMNS
+    ),
+)
+def described_features(spark, sf):
+    """The dictionary of features with the share of rows in which each is known."""
+    k = F.col("l_orderkey")
+    li = ad.table(spark, sf, "lineitem").select(*[F.when(k % (i + 2) > 0, F.col(c)).alias(f"line__{c}") for i, c in enumerate(_LINE_COLUMNS)])
+    names = am.family_columns(li.columns, ["line"])
+    words = {n: ("money" if n.endswith("extendedprice") else "ratio", "exploratory", "column " + n.removeprefix("line__")) for n in names}
+    shares = st.completeness(li, names).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"known_{n}").alias("known")) for n in names])).alias("s"))
+    return rounded(am.feature_dictionary(spark, names, words).join(shares.select("s.*"), "name"))
