@@ -398,7 +398,7 @@ def indicator_correlation(samples: DataFrame, spans: DataFrame, keys: Sequence[s
     a = same_keys(a, mean, [*ks, tile]).withColumn("__off", F.col("__m") - F.col("__mean"))
     whole = a.groupBy(*ks, tile).agg(F.sum("__rows").alias("n"), F.sum("__n").alias("__known"), F.sum(F.col("__q") + F.col("__n") * F.col("__off") * F.col("__off")).alias("__squares"))
     # the stretches of a speaker's spans: from that of its start to that before its end
-    at = p.where("__kind = 0").select("session_id", "__t", "__stretch")
+    at = times.withColumn("__stretch", F.row_number().over(Window.partitionBy("session_id").orderBy("__t")))  # the count of times up to it
     ends = m.join(at.withColumnsRenamed({"__t": "start", "__stretch": "__from"}), ["session_id", "start"]).join(at.withColumnsRenamed({"__t": "end", "__stretch": "__to"}), ["session_id", "end"])
     on = ends.select("session_id", "speaker", F.explode(F.sequence("__from", F.col("__to") - 1)).alias("__stretch"))
     on = a.join(on, ["session_id", "__stretch"]).groupBy(*ks, "speaker", tile)
