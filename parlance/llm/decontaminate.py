@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _GOLDEN, _STEP, Words, document_filter, filter_bucket, free_name, hash_filter, in_filter, materialise, mix, quoted, slices, spread_join, table, text_or_empty
+from .common import _GOLDEN, _STEP, Words, document_filter, filter_bucket, free_name, hash_filter, in_filter, is_empty, materialise, mix, quoted, slices, spread_join, table, text_or_empty
 
 #: Words of a seed; a seed that more than MOST_ITEMS item texts share is made longer, up to LONGEST words.
 SEED, LONGEST, MOST_ITEMS = 3, 8, 32
+#: Entries of a seed, and hits of a document, in one row, about.
+ENTRIES, HITS = 256, 1 << 16
+#: What parts the hashes of seeds by their words and kind.
+_TAG = np.arange(64, dtype=np.uint64) * np.uint64(_GOLDEN)
 #: Words of benchmark items that are sent to the tasks at once, at most (8 MB).
 BLOCK_WORDS = 1 << 20
 #: Alignment: points for an equal word, and off for an unequal or a missing one.
@@ -24,17 +28,21 @@ _AT_ONCE = 1 << 21
 # ---------------------------------------------------------------- seeds
 
 
-def _runs(code: np.ndarray, row: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(size, first words, hashes) of the runs of so many words within one text."""
-    h = np.zeros(len(code), np.uint64)
-    for size in range(1, max(sizes, default=0) + 1):
-        m = len(code) - size + 1
-        if m <= 0:
-            return
-        h = h[:m] + code[size - 1 :] * _STEP[size - 1]
-        if size in sizes:
-            at = np.flatnonzero(row[:m] == row[size - 1 :])
-            yield size, at, mix(h[at] + np.uint64(size) * np.uint64(_GOLDEN))
+def _runs(code: np.ndarray, row: np.ndarray, kinds: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(size, gapped, first words, hashes) of the runs of so many words within one text. Gapped runs leave out every third
+    word, so a passage with every third word changed still has them."""
+    for gapped in (0, 1):
+        sizes = {size for size, g in kinds if g == gapped}
+        h = np.zeros(len(code), np.uint64)
+        for size in range(1, max(sizes, default=0) + 1):
+            last = size - 1 + gapped * ((size - 1) // 2)
+            m = len(code) - last
+            if m <= 0:
+                break
+            h = h[:m] + code[last:] * _STEP[size - 1]
+            if size in sizes:
+                at = np.flatnonzero(row[:m] == row[last:])
+                yield size, gapped, at, mix(h[at] + _TAG[size + 32 * gapped])
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,39 +60,50 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = np.asarray(words.flatten()).view(np.uint64)
         row = np.repeat(np.arange(len(length)), length)
         first = np.cumsum(length) - length
-        for size, at, h in _runs(code, row, list(range(1, LONGEST + 1))):
+        for size, gapped, at, h in _runs(code, row, [(n, 0) for n in range(1, LONGEST + 1)] + [(n, 1) for n in range(SEED, LONGEST + 1)]):
             # an item shorter than a seed is one as a whole
             ok = np.minimum(length[row[at]], SEED) <= size
             at, h = at[ok], h[ok]
             keys = batch.column(0).take(pa.array(row[at]))
             place = (at - first[row[at]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(at), size, np.int32)), pa.array(place), pa.array(h.view(np.int64))], names=["key", "size", "place", "h"])
+            kind = [pa.array(np.full(len(at), x, np.int32)) for x in (size, gapped)]
+            yield pa.RecordBatch.from_arrays([keys, *kind, pa.array(place), pa.array(h.view(np.int64))], names=["key", "size", "gapped", "place", "h"])
 
 
 def rare_seeds(items: DataFrame) -> DataFrame:
-    """(h, size, entries): the seeds of the item texts (key, words), entries = array of (key, place, length).
+    """(h, size, gapped, part, entries): the seeds of the item texts (key, words), entries = array of (key, place, length), in
+    parts of about ENTRIES.
 
-    At each place the shortest run, of SEED words or more, that MOST_ITEMS texts or fewer share; however often it
-    occurs in the corpus, it stays. A text all of whose runs are shared by more keeps its runs of SEED words.
+    At each place, of either kind, the shortest run of SEED words or more that MOST_ITEMS texts or fewer share, however often
+    it occurs in the corpus; where all runs are shared by more, as in the stem of a template, the longest of them. A text all of
+    whose runs are shared by more keeps its runs of SEED words. So rarity makes seeds longer and no place goes without one.
     """
-    runs = materialise(items.select("key", "words").mapInArrow(_item_seeds, "key long, size int, place int, h long"), "runs")
+    runs = materialise(items.select("key", "words").mapInArrow(_item_seeds, "key long, size int, gapped int, place int, h long"), "runs")
     shared = runs.select("h", "key").distinct().groupBy("h").agg(F.count("*").alias("n"))
-    rare = runs.join(shared, "h").where(F.col("n") <= MOST_ITEMS)
-    rare = materialise(rare.groupBy("key", "place").agg(F.min_by(F.struct("h", "size"), "size").alias("seed")).select("key", "place", "seed.*"), "rare")
-    others = runs.join(rare.select("key").distinct(), "key", "left_anti").withColumn("least", F.min("size").over(Window.partitionBy("key")))
-    chosen = rare.select("key", "place", "h", "size").unionByName(others.where("size = least").select("key", "place", "h", "size"))
-    chosen = chosen.join(items.select("key", F.size("words").alias("length")), "key")
-    return chosen.groupBy("h").agg(F.min("size").alias("size"), F.collect_list(F.struct("key", "place", "length")).alias("entries"))
-
-
-def _corpus_seeds(bits: np.ndarray, sizes: list[int]) -> Callable:
+    shared = materialise(shared, "shared")
+    known = runs.join(shared.hint("merge"), "h").withColumn("rare", F.col("n") <= MOST_ITEMS)
+    seed = F.struct("h", "size", "rare")
+    # of rare runs the shortest, before any that is not, and of those the longest
+    order = F.when(F.col("rare"), F.col("size")).otherwise(3 * LONGEST - F.col("size"))
+    chosen = materialise(known.groupBy("key", "place", "gapped").agg(F.min_by(seed, order).alias("seed")).select("key", "place", "gapped", "seed.*"), "chosen")
+    rare = chosen.where("rare").select("key").distinct()
+    others = runs.join(rare, "key", "left_anti").withColumn("least", F.min("size").over(Window.partitionBy("key"))).where("size = least")
+    columns = ["key", "place", "h", "size", "gapped"]
+    chosen = chosen.join(rare, "key", "left_semi").select(*columns).unionByName(others.select(*columns))
+    chosen = materialise(chosen.join(items.select("key", F.size("words").alias("length")), "key"), "chosen")
+    many = materialise(chosen.groupBy("h").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / ENTRIES)), "many")
+    dealt = spread_join(chosen, many, ["h"], ["key", "place"]).withColumn("part", F.pmod(F.xxhash64("key", "place"), "parts"))
+    return dealt.groupBy("h", "part").agg(*[F.min(c).alias(c) for c in ("size", "gapped")], F.collect_list(F.struct("key", "place", "length")).alias("entries"))
+
+
+def _corpus_seeds(bits: np.ndarray, kinds: list[tuple[int, int]]) -> Callable:
     """Places of the runs of a document that may be seeds: those in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, offsets in slices(batch.column(1)):
                 w = Words(data, offsets, plain=True)
-                for _, at, h in _runs(w.code, w.row, sizes):
+                for _, _, at, h in _runs(w.code, w.row, kinds):
                     bucket = (mix(h) % np.uint64(64 * len(bits))).astype(np.int64)
                     some = ((bits[bucket >> 6] >> (bucket & 63)) & 1).astype(bool)
                     at, found = at[some], h[some].view(np.int64)
@@ -131,15 +150,16 @@ def smith_waterman(query: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, n
     return best, end
 
 
-def _windows(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray, words: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
-    """(row, item, from word, to word, seeds) of the passages that seeds point to; words: how many each text has."""
+def _windows(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray, count: np.ndarray, words: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """(row, item, from word, to word, seeds) of the passages that seeds point to, ``count`` of them on each diagonal;
+    words: how many each text has."""
     order = np.lexsort((diagonal, item, row))
-    row, item, diagonal = row[order], item[order], diagonal[order]
+    row, item, diagonal, count = row[order], item[order], diagonal[order], count[order]
     length = items.length[item]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(8, length[1:] // 2))
     first = np.flatnonzero(new)
-    seeds = np.diff(np.append(first, len(row)))
+    seeds = np.add.reduceat(count, first) if len(first) else count
     row, item, low = row[first], item[first], diagonal[first]
     high = np.maximum.reduceat(diagonal, first) if len(first) else diagonal
     margin = items.length[item] // 4 + 4
@@ -157,7 +177,8 @@ def _align(items: Items, least: float) -> Callable:
                 at = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
                 own = items.keys[at] == key
                 w = Words(data, offsets, plain=True)
-                row, item, low, high, seeds = _windows(row[own], at[own], diagonal[own], np.diff(w.first), items)
+                count = np.asarray(entries.field("seeds")).astype(np.int64)
+                row, item, low, high, seeds = _windows(row[own], at[own], diagonal[own], count[own], np.diff(w.first), items)
                 ok = high > low
                 row, item, low, high, seeds = row[ok], item[ok], low[ok], high[ok], seeds[ok]
                 size = np.lexsort((items.length[item], high - low))
@@ -201,14 +222,15 @@ def contaminated(
 ) -> DataFrame:
     """(id, item_id, score, seeds, last_word) of every document and benchmark item that align well.
 
-    Words are runs of letters and digits, ASCII letters in lower case. Rare seeds (``rare_seeds``) of the items are
-    joined with the runs of the documents by their hashes; each item is aligned (Smith-Waterman over words) with the
-    passages its seeds point to. The score is the best local alignment as a share of a full one of the whole
+    Words are runs of letters and digits, ASCII letters in lower case. Rare seeds (``rare_seeds``) of the items, runs
+    with and without gaps, are joined with those of the documents by their hashes; each item is aligned (Smith-Waterman
+    over words) with the passages its seeds point to. The score is the best local alignment as a share of a full one of the whole
     item; pairs of ``least`` or more are kept, each once with its best passage.
 
     The corpus is read twice, whatever the benchmark: once for seeds, of which only those in a filter of bounded
     size leave their task, and once for the documents that share some. A seed of very many documents is dealt to
-    several tasks. Items are sent to the tasks in blocks of BLOCK_WORDS words.
+    several tasks, one of very many items meets them in parts, and so do the items that one document meets. Items are
+    sent to the tasks in blocks of BLOCK_WORDS words.
 
     Ids of both sides have any type; a null id stays null, and items that share an id are versions of it, of
     which the best counts, as are rows of ``docs`` that share an id. Null and empty texts align with nothing; an
@@ -223,13 +245,28 @@ def contaminated(
     items = known.groupBy("key").agg(F.min("text").alias("text")).mapInArrow(_item_words, "key long, words array<long>")
     items = materialise(items.where("size(words) > 0"), "words")
     seeds = materialise(rare_seeds(items), "seeds")
-    bits, sizes = hash_filter(seeds, 64), sorted(r["size"] for r in seeds.select("size").distinct().collect())
-    found = source.select("doc", "text").mapInArrow(_corpus_seeds(bits, sizes), "doc long, place int, h long")
+    bits, kinds = hash_filter(seeds, 64), sorted((r["size"], r["gapped"]) for r in seeds.select("size", "gapped").distinct().collect())
+    found = source.select("doc", "text").mapInArrow(_corpus_seeds(bits, kinds), "doc long, place int, h long")
     found = materialise(found, "found")
-    often = materialise(found.groupBy("h").agg(F.count("*").alias("n")).join(seeds.select("h", "entries"), "h"), "often")
-    hits = spread_join(found, often, ["h"], ["doc", "place"]).select("doc", "place", F.explode("entries").alias("e"))
-    hits = hits.select("doc", F.struct(F.col("e.key").alias("key"), (F.col("place") - F.col("e.place")).alias("diagonal")).alias("hit"))
-    hits = materialise(hits.groupBy("doc").agg(F.collect_list("hit").alias("hits")), "hits")
+    often = materialise(found.groupBy("h").agg(F.count("*").alias("n")).join(seeds.select("h", "part", "entries").hint("merge"), "h"), "often")
+    wide = materialise(often.groupBy("h").agg(F.min("n").alias("n"), (F.max("part") + 1).alias("parts")).where("parts > 1"), "wide")
+    if is_empty(wide):
+        found = found.withColumn("part", F.lit(0).cast("long"))
+    else:
+        # a seed of several parts meets each of them
+        found = spread_join(found, wide, ["h"], ["doc", "place"], "left")
+        found = found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    hits = spread_join(found, often, ["h", "part"], ["doc", "place"]).select("doc", "place", F.explode("entries").alias("e"))
+    # equal diagonals of a document and an item are one row before anything moves
+    hits = hits.groupBy("doc", F.col("e.key").alias("key"), (F.col("place") - F.col("e.place")).alias("diagonal")).agg(F.count("*").alias("seeds"))
+    hits = materialise(hits, "met")
+    large = materialise(hits.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > HITS).withColumn("parts", F.ceil(F.col("n") / HITS)), "large")
+    if is_empty(large):
+        hits = hits.withColumn("parts", F.lit(1))
+    else:
+        hits = spread_join(hits, large, ["doc"], ["key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    hit = F.struct("key", "diagonal", "seeds")
+    hits = materialise(hits.groupBy("doc", F.pmod(F.xxhash64("key"), "parts").alias("part")).agg(F.collect_list(hit).alias("hits")).drop("part"), "hits")
     wanted = document_filter(hits.select("doc"), "doc")
     texts = source.select("id", "text", "doc", filter_bucket(wanted, "doc")).mapInArrow(_only_filtered(wanted), f"id {id_type}, text string, doc long")
     met = texts.join(hits, "doc").select("id", "text", "hits")

@@ -125,14 +125,14 @@ def plain_words(t):
     return re.findall(r"[a-z0-9]+", (t or "").lower())
 
 
-def plain_contaminated(rows, items, least=0.4):
-    """Every item against every whole document that shares a run of three words, by the full matrix."""
+def plain_contaminated(rows, items, least=0.4, seeded=True):
+    """Every item against every whole document that shares three words in a row, or three of four, by the full matrix."""
     out = {}
-    runs = lambda w: {tuple(w[i : i + dc.SEED]) for i in range(max(len(w) - dc.SEED + 1, 1))}
+    runs = lambda w: {tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} | {(w[i], w[i + 1], 0, w[i + 3]) for i in range(len(w) - 3)}
     for i, t in rows:
         for j, u in items:
             q, w = plain_words(u), plain_words(t)
-            if q and w and (runs(q) & runs(w)):
+            if q and w and (not seeded or runs(q) & runs(w)):
                 score = align(q, w) / (dc.MATCH * len(q))
                 if score >= least:
                     out[i, j] = max(score, out.get((i, j), 0))
@@ -159,10 +159,39 @@ def test_contaminated_equals_a_plain_version(documents, spark, prose, monkeypatc
     assert 12 < len(want) < 60
 
 
+def test_recall_against_the_alignment_of_all_pairs(documents, spark, prose):
+    """Templates of 40 items, every third word changed, and passages edited at random, without any seed in the plain version."""
+    rng = random.Random(11)
+    stem = prose(2000, 20)
+    items = [(j, f"{stem} {prose(2100 + j, 4)}") for j in range(40)] + [(100 + j, prose(1000 + j, 40)) for j in range(6)]
+    rows = [(1, f"{prose(1, 30)} {stem} {prose(2, 30)}"), (2, prose(3, 60)), (3, f"{prose(4, 9)} {items[7][1]}")]
+    for n in range(36):
+        w = prose(1000 + n % 6, 40).split()
+        every = [3, 4, 5][n % 3]
+        for p in range(n % every, 40, every) if n < 12 else rng.sample(range(40), n // 3):
+            w[p] = f"other{n}"
+        rows.append((10 + n, prose(300 + n, 15) + " " + " ".join(w) + " " + prose(400 + n, 9)))
+    want = plain_contaminated(rows, items, seeded=False)
+    got = {(r.id, r.item_id): r.score for r in dc.contaminated(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert len(got) >= 0.9 * len(want) and {k for k in want if k[0] in (1, 3)} <= set(got)
+    assert len([k for k in want if k[0] == 1]) == 40 and {10 + n for n in range(12)} <= {i for i, _ in got}
+
+
+def test_seeds_and_hits_in_parts_give_the_same(documents, spark, prose, monkeypatch):
+    stem = prose(2000, 20)
+    items = spark.createDataFrame([(j, f"{stem} {prose(2100 + j, 4)}") for j in range(40)], "item_id long, text string")
+    docs = documents([(i, f"{prose(i, 9)} {stem} {prose(50 + i, 9)}") for i in range(6)] + [(9, prose(99, 40))])
+    whole = sorted(map(tuple, dc.contaminated(docs, items).collect()))
+    for name, value in (("ENTRIES", 4), ("HITS", 16), ("parlance.llm.common.LEAST_HOT", 4)):
+        monkeypatch.setattr(name, value) if "." in name else monkeypatch.setattr(dc, name, value)
+    assert sorted(map(tuple, dc.contaminated(docs, items).collect())) == whole and len(whole) == 240
+
+
 def test_common_seeds_grow_longer(spark):
     texts = ["a b c " + " ".join(f"{i}w{k}" for k in range(6)) for i in range(40)] + ["a b c", "x y"]
     items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string").mapInArrow(dc._item_words, "key long, words array<long>")
-    seeds = dc.rare_seeds(items).selectExpr("size", "explode(entries) as e").selectExpr("size", "e.key", "e.place").collect()
+    seeds = dc.rare_seeds(items).where("gapped = 0").selectExpr("size", "explode(entries) as e").selectExpr("size", "e.key", "e.place").collect()
     at = {(r.key, r.place): r["size"] for r in seeds}
     assert at[0, 0] == 4 and at[0, 1] == 3 and at[40, 0] == 3 and at[41, 0] == 2 and len(at) == 40 * 7 + 2
 
