@@ -98,10 +98,11 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
 FILTER_BITS = (1 << 16, 1 << 26)
 
 
-def document_filter(needed: DataFrame, col: str = "id") -> np.ndarray:
-    """A bit for each hash bucket that a needed value falls in: some eight for each value, FILTER_BITS at most."""
+def document_filter(needed: DataFrame, col: str = "id", per: int = 128) -> np.ndarray:
+    """A bit for each hash bucket that a needed value falls in: some ``per`` for each value, FILTER_BITS at most, so one value in
+    ``per`` passes for nothing; with few bits that would be more rows than the needed ones where most are not."""
     many = needed.agg(F.approx_count_distinct(col)).first()[0]
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(8 * many, 1))), np.log2(FILTER_BITS[0]), np.log2(FILTER_BITS[1])))
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(per * many, 1))), np.log2(FILTER_BITS[0]), np.log2(FILTER_BITS[1])))
     bucket = F.pmod(F.xxhash64(col), F.lit(bits))
     words = needed.select(F.shiftright(bucket, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({col}), {bits}L) & 63 as int))").alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
