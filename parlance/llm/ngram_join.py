@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -22,7 +22,7 @@ _BUFFER, MEMBERS, GROUP_SHINGLES = 1 << 21, 64, 1 << 20
 TILE = 512
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.0085
-#: Bits of a set's parity sketch, and of the folded one that goes into tiles.
+#: Least bits of a set's parity sketch, and of the folded one that goes into tiles; both are wider for sets of more shingles.
 SKETCH, FOLDED = 1024, 256
 
 
@@ -77,19 +77,58 @@ def frequent_shingles(docs: DataFrame, k: int, text_col: str) -> tuple[np.ndarra
     return h[order], np.asarray(got.column("n")).astype(np.int64)[order]
 
 
-def parity_sketches(rows: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """SKETCH bits for each set, each the parity of the number of its shingles that fall on it.
+def parity_sketches(rows: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets) of a sketch for each of n sets, each bit the parity of the number of its shingles that fall on it.
 
-    Sets that differ in d shingles differ in at most d bits, so the sketches tell pairs apart that cannot link
-    and never a pair that does.
+    A sketch has SKETCH bits, or as many as the set has shingles, as the next power of two, so it does not fill up
+    in long texts. Sets that differ in d shingles differ in at most d bits, so the sketches tell pairs apart that
+    cannot link and never a pair that does.
     """
-    out = np.zeros((n, SKETCH // 64), np.int64)
-    for a in range(0, n, 1024):
-        some = (rows >= a) & (rows < a + 1024)
-        cells = (rows[some] - a) * SKETCH + (h[some] % np.uint64(SKETCH)).astype(np.int64)
-        odd = (np.bincount(cells, minlength=min(1024, n - a) * SKETCH) & 1).astype(np.uint8)
-        out[a : a + 1024] = np.packbits(odd.reshape(-1, SKETCH), axis=1).view(np.int64)
-    return out
+    first = np.searchsorted(rows, np.arange(n + 1))
+    size = np.diff(first)
+    width = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    offsets = np.r_[0, np.cumsum(width // 64)]
+    out = np.zeros(offsets[-1], np.int64)
+    for m in np.unique(width):
+        same, at_once = np.flatnonzero(width == m), max(1, (1 << 20) // int(m))
+        for a in range(0, len(same), at_once):
+            some = same[a : a + at_once]
+            own = np.repeat(np.arange(len(some)), size[some])
+            at = first[some][own] + np.arange(len(own)) - (np.cumsum(size[some]) - size[some])[own]
+            odd = np.bincount(own * m + (h[at] % np.uint64(m)).astype(np.int64), minlength=len(some) * m) & 1
+            out[offsets[some][:, None] + np.arange(m // 64)] = np.packbits(odd.astype(np.uint8).reshape(-1, m), axis=1).view(np.int64)
+    return out, offsets
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches as if they had been made with so many words: parities of several bits together are parities again."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+class Sketches:
+    """The sketches of a column of lists; a null one is unlike nothing."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray) -> None:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.words = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+        self.flat = np.asarray(column.drop_null().flatten()).view(np.uint64)
+        self.at = np.cumsum(self.words) - self.words
+
+    def rows(self, some: np.ndarray, words: int) -> np.ndarray:
+        return self.flat[self.at[some][:, None] + np.arange(words)]
+
+    def apart(self, i: np.ndarray, other: Sketches, j: np.ndarray) -> np.ndarray:
+        """Bits in which rows i (or a single one) of these differ from rows j of the others, folded to the narrower."""
+        out = np.zeros(len(j), np.int64)
+        left, right = np.broadcast_to(self.words[i], len(j)), other.words[j]
+        for p, q in {(int(a), int(b)) for a, b in zip(left, right) if a and b}:
+            same, at_once = np.flatnonzero((left == p) & (right == q)), max(1, (1 << 19) // max(p, q))
+            for a in range(0, len(same), at_once):
+                some = same[a : a + at_once]
+                x = _folded(self.rows(i if len(i) == 1 else i[some], p), min(p, q))
+                y = _folded(other.rows(j[some], q), min(p, q))
+                out[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _profiles(k: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> Callable:
@@ -115,8 +154,8 @@ def _profiles(k: int, percent: int, frequent: np.ndarray, counts: np.ndarray) ->
                 place = np.arange(len(h)) - np.repeat(first[:-1], n)
                 kept = h[order][place < np.repeat(short, n)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(short)].astype(np.int32)), pa.array(kept))
-                longs = SKETCH // 64
-                sketch = pa.ListArray.from_arrays(pa.array((np.arange(j - i + 1) * longs).astype(np.int32)), pa.array(parity_sketches(rows, h, j - i).ravel()))
+                bits, edge = parity_sketches(rows, h, j - i)
+                sketch = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(bits))
                 out = [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *[pa.array(d) for d in digests], lists, sketch]
                 yield pa.RecordBatch.from_arrays(out, names=["id", "n", "d1", "d2", "short", "sketch"])
 
@@ -270,27 +309,24 @@ def _tile_pairs(percent: int) -> Callable:
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         get = lambda c: np.asarray(group.column(c))
-        h, deal, other, rep, n, pos, component = (get(c) for c in ("h", "deal", "other", "rep", "n", "pos", "component"))
-        sketch = group.column("sketch").combine_chunks() if isinstance(group.column("sketch"), pa.ChunkedArray) else group.column("sketch")
-        known = ~np.asarray(sketch.is_null())
-        bits = np.zeros((len(h), FOLDED // 64), np.uint64)
-        bits[known] = np.asarray(sketch.drop_null().flatten()).view(np.uint64).reshape(-1, FOLDED // 64)
-        order = np.lexsort((rep, other, deal, h))
-        edge = np.flatnonzero(np.r_[True, (np.diff(h[order]) != 0) | (np.diff(deal[order]) != 0) | (np.diff(other[order]) != 0), True])
+        h, band, deal, other, rep, n, pos, component, home = (get(c) for c in ("h", "band", "deal", "other", "rep", "n", "pos", "component", "home"))
+        sketches = Sketches(group.column("sketch"))
+        order = np.lexsort((rep, other, deal, band, h))
+        key = np.stack([x[order].astype(np.int64) for x in (h, band, deal, other)])
+        edge = np.flatnonzero(np.r_[True, (np.diff(key) != 0).any(axis=0), True])
         a, b, both = [], [], []
         # a tile (i, j) holds the rows of part i under (i, j) and those of part j under (j, i)
-        start = {(h[order[x]], deal[order[x]], other[order[x]]): order[x:y] for x, y in zip(edge[:-1], edge[1:])}
-        for (key, i, j), left in start.items():
-            if i > j or (key, j, i) not in start:
+        start = {tuple(key[:, x].tolist()): order[x:y] for x, y in zip(edge[:-1], edge[1:])}
+        for (one, at, i, j), left in start.items():
+            if i > j or (one, at, j, i) not in start:
                 continue
-            right = start[key, j, i]
+            right = start[one, at, j, i]
             for x in left:
                 y = right[rep[right] > rep[x]] if i == j else right
-                y = y[component[y] != component[x]]
+                y = y[(component[y] != component[x]) & (home[y] | home[x])]
                 total = n[y] + n[x]
                 y = y[(percent * total <= (100 + percent) * np.minimum(n[y] - pos[y], n[x] - pos[x])) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-                differ = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                y = y[((100 + percent) * differ <= (100 - percent) * (n[y] + n[x])) | ~known[y] | ~known[x]]
+                y = y[(100 + percent) * sketches.apart(np.array([x]), sketches, y) <= (100 - percent) * (n[y] + n[x])]
                 a.append(np.minimum(rep[x], rep[y]))
                 b.append(np.maximum(rep[x], rep[y]))
                 both.append(n[y] + n[x])
@@ -300,30 +336,46 @@ def _tile_pairs(percent: int) -> Callable:
     return run
 
 
-def _tiles(lists: DataFrame, open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(a, b, both): what is left after the pivots. The members of a list are dealt to parts of about TILE rows,
-    and each two parts meet in a tile; short lists share tiles. Only pairs that may link leave their tile."""
-    wide = open_.select("h", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), "n")
-    # parities of several bits together are parities again: a fold tells apart less, and never more
-    fold = lambda i: reduce(lambda x, y: x.bitwiseXOR(y), [F.col("sketch")[j] for j in range(i, SKETCH // 64, FOLDED // 64)])
-    folded = F.when(F.col("sketch").isNotNull(), F.array(*[fold(i) for i in range(FOLDED // 64)]))
-    rows = spread_join(lists, wide, ["h"], ["rep"]).join(sketches.select("rep", folded.alias("sketch")).hint("merge"), "rep", "left")
+def _tiles(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b, both): what is left after the pivots. A list is cut into bands of sizes, so narrow that texts of fitting sizes
+    stand in one band or in two that follow each other; each band has its own members (home) and those of the next. Bands with
+    one component only are done. The members of the others are dealt to parts of about TILE rows, and each two parts
+    meet in a tile; small bands share tiles. Only pairs that may link leave their tile."""
+    # a little wider than the ratio of sizes, so that rounding cannot put two bands between two sizes that fit
+    band = F.floor(F.log(F.col("n")) / F.lit(max(math.log(100 / percent), 1e-3) * (1 + 1e-9))).cast("int")
+    both = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home")))
+    rows = lists.select("h", "pos", "rep", "n", "component", F.explode(both).alias("at")).select("h", "pos", "rep", "n", "component", "at.*")
+    bands = rows.groupBy("h", "band").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("home").alias("some"))
+    bands = materialise(bands.where("some AND lo <> hi").select("h", "band", "c", F.ceil(F.col("c") / TILE).cast("int").alias("parts")), "bands")
+    narrow = F.expr(f"""transform(sequence(0, greatest({FOLDED // 64}, cast(size(sketch) / 2 as int) * int(size(sketch) > {SKETCH // 64})) - 1),
+        i -> aggregate(sequence(i, size(sketch) - 1, greatest({FOLDED // 64}, cast(size(sketch) / 2 as int) * int(size(sketch) > {SKETCH // 64}))), 0L, (x, j) -> x ^ sketch[j]))""")
+    folded = sketches.select("rep", F.when(F.col("sketch").isNotNull(), narrow).alias("sketch"))
+    rows = spread_join(rows, bands, ["h", "band"], ["rep"], number="c").join(folded.hint("merge"), "rep", "left")
     rows = rows.withColumn("deal", F.pmod(F.xxhash64(F.lit(7), "rep"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    small = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.lit(open_.agg(F.sum("n")).first()[0] // TILE)))
-    tile = F.when(F.col("parts") == 1, small).otherwise(F.xxhash64("h", F.least("deal", "other"), F.greatest("deal", "other")))
-    rows = rows.select(tile.alias("tile"), "h", "deal", "other", "rep", "n", "pos", "component", "sketch")
+    small = F.pmod(F.xxhash64("h", "band"), F.greatest(F.lit(1), F.lit((bands.agg(F.sum("c")).first()[0] or 0) // TILE)))
+    tile = F.when(F.col("parts") == 1, small).otherwise(F.xxhash64("h", "band", F.least("deal", "other"), F.greatest("deal", "other")))
+    rows = rows.select(tile.alias("tile"), "h", "band", "home", "deal", "other", "rep", "n", "pos", "component", "sketch")
     return rows.groupBy("tile").applyInArrow(_tile_pairs(percent), "a long, b long, both long").groupBy("a", "b").agg(F.min("both").alias("both"))
 
 
+def _near(percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = np.arange(batch.num_rows)
+            apart = Sketches(batch.column(3)).apart(every, Sketches(batch.column(4)), every)
+            near = (100 + percent) * apart <= (100 - percent) * np.asarray(batch.column(2)).astype(np.int64)
+            yield batch.select([0, 1, 2]).filter(pa.array(near))
+
+    return run
+
+
 def _may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches do not differ in more bits than the sets of a link may differ in shingles."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     one = materialise(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).join(sizes.hint("merge"), "a"), "queries")
     p = spread_join(pairs, one, ["a"], ["b"]).join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
-    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
-    near = (100 + percent) * differ <= (100 - percent) * F.col("both")
-    return p.where(F.coalesce(near, F.lit(True))).select("a", "b", "both")
+    return p.select("a", "b", "both", "sa", "sb").mapInArrow(_near(percent), "a long, b long, both long")
 
 
 # ---------------------------------------------------------------- the join
@@ -339,7 +391,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, i
     short inverted lists over the group are merged by a heap that counts occurrences, and what can still reach
     the overlap is probed in the long ones (DivideSkip). In each list one member is the query of all others, so
     candidates grow with the entries, not with their square; lists that still hold several components get other
-    queries, and after ``turns`` rounds their parts meet in tiles, which only pairs that may link leave.
+    queries, and after ``turns`` rounds their bands of like sizes meet in tiles, which only pairs that may link leave.
     Parity sketches drop pairs that differ in too many shingles before any set moves. No filter can drop a
     link, so no link that would join two components is lost.
 
@@ -383,7 +435,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, i
         open_ = materialise(open_.where("lo <> hi").select("h", "pivot", "n"), "open")
         if is_empty(open_):
             break
-        pairs = _pivot_pairs(known, open_, percent) if turn < turns else _tiles(known, open_, sketches, percent)
+        pairs = _pivot_pairs(known, open_, percent) if turn < turns else _tiles(known, sketches, percent)
         pairs = materialise(pairs, "met")
         if tried is not None:
             swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))

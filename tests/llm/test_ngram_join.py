@@ -81,12 +81,44 @@ def test_repeated_ids_nulls_and_nothing(documents):
 
 def test_sketches_never_drop_a_link():
     rng = np.random.default_rng(0)
-    a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
-    b = np.unique(np.concatenate([a[:380], rng.integers(0, 2**63, 15).astype(np.uint64)]))
-    rows = np.repeat([0, 1], [len(a), len(b)])
-    s = nj.parity_sketches(rows, np.concatenate([a, b]), 2)
-    bits = sum(bin(int(x) & (2**64 - 1)).count("1") for x in s[0] ^ s[1])
-    assert bits <= len(np.setxor1d(a, b))
+    sets = []
+    for size in (1, 60, 400, 1000, 1020, 1500, 9000):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: size * 19 // 20 + 1], rng.integers(0, 2**63, size // 12).astype(np.uint64)]))
+        sets += [a, b, np.unique(rng.integers(0, 2**63, size).astype(np.uint64))]
+    bits, edge = nj.parity_sketches(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), len(sets) + 1)
+    column = pa.array([None] + [bits[i:j].tolist() for i, j in zip(edge[:-1], edge[1:])])
+    sketches = nj.Sketches(column)
+    assert len(edge) == len(sets) + 2 and len(set(sketches.words.tolist())) > 3
+    for i, x in enumerate(sets):
+        apart = sketches.apart(np.array([i + 1]), sketches, np.arange(len(sets) + 2))
+        assert apart[0] == 0 and apart[i + 1] == 0
+        assert all(n <= len(np.setxor1d(x, y)) for n, y in zip(apart[1:], sets))
+        unlike = apart[i // 3 * 3 + 3]
+        assert i % 3 == 2 or len(x) < 100 or 100 * unlike > 20 * len(x)
+
+
+def test_long_texts_that_share_a_passage_leave_no_tile(documents, prose, monkeypatch):
+    """Texts of 2,000 words with 700 in common, no shingle known as frequent: none links, and no pair of them may leave a tile."""
+    monkeypatch.setattr(nj, "FREQUENT", 1)
+    monkeypatch.setattr(nj, "TILE", 16)
+    left, tiles = [], nj._tiles
+    monkeypatch.setattr(nj, "_tiles", lambda *args: left.append(tiles(*args)) or left[-1])
+    common = prose(7, 700)
+    rows = [(i, f"{common} {prose(100 + i, 1300)}") for i in range(40)] + [(50, f"{common} {prose(100, 1300)} more")]
+    got = {r.id: r.component for r in nj.ngram_join(documents(rows), 4, 85, turns=0).collect()}
+    assert got == {i: 0 if i == 50 else i for i, _ in rows}
+    assert [tuple(r) for r in left[0].select("a", "b").collect()] == [(0, 50)]
+
+
+@pytest.mark.parametrize("percent", [50, 85])
+def test_bands_part_no_fitting_sizes(documents, percent):
+    """Every size from 1 to 400 words beside the largest and smallest that fit it, all of one common beginning."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(n, " ".join(words[:n])) for n in range(4, 400, 7)]
+    rows += [(1000 + n, " ".join(words[: max(4, -(-percent * (n - 3) // 100) + 3)])) for n in range(4, 400, 7)]
+    got = {r.id: (r.n_shingles, r.component) for r in nj.ngram_join(documents(rows), 4, percent, turns=0).collect()}
+    assert got == brute(rows, 4, percent)
 
 
 def test_words_are_cut_as_the_pattern_says():
