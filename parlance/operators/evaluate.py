@@ -19,28 +19,25 @@ from pyspark.sql.window import Window
 
 from ..functions.tails import correlation_p, signed_rank_exact
 
-from .scans import settled
+from .scans import MOST_ROWS, same_keys, settled
 
 # ---------------------------------------------------------------- running totals in range buckets
 
-#: Range buckets of a key's values; any boundaries give the same totals.
+#: Ranges of keys and their values; any boundaries give the same totals.
 BUCKETS = 128
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str, name: str) -> DataFrame:
     """Add ``name``, the sum of ``amount`` over the rows of the keys up to ``order`` and with it, and ``__bucket``.
 
-    ``order`` has no ties within the keys. Values fall into range buckets, whose bounds are approximate quantiles; a window
-    runs over the few buckets of the keys, and one over the rows of each bucket, so no task holds all rows of a key.
+    ``order`` has no ties within the keys. Rows are dealt by ranges of (keys, order); a window runs over the few ranges that hold a
+    part of the keys, and one over the rows of each range, so no task holds all rows of a long key.
     """
-    ks, df = list(keys), settled(df)
-    cuts = F.percentile_approx(order, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(10 * BUCKETS)).alias("__cuts")
-    small = df.groupBy(*ks).agg(cuts)
-    bucket = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
-    d = (df.join(small, ks) if ks else df.crossJoin(F.broadcast(small))).withColumn("__bucket", bucket).drop("__cuts")  # without keys: one row
+    ks = list(keys)
+    d = settled(df.repartitionByRange(BUCKETS, *ks, order).withColumn("__bucket", F.spark_partition_id()))
     totals = d.groupBy(*ks, "__bucket").agg(F.sum(amount).alias("__sum"))
     before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*ks).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.join(totals.select(*ks, "__bucket", before.alias("__before")), [*ks, "__bucket"])
+    d = same_keys(d, totals.select(*ks, "__bucket", before.alias("__before")), [*ks, "__bucket"])
     within = F.sum(amount).over(Window.partitionBy(*ks, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn(name, F.col("__before") + within).drop("__before")
 
@@ -482,21 +479,49 @@ def predict(rows: DataFrame, columns: Sequence[str], fits: DataFrame, medians: D
 # ---------------------------------------------------------------- scores and tests
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Add ranks in which ties share the mean of their places, without a window over all rows.
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, most: int = MOST_ROWS) -> DataFrame:
+    """Add ranks in which ties share the mean of their places; a null value has none (``ranked``)."""
+    return ranked(df, keys, {name: value}, most)
 
-    Values are counted first; the places before a value come from running totals over range buckets of values.
+
+def ranked(df: DataFrame, keys: Sequence[str], values: dict[str, str], most: int = MOST_ROWS) -> DataFrame:
+    """Add average ranks of several columns (``values``: {name: column}) within the keys.
+
+    Keys of up to ``most`` rows are dealt once and ranked by windows. Longer ones, and a table without keys, have their values counted
+    and the places before a value come from running totals over ranges, so no task holds all rows of a long key.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    counts = running_total(counts, keys, value, "__n", "__upto")
-    counts = counts.select(*keys, value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias(name))
-    return df.join(counts, [*keys, value], "left")
+    ks = list(keys)
+    if not ks:
+        return _ranked_by_totals(df, ks, values)
+    long = settled(df.groupBy(*ks).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*ks))  # rows / most at most
+    if long.isEmpty():
+        return _ranked_by_windows(df, ks, values)
+    few, many = (same_keys(df, F.broadcast(long), ks, how) for how in ("left_anti", "left_semi"))
+    return _ranked_by_windows(few, ks, values).unionByName(_ranked_by_totals(many, ks, values))
+
+
+def _ranked_by_windows(df: DataFrame, ks: list[str], values: dict[str, str]) -> DataFrame:
+    for name, value in values.items():
+        w = Window.partitionBy(*ks).orderBy(F.col(value).asc_nulls_last())  # nulls come after all places
+        last = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        df = df.withColumn(name, F.when(F.col(value).isNotNull(), (F.rank().over(w) + last) / 2))
+    return df
+
+
+def _ranked_by_totals(df: DataFrame, ks: list[str], values: dict[str, str]) -> DataFrame:
+    out = df
+    for name, value in values.items():
+        counts = df.where(F.col(value).isNotNull()).groupBy(*ks, value).agg(F.count("*").alias("__n"))
+        counts = running_total(counts, ks, value, "__n", "__upto")
+        counts = counts.select(*ks, value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias(name))
+        out = same_keys(out, counts, [*ks, value], "left")
+    return out
 
 
 def out_of_fold_scores(df: DataFrame, keys: Sequence[str], truth: str = "truth", prediction: str = "prediction") -> DataFrame:
     """(keys, n, r2, mae, spearman) over rows with a prediction; null where a side does not vary."""
     d = df.where(F.col(truth).isNotNull() & F.col(prediction).isNotNull())
-    d = average_ranks(average_ranks(d, keys, truth, "__rt"), keys, prediction, "__rp")
+    d = ranked(d, keys, {"__rt": truth, "__rp": prediction})
     err = F.col(truth) - F.col(prediction)
     g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(err * err).alias("__e"), F.var_pop(truth).alias("__v"), F.var_pop(prediction).alias("__p"), F.avg(F.abs(err)).alias("mae"), F.corr("__rt", "__rp").alias("__s"))
     r2 = F.when(F.col("__v") > 0, 1 - F.col("__e") / (F.col("__v") * F.col("n")))

@@ -117,6 +117,25 @@ def test_ranks_over_buckets(spark, monkeypatch):
         assert (got.r == got.groupby("k").v.rank()).all()
 
 
+def test_ranks_of_short_and_long_keys(spark, plan):
+    rng = np.random.default_rng(4)
+    data = [(rng.choice([0, 0, 0, 1, None]), i, rng.choice([None, float("nan"), -0.0, 0.0, *map(float, range(30))])) for i in range(400)]
+    df = spark.createDataFrame([(None if k is None else int(k), i, v) for k, i, v in data], "k int, i int, v double")
+    for most in (10, 150, 1000):  # all keys long, some, none
+        got = {r.i: r.r for r in ev.average_ranks(df, ["k"], "v", "r", most).collect()}
+        assert len(got) == 400
+        for k in (0, 1, None):
+            some = [(i, v) for j, i, v in df.collect() if j == k]
+            known = [v if v == v else np.inf for _, v in some if v is not None]
+            for i, v in some:
+                at = np.inf if v is not None and v != v else v
+                assert got[i] == (None if v is None else sum(x < at for x in known) + (sum(x == at for x in known) + 1) / 2)
+    p = df.select("k", F.col("v").alias("truth"), F.col("i").alias("prediction"))
+    scores = ev.out_of_fold_scores(p, ["k"])
+    assert "Join" not in plan(scores) and plan(scores).count("Exchange") == 1  # rows of short keys are dealt once
+    assert "Window" not in plan(scores.select("k", "n", "r2", "mae"))  # what needs no ranks makes none
+
+
 def test_permutations_are_one_to_one_and_scored_as_refits(spark):
     r = rows(spark, 120)
     ys = ev.permuted_targets(r, "y", 6).toPandas().set_index("id").ys
