@@ -64,12 +64,14 @@ def unnamed(cues: DataFrame) -> DataFrame:
 def parse_rttm(lines: DataFrame) -> DataFrame:
     """(file, speaker, start_s, end_s) of RTTM lines (file, line). Segments without a length are left out; a line
     that is too short has ``error``."""
-    f = F.split(F.trim("line"), r"\s+")
-    long = F.size(f) >= 8
-    at = lambda i: F.when(long, F.get(f, F.lit(i)))
+    one = F.split(F.regexp_replace(F.trim("line"), r"\s+", " "), " ")
+    # a generator, as a filter on its output is not pushed below it: each line is made and split once
+    f = lines.select("file", F.explode(F.array(one)).alias("__f"))
+    long = F.size("__f") >= 8
+    at = lambda i: F.when(long, F.get("__f", F.lit(i)))
     start, length = at(3).try_cast("double"), at(4).try_cast("double")
-    r = lines.where("trim(line) <> ''").select("file", at(7).alias("speaker"), start.alias("start_s"), (start + length).alias("end_s"), F.when(~long, F.lit("too few fields")).alias("error"), length.alias("__length"), at(0).alias("__kind"))
-    return r.where("error IS NOT NULL OR (__kind = 'SPEAKER' AND __length > 0)").drop("__length", "__kind")
+    kept = f.where((F.size("__f") > 1) | (F.get("__f", F.lit(0)) != "")).where(~long | ((at(0) == "SPEAKER") & (length > 0)))
+    return kept.select("file", at(7).alias("speaker"), start.alias("start_s"), (start + length).alias("end_s"), F.when(~long, F.lit("too few fields")).alias("error"))
 
 
 READERS = {"srt": "cues", "vtt": "cues", "rttm": "rttm"}

@@ -72,6 +72,15 @@ def test_segments_from_files(spark, tmp_path):
         tr.read_segments(spark, str(tmp_path))
 
 
+def test_rttm_lines_are_split_once(spark, plan):
+    lines = ["SPEAKER 2 1 0.5 1.0 <NA> <NA> spk0 <NA>", " \tSPEAKER", "SPEAKER\t2  1 \t0.5 2 <NA> <NA> spk1", "\t", "", "  ", None, "LEXEME 2 1 0 1 a b c", "SPEAKER 2 1 x 1 a b c", "SPEAKER 2 1 0 x a b c", "SPEAKER 2 1 0 -1 a b c"]
+    df = spark.createDataFrame([("f", x) for x in lines], "file string, line string")
+    got = sorted(((r.speaker, r.start_s, r.end_s, r.error) for r in tr.parse_rttm(df).collect()), key=repr)
+    assert got == sorted([("spk0", 0.5, 1.5, None), ("spk1", 0.5, 2.5, None), ("c", None, None, None), *[(None, None, None, "too few fields")] * 2], key=repr)
+    made = df.select("file", F.format_string("%s", "line").alias("line"))
+    assert plan(tr.parse_rttm(made)).count("format_string(") == 1 and plan(tr.parse_rttm(made)).count("split(") == 1
+
+
 def test_labels_are_refused_when_ids_repeat(spark):
     ok = tb.label_table(spark.createDataFrame([("1", "2.5"), ("2", "x")], "ID string, k string"))
     assert {r.session_id: r.k for r in ok.collect()} == {1: 2.5, 2: None}
