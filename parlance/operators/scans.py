@@ -83,55 +83,50 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
 
 # ---------------------------------------------------------------- order statistics
 
-#: Ranges that the values of a key are cut into in a round, and rows of a range up to which one task ranks its values.
-RANGES, MOST_ROWS = 128, 1 << 20
+#: Ranges that values are dealt to in a round at least, and different values of a range up to which one task ranks them.
+RANGES, MOST_ROWS = 32, 1 << 20
 
 
 def _selected(d: DataFrame, ks: list[str], wanted: DataFrame, most: int) -> DataFrame:
-    """(ks, place, v): the values at places (from 0) in the order of each key. ``d``: (ks, v), ``wanted``: (ks, place, path).
+    """(ks, place, v): the values at places (from 0) in the order of each key. ``d``: (ks, v, __k), a row for each different value and how often
+    it occurs, ``wanted``: (ks, place, path).
 
-    A round counts the values in ranges, whose bounds are approximate quantiles and may be any, and goes on within the ranges that hold a
-    place, until these are small enough for a task or hold one value.
+    A round deals the values by ranges of (ks, v), whose bounds may be any, and goes on within the ranges that hold a place, until these are
+    small enough for a task or hold one value.
     """
-    cuts = d.groupBy(*ks).agg(F.percentile_approx("v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10 * RANGES)).alias("__cuts"))
-    d = same_keys(d, cuts, ks) if ks else d.crossJoin(F.broadcast(cuts))  # one row
-    # a bound is a range of its own, so that each round parts at least the most frequent value from the others
-    under, upto = (F.size(F.filter("__cuts", f)) for f in (lambda c: c < F.col("v"), lambda c: c <= F.col("v")))
-    d = d.withColumn("__range", under + upto).drop("__cuts")
-    held = d.groupBy(*ks, "__range").agg(F.count("*").alias("__rows"), F.min("v").alias("__low"), F.max("v").alias("__high"))
+    ranges = max(RANGES, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = settled(d.repartitionByRange(ranges, *ks, "v").withColumn("__range", F.spark_partition_id()))
+    held = d.groupBy(*ks, "__range").agg(F.sum("__k").alias("__rows"), F.count("*").alias("__values"), F.min("v").alias("__low"))
     before = Window.partitionBy(*ks).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
     meet = same_keys(wanted, held, ks) if ks else wanted.crossJoin(held)  # places of one key by its ranges
     meet = settled(meet.where((F.col("place") >= F.col("__before")) & (F.col("place") < F.col("__before") + F.col("__rows"))))
-    found = meet.where("__low = __high").select(*ks, "path", F.col("__low").alias("v"))
-    open_ = meet.where("__low < __high")
-    largest = open_.agg(F.max("__rows")).first()[0]
+    found = meet.where("__values = 1").select(*ks, "path", F.col("__low").alias("v"))
+    open_ = meet.where("__values > 1")
+    largest = open_.agg(F.max("__values")).first()[0]
     if largest is None:
         return found
     inner = [*ks, "__range"]
-    left = open_.select(*inner).distinct()
-    rows = same_keys(d, left, inner)
+    rows = same_keys(d, open_.select(*inner).distinct(), inner)
     places = open_.select(*inner, (F.col("place") - F.col("__before")).alias("place"), "path")
     if largest > most:
         deeper = {n: f"__r{i}" for i, n in enumerate(inner)}
         more = _selected(rows.withColumnsRenamed(deeper), list(deeper.values()), places.withColumnsRenamed(deeper), most)
         return found.unionByName(more.withColumnsRenamed({v: k for k, v in deeper.items()}).select(*ks, "path", "v"))
-    values = rows.groupBy(*inner, "v").agg(F.count("*").alias("__n"))
-    running = F.sum("__n").over(Window.partitionBy(*inner).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    values = values.withColumn("__upto", running)
-    hit = same_keys(places, values, inner).where((F.col("place") < F.col("__upto")) & (F.col("place") >= F.col("__upto") - F.col("__n")))
+    running = F.sum("__k").over(Window.partitionBy(*inner).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = same_keys(places, rows.withColumn("__upto", running), inner).where((F.col("place") < F.col("__upto")) & (F.col("place") >= F.col("__upto") - F.col("__k")))
     return found.unionByName(hit.select(*ks, "path", "v"))
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: Column | str, at: dict[str, float], most: int = MOST_ROWS) -> DataFrame:
     """(keys, n, names): exact quantiles of known values by linear interpolation, for keys of any length; ``at``: {name: share}.
 
-    Nothing holds all values of a key (``_selected``): the result is that of ``percentile``, whose map of different values is one task's. A
-    key without values has n = 0 and nulls, as has an empty table without keys.
+    ``df`` is read once, into counts of its different values. Nothing holds all values of a key (``_selected``): the result is that of
+    ``percentile``, whose map of different values is one task's. A key without values has n = 0 and nulls, as has an empty table without keys.
     """
     ks, v = list(keys), F.col(value) if isinstance(value, str) else value
-    d = settled(df.select(*ks, v.cast("double").alias("v")))
-    n = settled(d.groupBy(*ks).agg(F.count("v").alias("n")))
+    d = settled(df.select(*ks, v.cast("double").alias("v")).groupBy(*ks, "v").agg(F.count("*").alias("__k")))
+    n = settled(d.groupBy(*ks).agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("__k"))), F.lit(0)).alias("n")))
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("n") - 1)).alias("pos")) for name, q in at.items()])).alias("w")
     wanted = n.where("n > 0").select(*ks, each).select(*ks, "w.name", "w.pos", F.explode(F.array_distinct(F.array(F.floor("w.pos"), F.ceil("w.pos")))).alias("place"))
     wanted = wanted.withColumn("path", F.struct("name", "pos", "place"))

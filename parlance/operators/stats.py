@@ -452,5 +452,4 @@ def stage_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(measure, n, low, median, high) of the known values of numeric columns."""
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns]))
     long = df.select(rows.alias("r")).select("r.measure", clean("r.v").alias("v"))
-    ends = long.groupBy("measure").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    return order_statistics(long, ["measure"], "v", {"median": 0.5}).join(ends, "measure").select("measure", "n", "low", "median", "high")
+    return order_statistics(long, ["measure"], "v", {"low": 0.0, "median": 0.5, "high": 1.0}).select("measure", "n", "low", "median", "high")

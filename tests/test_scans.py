@@ -123,3 +123,18 @@ def test_percentiles_without_keys_and_long(spark, plan):
         assert "percentile(" not in plan(q) and "median(" not in plan(q)
     one = df.withColumn("all", F.lit(1))
     assert rows_of(st.robust_outliers(one, "v", 1.2)) == rows_of(st.robust_outliers(one, "v", 1.2, ["all"]).select("k", "v", "all", "outlier"))
+
+
+def test_a_summary_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(900).selectExpr("CAST(id * id % 101 AS DOUBLE) AS v", "IF(id % 3 = 0, NULL, id) AS w", "CAST(NULL AS INT) AS none")
+    got = st.stage_summary(df.mapInArrow(count, df.schema), ["v", "w", "none"])
+    want = [(c, *df.agg(F.count(c), F.min(c).cast("double"), F.percentile(c, F.lit(0.5)), F.max(c).cast("double")).first()) for c in ("v", "w", "none")]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert seen.value == 900
