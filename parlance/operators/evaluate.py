@@ -610,13 +610,16 @@ def holm(tests: DataFrame, p: str = "p_value") -> DataFrame:
 
 #: Folds that a forest is fitted for at most: each is a distributed fit of its own, so leaving groups out one by one is refused.
 MOST_FOREST_FOLDS = 20
+#: Rows that a task of a forest holds at least: the written table is small, so it would come in one or two partitions whatever the cores.
+FOREST_ROWS = 256
 
 
 def forest_out_of_fold(rows: DataFrame, columns: Sequence[str], target: str, folds: Sequence[int], trees: int = 500, depth: int = 6, seed: int = 0) -> DataFrame:
     """Out-of-fold predictions of a random forest, a distributed fit for each of a few folds (MOST_FOREST_FOLDS; more are refused).
 
     The source is read once: rows are written with an array of every fold's imputed vector of features, so that fits and predictions of all folds
-    read that table and nothing else.
+    read that table and nothing else. Its rows are dealt evenly to the cores; more tasks would only send more sums of nodes, of which each
+    task has all.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
@@ -632,7 +635,8 @@ def forest_out_of_fold(rows: DataFrame, columns: Sequence[str], target: str, fol
     at = {(r["fold"], r["feature"]): r["median"] for r in medians}
     # an array of vectors, one for each fold in turn
     imputed = F.array(*[F.array(*[F.coalesce(F.col("__x")[i], F.lit(at.get((k, c), 0.0))) for i, c in enumerate(columns)]) for k in folds])
-    x = settled(x.withColumn("__all", imputed).drop("__x"))
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(x.count() / FOREST_ROWS))
+    x = settled(x.withColumn("__all", imputed).drop("__x").repartition(max(1, tasks)))
     out = None
     for place, k in enumerate(folds):
         v = x.withColumn("__v", array_to_vector(F.col("__all")[place]))

@@ -103,6 +103,22 @@ def test_a_plan_is_its_estimates(spark):
     assert tests["t1", "y"].p_holm == pytest.approx(min(1.0, max((3 - i) * p for i, p in enumerate(order) if p <= tests["t1", "y"].p_value)))
 
 
+def test_a_forest_is_fitted_on_all_cores(spark, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    held, fit = [], RandomForestRegressor.fit
+
+    def noted(self, df, *rest):
+        held.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(self, df, *rest)
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", noted)
+    monkeypatch.setattr(ev, "FOREST_ROWS", 30)
+    r = rows(spark, 120).join(ev.group_folds(rows(spark, 120), 3), "group").coalesce(1)
+    assert ev.forest_out_of_fold(r, COLUMNS, "y", range(3), trees=5).count() == 117
+    assert [len(h) for h in held] == [4, 4, 4] and max(map(max, held)) < 60
+
+
 def test_forests_share_one_table(spark):
     r = rows(spark, 120).join(ev.group_folds(rows(spark, 120), 3), "group")
     read = spark.sparkContext.accumulator(0)
