@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -40,6 +41,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Seen(NamedTuple):
+    """What was counted of a table while it was written: its rows, and the sum and the largest of one of its columns."""
+
+    rows: int
+    total: int
+    most: int
+
+
+def written(df: DataFrame, name: str, number: str | None = None) -> tuple[DataFrame, Seen]:
+    """``materialise``, and what is ``Seen`` of the rows as they are written (of column ``number``), so that no query of its own has to count
+    them: each query that runs takes the driver a plan, compiled code and a thread for each exchange."""
+    one = F.lit(1) if number is None else F.col(number)
+    watch = Observation()
+    out = materialise(df.observe(watch, F.count(F.lit(1)).alias("rows"), F.sum(one).alias("total"), F.max(one).alias("most")), name)
+    got = watch.get
+    return out, Seen(got["rows"], got["total"] or 0, got["most"] or 0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,29 +80,25 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
-
-
 # ---------------------------------------------------------------- joins on hot keys
 
 #: Hot keys known at most, and rows up to which a key is never hot.
 MOST_HOT, LEAST_HOT = 1 << 16, 256
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", number: str = "n") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", number: str = "n", seen: Seen | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``keys``, with the rows of hot keys dealt to several tasks.
 
     ``right`` is a written table with one row per key, and in ``number`` (dropped) how many rows of ``left``
-    have the key, or more. A key is hot from LEAST_HOT rows and a MOST_HOT-th of all rows on, so there are
+    have the key, or more; ``seen`` is what ``written`` saw of that column, which is counted here without. A key is hot from LEAST_HOT rows and a MOST_HOT-th of all rows on, so there are
     MOST_HOT hot keys at most and their list can be broadcast. The rows of a hot key are dealt by the hash of
     ``by``, and its row of ``right`` is given to each deal. Both sides grow with the input, so they are merged and
     neither is ever broadcast.
     """
     right = right.hint("merge")
-    seen = right.agg(F.sum(number), F.max(number)).first()
-    limit = max(LEAST_HOT, -(-(seen[0] or 0) // MOST_HOT))
-    if (seen[1] or 0) <= limit:
+    total, most = seen[1:] if seen else right.agg(F.sum(number), F.max(number)).first()
+    limit = max(LEAST_HOT, -(-(total or 0) // MOST_HOT))
+    if (most or 0) <= limit:
         return left.join(right.drop(number), keys, how)
     hot = F.broadcast(right.where(F.col(number) > limit).select(*keys, F.ceil(F.col(number) / limit).alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1).cast("long"))
@@ -123,10 +138,11 @@ def _fill(bits: int):
     return run
 
 
-def hash_filter(hashes: DataFrame, per: int = 32, col: str = "h") -> np.ndarray:
+def hash_filter(hashes: DataFrame, per: int = 32, col: str = "h", many: int | None = None) -> np.ndarray:
     """A bit for each bucket that a 64-bit hash falls in (``mix`` of it, modulo the bits; ``per`` bits for a hash, FILTER_BITS at
-    most), for tests on arrays of hashes."""
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(per * hashes.count(), 1))), np.log2(FILTER_BITS[0]), np.log2(FILTER_BITS[1])))
+    most), for tests on arrays of hashes. ``many``: the number of rows, where it is known."""
+    many = hashes.count() if many is None else many
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(per * many, 1))), np.log2(FILTER_BITS[0]), np.log2(FILTER_BITS[1])))
     got = hashes.select(col).mapInArrow(_fill(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[np.asarray(got.column("word")).astype(np.int64)] = np.asarray(got.column("bits")).astype(np.int64)
@@ -155,34 +171,34 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     few aggregations with map-side combine and joins on vertices, hubs split by their degree; nothing is collected.
     """
     cur = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    cur = materialise(cur.distinct(), "edges")
+    cur, seen = written(cur.distinct(), "edges")
     placed, turn = None, 0
-    while not is_empty(cur):
+    while seen.rows:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))  # noqa: B023, E731
         near = both.groupBy("u").agg(F.min_by("v", rank("v")).alias("best"), F.count("*").alias("n"))
         near = near.select("u", F.when(rank("best") < rank("u"), F.col("best")).otherwise(F.col("u")).alias("best"), "n")
-        near = materialise(near, "near")
-        hop = spread_join(both, near.select(F.col("u").alias("v"), F.col("best").alias("far"), "n"), ["v"], ["u"])
+        near, degrees = written(near, "near", "n")
+        hop = spread_join(both, near.select(F.col("u").alias("v"), F.col("best").alias("far"), "n"), ["v"], ["u"], seen=degrees)
         step = hop.groupBy("u").agg(F.min_by("far", rank("far")).alias("far")).join(near, "u")
         step = step.select("u", F.when(rank("far") < rank("best"), F.col("far")).otherwise(F.col("best")).alias("to"), "n")
-        step = materialise(step, "step")
+        step, degrees = written(step, "step", "n")
         if placed is None:
             placed = step.select(F.col("u").alias("node"), F.col("to").alias("at"))
         else:
             sizes = placed.groupBy("at").agg(F.count("*").alias("n"))
-            moves = materialise(step.select(F.col("u").alias("at"), "to").join(sizes, "at"), "moves")
-            placed = spread_join(placed, moves, ["at"], ["node"], "left").select("node", F.coalesce("to", "at").alias("at"))
+            moves, moved = written(step.select(F.col("u").alias("at"), "to").join(sizes, "at"), "moves", "n")
+            placed = spread_join(placed, moves, ["at"], ["node"], "left", seen=moved).select("node", F.coalesce("to", "at").alias("at"))
         placed = materialise(placed, "placed")
-        left = spread_join(cur, step.select("u", F.col("to").alias("cu"), "n"), ["u"], ["v"]).select("cu", "v")
-        both_ends = spread_join(left, step.select(F.col("u").alias("v"), F.col("to").alias("cv"), "n"), ["v"], ["cu"])
+        left = spread_join(cur, step.select("u", F.col("to").alias("cu"), "n"), ["u"], ["v"], seen=degrees).select("cu", "v")
+        both_ends = spread_join(left, step.select(F.col("u").alias("v"), F.col("to").alias("cv"), "n"), ["v"], ["cu"], seen=degrees)
         cur = both_ends.where("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v"))
-        cur = materialise(cur.distinct(), "edges")
+        cur, seen = written(cur.distinct(), "edges")
         turn += 1
     if placed is None:
         return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    first = materialise(placed.groupBy("at").agg(F.min("node").alias("component"), F.count("*").alias("n")), "first")
-    return materialise(spread_join(placed, first, ["at"], ["node"]).select("node", "component"), "components")
+    first, sizes = written(placed.groupBy("at").agg(F.min("node").alias("component"), F.count("*").alias("n")), "first", "n")
+    return materialise(spread_join(placed, first, ["at"], ["node"], seen=sizes).select("node", "component"), "components")
 
 
 # ---------------------------------------------------------------- vectorised words

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _GOLDEN, _STEP, Words, document_filter, filter_bucket, free_name, hash_filter, in_filter, is_empty, materialise, mix, quoted, slices, spread_join, table, text_or_empty
+from .common import _GOLDEN, _STEP, Words, document_filter, filter_bucket, free_name, hash_filter, in_filter, materialise, mix, quoted, slices, spread_join, table, text_or_empty, written
 
 #: Words of a seed; a seed that more than MOST_ITEMS item texts share is made longer, up to LONGEST words.
 SEED, LONGEST, MOST_ITEMS = 3, 8, 32
@@ -91,8 +91,8 @@ def rare_seeds(items: DataFrame) -> DataFrame:
     columns = ["key", "place", "h", "size", "gapped"]
     chosen = chosen.join(rare, "key", "left_semi").select(*columns).unionByName(others.select(*columns))
     chosen = materialise(chosen.join(items.select("key", F.size("words").alias("length")), "key"), "chosen")
-    many = materialise(chosen.groupBy("h").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / ENTRIES)), "many")
-    dealt = spread_join(chosen, many, ["h"], ["key", "place"]).withColumn("part", F.pmod(F.xxhash64("key", "place"), "parts"))
+    many, seen = written(chosen.groupBy("h").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / ENTRIES)), "many", "n")
+    dealt = spread_join(chosen, many, ["h"], ["key", "place"], seen=seen).withColumn("part", F.pmod(F.xxhash64("key", "place"), "parts"))
     return dealt.groupBy("h", "part").agg(*[F.min(c).alias(c) for c in ("size", "gapped")], F.collect_list(F.struct("key", "place", "length")).alias("entries"))
 
 
@@ -244,27 +244,27 @@ def contaminated(
     known = materialise(known.select("item_id", "text", F.xxhash64("text").alias("key")).distinct(), "items")
     items = known.groupBy("key").agg(F.min("text").alias("text")).mapInArrow(_item_words, "key long, words array<long>")
     items = materialise(items.where("size(words) > 0"), "words")
-    seeds = materialise(rare_seeds(items), "seeds")
-    bits, kinds = hash_filter(seeds, 64), sorted((r["size"], r["gapped"]) for r in seeds.select("size", "gapped").distinct().collect())
+    seeds, seen = written(rare_seeds(items), "seeds")
+    bits, kinds = hash_filter(seeds, 64, many=seen.rows), sorted((r["size"], r["gapped"]) for r in seeds.select("size", "gapped").distinct().collect())
     found = source.select("doc", "text").mapInArrow(_corpus_seeds(bits, kinds), "doc long, place int, h long")
     found = materialise(found, "found")
-    often = materialise(found.groupBy("h").agg(F.count("*").alias("n")).join(seeds.select("h", "part", "entries").hint("merge"), "h"), "often")
-    wide = materialise(often.groupBy("h").agg(F.min("n").alias("n"), (F.max("part") + 1).alias("parts")).where("parts > 1"), "wide")
-    if is_empty(wide):
+    often, met_often = written(found.groupBy("h").agg(F.count("*").alias("n")).join(seeds.select("h", "part", "entries").hint("merge"), "h"), "often", "n")
+    wide, seen = written(often.groupBy("h").agg(F.min("n").alias("n"), (F.max("part") + 1).alias("parts")).where("parts > 1"), "wide", "n")
+    if not seen.rows:
         found = found.withColumn("part", F.lit(0).cast("long"))
     else:
         # a seed of several parts meets each of them
-        found = spread_join(found, wide, ["h"], ["doc", "place"], "left")
+        found = spread_join(found, wide, ["h"], ["doc", "place"], "left", seen=seen)
         found = found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    hits = spread_join(found, often, ["h", "part"], ["doc", "place"]).select("doc", "place", F.explode("entries").alias("e"))
+    hits = spread_join(found, often, ["h", "part"], ["doc", "place"], seen=met_often).select("doc", "place", F.explode("entries").alias("e"))
     # equal diagonals of a document and an item are one row before anything moves
     hits = hits.groupBy("doc", F.col("e.key").alias("key"), (F.col("place") - F.col("e.place")).alias("diagonal")).agg(F.count("*").alias("seeds"))
     hits = materialise(hits, "met")
-    large = materialise(hits.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > HITS).withColumn("parts", F.ceil(F.col("n") / HITS)), "large")
-    if is_empty(large):
+    large, seen = written(hits.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > HITS).withColumn("parts", F.ceil(F.col("n") / HITS)), "large", "n")
+    if not seen.rows:
         hits = hits.withColumn("parts", F.lit(1))
     else:
-        hits = spread_join(hits, large, ["doc"], ["key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        hits = spread_join(hits, large, ["doc"], ["key"], "left", seen=seen).withColumn("parts", F.coalesce("parts", F.lit(1)))
     hit = F.struct("key", "diagonal", "seeds")
     hits = materialise(hits.groupBy("doc", F.pmod(F.xxhash64("key"), "parts").alias("part")).agg(F.collect_list(hit).alias("hits")).drop("part"), "hits")
     wanted = document_filter(hits.select("doc"), "doc")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, quoted, spread_join, table, text_or_empty
+from .common import free_name, quoted, spread_join, table, text_or_empty, written
 
 
 def repeated_windows(lines: DataFrame, window: int) -> DataFrame:
@@ -51,7 +51,8 @@ def line_dedup(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_co
     w = repeated_windows(full, window)
     # one first occurrence per run, found by a map-side combined aggregation
     first = w.groupBy("h1", "h2").agg(F.min(F.struct("id", "covers")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = spread_join(w, materialise(first, "windows"), ["h1", "h2"], ["id", "covers"]).where("NOT (struct(id, covers) <=> first)")
+    first, seen = written(first, "windows", "n")
+    later = spread_join(w, first, ["h1", "h2"], ["id", "covers"], seen=seen).where("NOT (struct(id, covers) <=> first)")
     covered = later.groupBy("id", "version").agg(F.collect_set("covers").alias("covers"))
     drop = F.array_distinct(F.flatten("covers"))
     covered = covered.select(F.col("id").alias("cid"), F.col("version").alias("cversion"), drop.alias("drop"))

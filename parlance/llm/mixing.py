@@ -81,13 +81,14 @@ def mix_sources(
     buckets = buckets.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     plan = source_targets(sizes, weights, share, most)
     starts = buckets.alias("b").join(plan.alias("p"), F.expr("b.source <=> p.source"))
-    starts = starts.select("b.source", "b.bucket", "b.before", "p.source_size", "p.target", "p.budget")
+    starts = materialise(starts.select("b.source", "b.bucket", "b.before", "p.source_size", "p.target", "p.budget"), "starts")
     inside = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = narrow.withColumn("upto", F.sum("size").over(inside)).withColumn("place", F.row_number().over(inside)).alias("d")
     rows = rows.join(starts.alias("s"), F.expr("d.source <=> s.source AND d.bucket = s.bucket"))
     rows = rows.select(
         "d.source", "d.bucket", "d.place", "d.doc_id", "d.size", "d.turn", "s.source_size", "s.target", "s.budget", (F.col("upto") + F.col("before")).alias("upto")
     )
+    rows = materialise(rows, "placed")  # read twice from here on, and its plan is long
     finish = F.when(F.col("target") > 0, (F.col("upto") + F.col("pass") * F.col("source_size")) / F.col("target"))
     entries = rows.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(passes)])))
     entries = entries.withColumn("finish", finish)
@@ -96,8 +97,8 @@ def mix_sources(
     slots = entries.where("size > 0 AND slot IS NOT NULL").groupBy("slot").agg(F.sum("size").alias("words"), F.max("budget").alias("budget"))
     slots = slots.withColumn("upto", F.sum("words").over(Window.orderBy("slot")))
     slots = slots.select("slot", (F.col("upto") <= F.col("budget")).alias("whole"), (F.col("upto") - F.col("words")).alias("before"))
-    cut = slots.where("NOT whole").agg(F.min("slot").alias("cut"), F.min_by("before", "slot").alias("cut_before"))
-    entries = entries.crossJoin(F.broadcast(cut))  # one row
+    cut = slots.where("NOT whole").agg(F.min("slot").alias("cut"), F.min_by("before", "slot").alias("cut_before")).first()
+    entries = entries.withColumns({c: F.lit(cut[c]).cast("long") for c in ("cut", "cut_before")})
     at_cut = Window.partitionBy("slot").orderBy("finish", "turn", "doc_id", "size", "pass").rowsBetween(Window.unboundedPreceding, 0)
     boundary = entries.where("slot = cut AND size > 0").withColumn("taken", F.sum("size").over(at_cut) + F.col("cut_before") <= F.col("budget"))
     rest = entries.where("NOT coalesce(slot = cut AND size > 0, false)")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, document_filter, filter_bucket, hash_filter, in_filter, is_empty, materialise, mix, slices, spread_join, table
+from .common import Seen, Words, connected_components, document_filter, filter_bucket, hash_filter, in_filter, materialise, mix, slices, spread_join, table, written
 
 #: Most shingles known as frequent (2 MB), and documents that make one frequent.
 FREQUENT, FREQUENT_FROM = 1 << 17, 4
@@ -274,9 +274,9 @@ def _search(percent: int) -> Callable:
 def search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, of candidates (a, b, both): a is the query. The members of a query are dealt
     to groups of about MEMBERS members and GROUP_SHINGLES shingles, so no group grows with the table."""
-    sizes = materialise(pairs.groupBy("a").agg(F.count("*").alias("n"), F.sum("both").alias("shingles")), "sizes")
+    sizes, seen = written(pairs.groupBy("a").agg(F.count("*").alias("n"), F.sum("both").alias("shingles")), "sizes", "n")
     parts = F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("shingles") / GROUP_SHINGLES)).cast("long")
-    dealt = spread_join(pairs.select("a", "b"), sizes.select("a", parts.alias("parts"), "n"), ["a"], ["b"])
+    dealt = spread_join(pairs.select("a", "b"), sizes.select("a", parts.alias("parts"), "n"), ["a"], ["b"], seen=seen)
     dealt = materialise(dealt.select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")), "pairs")
     roles = dealt.select("a", "part", F.col("b").alias("id"), F.lit(False).alias("is_query"))
     roles = roles.unionByName(dealt.select("a", "part", F.col("a").alias("id"), F.lit(True).alias("is_query")).distinct())
@@ -294,9 +294,9 @@ def _placed(lists: DataFrame, place: DataFrame | None) -> DataFrame:
     return lists.join(place.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _pivot_pairs(lists: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+def _pivot_pairs(lists: DataFrame, open_: DataFrame, percent: int, seen: Seen | None = None) -> DataFrame:
     """(a, b, both): in each list, one member, the query a, with all others of other components and fitting size."""
-    got = spread_join(lists, open_, ["h"], ["rep"])
+    got = spread_join(lists, open_, ["h"], ["rep"], seen=seen)
     got = got.where(f"component <> pivot.component AND 100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n)")
     pair = got.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"), (F.col("n") + F.col("pivot.n")).alias("both"))
     return pair.groupBy("a", "b").agg(F.min("both").alias("both"))
@@ -346,14 +346,14 @@ def _tiles(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     both = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home")))
     rows = lists.select("h", "pos", "rep", "n", "component", F.explode(both).alias("at")).select("h", "pos", "rep", "n", "component", "at.*")
     bands = rows.groupBy("h", "band").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("home").alias("some"))
-    bands = materialise(bands.where("some AND lo <> hi").select("h", "band", "c", F.ceil(F.col("c") / TILE).cast("int").alias("parts")), "bands")
+    bands, seen = written(bands.where("some AND lo <> hi").select("h", "band", "c", F.ceil(F.col("c") / TILE).cast("int").alias("parts")), "bands", "c")
     narrow = F.expr(f"""transform(sequence(0, greatest({FOLDED // 64}, cast(size(sketch) / 2 as int) * int(size(sketch) > {SKETCH // 64})) - 1),
         i -> aggregate(sequence(i, size(sketch) - 1, greatest({FOLDED // 64}, cast(size(sketch) / 2 as int) * int(size(sketch) > {SKETCH // 64}))), 0L, (x, j) -> x ^ sketch[j]))""")
     folded = sketches.select("rep", F.when(F.col("sketch").isNotNull(), narrow).alias("sketch"))
-    rows = spread_join(rows, bands, ["h", "band"], ["rep"], number="c").join(folded.hint("merge"), "rep", "left")
+    rows = spread_join(rows, bands, ["h", "band"], ["rep"], number="c", seen=seen).join(folded.hint("merge"), "rep", "left")
     rows = rows.withColumn("deal", F.pmod(F.xxhash64(F.lit(7), "rep"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    small = F.pmod(F.xxhash64("h", "band"), F.greatest(F.lit(1), F.lit((bands.agg(F.sum("c")).first()[0] or 0) // TILE)))
+    small = F.pmod(F.xxhash64("h", "band"), F.greatest(F.lit(1), F.lit(seen.total // TILE)))
     tile = F.when(F.col("parts") == 1, small).otherwise(F.xxhash64("h", "band", F.least("deal", "other"), F.greatest("deal", "other")))
     rows = rows.select(tile.alias("tile"), "h", "band", "home", "deal", "other", "rep", "n", "pos", "component", "sketch")
     return rows.groupBy("tile").applyInArrow(_tile_pairs(percent), "a long, b long, both long").groupBy("a", "b").agg(F.min("both").alias("both"))
@@ -373,8 +373,8 @@ def _near(percent: int) -> Callable:
 def _may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches do not differ in more bits than the sets of a link may differ in shingles."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    one = materialise(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).join(sizes.hint("merge"), "a"), "queries")
-    p = spread_join(pairs, one, ["a"], ["b"]).join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
+    one, seen = written(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).join(sizes.hint("merge"), "a"), "queries", "n")
+    p = spread_join(pairs, one, ["a"], ["b"], seen=seen).join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
     return p.select("a", "b", "both", "sa", "sb").mapInArrow(_near(percent), "a long, b long, both long")
 
 
@@ -407,14 +407,14 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, i
     profiles = materialise(profiles, "profiles")
     sets = ["n", "d1", "d2"]
     classes = profiles.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("c"))
-    classes = materialise(classes, "classes")
+    classes, of_classes = written(classes, "classes", "c")
     # one row of each class has its lists and its sketch
     reps = profiles.where("n > 0").join(classes.select(*sets, F.col("rep").alias("id")), [*sets, "id"], "left_semi")
     lists = reps.select(F.col("id").alias("rep"), F.col("n"), F.posexplode("short").alias("pos", "h"))
-    shared = materialise(lists.groupBy("h").agg(F.count("*").alias("c"), F.min("n").alias("smallest")).where("c > 1"), "shared")
-    bits = hash_filter(shared)
+    shared, seen = written(lists.groupBy("h").agg(F.count("*").alias("c"), F.min("n").alias("smallest")).where("c > 1"), "shared", "c")
+    bits = hash_filter(shared, many=seen.rows)
     lists = reps.select("id", "n", "short").mapInArrow(_shared_lists(bits), "rep long, n long, pos int, h long")
-    lists = spread_join(lists, shared, ["h"], ["rep"], number="c").where(f"{percent} * (n + smallest) <= {100 + percent} * (n - pos)").select("h", "pos", "rep", "n")
+    lists = spread_join(lists, shared, ["h"], ["rep"], number="c", seen=seen).where(f"{percent} * (n + smallest) <= {100 + percent} * (n - pos)").select("h", "pos", "rep", "n")
     lists = materialise(lists, "lists")
     met = materialise(lists.select(F.col("rep").alias("id")).distinct(), "met")
     # sketches of those documents only that share a list with another; none where an id has different sets
@@ -423,25 +423,25 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, i
     whole, fetched = None, None
     # rows of one id with different sets are the same node
     twice = profiles.select("id", *sets).distinct().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    twice = materialise(twice, "twice")
+    twice, seen = written(twice, "twice")
     place, tried = None, None
-    if not is_empty(twice):
+    if seen.rows:
         same = profiles.join(twice, "id", "left_semi").join(classes, sets).where("id <> rep")
         place = connected_components(same.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     for turn in range(turns + 1):
         known = materialise(_placed(lists, place), "lists") if place is not None else _placed(lists, None)
         rank = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), F.col("rep"))
         open_ = known.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min_by(F.struct("rep", "n", "component"), rank).alias("pivot"))
-        open_ = materialise(open_.where("lo <> hi").select("h", "pivot", "n"), "open")
-        if is_empty(open_):
+        open_, seen = written(open_.where("lo <> hi").select("h", "pivot", "n"), "open", "n")
+        if not seen.rows:
             break
-        pairs = _pivot_pairs(known, open_, percent) if turn < turns else _tiles(known, sketches, percent)
+        pairs = _pivot_pairs(known, open_, percent, seen) if turn < turns else _tiles(known, sketches, percent)
         pairs = materialise(pairs, "met")
         if tried is not None:
             swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
             pairs = pairs.join(tried.unionByName(swapped), ["a", "b"], "left_anti")
-        pairs = materialise(_may_link(pairs, sketches, percent), "candidates")
-        if is_empty(pairs):
+        pairs, seen = written(_may_link(pairs, sketches, percent), "candidates")
+        if not seen.rows:
             continue
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -449,15 +449,15 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, turns: int = 2, i
         sets_of = needed_sets(texts, new, k).join(new, "id", "left_semi") if fetched is not None else needed_sets(texts, new, k)
         whole = sets_of if whole is None else whole.unionByName(sets_of)
         fetched = whole.select("id").distinct()
-        links = materialise(search(pairs, whole, percent), "links")
-        if not is_empty(links):
+        links, seen = written(search(pairs, whole, percent), "links")
+        if seen.rows:
             # what is known goes on as one edge for each node
             before = [] if place is None else [place.select(F.col("node").alias("a"), F.col("component").alias("b"))]
             place = connected_components(links.unionByName(before[0]) if before else links)
-    out = spread_join(profiles.select("id", *sets), classes, sets, ["id"], number="c")
+    out = spread_join(profiles.select("id", *sets), classes, sets, ["id"], number="c", seen=of_classes)
     if place is not None:
-        heads = materialise(place.withColumnRenamed("node", "rep").join(classes.groupBy("rep").agg(F.sum("c").alias("c")), "rep"), "heads")
-        out = spread_join(out, heads, ["rep"], ["id"], "left", number="c")
+        heads, seen = written(place.withColumnRenamed("node", "rep").join(classes.groupBy("rep").agg(F.sum("c").alias("c")), "rep"), "heads", "c")
+        out = spread_join(out, heads, ["rep"], ["id"], "left", number="c", seen=seen)
     else:
         out = out.withColumn("component", F.col("rep"))
     back = lambda c: F.when(c != least, c)

@@ -4,8 +4,9 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from parlance.llm import line_dedup, mixing, secrets, simhash, substring_dedup, warc
+from parlance.llm import common, line_dedup, mixing, secrets, simhash, substring_dedup, warc
 
 SPACE = "\x20\t\n\x0b\x0c\r"
 
@@ -128,6 +129,12 @@ def test_mix_targets_by_water_filling(spark):
     assert t["a"] == 200 and t[None] == 20 and t["b"] == pytest.approx((3165 - 220) / 3) and t["c"] == pytest.approx((3165 - 220) * 2 / 3)
 
 
+def test_the_plan_of_the_mix_is_short(documents, prose, plan):
+    """The driver holds each plan with its compiled code, so the steps of the mix are written one by one."""
+    text = plan(mixing.mix_sources(documents([(i, prose(i, n=3 + i % 5)) for i in range(12)])))
+    assert text.count("Exchange ") + text.count("BroadcastExchange") <= 3 and "NestedLoop" not in text
+
+
 def test_mix_of_nothing(documents):
     assert mixing.mix_sources(documents([])).count() == 0
     assert [r.taken for r in mixing.mix_sources(documents([(1, None), (1, None)])).collect()] == [0, 0]
@@ -405,3 +412,28 @@ def test_secrets_stay_in_the_jvm(documents, plan):
     found, _ = secrets.scan_blobs(docs.select(secrets.blob_id("text").alias("blob"), "text"))
     assert "Python" not in plan(got) and "Arrow" not in plan(found) and "Python" not in plan(found)
     assert secrets.scan_versions(documents([]))[0].count() == 0
+
+
+# ---------------------------------------------------------------- written tables
+
+
+def test_what_is_seen_of_a_table_while_it_is_written(spark):
+    df = spark.range(10).selectExpr("id % 3 AS k").groupBy("k").agg(F.count("*").alias("n"))
+    out, seen = common.written(df, "seen", "n")
+    assert (out.count(), tuple(seen)) == (3, (3, 10, 4))
+    assert tuple(common.written(out, "seen")[1]) == (3, 3, 1)
+    for nothing in (df.where("false"), df.where("n > 99"), spark.createDataFrame([], "k long, n long")):
+        assert tuple(common.written(nothing, "seen", "n")[1]) == (0, 0, 0)
+
+
+def test_components_take_no_queries_for_counts(spark):
+    def ran():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (8, 9)], "a long, b long").coalesce(1)
+    before = ran()
+    got = common.connected_components(edges)
+    # of each round near, step, placed and edges, and from the second on moves; then first and components
+    assert ran() - before <= 13
+    assert {(r.node, r.component) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
